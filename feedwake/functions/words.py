@@ -6,12 +6,15 @@ A word is 64 lower-case hex digits. The text is the truth; doubles are approxima
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HEX_DIGITS = "0123456789abcdef"
 HEX_COMPLEMENT = "fedcba9876543210"
-TWO_POW_32 = 4294967296
+TWO_POW_60 = 1 << 60
+LARGEST = Decimal("9" * 38)
 
 
 def hex_body(value: Column) -> Column:
@@ -37,52 +40,56 @@ def pad_word(value: Column) -> Column:
     return F.lpad(hex_body(value), 64, "0")
 
 
-def _chunks(word: Column) -> list[Column]:
-    return [F.conv(F.substring(word, 1 + 8 * i, 8), 16, 10) for i in range(8)]
+def _part(word: Column, start: int, digits: int) -> Column:
+    return F.conv(F.substring(word, start, digits), 16, 10)
 
 
-def _magnitude(word: Column) -> tuple[Column, Column, Column]:
-    """(is negative, complemented-or-same word, +1 correction) of a two's-complement word."""
+def _complement(word: Column) -> tuple[Column, Column, Column]:
+    """(is negative, digits of the magnitude less the correction, correction) of a two's-complement word."""
     negative = F.substring(word, 1, 1) >= F.lit("8")
     body = F.when(negative, F.translate(word, HEX_DIGITS, HEX_COMPLEMENT)).otherwise(word)
     return negative, body, F.when(negative, F.lit(1)).otherwise(F.lit(0))
 
 
-def _horner_double(word: Column) -> Column:
-    total = F.lit(0.0)
-    for part in _chunks(word):
-        total = total * F.lit(float(TWO_POW_32)) + part.cast("double")
+def _double(word: Column) -> Column:
+    """Digits as 4 + 4 x 15, so that each part fits a long."""
+    total = _part(word, 1, 4).cast("double")
+    for start in (5, 20, 35, 50):
+        total = total * F.lit(float(TWO_POW_60)) + _part(word, start, 15).cast("double")
     return total
 
 
-def _horner_decimal(word: Column) -> Column:
-    total = F.lit(0).cast("decimal(38,0)")
-    for part in _chunks(word):
-        scaled = F.try_multiply(total, F.lit(TWO_POW_32).cast("decimal(10,0)"))
-        total = F.try_add(scaled, part.cast("decimal(10,0)")).try_cast("decimal(38,0)")
-    return total
+def _decimal(word: Column) -> Column:
+    """The low 128 bits as 2 + 15 + 15 digits; more would not fit 38 decimal digits."""
+    high, middle, low = (_part(word, s, n).cast("decimal(38,0)") for s, n in ((33, 2), (35, 15), (50, 15)))
+    scale = F.lit(TWO_POW_60).cast("decimal(38,0)")
+    upper = F.try_add(F.try_multiply(high, scale), middle)
+    value = F.try_add(F.try_multiply(upper, scale), low)
+    return F.when(F.substring(word, 1, 32) == "0" * 32, value)
 
 
 def uint_double(value: Column) -> Column:
-    return _horner_double(pad_word(value))
+    return _double(pad_word(value))
 
 
 def uint_decimal(value: Column) -> Column:
     """Exact unsigned value as DECIMAL(38,0), NULL when it needs more digits."""
-    return _horner_decimal(pad_word(value))
+    return _decimal(pad_word(value))
 
 
 def int_double(value: Column) -> Column:
-    negative, body, one = _magnitude(pad_word(value))
-    magnitude = _horner_double(body) + one
+    negative, body, one = _complement(pad_word(value))
+    magnitude = _double(body) + one
     return F.when(negative, -magnitude).otherwise(magnitude)
 
 
 def int_decimal(value: Column) -> Column:
     """Exact two's-complement value as DECIMAL(38,0), NULL when it needs more digits."""
-    negative, body, one = _magnitude(pad_word(value))
-    magnitude = F.try_add(_horner_decimal(body), one.cast("decimal(1,0)")).try_cast("decimal(38,0)")
-    return F.when(negative, -magnitude).otherwise(magnitude)
+    negative, body, one = _complement(pad_word(value))
+    digits = _decimal(body)
+    magnitude = F.when(digits < F.lit(LARGEST), digits + one.cast("decimal(38,0)"))
+    # 0 - x, because negating a decimal rounds it to 34 digits
+    return F.when(negative, F.lit(0).cast("decimal(38,0)") - magnitude).otherwise(digits)
 
 
 def scaled(value: Column, decimals: Column | int) -> Column:
