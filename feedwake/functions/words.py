@@ -68,6 +68,20 @@ def _decimal(word: Column) -> Column:
     return F.when(F.substring(word, 1, 32) == "0" * 32, value)
 
 
+def word_decimal(word: Column) -> Column:
+    """Unsigned value of a full 64-digit word, NULL above 38 decimal digits."""
+    return _decimal(word)
+
+
+def word_int_decimal(word: Column) -> Column:
+    """Two's-complement value of a full 64-digit word, NULL above 38 decimal digits."""
+    negative, body, one = _complement(word)
+    digits = _decimal(body)
+    magnitude = F.when(digits < F.lit(LARGEST), digits + one.cast("decimal(38,0)"))
+    # 0 - x, because negating a decimal rounds it to 34 digits
+    return F.when(negative, F.lit(0).cast("decimal(38,0)") - magnitude).otherwise(digits)
+
+
 def uint_double(value: Column) -> Column:
     return _double(pad_word(value))
 
@@ -85,11 +99,7 @@ def int_double(value: Column) -> Column:
 
 def int_decimal(value: Column) -> Column:
     """Exact two's-complement value as DECIMAL(38,0), NULL when it needs more digits."""
-    negative, body, one = _complement(pad_word(value))
-    digits = _decimal(body)
-    magnitude = F.when(digits < F.lit(LARGEST), digits + one.cast("decimal(38,0)"))
-    # 0 - x, because negating a decimal rounds it to 34 digits
-    return F.when(negative, F.lit(0).cast("decimal(38,0)") - magnitude).otherwise(digits)
+    return word_int_decimal(pad_word(value))
 
 
 def scaled(value: Column, decimals: Column | int) -> Column:

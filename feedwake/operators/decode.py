@@ -61,16 +61,23 @@ def decode_answer_updated(logs: DataFrame, decimals: int = 8) -> DataFrame:
     )
 
 
-def latest_round_data(blob: Column, decimals: int = 8) -> Column:
-    """Struct of the five-word round tuple in a call result; NULL when words are missing."""
-    word = lambda i: W.word_at(blob, i)
-    answer = W.int_decimal(word(1))
+def latest_round_data(df: DataFrame, blob: str, into: str, decimals: int = 8) -> DataFrame:
+    """Add the five-word round tuple of a call result as a struct; NULL when words are missing.
+
+    The words become columns first, so that each is cut from the text once.
+    """
+    body = df.withColumn("_body", W.hex_body(F.col(blob)))
+    cut = body.select("*", *[F.substring("_body", 64 * i + 1, 64).alias(f"_w{i}") for i in range(5)])
+    whole = lambda i: W.word_decimal(F.col(f"_w{i}"))
+    read = cut.select(
+        *df.columns, "_body", whole(0).alias("_r0"), W.word_int_decimal(F.col("_w1")).alias("_r1"), whole(2).cast("long").alias("_r2"),
+        whole(3).cast("long").alias("_r3"), whole(4).alias("_r4"),
+    )
     fields = F.struct(
-        W.uint_decimal(word(0)).alias("round_id"), answer.alias("answer_raw"), W.scaled(answer, decimals).alias("answer"),
-        W.uint_decimal(word(2)).cast("long").alias("started_at"), W.uint_decimal(word(3)).cast("long").alias("updated_at"),
-        W.uint_decimal(word(4)).alias("answered_in_round"),
+        F.col("_r0").alias("round_id"), F.col("_r1").alias("answer_raw"), W.scaled(F.col("_r1"), decimals).alias("answer"),
+        F.col("_r2").alias("started_at"), F.col("_r3").alias("updated_at"), F.col("_r4").alias("answered_in_round"),
     )
-    return F.when(F.length(W.hex_body(blob)) >= 64 * 5, fields)
+    return read.select(*df.columns, F.when(F.length("_body") >= 64 * 5, fields).alias(into))
 
 
 def decode_transfers(logs: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -99,10 +99,9 @@ def contains_text(haystacks: DataFrame, needles: DataFrame, text: str, word: str
     texts = haystacks.select(F.col(text)).where(F.col(text).isNotNull()).distinct()
     words = needles.select(F.col(word)).where(F.coalesce(F.col(word), F.lit("")) != "").distinct()
     low = F.lower(F.col(text))
-    grams = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i, n=n: F.substring(low, i, F.lit(n)))
-        for n in range(1, size + 1)
-    ]))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    pieces = F.transform(starts, lambda i: F.array(*[F.substring(low, i, F.lit(n)) for n in range(1, size + 1)]))
+    grams = F.flatten(pieces)
     spread = texts.withColumn("_gram", F.explode(F.array_distinct(grams)))
     keyed = words.withColumn("_gram", F.substring(F.lower(F.col(word)), 1, size))
     return spread.join(keyed, "_gram").where(F.contains(F.lower(F.col(text)), F.lower(F.col(word)))).select(text, word)
