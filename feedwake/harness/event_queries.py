@@ -280,7 +280,7 @@ def _losses(spark, folder):
 
 QUERIES["loss_estimate"] = _losses
 SQL["loss_estimate"] = V.with_views(["h_moves"], """
-, b AS (SELECT tx_hash, sender AS market, amount_raw, (l_linenumber + CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) * 1000000000 + l_partkey * 10000 + l_suppkey AS seq FROM h_moves WHERE l_returnflag = 'R'
+, b AS (SELECT tx_hash, sender AS market, amount_raw, CAST(l_linenumber + CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS seq FROM h_moves WHERE l_returnflag = 'R'
         QUALIFY row_number() OVER (PARTITION BY tx_hash ORDER BY seq) = 1),
 m AS (SELECT b.tx_hash, arg_min(v.symbol, v.log_index) AS symbol, arg_min(v.amount, v.log_index) AS amount FROM b JOIN h_moves v ON v.tx_hash = b.tx_hash AND v.sender = b.market
         AND v.amount_raw = b.amount_raw AND v.log_index * 1000000000 + 500000000 >= b.seq GROUP BY 1),

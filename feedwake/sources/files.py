@@ -80,7 +80,7 @@ def _ddl_parts(ddl: str) -> list[str]:
 
 def load_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Case config document as (cases, constraints)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", f"map<string,{S.CASE_CONFIG_ENTRY}>")).alias("case", "c"))
     cases = entries.select("case", "c.name", "c.chain", "c.known_txs")
     constraints = entries.select("case", F.explode("c.constraints").alias("k")).select("case", "k.*")
@@ -139,7 +139,7 @@ def read_exports(spark: SparkSession, root: str, columns: list[str]) -> DataFram
         text = base.option("pathGlobFilter", "*.jsonl").text(root).select("value", origin, *place).where(F.trim("value") != "")
         add(_columns(text.withColumn("row", F.from_json("value", "map<string,string>")), columns))
     if found("*.json"):
-        text = base.option("pathGlobFilter", "*.json").option("wholetext", True).text(root).select("value", origin)
+        text = base.option("pathGlobFilter", "*.json").text(root, wholetext=True).select("value", origin)
         shaped = [F.from_json("value", s) for s in EXPORT_SHAPES]
         lists = F.coalesce(F.when(F.trim("value").startswith("["), shaped[0]), shaped[1]["rows"], shaped[2]["result"], shaped[3]["result"]["rows"])
         rows = text.select("source_file", F.posexplode(lists).alias("_id", "row")).withColumn("_block", F.lit(0).cast("long"))
