@@ -56,7 +56,9 @@ def tokens(spark, folder) -> DataFrame:
     key = F.col("p_partkey")
     return V.table(spark, folder, "part").select(
         at(V.CHAINS, key % 4).alias("blockchain"), contract("P", key).alias("contract_address"),
-        F.concat(at(PREFIXES, key % 6), at(SYMBOLS, key % 9)).alias("symbol"),
+        F.concat(
+            at(PREFIXES, key % 6), at(SYMBOLS, key % 9), F.when((key % 6 == 4) & (key >= 54), F.floor(key / 54).cast("string")).otherwise(F.lit(""))
+        ).alias("symbol"),
         F.concat_ws(" ", at(TOKEN_PROTOCOLS, key % 3), at(SYMBOLS, key % 9)).alias("name"),
     )
 
@@ -67,7 +69,8 @@ V.register_view_sql("b_labels", f"""b_labels AS (
   FROM supplier)""")
 V.register_view_sql("b_tokens", f"""b_tokens AS (
   SELECT {_chain_sql('p_partkey')} AS chain, {_contract_sql('P', 'p_partkey')} AS address,
-         {_list(PREFIXES)}[(p_partkey % 6) + 1] || {_list(SYMBOLS)}[(p_partkey % 9) + 1] AS symbol,
+         {_list(PREFIXES)}[(p_partkey % 6) + 1] || {_list(SYMBOLS)}[(p_partkey % 9) + 1]
+           || CASE WHEN p_partkey % 6 = 4 AND p_partkey >= 54 THEN CAST(p_partkey // 54 AS VARCHAR) ELSE '' END AS symbol,
          {_list(TOKEN_PROTOCOLS)}[(p_partkey % 3) + 1] || ' ' || {_list(SYMBOLS)}[(p_partkey % 9) + 1] AS name FROM part)""")
 
 

@@ -15,6 +15,7 @@ from feedwake.operators.closure import HOUR, in_chains, in_dates
 from feedwake.operators.decode import decode_answer_updated
 from feedwake.operators.joins import contains_hex, contains_text
 from feedwake.operators.timeline import Scan, asof, window_fold
+from feedwake.storage import write_table
 
 DAY = 24 * HOUR
 KEPT_TIERS = (R.TIER_A, R.TIER_B, R.TIER_C)
@@ -209,28 +210,52 @@ def formula_changes(inventory: DataFrame, transactions: DataFrame, traces: DataF
     )
 
 
-def affected_assets(changes: DataFrame, assets: DataFrame) -> DataFrame:
-    """Formula changes with each derivative asset that the call names or carries."""
+HINT = ["blockchain", "trigger_tx", "function_name", "affected_asset_address", "affected_asset"]
+
+
+def asset_hints(changes: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Derivative assets that calls name, per distinct function name, and that calls carry, per transaction."""
     needles = assets.select("blockchain", F.col("contract_address").alias("affected_asset_address"), F.col("symbol").alias("affected_asset"))
     words = contains_text(changes, needles, "function_name", "affected_asset")
-    by_name = changes.select("blockchain", "trigger_tx", "function_name").distinct().join(words, "function_name").join(
-        needles, ["blockchain", "affected_asset"]
-    ).select("blockchain", "trigger_tx", "function_name", "affected_asset_address", "affected_asset")
-    pair = ["blockchain", "trigger_tx", "function_name", "affected_asset_address", "affected_asset"]
+    by_name = changes.select("blockchain", "function_name").distinct().join(words, "function_name").join(needles, ["blockchain", "affected_asset"])
     by_data = contains_hex(
-        changes.select("blockchain", "trigger_tx", "function_name", "tx_data").distinct(), needles, ["blockchain"], "tx_data",
-        "affected_asset_address", pair,
-    ).select(*pair)
-    return changes.join(by_name.unionByName(by_data).distinct(), ["blockchain", "trigger_tx", "function_name"])
+        changes.select("blockchain", "trigger_tx", "function_name", "tx_data").distinct(), needles, ["blockchain"], "tx_data", "affected_asset_address", HINT
+    )
+    return by_name.select("blockchain", "function_name", "affected_asset_address", "affected_asset").distinct(), by_data.select(*HINT).distinct()
+
+
+def affected_assets(changes: DataFrame, by_name: DataFrame, by_data: DataFrame) -> DataFrame:
+    """Formula changes with each derivative asset that the call names or carries."""
+    calls = changes.select("blockchain", "trigger_tx", "function_name").distinct()
+    named = calls.join(by_name, ["blockchain", "function_name"]).select(*HINT)
+    return changes.join(named.unionByName(by_data).distinct(), ["blockchain", "trigger_tx", "function_name"])
 
 
-def composition_impacts(hints: DataFrame, inventory: DataFrame, transfers: DataFrame, start=None, end=None, chains=None, hours: int = 24) -> DataFrame:
+def composition_impacts(
+    changes: DataFrame, by_name: DataFrame, by_data: DataFrame, inventory: DataFrame, transfers: DataFrame, start=None, end=None, chains=None, hours: int = 24
+) -> DataFrame:
     """Per trigger: transfers in ``[t, t+hours)`` that touch any lending market of the chain or move an affected asset.
 
-    Transfers at markets form one stream per chain; the rest only matter to triggers on their token. Each
-    transfer counts once per trigger, and each transaction is counted in exactly one of the two streams.
+    Three streams with one row per transaction cover these without pairing triggers and transfers: market
+    transfers per chain, transfers of the assets a function name stands for, and transfers of the
+    assets found in call data. A transfer belongs to the first stream that has it, and a transaction
+    is counted in the first stream that has it, so the three add up.
     """
-    triggers = _signatures(hints, "affected_asset_address")
+    hours_us = hours * HOUR
+    tokens = F.col("affected_asset_address").alias("token")
+    named = by_name.select("blockchain", "function_name", tokens)
+    calls = changes.select("blockchain", "trigger_tx", "block_time", "function_name").distinct()
+    hit_names = calls.join(named.select("blockchain", "function_name").distinct(), ["blockchain", "function_name"], "left_semi")
+    names = hit_names.groupBy("blockchain", "trigger_tx").agg(F.array_sort(F.collect_set("function_name")).alias("names"))
+    carried = by_data.select("blockchain", "trigger_tx", tokens).distinct().groupBy("blockchain", "trigger_tx").agg(F.array_sort(F.collect_set("token")).alias("carried"))
+    times = calls.groupBy("blockchain", "trigger_tx").agg(F.min("block_time").alias("block_time"))
+    joined = times.join(names, ["blockchain", "trigger_tx"], "left").join(carried, ["blockchain", "trigger_tx"], "left")
+    none = F.array().cast("array<string>")
+    hinted = joined.where(F.col("names").isNotNull() | F.col("carried").isNotNull())
+    triggers = write_table(hinted.select(
+        "blockchain", "trigger_tx", "block_time", F.coalesce("names", none).alias("names"), F.coalesce("carried", none).alias("carried"),
+        F.array_join(F.coalesce("names", none), "|").alias("name_sig"), F.array_join(F.coalesce("carried", none), "|").alias("data_sig")))
+
     moves = in_dates(in_chains(transfers, chains), start, end).select(
         "blockchain", "tx_hash", "block_time", F.col("contract_address").alias("token"), "from", "to", F.coalesce("amount_usd", F.lit(0.0)).alias("usd")
     )
@@ -241,22 +266,31 @@ def composition_impacts(hints: DataFrame, inventory: DataFrame, transfers: DataF
     tagged = active.join(sender, ["blockchain", "from"], "left").join(receiver, ["blockchain", "to"], "left")
     tagged = tagged.withColumn("at_market", F.coalesce("_s", "_r", F.lit(False)))
     per_tx = lambda rows, keys: rows.groupBy(*keys, "tx_hash").agg(F.min("block_time").alias("block_time"), F.sum("usd").alias("usd"))
+
     at_market = per_tx(tagged.where("at_market"), ["blockchain"])
-    members = triggers.select("blockchain", "sig", F.explode("members").alias("token")).distinct()
-    elsewhere = per_tx(tagged.where(~F.col("at_market")).join(members, ["blockchain", "token"]), ["blockchain", "sig"])
-    counted = at_market.select("blockchain", "tx_hash", F.lit(True).alias("_counted"))
-    elsewhere = elsewhere.join(counted, ["blockchain", "tx_hash"], "left")
+    seen_market = at_market.select("blockchain", "tx_hash", F.lit(True).alias("_market"))
+    elsewhere = tagged.where(~F.col("at_market")).select("blockchain", "tx_hash", "block_time", "token", "usd")
+    name_tokens = triggers.select("blockchain", "name_sig", F.explode("names").alias("function_name")).distinct().join(
+        named, ["blockchain", "function_name"]).select("blockchain", "name_sig", "token").distinct()
+    by_names = per_tx(elsewhere.join(name_tokens, ["blockchain", "token"]), ["blockchain", "name_sig"]).join(seen_market, ["blockchain", "tx_hash"], "left")
+    seen_name = by_names.select("blockchain", "name_sig", "tx_hash", F.lit(True).alias("_named"))
+    data_tokens = triggers.select("blockchain", "name_sig", "data_sig", F.explode("carried").alias("token")).distinct().join(
+        name_tokens, ["blockchain", "name_sig", "token"], "left_anti")
+    by_carried = per_tx(elsewhere.join(data_tokens, ["blockchain", "token"]), ["blockchain", "name_sig", "data_sig"]).join(
+        seen_market, ["blockchain", "tx_hash"], "left").join(seen_name, ["blockchain", "name_sig", "tx_hash"], "left")
+
     at = T.micros(F.col("block_time"))
-    left = triggers.drop("members")
-    common = window_fold(left, at_market, ["blockchain"], at, at, hours * HOUR, _impact_fold(), closed="left")
-    own = window_fold(
-        left, elsewhere, ["blockchain", "sig"], at, at, hours * HOUR,
-        _impact_fold(counted=F.when(F.col("_counted").isNull(), F.lit(1))), closed="left",
-    )
-    both = common.unionByName(own).groupBy("blockchain", "trigger_tx").agg(
+    left = triggers.drop("names", "carried")
+    new = F.when(F.col("_market").isNull(), F.lit(1))
+    newest = F.when(F.col("_market").isNull() & F.col("_named").isNull(), F.lit(1))
+    common = window_fold(left, at_market, ["blockchain"], at, at, hours_us, _impact_fold(), closed="left")
+    own = window_fold(left.where(F.col("name_sig") != ""), by_names, ["blockchain", "name_sig"], at, at, hours_us, _impact_fold(counted=new), closed="left")
+    other = window_fold(
+        left.where(F.col("data_sig") != ""), by_carried, ["blockchain", "name_sig", "data_sig"], at, at, hours_us, _impact_fold(counted=newest), closed="left")
+    total = common.unionByName(own).unionByName(other).groupBy("blockchain", "trigger_tx").agg(
         F.sum("impact_tx_count").alias("impact_tx_count"), F.sum("impact_usd_known").alias("impact_usd_known"), F.min("first").alias("first")
     )
-    return _found(both)
+    return _found(total)
 
 
 def price_composition_candidates(
@@ -266,8 +300,9 @@ def price_composition_candidates(
     """Formula or governance calls that involve a derivative asset, with transfer activity after them."""
     inventory = INV.lending_inventory(labels, tokens, chains)
     changes = formula_changes(inventory, transactions, traces, start, end, chains)
-    hints = affected_assets(changes, INV.derivative_assets(tokens, inventory, chains))
-    impacts = composition_impacts(hints, inventory, transfers, start, end, chains, hours)
+    by_name, by_data = asset_hints(changes, INV.derivative_assets(tokens, inventory, chains))
+    hints = affected_assets(changes, by_name, by_data)
+    impacts = composition_impacts(changes, by_name, by_data, inventory, transfers, start, end, chains, hours)
     titles = labels.select("blockchain", F.col("address").alias("oracle_or_governance_contract"), F.col("name").alias("contract_label"))
     rows = hints.join(impacts, ["blockchain", "trigger_tx"], "left").join(titles, ["blockchain", "oracle_or_governance_contract"], "left")
     count = F.coalesce("impact_tx_count", F.lit(0))
@@ -476,13 +511,14 @@ def price_composition_stages(labels, tokens, transactions, traces, transfers, st
     inventory = INV.lending_inventory(labels, tokens, chains)
     assets = INV.derivative_assets(tokens, inventory, chains)
     changes = formula_changes(inventory, transactions, traces, start, end, chains)
-    hints = affected_assets(changes, assets)
+    by_name, by_data = asset_hints(changes, assets)
+    hints = affected_assets(changes, by_name, by_data)
     return {
         "inventory_addresses": (inventory, "address", "protocol_cluster_id", None),
         "derivative_assets": (assets, "contract_address", None, None),
         "oracle_wrapper_txs": (changes, "oracle_or_governance_contract", None, "trigger_tx"),
         "affected_asset_hint": (hints, "affected_asset_address", None, "trigger_tx"),
-        "impact_activity": (composition_impacts(hints, inventory, transfers, start, end, chains), None, None, "trigger_tx"),
+        "impact_activity": (composition_impacts(changes, by_name, by_data, inventory, transfers, start, end, chains), None, None, "trigger_tx"),
     }
 
 
