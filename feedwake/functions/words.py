@@ -19,7 +19,8 @@ LARGEST = Decimal("9" * 38)
 
 def hex_body(value: Column) -> Column:
     """Lower-case hex digits without the ``0x`` prefix; NULL becomes empty."""
-    return F.regexp_replace(F.lower(F.trim(F.coalesce(value, F.lit("")))), "^0x", "")
+    text = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    return F.when(text.startswith("0x"), F.substr(text, F.lit(3))).otherwise(text)
 
 
 def words(data: Column) -> Column:

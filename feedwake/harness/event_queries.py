@@ -116,7 +116,8 @@ FROM b LEFT JOIN lineitem l ON '0x' || lpad(lower(to_hex(l.l_orderkey)), 64, '0'
 
 def word_of(number, negative: bool = False):
     """Hex word of a long; a negative one is two's complement."""
-    return F.lpad(F.lower(F.hex(number)), 64, "f" if negative else "0")
+    digits = F.lower(F.hex(number))
+    return F.when(number < 0, F.lpad(digits, 64, "f")).otherwise(F.lpad(digits, 64, "0")) if negative else F.lpad(digits, 64, "0")
 
 
 def _cents():
@@ -124,14 +125,14 @@ def _cents():
 
 
 def _words(spark, folder):
-    rows = V.logs(spark, folder)
     up, down = word_of(F.col("block_number")), word_of(-_cents(), True)
-    blob = F.concat(F.lit("0x"), up, down, F.lit("abc"))
+    rows = V.logs(spark, folder).select("block_number", "value", up.alias("up"), down.alias("down"))
+    rows = rows.withColumn("blob", F.concat(F.lit("0x"), "up", "down", F.lit("abc")))
     return rows.select(
-        "block_number", F.size(W.words(blob)).cast(LONG).alias("word_count"), W.uint_decimal(W.word_at(blob, 0)).cast(LONG).alias("uint_value"),
-        W.int_decimal(W.word_at(blob, 1)).cast(LONG).alias("int_value"), W.int_double(down).alias("int_double"),
-        (F.substring(down, 1, 1) >= "8").alias("is_negative"), W.word_address(up).alias("address"), W.address_topic(W.word_address(up)).alias("topic"),
-        F.round(W.scaled(W.uint_decimal(up), 2), 6).alias("scaled"), W.decimal_text(F.col("value"), 1).alias("decimal_text"))
+        "block_number", F.size(W.words(F.col("blob"))).cast(LONG).alias("word_count"), W.uint_decimal(W.word_at(F.col("blob"), 0)).cast(LONG).alias("uint_value"),
+        W.int_decimal(W.word_at(F.col("blob"), 1)).cast(LONG).alias("int_value"), W.int_double(F.col("down")).alias("int_double"),
+        (F.substring("down", 1, 1) >= "8").alias("is_negative"), W.word_address(F.col("up")).alias("address"), W.address_topic(W.word_address(F.col("up"))).alias("topic"),
+        F.round(W.scaled(W.uint_decimal(F.col("up")), 2), 6).alias("scaled"), W.decimal_text(F.col("value"), 1).alias("decimal_text"))
 
 
 QUERIES["decode_words_uint_int256"] = _words
@@ -281,11 +282,11 @@ def _losses(spark, folder):
 QUERIES["loss_estimate"] = _losses
 SQL["loss_estimate"] = V.with_views(["h_moves"], """
 , b AS (SELECT tx_hash, sender AS market, amount_raw, CAST(l_linenumber + CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS seq FROM h_moves WHERE l_returnflag = 'R'
-        QUALIFY row_number() OVER (PARTITION BY tx_hash ORDER BY seq) = 1),
-m AS (SELECT b.tx_hash, arg_min(v.symbol, v.log_index) AS symbol, arg_min(v.amount, v.log_index) AS amount FROM b JOIN h_moves v ON v.tx_hash = b.tx_hash AND v.sender = b.market
+        QUALIFY row_number() OVER (PARTITION BY tx_hash ORDER BY seq, market, amount_raw) = 1),
+m AS (SELECT b.tx_hash, arg_min(v.symbol, (v.log_index, v.symbol, v.amount)) AS symbol, arg_min(v.amount, (v.log_index, v.symbol, v.amount)) AS amount FROM b JOIN h_moves v ON v.tx_hash = b.tx_hash AND v.sender = b.market
         AND v.amount_raw = b.amount_raw AND v.log_index * 1000000000 + 500000000 >= b.seq GROUP BY 1),
-f AS (SELECT tx_hash, arg_max(symbol, (amount, -log_index)) FILTER (classification = 'known_token_flow') AS symbol,
-             arg_max(amount_raw, (amount, -log_index)) FILTER (classification = 'known_token_flow') AS raw, max(amount) FILTER (classification = 'known_token_flow') AS amount,
+f AS (SELECT tx_hash, arg_max(symbol, (amount, -log_index, symbol, amount_raw)) FILTER (classification = 'known_token_flow') AS symbol,
+             arg_max(amount_raw, (amount, -log_index, symbol, amount_raw)) FILTER (classification = 'known_token_flow') AS raw, max(amount) FILTER (classification = 'known_token_flow') AS amount,
              count(*) FILTER (classification <> 'known_token_flow') AS u FROM h_moves GROUP BY 1),
 x AS (SELECT f.tx_hash, CASE WHEN b.tx_hash IS NOT NULL THEN 'protocol_event_decoded' WHEN f.raw IS NOT NULL THEN 'receipt_flow_estimated' ELSE 'not_decodable' END AS confidence,
              CASE WHEN b.tx_hash IS NOT NULL THEN coalesce(m.symbol, 'UNKNOWN') ELSE coalesce(f.symbol, 'UNKNOWN') END AS primary_asset,

@@ -82,11 +82,12 @@ def latest_round_data(df: DataFrame, blob: str, into: str, decimals: int = 8) ->
 
 def decode_transfers(logs: DataFrame, tokens: DataFrame) -> DataFrame:
     """Token transfers with symbol, amount and class. Tokens without metadata keep the raw amount."""
-    moves = logs.where((F.lower("topic0") == R.ERC20_TRANSFER) & F.col("topic2").isNotNull()).select(
-        "blockchain", "block_time", "block_number", "tx_hash", "log_index", T.address(F.col("contract_address")).alias("token_address"),
-        W.word_address(F.col("topic1")).alias("from"), W.word_address(F.col("topic2")).alias("to"),
-        W.uint_decimal(F.col("data")).alias("amount_raw"),
+    base = ["blockchain", "block_time", "block_number", "tx_hash", "log_index", "token_address", "from", "to"]
+    words = logs.where((F.lower("topic0") == R.ERC20_TRANSFER) & F.col("topic2").isNotNull()).select(
+        *base[:5], T.address(F.col("contract_address")).alias("token_address"), W.word_address(F.col("topic1")).alias("from"),
+        W.word_address(F.col("topic2")).alias("to"), W.pad_word(F.col("data")).alias("_word"),
     )
+    moves = words.select(*base, W.word_decimal(F.col("_word")).alias("amount_raw"))
     meta = tokens.select("blockchain", T.address(F.col("contract_address")).alias("token_address"), "symbol", "decimals")
     named = moves.join(meta, ["blockchain", "token_address"], "left")
     amount = W.scaled(F.col("amount_raw"), F.coalesce("decimals", F.lit(0)))
@@ -152,7 +153,7 @@ def loss_estimate(events: DataFrame, transfers: DataFrame) -> DataFrame:
     The first borrow event counts; its token is that of the first later transfer out of the market
     with the same raw amount.
     """
-    order = F.struct("log_index")
+    order = F.struct("log_index", "market_address", "amount_raw")
     first = events.where(F.col("event") == "Borrow").groupBy("blockchain", "tx_hash").agg(
         F.min_by(F.struct("market_address", "account", "amount_raw", "log_index"), order).alias("b")
     )
@@ -160,11 +161,11 @@ def loss_estimate(events: DataFrame, transfers: DataFrame) -> DataFrame:
     paired = first.join(out, ["blockchain", "tx_hash"], "left")
     same = (F.col("from") == F.col("b.market_address")) & (F.col("amount_raw") == F.col("b.amount_raw")) & (F.col("log_index") >= F.col("b.log_index"))
     matched = paired.groupBy("blockchain", "tx_hash", "b").agg(
-        F.min_by(F.struct("symbol", "token_address", "amount", "to", F.col("log_index").alias("transfer_log_index")), F.when(same, F.col("log_index"))).alias("m")
+        F.min_by(F.struct("symbol", "token_address", "amount", "to", F.col("log_index").alias("transfer_log_index")), F.when(same, F.struct("log_index", "symbol", "amount"))).alias("m")
     )
     known = F.col("classification") == "known_token_flow"
     flows = transfers.groupBy("blockchain", "tx_hash").agg(
-        F.max_by(F.struct("symbol", "amount", "amount_raw"), F.when(known, F.struct(F.col("amount"), -F.col("log_index")))).alias("f"),
+        F.max_by(F.struct("symbol", "amount", "amount_raw"), F.when(known, F.struct(F.col("amount"), -F.col("log_index"), F.col("symbol"), F.col("amount_raw")))).alias("f"),
         F.count_if(~known).alias("unknown_or_internal_flow_count"),
     )
     both = flows.join(matched, ["blockchain", "tx_hash"], "full_outer")
