@@ -128,8 +128,8 @@ def address_topic(address: Column) -> Column:
 def dynamic_string(data: Column, head: int = 0) -> Column:
     """Text of an ABI dynamic string whose offset is in word ``head``; NULL if the bytes are missing."""
     body = hex_body(data)
-    offset = uint_decimal(word_at(data, head)).cast("long")
-    length = uint_decimal(F.substring(body, (offset * 2 + 1).cast("int"), F.lit(64))).cast("long")
+    offset = _decimal(F.substring(body, 64 * head + 1, 64)).cast("long")
+    length = _decimal(F.substring(body, (offset * 2 + 1).cast("int"), F.lit(64))).cast("long")
     raw = F.substring(body, (offset * 2 + 65).cast("int"), (length * 2).cast("int"))
     complete = F.length(raw) == length * 2
     return F.when(complete, F.decode(F.unhex(raw), "UTF-8"))

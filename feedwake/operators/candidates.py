@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedwake import rules as R
 from feedwake.functions import text as T
-from feedwake.operators.dedupe import keep_first, sequence_within
+from feedwake.operators.dedupe import keep_first, one_row, sequence_within
 
 REQUIRED = (
     "chain", "failure_class", "trigger_tx", "trigger_time", "evidence_tier", "has_trigger", "has_oracle_anomaly", "has_lending_impact",
@@ -134,15 +134,14 @@ def download_scope(candidates: DataFrame, queue: DataFrame, known: DataFrame, ta
     )
     known_txs = known.select(F.lower("tx_hash").alias("tx")).distinct()
     hits = candidate_txs(eligible).join(known_txs, "tx", "left_semi")
-    one = F.lit(1).alias("_one")
-    sizes = queue_estimate(eligible).withColumn("_one", F.lit(1)).withColumnRenamed("queue_count", "eligible_queue_candidate_count")
-    overlap = hits.agg(F.count_distinct("candidate_id").alias("overlap_candidate_count"), F.count_distinct("tx").alias("overlap_tx_count"), one)
+    sizes = queue_estimate(eligible).withColumnRenamed("queue_count", "eligible_queue_candidate_count")
+    overlap = hits.agg(F.count_distinct("candidate_id").alias("overlap_candidate_count"), F.count_distinct("tx").alias("overlap_tx_count"))
     scale = candidates.agg(
-        F.count(F.lit(1)).alias("candidate_count"), F.sum(F.size("impact_txs") + 1).cast("long").alias("candidate_tx_reference_count"), one
+        F.count(F.lit(1)).alias("candidate_count"), F.sum(F.size("impact_txs") + 1).cast("long").alias("candidate_tx_reference_count")
     )
-    unique = candidate_txs(candidates).agg(F.count_distinct("tx").alias("unique_candidate_tx_count"), one)
-    reference = known_txs.agg(F.count(F.lit(1)).alias("known_tx_count"), one)
-    row = sizes.join(overlap, "_one").join(scale, "_one").join(unique, "_one").join(reference, "_one").drop("_one")
+    unique = candidate_txs(candidates).agg(F.count_distinct("tx").alias("unique_candidate_tx_count"))
+    reference = known_txs.agg(F.count(F.lit(1)).alias("known_tx_count"))
+    row = one_row(sizes, overlap, scale, unique, reference)
     exceeded = F.lit(False) if target_bundles is None else F.col("receipt_bundles") > F.lit(target_bundles)
     return row.withColumn("target_local_bundles_exceeded", exceeded)
 

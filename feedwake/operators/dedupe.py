@@ -20,6 +20,14 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Single-row tables side by side."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, name: str = "rank") -> DataFrame:
     """First ``n`` rows of each key with their rank; Spark trims each group to ``n`` before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)

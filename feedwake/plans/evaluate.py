@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedwake import rules as R
 from feedwake.functions import text as T
-from feedwake.operators.dedupe import first_n
+from feedwake.operators.dedupe import first_n, one_row
 from feedwake.plans.replay import Replay, replay
 
 # Labels that the label score knows.
@@ -253,8 +253,8 @@ def benign_metrics(samples: DataFrame, alerts: DataFrame | None = None) -> DataF
 
 def combined_precision(log_metrics: DataFrame, benign: DataFrame) -> DataFrame:
     """Strict precision, its interval and the floor that counts review rows as false positives."""
-    total = log_metrics.where(F.col("case").isNull()).select("detected_target_log_records", "target_log_records", "all_trace_records", F.lit(1).alias("_one"))
-    both = total.join(benign.withColumn("_one", F.lit(1)), "_one")
+    total = log_metrics.where(F.col("case").isNull()).select("detected_target_log_records", "target_log_records", "all_trace_records")
+    both = one_row(total, benign)
     tp, fp, review = F.col("detected_target_log_records"), F.col("strict_fp_rows"), F.col("review_rows")
     return both.select(
         tp.alias("tp_target_logs"), fp.alias("confirmed_strict_fp_logs"), review.alias("review_logs"),
@@ -524,10 +524,9 @@ def reason_table(samples: DataFrame, status: str) -> DataFrame:
 
 def benign_replay_summary(samples: DataFrame, result: Replay) -> DataFrame:
     """Alerts raised when benign samples are replayed, and rows that need review."""
-    alerts = result.alerts.agg(F.count(F.lit(1)).alias("replay_alert_count"), F.lit(1).alias("_one"))
+    alerts = result.alerts.agg(F.count(F.lit(1)).alias("replay_alert_count"))
     needs = samples.agg(
-        F.count(F.lit(1)).alias("sample_rows"), F.count_if(F.col("verification_status").isin(*R.REVIEW_STATUSES)).alias("needs_review_count"),
-        F.lit(1).alias("_one"))
-    return needs.join(alerts, "_one").drop("_one")
+        F.count(F.lit(1)).alias("sample_rows"), F.count_if(F.col("verification_status").isin(*R.REVIEW_STATUSES)).alias("needs_review_count"))
+    return one_row(needs, alerts)
 
 
