@@ -6,6 +6,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -55,14 +56,16 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         codec = encoding(path, pattern)
         for batch in batches:
-            for part in slices(batch, most=2 << 20):
-                ids = []
-                for text in part.column("text").to_pylist():
-                    row: list[int] = []
-                    for piece in pieces(text or ""):
-                        row += codec.encode_ordinary(piece)
-                    ids.append(row)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
+            for part in slices(batch, most=1 << 20):
+                ids, ends = [np.empty(0, np.uint32)], [0]
+                for text in part.column("text"):
+                    for piece in pieces(text.as_py() or ""):
+                        ids.append(codec.encode_to_numpy(piece, disallowed_special=()))
+                        ends[-1] += len(ids[-1])
+                    ends.append(ends[-1])
+                flat = pa.array(np.concatenate(ids).astype(np.int32))
+                column = pa.ListArray.from_arrays(pa.array([0, *ends[:-1]], pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, "ids"])
 
     return kept.mapInArrow(run, _with(kept, "ids array<int>"))
 
@@ -74,8 +77,9 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         codec = encoding(path, pattern)
         for batch in batches:
-            out = [None if ids is None else codec.decode_bytes(ids) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "bytes"])
+            for part in slices(batch, "ids", most=1 << 18):
+                out = [codec.decode_bytes(row.values.to_pylist()) if row.is_valid else None for row in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "bytes"])
 
     return kept.mapInArrow(run, _with(kept, "bytes binary"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +44,9 @@ def encoded(texts) -> list[bytes]:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SHELF_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about ``most`` bytes of text, one row at least."""
-    sizes = np.array([len(v.as_buffer()) if v.is_valid else 0 for v in batch.column(column)], dtype=np.int64)
+    """Cut a batch so that each part holds about ``most`` bytes of text (or entries of a list), one row at least."""
+    measure = pc.binary_length if pa.types.is_string(batch.column(column).type) else pc.list_value_length
+    sizes = pc.fill_null(measure(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin = held = 0
     for row, size in enumerate(sizes):
         if row > begin and held + size > most:
@@ -177,8 +180,6 @@ class Shelves:
         self.docs = self._assign(docs)
 
     def _assign(self, docs: DataFrame) -> DataFrame:
-        import pandas as pd
-
         splits = self.splits
 
         @F.pandas_udf("int")
@@ -193,6 +194,4 @@ class Shelves:
 
 def ordered_ids(ids) -> np.ndarray:
     """doc_id as numbers; a row without one is after all others and equal to none of them."""
-    import pandas as pd
-
     return pd.Series(ids).astype("Int64").fillna(np.iinfo(np.int64).max).astype("int64").to_numpy()

@@ -36,10 +36,10 @@ _COLUMNS = ", ".join([f"({v})::BIGINT AS top_{n}_chars" for v, n in zip(_TOPS, Q
 
 QUERIES = {"op3_repetition": _quality}
 SQL = {"op3_repetition": f"""
-WITH w AS (
+WITH w AS MATERIALIZED (
   SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words, length(coalesce(text, '')) AS n_chars,
          coalesce(length(array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), '')), 0) AS word_chars FROM documents),
-g AS (SELECT doc_id, pos, len(words) - pos + 1 AS left_words, [hash(words[pos:pos + n - 1]) FOR n IN range(1, {_LONGEST + 1})] AS grams
+g AS MATERIALIZED (SELECT doc_id, pos, len(words) - pos + 1 AS left_words, [hash(words[pos:pos + n - 1]) FOR n IN range(1, {_LONGEST + 1})] AS grams
       FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM w)),
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(line)) AS chars FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL),

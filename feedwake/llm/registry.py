@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedwake.llm import bpe_queries, quality_queries
+from feedwake.llm import bpe_queries, mixing_queries, quality_queries, simhash_queries, substring_queries
 
-MODULES = [bpe_queries, quality_queries]
+MODULES = [bpe_queries, quality_queries, substring_queries, mixing_queries, simhash_queries]
 
 
 def queries() -> dict:
