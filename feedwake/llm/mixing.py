@@ -73,7 +73,7 @@ def fly(sizes: np.ndarray, chances: np.ndarray, random: np.random.Generator) ->
 def land(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
     """Landing: the last open units (two at most) take the outcome whose words, then documents, come nearest to what they should be."""
     still = np.flatnonzero((chances > 0) & (chances < 1))
-    outcomes = np.array(list(product((0.0, 1.0), repeat=len(still)))).reshape(-1, len(still))
+    outcomes = np.array(list(product((0.0, 1.0), repeat=len(still)))).reshape(2 ** len(still), len(still))
     missed = outcomes - chances[still]
     best = np.lexsort((np.abs(missed.sum(axis=1)), np.abs(missed @ sizes[still])))[0]
     landed = chances.copy()
