@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from feedwake.llm import bpe_queries, mixing_queries, quality_queries, simhash_queries, substring_queries
+from feedwake.llm import (
+    bpe_queries,
+    ctph_queries,
+    mixing_queries,
+    quality_queries,
+    simhash_queries,
+    substring_queries,
+    toxicity_queries,
+)
 
-MODULES = [bpe_queries, quality_queries, substring_queries, mixing_queries, simhash_queries]
+MODULES = [toxicity_queries, bpe_queries, quality_queries, simhash_queries, substring_queries, ctph_queries, mixing_queries]
 
 
 def queries() -> dict:
