@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from feedwake.llm.common import slices
 
-#: Words of a window, bytes of the shared and of the class part of a dictionary, rounds of refinement.
-WINDOW, BASE_BYTES, CLASS_BYTES, ROUNDS = 16, 64 << 10, 8 << 10, 2
-#: Labelled texts of each class that the fit may use (half for dictionaries, half for calibration), chosen by a hash of doc_id.
+#: Words of a window, bytes of the shared and of the class part of a dictionary.
+WINDOW, BASE_BYTES, CLASS_BYTES = 16, 64 << 10, 8 << 10
+#: Bytes of the runs that tell classes apart, how much more frequent they are in one, and the share of its texts (one in ...) that hold them.
+GRAM, RATIO, RARE = 8, 5.0, 60
+#: Labelled texts of each class that the fit may use, chosen by a hash of doc_id.
 SAMPLE = 3000
 #: Windows that a dictionary is trained on.
 TRAIN_WINDOWS = 80_000
@@ -95,27 +97,45 @@ def _distinct_windows(texts: list[str]) -> list[bytes]:
     return list(dict.fromkeys(w for t in texts for w in text_windows(t)))
 
 
+def _folded(text: str) -> bytes:
+    return b" " + b" ".join(text.lower().encode().split()) + b" "
+
+
+def _grams(data: bytes) -> np.ndarray:
+    """Every run of ``GRAM`` (eight) bytes as a number."""
+    return np.ndarray((max(0, len(data) - GRAM + 1),), "<u8", data, 0, (1,)) if len(data) >= GRAM else np.empty(0, np.uint64)
+
+
+def _share(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate([np.unique(_grams(t)) for t in texts]), return_counts=True)
+
+
+def fragments(own: list[bytes], other: list[bytes]) -> list[bytes]:
+    """Stretches of the texts of one class whose byte runs are in far more of them than of the other class."""
+    grams, times = _share(own)
+    others, other_times = _share(other)
+    at = np.minimum(np.searchsorted(others, grams), len(others) - 1)
+    elsewhere = np.where(others[at] == grams, other_times[at], 0)
+    ratio = ((times + 0.5) / (len(own) + 1)) / ((elsewhere + 0.5) / (len(other) + 1))
+    telling = grams[(ratio >= RATIO) & (times >= max(3, len(own) // RARE))]
+    out = []
+    for text in own:
+        runs = _grams(text)
+        hits = np.flatnonzero(telling[np.minimum(np.searchsorted(telling, runs), len(telling) - 1)] == runs) if len(telling) else []
+        for run in np.split(hits, np.flatnonzero(np.diff(hits) > GRAM) + 1) if len(hits) else []:
+            out.append(text[max(0, run[0] - 1) : run[-1] + GRAM + 1])
+    return out
+
+
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """Contents of the dictionary of toxic and of ordinary text.
 
     Both end in the same base of ordinary text, so that a window of ordinary words has the same length under both, and begin
-    with a part of their class. The toxic part is refined: what one half of the texts taught picks the windows of the other half
-    that gain most, and these teach the next part; a text never picks itself.
+    with a part trained on what tells their class from the other.
     """
-    usual = _distinct_windows(ordinary)
-    base = dictionary(_spread(usual, TRAIN_WINDOWS), BASE_BYTES, 64)
-    plain = dictionary(_spread(usual[::2], TRAIN_WINDOWS), CLASS_BYTES, 24) + base
-    halves = [_distinct_windows(toxic[k::2]) for k in (0, 1)]
-    parts = [dictionary(_spread(h, TRAIN_WINDOWS), CLASS_BYTES, 24) for h in halves]
-    for turn in range(ROUNDS):
-        parts = [_next_part(part + base, plain, _spread(halves[1 - k], TRAIN_WINDOWS), 4 * 2**turn) for k, part in enumerate(parts)]
-    return b"".join(p[-CLASS_BYTES // 2 :] for p in parts) + base, plain
-
-
-def _next_part(toxic: bytes, plain: bytes, windows: list[bytes], share: int) -> bytes:
-    gain = lengths(plain, windows) - lengths(toxic, windows)
-    best = np.argsort(-gain, kind="stable")[: max(min(1500, len(windows)), len(windows) // share)]
-    return dictionary([windows[k] for k in best], CLASS_BYTES, 24)
+    base = dictionary(_spread(_distinct_windows(ordinary), TRAIN_WINDOWS), BASE_BYTES, 64)
+    bad, good = [_folded(t) for t in toxic], [_folded(t) for t in ordinary]
+    return dictionary(fragments(bad, good), CLASS_BYTES, 16) + base, dictionary(fragments(good, bad), CLASS_BYTES, 16) + base
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -148,8 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     prior = counts.get(1, 0) / total if total else 0.0
     if min(len(texts[0]), len(texts[1])) < 4:
         return Model(prior=prior)
-    toxic, ordinary = dictionaries(texts[1][::2], texts[0][::2])
-    held = [(features(t, toxic, ordinary), c) for c in (0, 1) for t in texts[c][1::2]]
+    held = []
+    for k in (0, 1):  # each half is measured with the dictionaries of the other
+        pair = dictionaries(texts[1][k::2], texts[0][k::2])
+        held += [(features(t, *pair), c) for c in (0, 1) for t in texts[c][1 - k :: 2]]
+    toxic, ordinary = dictionaries(texts[1], texts[0])
     x, y = np.array([f for f, _ in held]), np.array([float(c) for _, c in held])
     share = np.array([counts[0] / (total * (y == 0).sum()), counts[1] / (total * (y == 1).sum())])
     weight = len(y) * share[y.astype(int)]
