@@ -9,10 +9,11 @@ from feedwake.llm import (
     quality_queries,
     simhash_queries,
     substring_queries,
+    suffixes_queries,
     toxicity_queries,
 )
 
-MODULES = [toxicity_queries, bpe_queries, quality_queries, simhash_queries, substring_queries, ctph_queries, mixing_queries]
+MODULES = [toxicity_queries, bpe_queries, quality_queries, simhash_queries, substring_queries, suffixes_queries, ctph_queries, mixing_queries]
 
 
 def queries() -> dict:
