@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -168,7 +168,9 @@ class Shelves:
     their sizes whatever the input.
     """
 
-    def __init__(self, docs: DataFrame, shelf_bytes: int = SHELF_BYTES):
+    def __init__(self, docs: DataFrame, shelf_bytes: int | None = None, keep: Sequence[str] = ()):
+        shelf_bytes = shelf_bytes or SHELF_BYTES
+        self.columns = list(dict.fromkeys(["doc_id", "text", *keep]))
         total = docs.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
         self.count = max(1, -(-(total[0] or 0) // shelf_bytes))
         self.splits = np.empty(0, np.int64)
@@ -189,7 +191,7 @@ class Shelves:
             out[known.to_numpy()] = np.searchsorted(splits, ids[known].astype("int64").to_numpy(), side="left")
             return pd.Series(out)
 
-        return docs.select("doc_id", "text").withColumn("shelf", shelf_of("doc_id"))
+        return docs.select(*self.columns).withColumn("shelf", shelf_of("doc_id"))
 
 
 def ordered_ids(ids) -> np.ndarray:

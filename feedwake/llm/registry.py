@@ -5,15 +5,17 @@ from __future__ import annotations
 from feedwake.llm import (
     bpe_queries,
     ctph_queries,
+    fixity_queries,
     mixing_queries,
     quality_queries,
     simhash_queries,
     substring_queries,
     suffixes_queries,
     toxicity_queries,
+    urls_queries,
 )
 
-MODULES = [toxicity_queries, bpe_queries, quality_queries, simhash_queries, substring_queries, suffixes_queries, ctph_queries, mixing_queries]
+MODULES = [toxicity_queries, bpe_queries, quality_queries, urls_queries, fixity_queries, simhash_queries, substring_queries, suffixes_queries, ctph_queries, mixing_queries]
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Sequence
 from itertools import compress
 
 import numpy as np
@@ -128,9 +128,11 @@ def repeats(shelves: Shelves) -> DataFrame:
     return found.groupBy("bucket").applyInPandas(earlier, "shelf int, bucket int, repeats binary")
 
 
-def remove_repeats(docs: DataFrame, shelf_bytes: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, shelf_bytes: int | None = None, keep: Sequence[str] = (), keep_layout: bool = False) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by a blank).
 
+    The text columns ``keep`` come along. With ``keep_layout`` a text that loses nothing stays as it is.
+
     A word goes if it lies in a window of ``WINDOW`` consecutive words that also starts in a document of a smaller doc_id; all
     windows are judged on the input. Rows of equal doc_id do not refer to each other, a null doc_id counts as larger than all;
     null texts have no words; other columns are not read; an empty table gives an empty result.
@@ -139,11 +141,11 @@ def remove_repeats(docs: DataFrame, shelf_bytes: int | None = None) -> DataFrame
     is one entry for each shelf, not one for each document, and no pair of documents is formed. A window's 64-bit hash stands
     for its words.
     """
-    shelves = Shelves(docs, *([shelf_bytes] if shelf_bytes else []))
+    shelves = Shelves(docs, shelf_bytes, keep)
 
     def cut(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
-            return pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept_text": []})
+            return pd.DataFrame({c: [] for c in ("doc_id", "n_words", "n_removed", "kept_text", *keep)})
         shelf = _Shelf(docs["doc_id"], docs["text"])
         hashes, inside = windows(shelf.hashes, shelf.owner, WINDOW)
         gone = np.zeros(len(hashes), bool)
@@ -159,13 +161,13 @@ def remove_repeats(docs: DataFrame, shelf_bytes: int | None = None) -> DataFrame
         ends = np.cumsum(shelf.counts)
         kept = []
         for text, begin, end in zip(shelf.texts, ends - shelf.counts, ends, strict=True):
-            kept.append(b" ".join(compress(text.split(), ~removed[begin:end])).decode())
+            whole = keep_layout and not removed[begin:end].any()
+            kept.append(text.decode() if whole else b" ".join(compress(text.split(), ~removed[begin:end])).decode())
         n_removed = np.bincount(shelf.owner[removed], minlength=len(kept))
         ids = docs["doc_id"].astype("Int64").iloc[shelf.order].reset_index(drop=True)
-        return pd.DataFrame({"doc_id": ids, "n_words": shelf.counts, "n_removed": n_removed, "kept_text": kept})
-
-    return shelves.docs.groupBy("shelf").cogroup(repeats(shelves).groupBy("shelf")).applyInPandas(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+        others = {c: docs[c].iloc[shelf.order].reset_index(drop=True) for c in keep}
+        return pd.DataFrame({"doc_id": ids, "n_words": shelf.counts, "n_removed": n_removed, "kept_text": kept, **others})
 
+    schema = ", ".join(["doc_id long, n_words long, n_removed long, kept_text string", *(f"`{c}` string" for c in keep)])
+    return shelves.docs.groupBy("shelf").cogroup(repeats(shelves).groupBy("shelf")).applyInPandas(cut, schema)
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -214,7 +214,7 @@ def remove_repeats(docs: DataFrame, shelf_bytes: int | None = None) -> DataFrame
     unequal leads, so no comparison crosses them. Equal surroundings are one record for each shelf, so copies and shared passages
     add one record for each shelf, not for each document.
     """
-    shelves = Shelves(docs, *([shelf_bytes] if shelf_bytes else []))
+    shelves = Shelves(docs, shelf_bytes)
     buckets, cuts = shelves.buckets, splitters(shelves)
 
     def leads(pdf: pd.DataFrame) -> pd.DataFrame:

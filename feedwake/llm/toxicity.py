@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -181,20 +181,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(toxic, ordinary, prior, tuple(weights.tolist()), tuple(centre.tolist()), tuple(spread.tolist()))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1) of every row of ``docs``, from its whole text alone.
+def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs`` and ``score`` (0 to 1), from its whole ``text`` alone.
 
-    A null or empty text has no window and gets the score of zero gains. Rows are independent: repeated rows get equal scores, a null
-    doc_id stays null, other columns are not read, an empty table gives an empty result.
+    A null or empty text has no window and gets the score of zero gains. Rows are independent: repeated rows get equal scores, other
+    columns are not read, an empty table gives an empty result.
     """
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 scores = pa.array([model.score(t.as_py()) for t in part.column("text")], pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), scores], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), scores], names=[*keep, "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    wanted = docs.select(*dict.fromkeys([*keep, "text"]))
+    fields = [f"`{c}` {wanted.schema[c].dataType.simpleString()}" for c in keep]
+    return wanted.mapInArrow(run, ", ".join([*fields, "score double"]))
 
 
 def held_out(doc_id: Column) -> Column:
