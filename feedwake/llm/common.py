@@ -171,7 +171,8 @@ class Shelves:
     def __init__(self, docs: DataFrame, shelf_bytes: int | None = None, keep: Sequence[str] = ()):
         shelf_bytes = shelf_bytes or SHELF_BYTES
         self.columns = list(dict.fromkeys(["doc_id", "text", *keep]))
-        total = docs.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
+        total = docs.agg(F.sum(F.octet_length("text")), F.count("doc_id"), F.count(F.lit(1))).first()
+        self.rows = total[2]
         self.count = max(1, -(-(total[0] or 0) // shelf_bytes))
         self.splits = np.empty(0, np.int64)
         if self.count > 1 and total[1]:

@@ -16,8 +16,8 @@ LENGTH, LEAD = 100, 32
 PLACES = LENGTH - LEAD + 1
 #: Bytes kept of a lead's hash besides its bucket; a false match only costs work.
 LEAD_BYTES = 4
-#: Documents whose suffixes are looked at for the splitters, for each bucket.
-SAMPLED = 4
+#: Documents that are looked at for the splitters, for each bucket, and suffixes of each.
+SAMPLED, SUFFIXES = 2, 16
 _PLACE_BITS = np.uint64(21)
 
 
@@ -186,16 +186,16 @@ def repeated(left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndar
 
 
 def splitters(shelves: Shelves) -> np.ndarray:
-    """Leading bytes that cut the suffixes of some documents (``SAMPLED`` for each bucket, by a hash) into equal ranges."""
+    """Leading bytes that cut the suffixes of some documents (about ``SAMPLED`` for each bucket, by a hash) into equal ranges."""
     if shelves.buckets < 2:
         return np.empty(0, f"S{LEAD}")
 
     def some(pdf: pd.DataFrame) -> pd.DataFrame:
         shelf = _Texts(pdf["doc_id"], pdf["text"])
-        picked = np.sort(_leads(shelf, np.arange(len(shelf.anchor))[:: max(1, len(shelf.anchor) // 64)]))
+        picked = np.sort(_leads(shelf, np.arange(len(shelf.anchor))[:: max(1, len(shelf.anchor) // (SUFFIXES * len(pdf)))]))
         return pd.DataFrame({"lead": [bytes(x) for x in picked]})
 
-    few = shelves.docs.orderBy(F.xxhash64("doc_id")).limit(SAMPLED * shelves.buckets)
+    few = shelves.docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, shelves.rows // (SAMPLED * shelves.buckets)))) == 0)
     leads = few.groupBy("shelf").applyInPandas(some, "lead binary")
     found = sorted(bytes(r[0]) for r in leads.collect())
     return np.unique(np.array([found[len(found) * k // shelves.buckets] for k in range(1, shelves.buckets)] if found else [], f"S{LEAD}"))
