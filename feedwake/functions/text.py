@@ -102,9 +102,11 @@ def to_double(value: Column, default: float | None = None) -> Column:
 
 
 def to_long(value: Column, default: int | None = None) -> Column:
-    """Integer part of a number given as text."""
+    """Integer part of a number given as text; NULL (or ``default``) for one that a long can't hold."""
     number = to_double(value)
-    whole = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("long")
+    part = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("double")
+    whole = F.coalesce(F.trim(value.cast("string")).try_cast("long"), F.when(F.abs(part) < F.lit(2.0**63), part).cast("long"))
+    whole = F.when(number.isNotNull(), whole)
     return whole if default is None else F.coalesce(whole, F.lit(default).cast("long"))
 
 

@@ -1,7 +1,8 @@
 """256-bit hex words as Spark columns.
 
 A word is 64 lower-case hex digits. The text is the truth; doubles are approximate above
-2^53 and DECIMAL(38,0) is NULL above 38 digits, as Spark has no wider exact number.
+2^53 and DECIMAL(38,0) is NULL above 38 digits, as Spark has no wider exact number; the ``_text``
+functions give all digits.
 """
 
 from __future__ import annotations
@@ -83,6 +84,48 @@ def word_int_decimal(word: Column) -> Column:
     return F.when(negative, F.lit(0).cast("decimal(38,0)") - magnitude).otherwise(digits)
 
 
+LIMB, LIMBS = 10**9, 9  # base and number of the decimal limbs of 256 bits
+
+
+def _digits(word: Column, extra: Column) -> Column:
+    """Plain decimal digits of a 64-digit word plus ``extra``: sixteen bits at a time into limbs of nine digits, the lowest first."""
+    zero = F.array(*[F.lit(0).cast("long")] * LIMBS)
+
+    def add(limbs: Column, place: Column) -> Column:
+        part = F.conv(F.substring(word, place * 4 + 1, F.lit(4)), 16, 10).cast("long") + F.when(place == 15, extra).otherwise(F.lit(0)).cast("long")
+        start = F.struct(part.alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+        def step(state: Column, limb: Column) -> Column:
+            total = limb * 65536 + state["carry"]
+            return F.struct(((total - total % LIMB) / F.lit(LIMB)).cast("long").alias("carry"), F.array_append(state["out"], total % LIMB).alias("out"))
+
+        return F.aggregate(limbs, start, step, lambda state: state["out"])
+
+    limbs = F.aggregate(F.sequence(F.lit(0), F.lit(15)), zero, add)
+    text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    return F.coalesce(F.nullif(F.ltrim(text, F.lit("0")), F.lit("")), F.lit("0"))
+
+
+def word_text(word: Column) -> Column:
+    """Exact unsigned value of a full 64-digit word as decimal text."""
+    return F.coalesce(_decimal(word).cast("string"), _digits(word, F.lit(0)))
+
+
+def word_int_text(word: Column) -> Column:
+    """Exact two's-complement value of a full 64-digit word as decimal text."""
+    negative, body, one = _complement(word)
+    wide = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), _digits(body, one))
+    return F.coalesce(word_int_decimal(word).cast("string"), wide)
+
+
+def uint_text(value: Column) -> Column:
+    return word_text(pad_word(value))
+
+
+def int_text(value: Column) -> Column:
+    return word_int_text(pad_word(value))
+
+
 def uint_double(value: Column) -> Column:
     return _double(pad_word(value))
 
@@ -128,8 +171,9 @@ def address_topic(address: Column) -> Column:
 def dynamic_string(data: Column, head: int = 0) -> Column:
     """Text of an ABI dynamic string whose offset is in word ``head``; NULL if the bytes are missing."""
     body = hex_body(data)
-    offset = _decimal(F.substring(body, 64 * head + 1, 64)).cast("long")
-    length = _decimal(F.substring(body, (offset * 2 + 1).cast("int"), F.lit(64))).cast("long")
+    fits = lambda n: F.when(n < F.lit(2**29), n).cast("long")  # noqa: E731 - a wider offset or length is beyond any data
+    offset = fits(_decimal(F.substring(body, 64 * head + 1, 64)))
+    length = fits(_decimal(F.substring(body, (offset * 2 + 1).cast("int"), F.lit(64))))
     raw = F.substring(body, (offset * 2 + 65).cast("int"), (length * 2).cast("int"))
     complete = F.length(raw) == length * 2
     return F.when(complete, F.decode(F.unhex(raw), "UTF-8"))

@@ -223,6 +223,24 @@ FROM h_logs WHERE topic0 = 'click'
 UNION ALL SELECT block_number, 'AnswerUpdated', 'current=' || (-CAST(floor(value * 100) AS BIGINT)) || ',roundId=' || block_number || ',updatedAt=' || actor FROM h_logs WHERE topic0 = 'view'""")
 
 
+def _wide(spark, folder):
+    """Logs whose words need all 256 bits: exact text, and NULL where a narrower type can't hold the value."""
+    digits = F.lpad(F.lower(F.hex("block_number")), 64, "0")
+    top = F.translate(digits, W.HEX_DIGITS, W.HEX_COMPLEMENT)  # 2**256 - 1 - n
+    low = F.concat(F.lit("8"), F.right(digits, F.lit(63)))  # n - 2**255
+    rows = V.logs(spark, folder).withColumns({"topic0": F.lit(R.ANSWER_UPDATED), "topic1": F.concat(F.lit("0x"), low), "topic2": F.concat(F.lit("0x"), top), "data": F.concat(F.lit("0x"), top)})
+    read = DEC.latest_round_data(DEC.decode_answer_updated(rows).withColumn("blob", F.repeat(top, 5)), "blob", "r")
+    words = rows.select("block_number", W.uint_text(F.col("data")).alias("uint_text"), W.int_text(F.col("topic1")).alias("int_text"), W.dynamic_string(F.col("data")).alias("string"))
+    return words.join(read, "block_number").select("block_number", "uint_text", "int_text", "string", "updated_at", F.col("r.started_at").alias("started_at"))
+
+
+QUERIES["decode_wide_words"] = _wide
+SQL["decode_wide_words"] = f"""
+SELECT event_id AS block_number, '{str(2**256 - 1)[:-18]}' || lpad(CAST({(2**256 - 1) % 10**18} - event_id AS VARCHAR), 18, '0') AS uint_text,
+       '-{str(2**255)[:-18]}' || lpad(CAST({2**255 % 10**18} - event_id AS VARCHAR), 18, '0') AS int_text,
+       CAST(NULL AS VARCHAR) AS string, CAST(NULL AS BIGINT) AS updated_at, CAST(NULL AS BIGINT) AS started_at FROM events"""
+
+
 def transfer_raw(spark, folder) -> DataFrame:
     """Line items as transfer logs; the supplier with key 0 stands for the zero address."""
     user = F.coalesce(F.col("o_custkey"), F.lit(0))
@@ -592,15 +610,22 @@ def _planted(spark, folder) -> DataFrame:
     return docs.select("doc_id", F.concat_ws(" ", "text", F.concat(F.lit("0x"), address), F.concat(F.lit("0x"), tx)).alias("text"))
 
 
+def _marked_pages(spark, folder) -> DataFrame:
+    """Whole pages; a third of them call themselves a fixture at the end."""
+    marked = F.concat("html", F.when(F.col("page_id") % 3 == 0, F.lit(" Fixture")).otherwise(F.lit("")))
+    return V.table(spark, folder, "pages").select("page_id", marked.alias("t"))
+
+
 QUERIES["placeholder_scan"] = lambda spark, folder: AUD.placeholder_values(_planted(spark, folder), "doc_id", "text")
 SQL["placeholder_scan"] = """
 WITH d AS (SELECT doc_id, lang, source, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents),
 v AS (SELECT doc_id, '0x' || CASE WHEN lang = 'en' THEN repeat(h[1], 40) ELSE substr(h, 1, 40) END AS value, lang = 'en' AS hit FROM d
       UNION ALL SELECT doc_id, '0x' || CASE WHEN source IS NOT NULL AND h[1] < '4' THEN repeat(h[1], 60) || 'aaaa' ELSE h END, source IS NOT NULL AND h[1] < '4' FROM d)
 SELECT DISTINCT doc_id, value FROM v WHERE hit"""
-QUERIES["synthetic_marker_scan"] = lambda spark, folder: AUD.synthetic_markers(
-    V.table(spark, folder, "pages").select("url", F.concat_ws(" ", "url", F.when(F.contains("html", F.lit("<nav>")), F.lit("Fixture"))).alias("t")), "url", "t")
-SQL["synthetic_marker_scan"] = "SELECT DISTINCT url, url || ' Fixture' AS marker FROM pages WHERE contains(html, '<nav>')"
+QUERIES["synthetic_marker_scan"] = lambda spark, folder: AUD.synthetic_markers(_marked_pages(spark, folder), "page_id", "t").select("page_id", F.md5(F.col("marker").cast("binary")).alias("marker_md5"))
+SQL["synthetic_marker_scan"] = f"""
+SELECT DISTINCT page_id, md5(t) AS marker_md5 FROM (SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN ' Fixture' ELSE '' END AS t FROM pages)
+WHERE regexp_matches(lower(t), '{AUD.MARKER_WORDS}')"""
 
 
 def _flows(spark, folder):

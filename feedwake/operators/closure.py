@@ -34,7 +34,7 @@ def in_chains(df: DataFrame, chains: Sequence[str] | None, column: str = "blockc
 def scope_activity_counts(
     logs: DataFrame,
     rules: DataFrame,
-    chains: Sequence[str] | None = R.DEFAULT_CHAINS,
+    chains: Sequence[str] | None = None,
     start: str | None = None,
     end: str | None = None,
     exact: bool = False,
@@ -110,7 +110,7 @@ def oracle_boundary_logs(
     oracle_path: DataFrame,
     start: str | None = None,
     end: str | None = None,
-    chains: Sequence[str] | None = R.DEFAULT_CHAINS,
+    chains: Sequence[str] | None = None,
     answer: Column | None = None,
 ) -> DataFrame:
     """Boundary rows; generic topics count only on oracle-path contracts."""
@@ -143,7 +143,7 @@ def impact_lending_logs(
     rules: DataFrame,
     start: str | None = None,
     end: str | None = None,
-    chains: Sequence[str] | None = R.DEFAULT_CHAINS,
+    chains: Sequence[str] | None = None,
 ) -> DataFrame:
     """Lending events on known markets with the sending account and the protocol cluster."""
     events = in_dates(in_chains(logs, chains), start, end).join(rules.select("topic0", "impact_rule_id"), "topic0")
@@ -172,9 +172,9 @@ def impact_lending_logs(
 IMPACT_TIES = ["impact_block", "impact_tx_hash", "impact_log_index"]
 
 
-def with_next_other_tx(impact: DataFrame) -> DataFrame:
-    """Add ``next_other``: the first later impact on the chain from a different transaction."""
-    keys = ["chain"]
+def with_next_other_tx(impact: DataFrame, keys: Sequence[str] = ("chain",)) -> DataFrame:
+    """Add ``next_other``: the first later impact with the same keys from a different transaction."""
+    keys = list(keys)
     order = ["_at", *IMPACT_TIES]
     chunks = cut(impact.withColumn("_at", T.micros(F.col("impact_time"))), keys, order)
     with_previous = running(chunks, keys, order, [Scan("_previous_tx", "last", F.col("impact_tx_hash"))], strict=True)
@@ -195,7 +195,7 @@ def _impacts_after(triggers: DataFrame, impact: DataFrame, hours: int, keys: Seq
         triggers, impact, keys, left_at, right_at, width,
         {"impact_tx_count": "impact_tx_hash", "actor_count": "actor", "market_count": "market_contract"},
     )
-    events = with_next_other_tx(impact) if replay_txs > 1 else impact.withColumn("next_other", F.lit(None).cast("struct<at:bigint,tx:string>"))
+    events = with_next_other_tx(impact, keys) if replay_txs > 1 else impact.withColumn("next_other", F.lit(None).cast("struct<at:bigint,tx:string>"))
     payload = F.struct("impact_time", "impact_tx_hash", "protocol_cluster_id", "next_other")
     joined = asof(
         counted.where(F.col("impact_tx_count") > 0), events, keys, left_at, right_at, payload, "_first",
@@ -247,7 +247,7 @@ def config_impact_closure(
         "trigger_time", F.col("boundary_rule_id").alias("matched_rule"), "scope_class", no_answer.alias("normalized_answer"), "_cluster",
     ).distinct()
     events = impact.withColumn("_cluster", F.col("protocol_cluster_id"))
-    return _impacts_after(triggers, events, hours, ["chain", "_cluster"], 1).select(*CLOSURE_COLUMNS)
+    return _impacts_after(triggers, events, hours, ["chain", "_cluster"], replay_txs).select(*CLOSURE_COLUMNS)
 
 
 def abnormal_answer_closure(
@@ -332,20 +332,23 @@ def freshness_closure(boundary: DataFrame, same_actor: DataFrame, hours: int = 4
     ).select(*CLOSURE_COLUMNS)
 
 
-def closure_impact_txs(closures: DataFrame, impact: DataFrame, hours: int) -> DataFrame:
-    """All distinct impact transactions of the given closure rows, one per row.
+def closure_impact_txs(closures: DataFrame, impact: DataFrame, hours: int, same_protocol: bool = False) -> DataFrame:
+    """All distinct impact transactions of the given closure rows, one per row with the time of its first impact.
 
-    The list grows with trigger and impact density, so pass the closures you mean to
-    download, not all of them. Tiles of the window's width bring each pair together once.
+    ``leading_impact_txs`` of a closure holds the first two, these rows hold all. The list grows with trigger and impact
+    density, so pass the closures you mean to download, not all of them. Tiles of the window's width bring each pair together
+    once. ``same_protocol`` also asks for the closure's protocol cluster.
     """
     width = hours * HOUR
+    on = ["chain", "protocol_cluster_id"] if same_protocol else ["chain"]
     tile = F.floor(T.micros(F.col("impact_time")) / F.lit(width))
-    events = impact.select("chain", "impact_tx_hash", "impact_time", tile.alias("_tile")).distinct()
+    events = impact.groupBy(*on, "impact_tx_hash", "impact_time").agg(F.count(F.lit(1)).alias("_logs")).withColumn("_tile", tile)
     start_tile = F.floor(T.micros(F.col("trigger_time")) / F.lit(width))
-    chosen = closures.select("chain", "trigger_tx", "trigger_time", "matched_rule", F.explode(F.array(start_tile, start_tile + 1)).alias("_tile"))
+    chosen = closures.select(*on, "trigger_tx", "trigger_block", "trigger_time", "matched_rule", F.explode(F.array(start_tile, start_tile + 1)).alias("_tile"))
     gap = T.micros(F.col("impact_time")) - T.micros(F.col("trigger_time"))
-    paired = chosen.join(events, ["chain", "_tile"]).where((gap > 0) & (gap <= width))
-    return paired.select("chain", "trigger_tx", "matched_rule", F.col("impact_tx_hash").alias("impact_tx")).distinct()
+    paired = chosen.join(events, [*on, "_tile"]).where((gap > 0) & (gap <= width))
+    return paired.groupBy("chain", "trigger_tx", "trigger_block", "matched_rule", F.col("impact_tx_hash").alias("impact_tx")).agg(
+        F.min("impact_time").alias("impact_time"))
 
 
 def closure_candidates(*closures: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def decode_compound_events(logs: DataFrame, decimals: Column | int | None = None
 
 
 def decode_answer_updated(logs: DataFrame, decimals: int = 8) -> DataFrame:
-    """Price reports: feed, signed answer, round and update time."""
+    """Price reports: feed, signed answer, round and update time (0 without data, NULL where a long can't hold it)."""
     reports = logs.where(F.lower("topic0") == R.ANSWER_UPDATED)
     return reports.select(
         "blockchain", "block_date", "block_time", "block_number", "tx_hash", "log_index",
@@ -57,7 +57,7 @@ def decode_answer_updated(logs: DataFrame, decimals: int = 8) -> DataFrame:
         W.int_decimal(F.col("topic1")).alias("answer_raw"),
         W.scaled(W.int_double(F.col("topic1")), decimals).alias("answer"),
         W.uint_decimal(F.col("topic2")).alias("round_id"),
-        F.coalesce(W.uint_decimal(W.word_at(F.col("data"), 0)), F.lit(0)).cast("long").alias("updated_at"),
+        F.when(W.word_at(F.col("data"), 0).isNull(), F.lit(0)).otherwise(W.uint_decimal(W.word_at(F.col("data"), 0)).try_cast("long")).alias("updated_at"),
     )
 
 
@@ -70,8 +70,8 @@ def latest_round_data(df: DataFrame, blob: str, into: str, decimals: int = 8) ->
     cut = body.select("*", *[F.substring("_body", 64 * i + 1, 64).alias(f"_w{i}") for i in range(5)])
     whole = lambda i: W.word_decimal(F.col(f"_w{i}"))
     read = cut.select(
-        *df.columns, "_body", whole(0).alias("_r0"), W.word_int_decimal(F.col("_w1")).alias("_r1"), whole(2).cast("long").alias("_r2"),
-        whole(3).cast("long").alias("_r3"), whole(4).alias("_r4"),
+        *df.columns, "_body", whole(0).alias("_r0"), W.word_int_decimal(F.col("_w1")).alias("_r1"), whole(2).try_cast("long").alias("_r2"),
+        whole(3).try_cast("long").alias("_r3"), whole(4).alias("_r4"),
     )
     fields = F.struct(
         F.col("_r0").alias("round_id"), F.col("_r1").alias("answer_raw"), W.scaled(F.col("_r1"), decimals).alias("answer"),
@@ -81,16 +81,19 @@ def latest_round_data(df: DataFrame, blob: str, into: str, decimals: int = 8) ->
 
 
 def decode_transfers(logs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Token transfers with symbol, amount and class. Tokens without metadata keep the raw amount."""
+    """Token transfers with symbol, amount and class. Tokens without metadata keep the raw amount.
+
+    ``amount_raw`` is NULL above 38 digits (unlimited mints); ``amount_text`` has all digits and ``amount`` falls back on it.
+    """
     base = ["blockchain", "block_time", "block_number", "tx_hash", "log_index", "token_address", "from", "to"]
     words = logs.where((F.lower("topic0") == R.ERC20_TRANSFER) & F.col("topic2").isNotNull()).select(
         *base[:5], T.address(F.col("contract_address")).alias("token_address"), W.word_address(F.col("topic1")).alias("from"),
         W.word_address(F.col("topic2")).alias("to"), W.pad_word(F.col("data")).alias("_word"),
     )
-    moves = words.select(*base, W.word_decimal(F.col("_word")).alias("amount_raw"))
+    moves = words.select(*base, W.word_decimal(F.col("_word")).alias("amount_raw"), W.word_text(F.col("_word")).alias("amount_text"))
     meta = tokens.select("blockchain", T.address(F.col("contract_address")).alias("token_address"), "symbol", "decimals")
     named = moves.join(meta, ["blockchain", "token_address"], "left")
-    amount = W.scaled(F.col("amount_raw"), F.coalesce("decimals", F.lit(0)))
+    amount = W.scaled(F.coalesce(F.col("amount_raw").cast("double"), F.col("amount_text").cast("double")), F.coalesce("decimals", F.lit(0)))
     kind = ID.transfer_class(F.col("from"), F.col("to"), F.col("symbol"), F.col("decimals"))
     return named.select(
         "*", amount.alias("amount"), kind.alias("classification")
@@ -126,7 +129,7 @@ def decode_by_abi(logs: DataFrame, abi: DataFrame) -> DataFrame:
         kind = arg["type"]
         return (
             F.when(kind == "address", W.word_address(word)).when(kind == "bool", F.when(W.uint_double(word) != 0, F.lit("true")).otherwise(F.lit("false")))
-            .when(kind.startswith("uint"), W.uint_decimal(word).cast("string")).when(kind.startswith("int"), W.int_decimal(word).cast("string"))
+            .when(kind.startswith("uint"), W.uint_text(word)).when(kind.startswith("int"), W.int_text(word))
             .otherwise(word)
         )
 

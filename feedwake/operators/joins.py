@@ -21,7 +21,7 @@ def interval_join(
     or transaction keys); for dense keys use the window scans of ``timeline``. Time is tiled by the
     interval's width: a left row meets two tiles, a right row lies in one, so no pair comes twice.
     """
-    width = hi - lo
+    width = max(1, hi - lo)  # a point in time still needs tiles
     start = left_at.cast("long") + F.lit(lo)
     tile = F.floor(start / F.lit(width)).cast("long")
     spread = left.withColumn("_start", start).withColumn("_tile", F.explode(F.array(tile, tile + 1)))
@@ -29,7 +29,7 @@ def interval_join(
     placed = placed.withColumn("_tile", F.floor(F.col("_right_at") / F.lit(width)).cast("long"))
     gap = F.col("_right_at") - F.col("_start")
     after = gap > 0 if closed == "right" else gap >= 0
-    before = gap < width if closed == "left" else gap <= width
+    before = gap < hi - lo if closed == "left" else gap <= hi - lo
     return spread.join(placed, [*on, "_tile"]).where(after & before).drop("_start", "_tile", "_right_at")
 
 

@@ -21,7 +21,7 @@ def _scoped(logs: DataFrame, rules: DataFrame, chains, start, end) -> DataFrame:
         F.col("blockchain").alias("chain"), F.date_trunc("MONTH", "block_date").cast("date").alias("month"), "scope_class", "tx_hash", "contract_address")
 
 
-def monthly_trend(logs: DataFrame, rules: DataFrame, chains=R.DEFAULT_CHAINS, start=None, end=None, exact: bool = False) -> DataFrame:
+def monthly_trend(logs: DataFrame, rules: DataFrame, chains=None, start=None, end=None, exact: bool = False) -> DataFrame:
     """Logs, transactions and contracts per chain and month, one count per scope, and an all-chains row."""
     rows = _scoped(logs, rules, chains, start, end)
     distinct = F.count_distinct if exact else F.approx_count_distinct
@@ -43,7 +43,7 @@ def trend_summary(monthly: DataFrame) -> DataFrame:
         slope("oracle_log_count").alias("log_slope"), slope("oracle_contract_count").alias("contract_slope"))
 
 
-def cumulative_trend(logs: DataFrame, rules: DataFrame, chains=R.DEFAULT_CHAINS, start=None, end=None) -> DataFrame:
+def cumulative_trend(logs: DataFrame, rules: DataFrame, chains=None, start=None, end=None) -> DataFrame:
     """Monthly logs and first-seen contracts with their running totals, per chain and over all chains."""
     rows = _scoped(logs, rules, chains, start, end)
     contracts = rows.groupBy("chain", "contract_address", "month").agg(F.count(F.lit(1)).alias("logs"))

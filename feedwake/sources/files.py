@@ -89,7 +89,7 @@ def load_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def explode_receipts(receipts: DataFrame) -> DataFrame:
     """Receipts (hex text) as one row per log with status and position."""
-    number = lambda c: W.uint_decimal(c).cast("long")
+    number = lambda c: W.uint_decimal(c).try_cast("long")  # noqa: E731 - NULL where a long can't hold it
     rows = receipts.select("*", F.explode("logs").alias("log"))
     return rows.select(
         F.lower("transactionHash").alias("tx_hash"), number(F.col("blockNumber")).alias("block_number"), number(F.col("transactionIndex")).alias("transaction_index"),

@@ -7,6 +7,7 @@ so a lost executor re-reads files instead of recomputing (and re-sampling) the c
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,7 @@ def scratch_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # a local cluster is a cluster
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can read")
     folder = tempfile.mkdtemp(prefix="feedwake-")
     spark.sparkContext.setCheckpointDir(folder)

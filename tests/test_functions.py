@@ -23,6 +23,19 @@ def test_words_match_big_integers(spark):
         assert abs(got - float(n)) <= abs(float(n)) * 1e-15
 
 
+def test_word_texts_are_exact(spark):
+    numbers = [0, 7, 65535, 65536, 10**38, 2**128, 2**200 + 7, 2**256 - 1, -1, -(10**38), -(2**255), -(2**255) + 1, 2**255 - 1, -(2**240)]
+    texts = ["0x" + format(n % 2**256, "064x") for n in numbers]
+    assert values(spark, texts, W.uint_text) == [str(n % 2**256) for n in numbers]
+    assert values(spark, texts, W.int_text) == [str(n if n < 2**255 else n - 2**256) for n in numbers]
+
+
+def test_wide_numbers_do_not_end_the_job(spark):
+    wide = "0x" + "f" * 64
+    assert values(spark, [wide, wide * 3], W.dynamic_string) == [None, None]
+    assert values(spark, ["9" * 30, "-" + "9" * 30, "9223372036854775807", "12.7", "x"], T.to_long) == [None, None, 2**63 - 1, 12, None]
+
+
 def test_word_cutting(spark):
     assert values(spark, [None, "0x", "0x" + "a" * 64, "b" * 65], W.words) == [[], [], ["a" * 64], ["b" * 64, "b"]]
     assert values(spark, ["0x1234"], W.word_address) == ["0x" + "1234".rjust(40, "0")]
