@@ -450,27 +450,40 @@ def case_hit_validation(evidence: DataFrame, logs: DataFrame, topic_rules: DataF
     found = logs.select(
         F.col("blockchain").alias("chain"), "tx_hash", F.col("block_date").alias("tx_date"), "topic0", "contract_address", "log_index"
     )
-    hits = evidence.join(found, ["chain", "tx_hash", "tx_date"], "left").join(topic_rules, "topic0", "left")
+    hits = found.join(evidence, ["chain", "tx_hash", "tx_date"]).join(topic_rules, "topic0", "left")
     semantic = F.count_if(F.coalesce("semantic_boundary", F.lit(False)))
-    return hits.groupBy(*group).agg(
+    counted = hits.groupBy(*group).agg(
         F.count("topic0").alias("receipt_log_count"),
         F.count("rule_id").alias("matched_log_count"),
         semantic.alias("semantic_log_count"),
         F.array_join(F.array_sort(F.collect_set("rule_id")), ", ").alias("matched_rules"),
         (semantic > 0).alias("covered_by_minimal_filter"),
     )
+    return _with_all(evidence, group, counted)
+
+
+def _with_all(evidence: DataFrame, group: Sequence[str], counted: DataFrame) -> DataFrame:
+    """``counted`` with a row of zeros, empty texts and false for evidence that met no log.
+
+    Counting joins inner first: a left join from the small side could not broadcast it, so all logs would move.
+    """
+    spine = evidence.select(*[F.col(c).alias(f"_{c}") for c in group]).distinct()
+    blank = {"bigint": 0, "string": "", "boolean": False}
+    rest = [F.coalesce(c, F.lit(blank[kind]).cast(kind)).alias(c) for c, kind in counted.dtypes if c not in group]
+    joined = spine.join(counted, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in group], "left")
+    return joined.select(*[F.col(f"_{c}").alias(c) for c in group], *rest)
 
 
 def topic0_case_coverage(evidence: DataFrame, logs: DataFrame, rules: DataFrame) -> DataFrame:
     """Per known transaction: which of its topics the rules know, and whether the expected scope is seen."""
     found = logs.select(F.col("blockchain").alias("chain"), "tx_hash", F.col("block_date").alias("tx_date"), "topic0")
     group = ["case_id", "chain", "tx_hash", "expected_scope_class"]
-    hits = evidence.join(found, ["chain", "tx_hash", "tx_date"], "left").join(
+    hits = found.join(evidence, ["chain", "tx_hash", "tx_date"]).join(
         rules.select("topic0", "rule_id", "scope_class"), "topic0", "left"
     )
     per_topic = hits.groupBy(*group, "topic0", "rule_id", "scope_class").agg(F.count("topic0").alias("logs"))
     known = F.col("rule_id").isNotNull()
-    return per_topic.groupBy(*group).agg(
+    counted = per_topic.groupBy(*group).agg(
         F.sum("logs").alias("receipt_log_count"),
         F.sum(F.when(known, F.col("logs")).otherwise(0)).alias("matched_log_count"),
         F.count("topic0").alias("unique_topic0_count"),
@@ -480,3 +493,4 @@ def topic0_case_coverage(evidence: DataFrame, logs: DataFrame, rules: DataFrame)
         F.array_join(F.array_sort(F.collect_set("scope_class")), ",").alias("matched_scope_classes"),
         F.bool_or(F.coalesce(F.col("scope_class") == F.col("expected_scope_class"), F.lit(False))).alias("expected_scope_matched"),
     )
+    return _with_all(evidence, group, counted)

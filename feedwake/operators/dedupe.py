@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedwake.operators.timeline import ranked
 
-HASH_DIGITS = 3  # 4,096 slices of the hash range
+SLICES = (3, 7)  # leading hash digits: 4,096 slices of a stratum, then 65,536 of the slice in which its quota ends
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -44,19 +44,27 @@ def stable_sample(df: DataFrame, strata: Sequence[str], log_key: Column, salt: C
     """The ``quota`` rows of each stratum with the smallest sha256(salt|key).
 
     Rows are counted per slice of the hash range first. Slices that the quota cannot reach are
-    dropped, the slices it covers are kept whole, and only the slice in which it ends is ranked.
+    dropped, the slices it covers are kept whole, and the slice in which it ends is cut again; what is
+    left to rank is one part in 268 million of a stratum.
     """
     salted = F.concat(salt if isinstance(salt, Column) else F.lit(salt), F.lit("|"), log_key)
     wanted = quota if isinstance(quota, Column) else F.lit(quota)
     hashed = df.withColumn("_hash", F.sha2(salted, 256)).withColumn("_quota", wanted.cast("long"))
-    hashed = hashed.withColumn("_slice", F.substring("_hash", 1, HASH_DIGITS))
-    sizes = hashed.groupBy(*strata, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    placed = hashed.join(sizes, [*strata, "_slice"]).where(F.col("_before") < F.col("_quota"))
     helpers = ["_hash", "_quota", "_slice", "_n", "_before"]
-    whole = placed.where(F.col("_before") + F.col("_n") <= F.col("_quota")).drop(*helpers)
-    edge = placed.where(F.col("_before") + F.col("_n") > F.col("_quota"))
-    inside = Window.partitionBy(*strata, "_slice").orderBy("_hash", *ties)
-    edge = edge.withColumn("_at", F.row_number().over(inside) + F.col("_before")).where(F.col("_at") <= F.col("_quota"))
-    return whole.unionByName(edge.drop("_at", *helpers))
+    edge, parts = hashed, []
+    for digits in SLICES:
+        edge = edge.withColumn("_slice", F.substring("_hash", 1, digits))
+        sizes = edge.groupBy(*strata, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+        sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        placed = edge.join(sizes, [*strata, "_slice"]).where(F.col("_before") < F.col("_quota"))
+        reached = F.col("_before") + F.col("_n") <= F.col("_quota")
+        parts.append(placed.where(reached).drop(*helpers))
+        left = (F.col("_quota") - F.col("_before")).alias("_quota")
+        edge = placed.where(~reached).select(*[c for c in placed.columns if c not in ("_quota", "_n", "_before", "_slice")], left)
+    inside = Window.partitionBy(*strata).orderBy("_hash", *ties)
+    edge = edge.withColumn("_at", F.row_number().over(inside)).where(F.col("_at") <= F.col("_quota"))
+    kept = edge.drop("_at", "_hash", "_quota")
+    for part in parts:
+        kept = kept.unionByName(part)
+    return kept

@@ -237,7 +237,8 @@ def config_log_footprint(targets: DataFrame, logs: DataFrame, names: dict[str, s
     seen = logs.select(
         F.col("blockchain").alias("chain"), F.col("contract_address").alias("address"), "block_date", "block_number", "block_time", "topic0", "tx_hash", "log_index")
     span = seen["block_number"].between(targets["start_block"], targets["end_block"]) & seen["block_date"].between(targets["start_date"], targets["end_date"])
-    joined = targets.join(seen, (targets["chain"] == seen["chain"]) & (targets["address"] == seen["address"]) & span, "left").select(
+    # the small side can be broadcast in an inner join; contracts without logs come back at the end
+    joined = seen.join(targets, (targets["chain"] == seen["chain"]) & (targets["address"] == seen["address"]) & span).select(
         "case_key", targets["chain"], "addr_key", "topic0", "tx_hash", "block_number", "block_time", "log_index")
     count = F.count_distinct("tx_hash") if exact else F.approx_count_distinct("tx_hash")
     latest = F.struct("block_number", "log_index")
@@ -245,6 +246,12 @@ def config_log_footprint(targets: DataFrame, logs: DataFrame, names: dict[str, s
         F.count("tx_hash").alias("log_count"), count.alias("tx_count"), F.min("block_number").alias("first_block"), F.min("block_time").alias("first_time"),
         F.max_by("tx_hash", latest).alias("latest_tx_hash"), F.max("block_number").alias("latest_block"), F.max("block_time").alias("latest_time"),
         F.max_by("log_index", latest).alias("latest_log_index"))
+    keys = ["case_key", "chain", "addr_key"]
+    spine = targets.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("log_count", "tx_count")]
+    rest = [c for c in table.columns if c not in (*keys, "log_count", "tx_count", "topic0")]
+    table = spine.join(table, same, "left").select(*[F.col(f"_{k}").alias(k) for k in keys], "topic0", *zero, *rest)
     if names is None:
         return table
     known = F.lit("")

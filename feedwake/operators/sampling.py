@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedwake import rules as R
 from feedwake.functions import text as T
 from feedwake.functions import words as W
 from feedwake.operators.closure import HOUR, in_chains, in_dates
+from feedwake.operators.timeline import Scan, asof, cut, running
 from feedwake.operators.dedupe import first_n, keep_first, stable_sample
 
 PENDING = "remote_candidate_pending_receipt_replay"
@@ -89,11 +90,14 @@ def benign_cross_protocol(
     contracts = known_contracts.select(F.col("chain").alias("blockchain"), "contract_address").distinct()
     free = _unknown_txs(scoped, known_txs).join(contracts, ["blockchain", "contract_address"], "left_anti")
     guard = F.lit(guard_hours * HOUR)
-    spans = windows.groupBy(F.col("chain").alias("blockchain")).agg(F.array_distinct(F.collect_list(F.struct(
-        (T.micros(F.col("incident_start")) - guard).alias("lo"), (T.micros(F.col("incident_end")) + guard).alias("hi")))).alias("spans"))
+    spans = windows.select(
+        F.col("chain").alias("blockchain"), (T.micros(F.col("incident_start")) - guard).alias("_lo"), (T.micros(F.col("incident_end")) + guard).alias("_hi"),
+    ).where(F.col("_lo").isNotNull() & F.col("_hi").isNotNull()).distinct()
+    # of all windows that have begun, the latest end decides
+    reach = running(cut(spans, ["blockchain"], ["_lo", "_hi"]), ["blockchain"], ["_lo", "_hi"], [Scan("_reach", "max", F.col("_hi"))])
     at = T.micros(F.col("block_time"))
-    inside = F.exists(F.coalesce("spans", F.array().cast("array<struct<lo:bigint,hi:bigint>>")), lambda s: (at >= s["lo"]) & (at <= s["hi"]))
-    rows = free.join(spans, "blockchain", "left").where(~inside)
+    held = asof(free, reach, ["blockchain"], at, F.col("_lo"), F.col("_reach"), "_until", ties=["_hi"])
+    rows = held.where(F.col("_until").isNull() | (F.col("_until") < at))
     group = ["blockchain", F.year("block_date").cast("long").alias("year"), "block_time", "tx_hash", "contract_address", "topic0", "scope_class", "topic_name"]
     return rows.select(*group).distinct().select(
         _sample_id("cross_protocol", F.col("blockchain"), F.col("tx_hash")).alias("sample_id"), F.lit("unknown_negative").alias("label"),
@@ -137,12 +141,12 @@ def allocation(estimates: DataFrame, target: int, small: int) -> DataFrame:
     ``estimates``: stratum, estimate, place (order in which large pools get the odd rows). One row per stratum.
     """
     is_large = F.col("estimate") >= small
-    whole = Window.partitionBy()
-    rows = estimates.withColumn("_left", F.greatest(F.lit(0), F.lit(target) - F.coalesce(F.sum(F.when(~is_large, F.col("estimate"))).over(whole), F.lit(0))))
-    rows = rows.withColumn("_large", F.count(F.when(is_large, 1)).over(whole)).withColumn(
-        "_rank", F.sum(F.when(is_large, 1).otherwise(0)).over(Window.partitionBy().orderBy("place")))
-    base = F.floor(F.try_divide(F.col("_left"), F.col("_large")))
-    odd = F.when(F.col("_rank") <= F.col("_left") % F.nullif("_large", F.lit(0)), 1).otherwise(0)
+    taken, large = estimates.agg(F.coalesce(F.sum(F.when(~is_large, F.col("estimate"))), F.lit(0)), F.count(F.when(is_large, 1))).first()
+    left = max(0, target - int(taken))
+    order = ["place", "stratum"]
+    rows = running(cut(estimates, [], order), [], order, [Scan("_rank", "sum", F.when(is_large, 1).otherwise(0))])
+    base = F.lit(left // large if large else 0)
+    odd = F.when(F.col("_rank") <= F.lit(left % large if large else 0), 1).otherwise(0)
     quota = F.when(is_large, F.least(F.col("estimate"), base + odd)).otherwise(F.col("estimate"))
     return rows.select("stratum", "estimate", "place", quota.cast("long").alias("quota"))
 
@@ -150,9 +154,10 @@ def allocation(estimates: DataFrame, target: int, small: int) -> DataFrame:
 def top_up(quotas: DataFrame, shortfall: int) -> DataFrame:
     """Fill ``shortfall`` from strata with room, in ``place`` order."""
     room = F.greatest(F.lit(0), F.col("estimate") - F.col("quota"))
-    earlier = F.coalesce(F.sum(room).over(Window.partitionBy().orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    take = F.greatest(F.lit(0), F.least(room, F.lit(shortfall) - earlier))
-    return quotas.withColumn("quota", (F.col("quota") + take).cast("long"))
+    order = ["place", "stratum"]
+    rows = running(cut(quotas, [], order), [], order, [Scan("_earlier", "sum", room)], strict=True)
+    take = F.greatest(F.lit(0), F.least(room, F.lit(shortfall) - F.coalesce("_earlier", F.lit(0))))
+    return rows.select(*[c for c in quotas.columns if c != "quota"], (F.col("quota") + take).cast("long").alias("quota")).select(*quotas.columns)
 
 
 def stratified_sample(pool: DataFrame, quotas: DataFrame, salt: Column | str, strata: tuple[str, ...] = ("case_related_to",)) -> DataFrame:
