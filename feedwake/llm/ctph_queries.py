@@ -29,11 +29,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     shelves = Shelves(docs)
     heads = [(r[0], r[1]) for r in shelves.docs.groupBy("shelf").agg(F.max("doc_id")).collect()]
     order = sorted(heads, key=lambda h: (h[1] is not None, h[0]), reverse=True)
-    follows = [(after[0], before[0]) for before, after in zip(order, order[1:] + order[:1], strict=True)]
-    home = docs.sparkSession.createDataFrame(follows, "shelf int, goes_to int")
-    first = shelves.docs.groupBy("shelf").agg(F.max("doc_id").alias("head"))
-    guests = shelves.docs.join(first.join(home, "shelf").select("shelf", "head", "goes_to"), "shelf").where(F.col("doc_id").eqNullSafe(F.col("head")))
-    guests = guests.select("goes_to", F.col("text").alias("next_text"))
+    follows = [(after[1], before[0]) for before, after in zip(order, order[1:] + order[:1], strict=True)]
+    home = docs.sparkSession.createDataFrame(follows, "head long, goes_to int")
+    # a table of one row a shelf, whose size Spark knows, so texts need not move for this join
+    guests = docs.select("doc_id", F.col("text").alias("next_text")).join(home, F.col("doc_id").eqNullSafe(F.col("head"))).select("goes_to", "next_text")
 
     def compare(own: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
