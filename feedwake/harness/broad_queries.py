@@ -392,7 +392,7 @@ QUERIES["stage_counts_r2"] = _stages_r2
 SQL["stage_counts_r2"] = V.with_views(R2_VIEWS, _stage_sql(R.COMPOSITION, [
     ("inventory_addresses", "b_inventory", "address", "cluster", None), ("derivative_assets", "b_assets", "address", None, None),
     ("oracle_wrapper_txs", "b_formula", "target", None, "trigger_tx"), ("affected_asset_hint", "b_hints", "asset_address", None, "trigger_tx"),
-    ("impact_activity", "b_activity", None, None, "trigger_tx"),
+    ("impact_activity", "b_activity", None, None, "trigger_tx"), ("tiered_candidates", f"({SQL['price_composition_candidates']})", None, None, "trigger_tx"),
 ]))
 
 
@@ -404,8 +404,14 @@ def _stages_r3(spark, folder):
 QUERIES["stage_counts_r3"] = _stages_r3
 SQL["stage_counts_r3"] = V.with_views(R3_VIEWS, _stage_sql(R.FRESHNESS, [
     ("market_inventory", "b_markets", "address", "cluster", None), ("collateral_supply_events", "b_supplies", "market", "cluster", "supply_tx"),
-    ("same_actor_impact", "b_same", "market", "cluster", "borrow_tx"), ("answer_updates", "b_answers", "feed", None, "tx_hash"),
-    ("latest_prior_join", "b_latest", "feed", "cluster", "trigger_tx"),
+    ("borrow_outflow_events", """(SELECT s.chain, s.cluster, m.address, t.tx_hash FROM b_supplies s
+      JOIN b_markets m ON m.chain = s.chain AND m.cluster = s.cluster AND m.address <> s.market AND m.asset <> s.asset
+      JOIN b_transfers t ON t.chain = s.chain AND t.sender = m.address AND t.receiver = s.actor AND t.us >= s.us AND t.us < s.us + 21600000000
+      WHERE t.amount > 0 AND t.usd >= 10000)""", "address", "cluster", "tx_hash"),
+    ("same_actor_impact", "b_same", "market", "cluster", "borrow_tx"),
+    ("label_matched_answer_updated", "(SELECT * FROM b_matched WHERE r = 1)", "feed", "cluster", "trigger_tx"),
+    ("lower_bound_unlabeled_answer_updated", "(SELECT * FROM b_matched WHERE r = 2)", "feed", "cluster", "trigger_tx"),
+    ("latest_prior_join", "b_latest", "feed", "cluster", "trigger_tx"), ("tiered_candidates", f"({SQL['freshness_candidates']})", None, None, "trigger_tx"),
 ]))
 QUERIES["lending_inventory"] = lambda spark, folder: INV.lending_inventory(labels(spark, folder), tokens(spark, folder)).withColumnRenamed("blockchain", "chain")
 SQL["lending_inventory"] = V.with_views(["b_labels", "b_tokens", "b_inventory"], """

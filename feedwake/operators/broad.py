@@ -347,12 +347,12 @@ def transfer_events(transfers: DataFrame, tokens: DataFrame, start=None, end=Non
     )
 
 
-def collateral_supplies(markets: DataFrame, moves: DataFrame) -> DataFrame:
-    """Material transfers of an asset into a market of that asset."""
+def collateral_supplies(markets: DataFrame, moves: DataFrame, min_usd: float = MIN_USD, min_units: float = MIN_UNITS) -> DataFrame:
+    """Material transfers of an asset into a market of that asset: by dollars, or by units where the asset is no stable one."""
     into = markets.select("blockchain", F.col("market_address").alias("to"), "protocol_cluster_id", "protocol_label", "market_asset_identity")
     joined = moves.where((F.col("amount") > 0) & (F.col("from") != NO_ONE)).join(into, ["blockchain", "to"])
-    bulky = ~F.col("market_asset_identity").isin(*ID.STABLE_IDENTITIES) & (F.col("amount") >= MIN_UNITS)
-    material = F.col("amount_usd").isNull() | (F.col("amount_usd") >= MIN_USD) | bulky
+    bulky = ~F.col("market_asset_identity").isin(*ID.STABLE_IDENTITIES) & (F.col("amount") >= min_units)
+    material = F.col("amount_usd").isNull() | (F.col("amount_usd") >= min_usd) | bulky
     return joined.where((F.col("transfer_asset_identity") == F.col("market_asset_identity")) & material).select(
         "blockchain", "protocol_cluster_id", "protocol_label", F.col("to").alias("collateral_market"),
         F.col("market_asset_identity").alias("collateral_asset"), F.col("contract_address").alias("collateral_token"), F.col("from").alias("actor"),
@@ -360,17 +360,25 @@ def collateral_supplies(markets: DataFrame, moves: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def same_account_impacts(supplies: DataFrame, markets: DataFrame, moves: DataFrame, hours: int = 6) -> DataFrame:
-    """Supplies followed within ``[t, t+hours)`` by outflows of other assets to the same account and cluster."""
+SAME_ACCOUNT = ["blockchain", "protocol_cluster_id", "actor", "collateral_asset"]
+
+
+def borrow_outflows(supplies: DataFrame, markets: DataFrame, moves: DataFrame, min_usd: float = MIN_USD) -> DataFrame:
+    """Material transfers out of markets to accounts that supplied another asset of the same cluster, once for each such asset."""
     out_of = markets.select("blockchain", F.col("market_address").alias("from"), "protocol_cluster_id", "market_asset_identity")
-    paid = moves.where((F.col("amount") > 0) & (F.col("amount_usd").isNull() | (F.col("amount_usd") >= MIN_USD)))
+    paid = moves.where((F.col("amount") > 0) & (F.col("amount_usd").isNull() | (F.col("amount_usd") >= min_usd)))
     borrows = paid.join(out_of, ["blockchain", "from"]).select(
-        "blockchain", "protocol_cluster_id", F.col("to").alias("actor"), "market_asset_identity", "tx_hash", "block_time",
-        F.coalesce("amount_usd", F.lit(0.0)).alias("usd"),
+        "blockchain", "protocol_cluster_id", F.col("to").alias("actor"), F.col("from").alias("borrow_market"), "market_asset_identity", "tx_hash",
+        "block_time", F.coalesce("amount_usd", F.lit(0.0)).alias("usd"),
     )
-    keys = ["blockchain", "protocol_cluster_id", "actor", "collateral_asset"]
-    asked = supplies.select(*keys).distinct()
-    stream = borrows.join(asked, keys[:3]).where(F.col("market_asset_identity") != F.col("collateral_asset")).groupBy(*keys, "tx_hash").agg(
+    asked = supplies.select(*SAME_ACCOUNT).distinct()
+    return borrows.join(asked, SAME_ACCOUNT[:3]).where(F.col("market_asset_identity") != F.col("collateral_asset"))
+
+
+def same_account_impacts(supplies: DataFrame, markets: DataFrame, moves: DataFrame, hours: int = 6, min_usd: float = MIN_USD) -> DataFrame:
+    """Supplies followed within ``[t, t+hours)`` by outflows of other assets to the same account and cluster."""
+    keys = SAME_ACCOUNT
+    stream = borrow_outflows(supplies, markets, moves, min_usd).groupBy(*keys, "tx_hash").agg(
         F.min("block_time").alias("block_time"), F.sum("usd").alias("usd")
     )
     folded = window_fold(
@@ -463,12 +471,16 @@ def freshness_candidates(
 def stage_counts(stages: dict[str, tuple[DataFrame, str | None, str | None, str | None]], failure_class: str, start: str, end: str) -> DataFrame:
     """Rows and distinct addresses, clusters and transactions per chain at each stage of a search.
 
-    ``stages``: name -> (rows with ``blockchain``, address column, cluster column, transaction column).
+    ``stages``: name -> (rows with ``blockchain``, address column, cluster column, transaction column), or a table of counts.
     """
     missing = F.lit(None).cast("long")
     distinct = lambda c: F.count_distinct(F.col(c)) if c else missing
     parts = []
-    for stage, (rows, address, cluster, tx) in stages.items():
+    for stage, source in stages.items():
+        if isinstance(source, DataFrame):  # counted already
+            parts.append(source.withColumn("preflight_stage", F.lit(stage)))
+            continue
+        rows, address, cluster, tx = source
         wanted = [c for c in (address, cluster, tx) if c]
         counted = rows.select("blockchain", *dict.fromkeys(wanted)).groupBy(F.col("blockchain").alias("chain")).agg(
             F.count(F.lit(1)).alias("row_count"), distinct(address).alias("address_count"),
@@ -484,6 +496,25 @@ def stage_counts(stages: dict[str, tuple[DataFrame, str | None, str | None, str
     )
 
 
+def pair_counts(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: Column, right_at: Column, before: int, after: int, address: str, tx: str,
+) -> DataFrame:
+    """Counts over all pairs with ``left - before <= right < left + after`` of equal keys, without forming them.
+
+    Rows are the sum of windowed counts; clusters are those of left rows with a partner; addresses and transactions are
+    those of right rows whose nearest left row lies in reach.
+    """
+    counted = window_fold(
+        left, right, keys, left_at - F.lit(before), right_at, before + after, [Scan("_pairs", "count", F.lit(1))], closed="left").where(F.col("_pairs") > 0)
+    ahead = asof(right, left, keys, right_at, left_at, F.lit(True), "_ahead", forward=True, within=before)
+    met = asof(ahead, left, keys, right_at, left_at, F.lit(True), "_behind", within=after - 1) if after > 1 else ahead.withColumn("_behind", F.lit(None).cast("boolean"))
+    met = met.where(F.col("_ahead").isNotNull() | F.col("_behind").isNotNull())
+    rows = counted.groupBy("blockchain").agg(F.sum("_pairs").cast("long").alias("row_count"), F.count_distinct("protocol_cluster_id").alias("protocol_cluster_count"))
+    others = met.groupBy("blockchain").agg(F.count_distinct(address).alias("address_count"), F.count_distinct(tx).alias("tx_count"))
+    return rows.join(others, "blockchain").select(
+        F.col("blockchain").alias("chain"), "row_count", "address_count", "protocol_cluster_count", "tx_count")
+
+
 def feed_binding_stages(labels, tokens, transactions, traces, start=None, end=None, chains=None) -> dict:
     """Stages of the feed-binding search, for :func:`stage_counts`."""
     inventory = INV.lending_inventory(labels, tokens, chains)
@@ -519,19 +550,30 @@ def price_composition_stages(labels, tokens, transactions, traces, transfers, st
         "oracle_wrapper_txs": (changes, "oracle_or_governance_contract", None, "trigger_tx"),
         "affected_asset_hint": (hints, "affected_asset_address", None, "trigger_tx"),
         "impact_activity": (composition_impacts(changes, by_name, by_data, inventory, transfers, start, end, chains), None, None, "trigger_tx"),
+        "tiered_candidates": (
+            price_composition_candidates(labels, tokens, transactions, traces, transfers, start, end, chains).withColumnRenamed("chain", "blockchain"),
+            None, None, "trigger_tx"),
     }
 
 
-def freshness_stages(tokens, transfers, logs, labels, start=None, end=None, chains=None) -> dict:
+def freshness_stages(tokens, transfers, logs, labels, start=None, end=None, chains=None, hours: int = 6, days: int = 7) -> dict:
     markets = INV.market_inventory(tokens, chains)
     moves = transfer_events(transfers, tokens, start, end, chains)
     supplies = collateral_supplies(markets, moves)
-    impacts = same_account_impacts(supplies, markets, moves)
-    answers = labelled_answers(logs, labels, start, end, chains)
+    impacts = write_table(same_account_impacts(supplies, markets, moves, hours))
+    answers = write_table(labelled_answers(logs, labels, start, end, chains, days))
+    supplied, at = T.micros(F.col("supply_time")), T.micros(F.col("block_time"))
+    by_label = answers.where(F.col("feed_identity").isNotNull()).withColumn("collateral_asset", F.col("feed_identity"))
+    low = answers.where(F.col("feed_identity").isNull() & (F.abs("answer") > 0) & (F.abs("answer") <= 1))
+    loose = impacts.where(~F.col("collateral_asset").isin(*ID.STABLE_IDENTITIES))
     return {
         "market_inventory": (markets, "market_address", "protocol_cluster_id", None),
         "collateral_supply_events": (supplies, "collateral_market", "protocol_cluster_id", "supply_tx"),
+        "borrow_outflow_events": pair_counts(supplies, borrow_outflows(supplies, markets, moves), SAME_ACCOUNT, supplied, at, 0, hours * HOUR, "borrow_market", "tx_hash"),
         "same_actor_impact": (impacts, "collateral_market", "protocol_cluster_id", "first_borrow_tx"),
-        "answer_updates": (answers, "feed", None, "tx_hash"),
-        "latest_prior_join": (latest_answers(impacts, answers), "feed", "protocol_cluster_id", "trigger_tx"),
+        "label_matched_answer_updated": pair_counts(impacts, by_label, ["blockchain", "collateral_asset"], supplied, at, days * DAY, 1, "feed", "tx_hash"),
+        "lower_bound_unlabeled_answer_updated": pair_counts(loose, low, ["blockchain"], supplied, at, days * DAY, 1, "feed", "tx_hash"),
+        "latest_prior_join": (latest_answers(impacts, answers, days), "feed", "protocol_cluster_id", "trigger_tx"),
+        "tiered_candidates": (
+            freshness_candidates(tokens, transfers, logs, labels, start, end, chains, hours, days).withColumnRenamed("chain", "blockchain"), None, None, "trigger_tx"),
     }
