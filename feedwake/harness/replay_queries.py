@@ -10,6 +10,7 @@ from feedwake import schemas as S
 from feedwake.harness import views as V
 from feedwake.plans import evaluate as E
 from feedwake.plans.replay import Replay, replay
+from feedwake.storage import write_table
 
 QUERIES = {}
 SQL = {}
@@ -73,6 +74,12 @@ def result(spark: SparkSession, folder: str) -> Replay:
     return replay(trace(spark, folder), constraints(spark))
 
 
+def played(spark: SparkSession, folder: str) -> tuple[DataFrame, Replay]:
+    """The traces, written once, and their replay."""
+    events = write_table(trace(spark, folder))
+    return events, replay(events, constraints(spark))
+
+
 V.register_view_sql("h_trace", """h_trace AS (
   SELECT chain AS kase, block_number AS pos, us // 1000000 AS stamp, tx_hash, topic0, asset, k, value,
          CASE topic0 WHEN 'signup' THEN 'ORACLE_FEED_SET' WHEN 'view' THEN 'ANSWER_UPDATED' WHEN 'click' THEN 'SUPPLY'
@@ -220,7 +227,8 @@ FROM d JOIN i ON i.kase = d.kase""")
 
 
 def _flags(spark, folder):
-    return E.record_flags(trace(spark, folder), result(spark, folder).alerts)
+    events, found = played(spark, folder)
+    return write_table(E.record_flags(events, found.alerts))
 
 
 V.register_view_sql("h_flags", """h_flags AS (
@@ -268,7 +276,8 @@ FROM h_flags WHERE direct OR alerted GROUP BY GROUPING SETS ((kase, event_type),
 
 
 def _effectiveness(spark, folder):
-    return E.detection_effectiveness(trace(spark, folder), constraints(spark), result(spark, folder))
+    events, found = played(spark, folder)
+    return write_table(E.detection_effectiveness(events, constraints(spark), found))
 
 
 V.register_view_sql("h_effect", """h_effect AS (
@@ -293,7 +302,8 @@ UNION ALL SELECT 'full_replay', positive_cases, d, d / positive_cases::DOUBLE, p
 
 
 def _localization(spark, folder):
-    table = E.actor_localization(trace(spark, folder), result(spark, folder), cases(spark))
+    events, found = played(spark, folder)
+    table = E.actor_localization(events, found, cases(spark))
     return table.withColumn("actor_recall", F.round("actor_recall", 6)).withColumn("candidate_precision", F.round("candidate_precision", 6))
 
 
@@ -385,8 +395,8 @@ V.register_view_sql("h_samples", f"""h_samples AS (
          value > 10 AS source_available, value > 20 AS abi_available FROM h_logs)""")
 
 
-def _sample_alerts(spark, folder):
-    numbered = result(spark, folder).alerts.where(F.col("type") == R.LOCALIZATION)
+def _sample_alerts(spark, folder, found: Replay | None = None):
+    numbered = (found or result(spark, folder)).alerts.where(F.col("type") == R.LOCALIZATION)
     return numbered.select(F.concat(F.lit("s"), F.col("block_number").cast("string")).alias("sample_id"))
 
 
@@ -404,8 +414,9 @@ SQL["tx_status_all_any"] = V.with_views([*ALERT_VIEWS, "h_samples", "h_benign"],
 
 
 def _combined(spark, folder):
-    benign = E.benign_metrics(samples(spark, folder), _sample_alerts(spark, folder))
-    table = E.combined_precision(E.log_level_metrics(_flags(spark, folder)), benign)
+    events, found = played(spark, folder)
+    benign = E.benign_metrics(samples(spark, folder), _sample_alerts(spark, folder, found))
+    table = E.combined_precision(E.log_level_metrics(write_table(E.record_flags(events, found.alerts))), benign)
     return table.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes])
 
 
@@ -447,7 +458,8 @@ SELECT a.reason, a."count", a.case_counts, b.scope_counts FROM
 
 
 def _ablation(spark, folder):
-    table = E.ablation(trace(spark, folder), constraints(spark), samples(spark, folder), cases(spark))
+    events, found = played(spark, folder)
+    table = E.ablation(events, constraints(spark), write_table(samples(spark, folder)), cases(spark), _sample_alerts(spark, folder, found))
     return table.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes])
 
 
@@ -458,7 +470,8 @@ SQL["ablation_matrix"] = V.with_views([*ALERT_VIEWS, "h_marks", "h_gold", "h_eff
 e AS (SELECT count(*) AS cases, count(*) FILTER (d[1] < i[1]) AS early FROM early),
 b AS (SELECT CAST(count(DISTINCT "case") AS BIGINT) AS n FROM h_boundary_alerts),
 x AS (SELECT count(*) AS benign, count(*) FILTER (bucket = 'strict_benign') AS strict, count(*) FILTER (replay_event_type = 'BORROW') AS impact,
-             count(*) FILTER (abi_available) AS abi, count(*) FILTER (scope_class LIKE 'S%') AS boundary FROM h_samples),
+             count(*) FILTER (abi_available) AS abi, count(*) FILTER (scope_class LIKE 'S%') AS boundary, count(a.b) AS alerted
+      FROM h_samples s LEFT JOIN (SELECT DISTINCT 's' || block_number AS b FROM h_alerts WHERE type = 'attacker_localization') a ON a.b = s.sample_id),
 f AS (SELECT CAST(sum(positive_impact_txs) AS BIGINT) AS impacts, CAST(sum(detected_impact_txs) AS BIGINT) AS localized,
              CAST(sum(attacker_candidate_count) AS BIGINT) AS accused, count(*) FILTER (case_detected) AS alerted,
              count(*) FILTER (detected_impact_txs > 0) AS replayable FROM h_effect),
@@ -468,7 +481,7 @@ v AS (
   SELECT 'full_replay' AS variant, e.cases AS positive_cases, e.cases AS evidence_observed_cases, f.alerted AS attack_alert_cases,
          f.replayable AS replayable_attack_cases, f.impacts AS positive_impact_txs, f.localized AS detected_impact_txs,
          e.early AS pre_attack_tx_evidence_cases, g.known AS known_actors, g.matched AS matched_actors, f.accused AS predicted_actor_candidates,
-         CAST(0 AS BIGINT) AS benign_warning_rows, x.benign AS benign_materialized_rows, x.strict AS strict_benign_rows FROM e, x, f, g
+         x.alerted AS benign_warning_rows, x.benign AS benign_materialized_rows, x.strict AS strict_benign_rows FROM e, x, f, g
   UNION ALL SELECT 'without_log_semantics_abi_only', e.cases, 0, 0, 0, f.impacts, 0, 0, g.known, 0, 0, x.abi, x.benign, x.strict FROM e, x, f, g
   UNION ALL SELECT 'topic_only_raw_filter', e.cases, e.cases, 0, 0, f.impacts, 0, 0, g.known, 0, 0, x.benign, x.benign, x.strict FROM e, x, f, g
   UNION ALL SELECT 'oracle_boundary_without_lending_binding', e.cases, greatest(b.n, e.early), b.n, 0, f.impacts, 0, e.early, g.known, 0, 0,

@@ -414,9 +414,11 @@ def variant_traces(trace: DataFrame) -> DataFrame:
     )
 
 
-def ablation(trace: DataFrame, constraints: DataFrame, samples: DataFrame, cases: DataFrame | None = None, alerted_rows: int = 0) -> DataFrame:
+def ablation(trace: DataFrame, constraints: DataFrame, samples: DataFrame, cases: DataFrame | None = None, sample_alerts: DataFrame | None = None) -> DataFrame:
     """One row per variant: recalls over the cases and warnings over the benign samples.
 
+    ``sample_alerts`` are the alerts of the replayed samples (``sample_id``), which the full replay warns of.
+
     All variants are replayed in one job, keyed by (variant, case).
     """
     spark = trace.sparkSession
@@ -462,14 +464,16 @@ def ablation(trace: DataFrame, constraints: DataFrame, samples: DataFrame, cases
         F.count_if(sees_early).alias("pre_attack_tx_evidence_cases"), total("known").alias("known_actors"),
         total("matched").alias("matched_actors"), total("accused").alias("predicted_actor_candidates"),
     )
-    warned = samples.agg(
+    none = samples.select("sample_id").limit(0)
+    hits = (none if sample_alerts is None else sample_alerts.select("sample_id")).distinct().withColumn("_alerted", F.lit(True))
+    warned = samples.join(hits, "sample_id", "left").agg(
         F.count(F.lit(1)).alias("benign_materialized_rows"),
         F.count_if(F.col("verification_status").isin(*R.STRICT_STATUSES)).alias("strict_benign_rows"),
         F.count_if(F.col("replay_event_type").isin(*R.IMPACT_TYPES)).alias(IMPACT_ONLY),
         F.count_if(F.coalesce("abi_available", F.lit(False))).alias(ABI_ONLY),
         F.count(F.lit(1)).alias(TOPIC_ONLY),
         F.count_if(F.coalesce("scope_class", F.lit("")).startswith("S")).alias(BOUNDARY_ONLY),
-        F.lit(alerted_rows).cast("long").alias(FULL),
+        F.count("_alerted").alias(FULL),
     )
     warnings = warned.select(
         "benign_materialized_rows", "strict_benign_rows",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from feedwake import rules as R
 from feedwake.functions import text as T
 from feedwake.operators.timeline import Scan, cut, running
+from feedwake.storage import write_table
 
 MATERIAL_RATIO = 0.10
 INFLATED_RATIO = 10
@@ -50,7 +51,7 @@ class Replay:
 
     @cached_property
     def alerts(self) -> DataFrame:
-        return self.boundary.unionByName(self.borrows).unionByName(self.liquidations).unionByName(self.supplies)
+        return write_table(self.boundary.unionByName(self.borrows).unionByName(self.liquidations).unionByName(self.supplies))
 
     @cached_property
     def marks(self) -> DataFrame:
@@ -380,8 +381,9 @@ def replay(trace: DataFrame, constraints: DataFrame, *, keys: tuple[str, ...] =
     borrows and liquidations; by default correct feed and formula events do so too.
     """
     keys = list(keys)
-    events = prepare(trace, keys)
-    broken = violations(events, constraint_keys(constraints, keys), keys)
+    # each is written once, as every kind of alert and every metric reads them
+    events = write_table(prepare(trace, keys))
+    broken = write_table(violations(events, constraint_keys(constraints, keys), keys))
     marking = broken.select(*keys, "asset_key", "kind", "pos") if strict_state else loose_boundary(events, broken, keys)
-    bad = _first_bad(marking, keys)
+    bad = write_table(_first_bad(marking, keys))
     return Replay(events, broken, bad, keys)
