@@ -17,6 +17,8 @@ from feedwake.llm.common import slices
 WINDOW, BASE_BYTES, CLASS_BYTES = 16, 64 << 10, 8 << 10
 #: Bytes of the runs that tell classes apart, how much more frequent they are in one, and the share of its texts (one in ...) that hold them.
 GRAM, RATIO, RARE = 8, 5.0, 60
+#: Share of toxic texts that the calibration assumes at least, so that rare toxic texts are still caught.
+LEAST_SHARE = 0.25
 #: Labelled texts of each class that the fit may use, chosen by a hash of doc_id.
 SAMPLE = 3000
 #: Windows that a dictionary is trained on.
@@ -174,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         held += [(features(t, *pair), c) for c in (0, 1) for t in texts[c][1 - k :: 2]]
     toxic, ordinary = dictionaries(texts[1], texts[0])
     x, y = np.array([f for f, _ in held]), np.array([float(c) for _, c in held])
-    share = np.array([counts[0] / (total * (y == 0).sum()), counts[1] / (total * (y == 1).sum())])
+    toxic_share = max(prior, LEAST_SHARE)
+    share = np.array([(1 - toxic_share) / (y == 0).sum(), toxic_share / (y == 1).sum()])
     weight = len(y) * share[y.astype(int)]
     centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     weights = calibrate((x - centre) / spread, y, weight)
