@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from feedwake.llm import ctph
 from feedwake.llm.common import Shelves, read
 
+#: Rows (a number and a shelf) that may be broadcast.
+SENT_ROWS = 500_000
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -31,7 +33,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = sorted(heads, key=lambda h: (h[1] is not None, h[0]), reverse=True)
     follows = [(after[1], before[0]) for before, after in zip(order, order[1:] + order[:1], strict=True)]
     home = docs.sparkSession.createDataFrame(follows, "head long, goes_to int")
-    # a table of one row a shelf, whose size Spark knows, so texts need not move for this join
+    # one small row a shelf: sent to the tasks up to a checked number of shelves, so that texts need not move for this join
+    home = F.broadcast(home) if len(follows) <= SENT_ROWS else home
     guests = docs.select("doc_id", F.col("text").alias("next_text")).join(home, F.col("doc_id").eqNullSafe(F.col("head"))).select("goes_to", "next_text")
 
     def compare(own: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
