@@ -25,7 +25,19 @@ _IS_GAP = np.zeros(256, dtype=bool)
 _IS_GAP[list(GAP_BYTES)] = True
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker: texts are long, and both sides hold a batch several times.
+BATCH_BYTES = "8m"
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, unless it has its own setting."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB", "64m"):  # the default
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    narrow_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
