@@ -13,15 +13,16 @@ def _quality(spark, folder):
 
 
 def _top(n: int) -> str:
-    return f"""(SELECT doc_id, max(least(times * length(array_to_string(words[pos:pos + {n - 1}], '')), word_chars)) AS top_{n}_chars FROM (
-  SELECT doc_id, min(pos) AS pos, count(*) AS times FROM g WHERE left_words >= {n} GROUP BY doc_id, grams[{n}] HAVING count(*) > 1) JOIN w USING (doc_id) GROUP BY ALL) t{n}"""
+    return f"""(SELECT t.doc_id, max(least(times * (e.cum - b.cum + b.chars), word_chars)) AS top_{n}_chars FROM (
+  SELECT doc_id, min(pos) AS pos, count(*) AS times FROM h WHERE left_words >= {n} GROUP BY doc_id, grams[{n}] HAVING count(*) > 1) t
+  JOIN h b ON b.doc_id = t.doc_id AND b.pos = t.pos JOIN h e ON e.doc_id = t.doc_id AND e.pos = t.pos + {n - 1} JOIN w ON w.doc_id = t.doc_id GROUP BY ALL) t{n}"""
 
 
 def _repeat(n: int) -> str:
     return f"""(SELECT doc_id, count(*) AS repeat_{n}_words, sum(chars) AS repeat_{n}_chars FROM (
-  SELECT DISTINCT x.doc_id, x.pos + k.k AS pos, length(w.words[x.pos + k.k]) AS chars
-  FROM (SELECT doc_id, pos FROM g WHERE left_words >= {n} QUALIFY count(*) OVER (PARTITION BY doc_id, grams[{n}]) > 1) x
-  JOIN w USING (doc_id), (SELECT unnest(range({n})) AS k) k) GROUP BY ALL) r{n}"""
+  SELECT DISTINCT doc_id, pos + k AS pos
+  FROM (SELECT doc_id, pos FROM h WHERE left_words >= {n} QUALIFY count(*) OVER (PARTITION BY doc_id, grams[{n}]) > 1), (SELECT unnest(range({n})) AS k))
+  JOIN p USING (doc_id, pos) GROUP BY ALL) r{n}"""
 
 
 _LONGEST = max(Q.REPEATED_SHARE)
@@ -39,8 +40,10 @@ SQL = {"op3_repetition": f"""
 WITH w AS MATERIALIZED (
   SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words, length(coalesce(text, '')) AS n_chars,
          coalesce(length(array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), '')), 0) AS word_chars FROM documents),
-g AS MATERIALIZED (SELECT doc_id, pos, len(words) - pos + 1 AS left_words, [hash(words[pos:pos + n - 1]) FOR n IN range(1, {_LONGEST + 1})] AS grams
-      FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM w)),
+p AS MATERIALIZED (SELECT doc_id, pos, word, length(word) AS chars FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w)),
+g AS (SELECT doc_id, pos, chars, sum(chars) OVER (PARTITION BY doc_id ORDER BY pos) AS cum,
+  list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {_LONGEST - 1} FOLLOWING) AS following FROM p),
+h AS MATERIALIZED (SELECT doc_id, pos, chars, cum, len(following) AS left_words, [hash(following[1:n]) FOR n IN range(1, {_LONGEST + 1})] AS grams FROM g),
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(line)) AS chars FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL),
 firsts AS (SELECT doc_id, sum(length(line)) AS chars FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
