@@ -44,6 +44,7 @@ MARKET_TOKENS = [
     ("joe", r"(\.e)?", "joe", "JOE"), ("crv", r"(\.e)?", "crv", "CRV"), ("tusd", r"(\.e)?", "tusd", "TUSD"),
     ("alpha", r"(\.e)?", "alpha", "ALPHA"),
 ]
+# Words and patterns of market tokens, protocols, assets, labels and functions, down to FORMULA_CALL.
 MARKET_WORDS = (
     "cbeth|wsteth|reth|wbtc|btc|weth|eth|usdc|usd coin|usdt|dai|busd|luna|wavax|avax|bnb|link|"
     "aave|mim|qi|spell|joe|crv|tusd|alpha"

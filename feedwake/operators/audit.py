@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedwake import rules as R
 from feedwake.functions import text as T
 
+# Patterns of addresses, transactions and marker words.
 ADDRESS_PATTERN = "(0x[0-9a-fA-F]{40})(?![0-9a-fA-F])"
 TX_PATTERN = "(0x[0-9a-fA-F]{64})(?![0-9a-fA-F])"
 MARKER_WORDS = "(synthetic|fixture|placeholder)"

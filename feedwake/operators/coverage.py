@@ -14,6 +14,7 @@ from feedwake.functions import words as W
 from feedwake.operators.closure import in_chains, in_dates
 from feedwake.operators.dedupe import keep_first
 
+# Patterns of lending tokens and of calls.
 RAW_LENDING_TOKEN = (
     "(aave|compound|venus|moonwell|blizz|ploutos|benqi|morpho|radiant|silo|granary|lodestar|geist|cream|euler|"
     "^c[a-z0-9]+|^v[a-z0-9]+|^m[a-z0-9]+|^b[a-z0-9]+|^a[a-z0-9]+)"

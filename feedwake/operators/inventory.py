@@ -49,6 +49,7 @@ def market_inventory(tokens: DataFrame, chains: Sequence[str] | None = None) ->
 
 def wide_market_inventory(tokens: DataFrame, chains: Sequence[str] | None = None) -> DataFrame:
     """Market tokens by prefix letter, for the chain-level closures."""
+    # fixed values: the three patterns of this inventory
     prefixed = r"(^|[^a-z0-9])([abcmv][a-z0-9]{2,})"
     excluded = "(debt|variabledebt|stabledebt|reward|staking|farm|lp token)"
     kept = in_chains(tokens, chains).where(_joined().rlike(prefixed) & ~_joined().rlike(excluded))

@@ -21,7 +21,7 @@ def observed(result):
     return alerts, actors
 
 
-def test_random_traces_agree_with_sequential_walk(spark):
+def test_random_traces_agree_with_definitions(spark):
     cases = [X.random_case(seed) for seed in range(150)]
     events = [e for _, es, _ in cases for e in es]
     rules = [r for _, _, rs in cases for r in rs]
@@ -29,7 +29,7 @@ def test_random_traces_agree_with_sequential_walk(spark):
     chosen = 0
     for case, es, rs in cases:
         start = events.index(es[0])
-        want_alerts, want_actors = X.sequential(es, rs)
+        want_alerts, want_actors = X.by_definition(es, rs)
         shifted = sorted((t, (*p[:3], p[3] + start), n) for t, p, n in want_alerts)
         assert sorted(alerts.get(case, [])) == shifted, case
         assert actors.get(case, []) == want_actors, case

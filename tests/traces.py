@@ -1,4 +1,4 @@
-"""Hand-written traces and a plain sequential statement of the replay rules."""
+"""Hand-written traces and the replay rules stated as definitions."""
 
 from __future__ import annotations
 
@@ -40,87 +40,82 @@ def number(value):
         return None
 
 
-def sequential(events, constraints):
-    """Alerts as (type, position, reasons) of one case, found by walking the trace once."""
-    rows = sorted(((e[2] or 0, e[4] or 0, e[5] or 0, i), e[1], e[3], dict(zip(FIELDS, e[10], strict=True))) for i, e in enumerate(events))
-    rules = [(c[1], c[2], {key(a) for a in [c[3], *(c[4] or [])] if a}, c) for c in constraints]
-
-    def broken(kind, stamp, d):
-        out = []
-        for id_, type_, names, c in rules:
-            if type_ != R.KIND_OF_EVENT.get(kind) or key(d["asset"]) not in names:
-                continue
-            if kind == R.FEED_SET:
-                hit = bool(c[6] and key(d["actual_feed"]) == key(c[6])) or bool(c[5] and key(d["actual_feed"]) != key(c[5]))
-            elif kind == R.FORMULA_SET:
-                hit = key(d["actual_formula"]) != key(c[7] if c[7] is not None else d["expected_formula"])
-            elif kind == R.ANSWER:
-                now = stamp or 0
-                hit = ((c[9] or 0) > 0 and now - (d["updated_at"] or now) > c[9]) or bool(d["lower_bound_hit"])
-            else:
-                hit = True
-            if hit:
-                out.append((id_, type_))
-        return out
-
-    strict, supplies, reasons = {}, {}, {}
-    for pos, kind, stamp, d in rows:
-        for _, type_ in broken(kind, stamp, d):
-            if key(d["asset"]):
-                strict.setdefault(key(d["asset"]), set()).add(type_)
-        if kind == R.SUPPLY:
-            asset, actor = key(d["asset"]), key(d["supplier"] or d["account"] or d["actor"])
-            if actor and asset in strict:
-                seen = supplies.setdefault((actor, asset), {"all": [], "material": [], "sum": 0.0})
-                seen["all"].append(pos)
-                amount = number(d["amount"])
-                if amount is not None and amount > 0:
-                    if seen["sum"] <= 0 or amount / seen["sum"] >= 0.1:
-                        seen["material"].append(pos)
-                    seen["sum"] += amount
-        elif kind in R.IMPACT_TYPES:
-            asset = key(d["collateral_asset"])
-            actor = key(d["borrower"] or d["account"] or (d["liquidator"] if kind == R.LIQUIDATE else d["actor"]))
-            if actor and asset in strict and (actor, asset) in supplies:
-                seen = supplies[actor, asset]
-                prefix = "stale_oracle" if "stale_oracle" in strict[asset] else "bad_oracle"
-                picked = [(seen["all"][0], "first_risky_collateral_supply"), (seen["all"][-1], "latest_topup_before_impact")]
-                picked += [(p, "material_collateral_increase_>=10%") for p in seen["material"]]
-                for p, why in picked:
-                    reasons.setdefault(p, set()).add(f"{prefix}:{why}")
-
-    loose, alerts, actors = {}, [], []
-
-    def mark(address):
-        if address and address not in actors:
-            actors.append(address)
-
-    for pos, kind, stamp, d in rows:
-        hits = broken(kind, stamp, d)
-        type_ = R.KIND_OF_EVENT.get(kind)
-        if type_ and (kind != R.ANSWER or hits):
-            loose.setdefault(key(d["asset"]), set()).add(type_)
-        alerts += [(t, pos, i) for i, t in hits]
-        if kind == R.SUPPLY and pos in reasons:
-            name = R.STALE_SUPPLY if "stale_oracle" in loose.get(key(d["asset"]), ()) else R.BAD_SUPPLY
-            alerts.append((name, pos, "|".join(sorted(reasons[pos]))))
-        if kind == R.BORROW:
-            why = set(loose.get(key(d["collateral_asset"]), ()))
-            if "formula_mismatch" in loose.get(key(d["borrow_asset"]), ()):
-                why.add("borrow_asset_formula_mismatch")
-            reported, expected = number(d["collateral_value_usd_reported"]), number(d["collateral_value_usd_expected"])
-            if reported is not None and expected and expected > 0 and reported / expected > 10:
-                why.add("collateral_value_inflated")
-            if why:
-                alerts.append((R.LOCALIZATION, pos, "|".join(sorted(why))))
-                borrower = d["borrower"] or d["account"]
-                mark(borrower)
-                if d["actor"] and key(d["actor"]) != key(borrower):
-                    mark(d["actor"])
-        if kind == R.LIQUIDATE and loose.get(key(d["collateral_asset"]), set()) & {"feed_mismatch", "formula_mismatch"}:
-            alerts.append((R.LOCALIZATION, pos, ""))
-            mark(d["liquidator"])
-    return sorted(alerts), actors
+class Seen:
+    """One event with its place and comparison keys."""
+
+    def __init__(self, place, raw):
+        self.pos = (raw[2] or 0, raw[4] or 0, raw[5] or 0, place)
+        self.kind, self.now, self.said = raw[1], raw[3] or 0, dict(zip(FIELDS, raw[10], strict=True))
+        self.asset, self.collateral, self.borrowed = (key(self.said[f]) for f in ("asset", "collateral_asset", "borrow_asset"))
+        last = self.said["liquidator"] if self.kind == R.LIQUIDATE else self.said["actor"]
+        names = [self.said["supplier"], self.said["account"], self.said["actor"]] if self.kind == R.SUPPLY else [self.said["borrower"], self.said["account"], last]
+        self.account = key(next((n for n in names if n), ""))
+
+    def breaks(self, c):
+        """Whether the event breaks a constraint."""
+        covered = {key(n) for n in [c[3], *(c[4] or [])] if n}
+        if R.KIND_OF_EVENT.get(self.kind) != c[2] or self.asset not in covered:
+            return False
+        feed = key(self.said["actual_feed"])
+        age = self.now - (self.said["updated_at"] or self.now)
+        return {
+            R.FEED_SET: (bool(c[6]) and feed == key(c[6])) or (bool(c[5]) and feed != key(c[5])),
+            R.FORMULA_SET: key(self.said["actual_formula"]) != key(self.said["expected_formula"] if c[7] is None else c[7]),
+            R.ANSWER: (bool(c[9]) and c[9] > 0 and age > c[9]) or bool(self.said["lower_bound_hit"]),
+        }.get(self.kind, True)
+
+
+def by_definition(events, constraints):
+    """Alerts as (type, position, reasons) of one case and its accounts in order, each stated for itself from all events."""
+    seen = sorted((Seen(i, e) for i, e in enumerate(events)), key=lambda e: e.pos)
+    broken = [(e, c) for e in seen for c in constraints if e.breaks(c)]
+    marks = [e for e in seen if R.KIND_OF_EVENT.get(e.kind) and (e.kind != R.ANSWER or any(x is e for x, _ in broken))]
+
+    def bad(asset, before):
+        """Kinds that mark an asset before a place."""
+        return {R.KIND_OF_EVENT[m.kind] for m in marks if m.asset == asset and m.pos < before}
+
+    def proven(asset, before):
+        """Kinds of broken constraints of an asset before a place."""
+        return {c[2] for e, c in broken if e.asset == asset and e.pos < before} if asset else set()
+
+    risky = [e for e in seen if e.kind == R.SUPPLY and e.account and proven(e.asset, e.pos)]
+
+    def amount(e):
+        return max(number(e.said["amount"]) or 0.0, 0.0)
+
+    def material(e):
+        held = sum(amount(x) for x in risky if (x.account, x.asset) == (e.account, e.asset) and x.pos < e.pos)
+        return amount(e) > 0 and (held <= 0 or amount(e) / held >= 0.1)
+
+    reasons = {}
+    for impact in seen:
+        if impact.kind not in R.IMPACT_TYPES or not impact.account:
+            continue
+        built = [e for e in risky if (e.account, e.asset) == (impact.account, impact.collateral) and e.pos < impact.pos]
+        prefix = "stale_oracle" if "stale_oracle" in proven(impact.collateral, impact.pos) else "bad_oracle"
+        chosen = [(e, "first_risky_collateral_supply") for e in built[:1]] + [(e, "latest_topup_before_impact") for e in built[-1:]]
+        chosen += [(e, "material_collateral_increase_>=10%") for e in built if material(e)]
+        for e, why in chosen:
+            reasons.setdefault(e.pos, (e, set()))[1].add(f"{prefix}:{why}")
+
+    def against(e):
+        """Why a borrow is odd."""
+        why = bad(e.collateral, e.pos)
+        if "formula_mismatch" in bad(e.borrowed, e.pos):
+            why = why | {"borrow_asset_formula_mismatch"}
+        reported, expected = number(e.said["collateral_value_usd_reported"]), number(e.said["collateral_value_usd_expected"])
+        inflated = reported is not None and expected is not None and expected > 0 and reported / expected > 10
+        return why | {"collateral_value_inflated"} if inflated else why
+
+    borrows = [(e, against(e)) for e in seen if e.kind == R.BORROW and against(e)]
+    seized = [e for e in seen if e.kind == R.LIQUIDATE and bad(e.collateral, e.pos) & {"feed_mismatch", "formula_mismatch"}]
+    alerts = [(c[2], e.pos, c[1]) for e, c in broken]
+    alerts += [(R.STALE_SUPPLY if "stale_oracle" in bad(e.asset, e.pos) else R.BAD_SUPPLY, pos, "|".join(sorted(why))) for pos, (e, why) in reasons.items()]
+    alerts += [(R.LOCALIZATION, e.pos, "|".join(sorted(why))) for e, why in borrows] + [(R.LOCALIZATION, e.pos, "") for e in seized]
+    named = [(e.pos, 0, e.said["borrower"] or e.said["account"]) for e, _ in borrows] + [(e.pos, 0, e.said["liquidator"]) for e in seized]
+    named += [(e.pos, 1, e.said["actor"]) for e, _ in borrows if key(e.said["actor"]) != key(e.said["borrower"] or e.said["account"])]
+    return sorted(alerts), list(dict.fromkeys(name for *_, name in sorted(named, key=lambda n: n[:2]) if name))
 
 
 def random_case(seed):
