@@ -118,6 +118,14 @@ def word_int_text(word: Column) -> Column:
     return F.coalesce(word_int_decimal(word).cast("string"), wide)
 
 
+def number_text(word: Column, signed: Column) -> Column:
+    """Exact value of a full 64-digit word as decimal text, two's complement where ``signed``."""
+    negative = signed & (F.substring(word, 1, 1) >= F.lit("8"))
+    body = F.when(negative, F.translate(word, HEX_DIGITS, HEX_COMPLEMENT)).otherwise(word)
+    digits = _digits(body, F.when(negative, F.lit(1)).otherwise(F.lit(0)))
+    return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits)
+
+
 def uint_text(value: Column) -> Column:
     return word_text(pad_word(value))
 
@@ -168,12 +176,39 @@ def address_topic(address: Column) -> Column:
     return F.concat(F.lit("0x"), pad_word(address))
 
 
+def _fits(value: Column) -> Column:
+    """A length or offset as long, NULL where it is beyond any data."""
+    return F.when(value < F.lit(2**29), value).cast("long")
+
+
+def _tail(body: Column, word: Column) -> tuple[Column, Column]:
+    """Of a dynamic value: the digit at which its content starts (from 1) and its length word."""
+    offset = _fits(_decimal(pad_word(word)))
+    length = _fits(_decimal(F.substring(body, (offset * 2 + 1).cast("int"), F.lit(64))))
+    return offset * 2 + 65, length
+
+
+def dynamic_bytes(body: Column, word: Column) -> Column:
+    """Hex digits of the ABI bytes whose offset is ``word``; NULL if they are not all there."""
+    start, length = _tail(body, word)
+    raw = F.substring(body, start.cast("int"), (length * 2).cast("int"))
+    return F.when(F.length(raw) == length * 2, raw)
+
+
+def dynamic_text(body: Column, word: Column) -> Column:
+    """The same read as UTF-8; bytes that are no text are replaced, as contracts may emit any."""
+    return F.make_valid_utf8(F.unhex(dynamic_bytes(body, word)).cast("string"))
+
+
+def dynamic_words(body: Column, word: Column) -> Column:
+    """Words of the ABI array of one-word elements whose offset is ``word``; NULL if they are not all there."""
+    start, length = _tail(body, word)
+    whole = F.length(body) >= start - 1 + length * 64
+    items = F.transform(F.sequence(F.lit(1).cast("long"), length), lambda i: F.substring(body, (start + (i - 1) * 64).cast("int"), F.lit(64)))
+    return F.when(whole & (length > 0), items).when(whole, F.array().cast("array<string>"))
+
+
 def dynamic_string(data: Column, head: int = 0) -> Column:
     """Text of an ABI dynamic string whose offset is in word ``head``; NULL if the bytes are missing."""
     body = hex_body(data)
-    fits = lambda n: F.when(n < F.lit(2**29), n).cast("long")  # noqa: E731 - a wider offset or length is beyond any data
-    offset = fits(_decimal(F.substring(body, 64 * head + 1, 64)))
-    length = fits(_decimal(F.substring(body, (offset * 2 + 1).cast("int"), F.lit(64))))
-    raw = F.substring(body, (offset * 2 + 65).cast("int"), (length * 2).cast("int"))
-    complete = F.length(raw) == length * 2
-    return F.when(complete, F.decode(F.unhex(raw), "UTF-8"))
+    return dynamic_text(body, F.substring(body, 64 * head + 1, 64))

@@ -241,6 +241,29 @@ SELECT event_id AS block_number, '{str(2**256 - 1)[:-18]}' || lpad(CAST({(2**256
        CAST(NULL AS VARCHAR) AS string, CAST(NULL AS BIGINT) AS updated_at, CAST(NULL AS BIGINT) AS started_at FROM events"""
 
 
+def _dynamic(spark, folder):
+    """Events as logs with a string, a number, an array and bytes; every seventh lacks its end."""
+    name = F.hex(F.col("topic0").cast("binary"))
+    size = F.length(F.col("topic0").cast("binary")).cast(LONG)
+    spot = lambda n: word_of(F.lit(n).cast(LONG))
+    number, cents = F.col("block_number"), _cents()
+    tail = F.concat(word_of(size), F.rpad(F.lower(name), 64, "0"), spot(2), word_of(number), word_of(cents), spot(3), F.lit("c0ffee"))
+    full = F.concat(F.lit("0x"), spot(128), word_of(number), spot(192), spot(288), tail)
+    rows = V.logs(spark, folder).withColumn("data", full)
+    cut = F.when(number % 7 == 0, F.left("data", F.length("data") - 2)).otherwise(F.col("data"))
+    rows = rows.withColumns({"data": cut, "topic0": F.lit("0xdd"), "topic1": F.lit(None).cast("string"), "topic2": F.lit(None).cast("string"), "topic3": F.lit(None).cast("string")})
+    inputs = [("what", "string", False), ("n", "uint256", False), ("ids", "uint64[]", False), ("raw", "bytes", False)]
+    abi = R.inline(spark, [("0xdd", "Note", inputs)], "topic0 string, event_name string, inputs array<struct<name:string,type:string,indexed:boolean>>")
+    found = DEC.decode_by_abi(rows, abi)
+    return found.select("block_number", F.array_join(F.transform("args", lambda a: F.concat_ws("=", a["name"], a["value"])), ",").alias("args"))
+
+
+QUERIES["decode_by_abi_dynamic"] = _dynamic
+SQL["decode_by_abi_dynamic"] = V.with_views(["h_logs"], """
+SELECT block_number, 'what=' || topic0 || ',n=' || block_number || ',ids=[' || block_number || ',' || CAST(floor(value * 100) AS BIGINT) || '],raw'
+       || CASE WHEN block_number % 7 = 0 THEN '' ELSE '=0xc0ffee' END AS args FROM h_logs""")
+
+
 def transfer_raw(spark, folder) -> DataFrame:
     """Line items as transfer logs; the supplier with key 0 stands for the zero address."""
     user = F.coalesce(F.col("o_custkey"), F.lit(0))

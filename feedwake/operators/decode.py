@@ -116,30 +116,42 @@ def transfer_flows(transfers: DataFrame, attacker: Column, protocol: Column) ->
 
 
 def decode_by_abi(logs: DataFrame, abi: DataFrame) -> DataFrame:
-    """Event name and static arguments of each log by an ABI table.
+    """Event name and arguments of each log by an ABI table.
 
     ``abi``: topic0, event_name, inputs array<struct<name,type,indexed>>. Indexed arguments come from
-    the topics in order, the others from the data words; dynamic types keep their offset word.
+    the topics in order (of a dynamic type the topic is a hash and stays), the others from the data: words,
+    strings, bytes (hex) and arrays of one-word elements (``[a,b]``). A value whose bytes are missing is NULL.
     """
-    joined = logs.join(abi, "topic0", "left")
-    topics = F.array("topic1", "topic2", "topic3")
-    data = W.words(F.col("data"))
+    indexed = F.filter("inputs", lambda a: a["indexed"])
+    plain = F.filter("inputs", lambda a: ~a["indexed"])
+
+    def cells(inputs: Column, words: Column) -> Column:
+        """Name, type and head word of each argument, so that what follows refers to a field and not to how it was cut."""
+        return F.transform(inputs, lambda arg, i: F.struct(
+            arg["name"].alias("name"), arg["type"].alias("type"), arg["indexed"].alias("indexed"), F.try_element_at(words, i + 1).alias("word")))
+
+    joined = logs.join(abi, "topic0", "left").withColumns({"_body": W.hex_body(F.col("data")), "_words": W.words(F.col("data"))})
+    rows = joined.withColumn("_cells", F.concat(cells(indexed, F.array("topic1", "topic2", "topic3")), cells(plain, F.col("_words"))))
+    body = F.col("_body")
 
-    def value(arg: Column, word: Column) -> Column:
-        kind = arg["type"]
+    def static(kind: Column, word: Column) -> Column:
         return (
             F.when(kind == "address", W.word_address(word)).when(kind == "bool", F.when(W.uint_double(word) != 0, F.lit("true")).otherwise(F.lit("false")))
-            .when(kind.startswith("uint"), W.uint_text(word)).when(kind.startswith("int"), W.int_text(word))
-            .otherwise(word)
+            .when(kind.rlike("^u?int"), W.number_text(W.pad_word(word), kind.startswith("int"))).otherwise(word)
         )
 
-    def named(inputs: Column, words: Column) -> Column:
-        return F.transform(inputs, lambda arg, i: F.struct(arg["name"].alias("name"), value(arg, F.try_element_at(words, i + 1)).alias("value")))
+    def value(cell: Column) -> Column:
+        kind, word = cell["type"], cell["word"]
+        items = F.array_join(F.transform(W.dynamic_words(body, word), lambda w: static(F.replace(kind, F.lit("[]"), F.lit("")), w)), ",")
+        return (
+            F.when(~cell["indexed"] & kind.endswith("[]"), F.concat(F.lit("["), items, F.lit("]")))
+            .when(~cell["indexed"] & (kind == "string"), W.dynamic_text(body, word))
+            .when(~cell["indexed"] & (kind == "bytes"), F.concat(F.lit("0x"), W.dynamic_bytes(body, word)))
+            .otherwise(static(kind, word))
+        )
 
-    indexed = F.filter("inputs", lambda a: a["indexed"])
-    plain = F.filter("inputs", lambda a: ~a["indexed"])
-    args = F.concat(named(indexed, topics), named(plain, data))
-    return joined.withColumn("args", args).drop("inputs")
+    args = F.transform("_cells", lambda cell: F.struct(cell["name"].alias("name"), value(cell).alias("value")))
+    return rows.withColumn("args", args).drop("inputs", "_body", "_words", "_cells")
 
 
 def event_name(topic0: Column, names: dict[str, str]) -> Column:

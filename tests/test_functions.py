@@ -33,6 +33,8 @@ def test_word_texts_are_exact(spark):
 def test_wide_numbers_do_not_end_the_job(spark):
     wide = "0x" + "f" * 64
     assert values(spark, [wide, wide * 3], W.dynamic_string) == [None, None]
+    odd = "0x" + format(32, "064x") + format(2, "064x") + "ff41"  # no UTF-8
+    assert values(spark, [odd], W.dynamic_string) == ["\ufffdA"]
     assert values(spark, ["9" * 30, "-" + "9" * 30, "9223372036854775807", "12.7", "x"], T.to_long) == [None, None, 2**63 - 1, 12, None]
 
 
