@@ -175,9 +175,10 @@ class Shelves:
     """Documents in ranges of doc_id, about ``SHELF_BYTES`` of text each.
 
     Order of shelves is order of doc_id, so "in an earlier document" needs no identifiers between shelves. Rows of equal
-    doc_id share a shelf; rows without one form the last. The splitters (one number for each shelf) come from a sketch of
-    the doc_ids; the count of shelves and of buckets follows the bytes of text, so a shelf, a bucket and a packed row keep
-    their sizes whatever the input.
+    doc_id share a shelf, and rows without one form the last: these two are as large as the input makes them. The splitters (one
+    number for each shelf) come from a sketch of the doc_ids, in which a row counts once and once more for each mean length of
+    its text: rows of a weight hold less bytes than as many of mean length, and all weights are twice the rows at most, so a shelf
+    of several doc_ids holds about twice ``SHELF_BYTES`` and a text at most, wherever the long texts are.
     """
 
     def __init__(self, docs: DataFrame, shelf_bytes: int | None = None, keep: Sequence[str] = ()):
@@ -189,7 +190,10 @@ class Shelves:
         self.splits = np.empty(0, np.int64)
         if self.count > 1 and total[1]:
             parts = [i / self.count for i in range(1, self.count)]
-            found = docs.where(F.col("doc_id").isNotNull()).agg(F.percentile_approx("doc_id", parts, 20 * self.count)).first()[0]
+            mean = max(1, -(-total[0] // total[2]))
+            weight = (F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / mean) + 1).cast("int")
+            ids = docs.where(F.col("doc_id").isNotNull()).select(F.explode(F.array_repeat("doc_id", weight)).alias("doc_id"))
+            found = ids.agg(F.percentile_approx("doc_id", parts, 20 * self.count)).first()[0]
             self.splits = np.unique(np.array(found, np.int64))
         self.buckets = self.count
         self.docs = self._assign(docs)
