@@ -153,17 +153,25 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
+def sampled(docs: DataFrame, known: DataFrame, sample: int) -> DataFrame:
+    """``doc_id``, ``toxic`` and one ``text`` for each of at most ``sample`` labels (``known``) of each class, by a hash of doc_id.
+
+    Where rows of ``docs`` repeat a doc_id the text with the smallest hash stands for them, so their number does not matter.
+    """
+    picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
+    rows = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(picked[0].union(picked[1]).distinct()), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on ``labels`` (``doc_id``, ``toxic``) of ``docs``; at most ``sample`` texts of each class come to the driver.
 
-    The sample is chosen from the labels by a hash of doc_id, then joined with the texts; it has a fixed bound, so it may be
-    broadcast. Rows with a null label or doc_id are not used. Without texts of both classes the model gives the share of toxic
+    The sample (see ``sampled``) is chosen from the labels, then joined with the texts; it has a fixed bound, so it may be broadcast. Rows with a null label or doc_id are not used. Without texts of both classes the model gives the share of toxic
     labels (0 without any).
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select(F.xxhash64("doc_id"), "text", "toxic").collect()
+    rows = sampled(docs, known, sample).select(F.xxhash64("doc_id"), "text", "toxic").collect()
     rows.sort(key=lambda r: (r[0], r[2], r[1] or ""))
     texts = {c: list(dict.fromkeys(r[1] for r in rows if r[2] == c and r[1])) for c in (0, 1)}
     total = sum(counts.values())
