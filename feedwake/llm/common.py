@@ -57,7 +57,8 @@ def encoded(texts) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SHELF_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of text (or entries of a list), one row at least."""
-    measure = pc.binary_length if pa.types.is_string(batch.column(column).type) else pc.list_value_length
+    kind = batch.column(column).type
+    measure = pc.list_value_length if pa.types.is_list(kind) or pa.types.is_large_list(kind) else pc.binary_length
     sizes = pc.fill_null(measure(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin = held = 0
     for row, size in enumerate(sizes):

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedwake.llm.common import encoded, slices
 from feedwake.llm.crc import crc32_spans
-from feedwake.operators.timeline import CHUNK, Scan, cut, running
+from feedwake.operators.timeline import Scan, cut, running
 from feedwake.storage import write_table
 
 #: Words of a feature at most, buckets, words of a document that may be drawn, drawn share as a fraction, seed of the draws.
@@ -126,19 +125,44 @@ def weights(docs: DataFrame, table: np.ndarray, most_words: int = MOST_WORDS) ->
 
 
 def drawn(scored: DataFrame, taken: int) -> DataFrame:
-    """Adds ``rank`` to a written table: 1, 2, 3 ... for the ``taken`` open rows (``n_words`` not null) of the highest ``score``, ties to the smaller doc_id.
+    """Adds ``rank`` to a written table: 1, 2, 3 ... for the ``taken`` rows (``open``) of the highest ``score``, ties to the smaller doc_id, else null.
 
-    Scores are whole numbers from a small range, whatever the rows: rows are counted by score first, so no row below the last
-    score is sorted. Rows of one score are numbered by doc_id in a timeline cut by range, so equal rows split as well.
+    Scores are whole numbers from a small range, whatever the rows: rows are counted by score first, so none below the last
+    drawn score is sorted. Rows of one score are numbered by doc_id in a timeline cut by range, so equal rows split as well.
     """
-    steps = scored.where("open").groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    higher = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("before", F.coalesce(F.sum("n").over(higher), F.lit(0))).where(F.col("before") < taken).select(F.col("score").alias("step"), "before")
-    top = scored.where("open").join(steps, F.col("score") == F.col("step")).drop("step")
-    keyed = top.withColumn("id_key", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("salt", F.monotonically_increasing_id())
-    placed = running(cut(keyed, ["score"], ["id_key", "salt"]), ["score"], ["id_key", "salt"], [Scan("place", "count", F.lit(1))])
-    rank = F.col("before") + F.col("place")
-    placed = placed.withColumn("rank", F.when(rank <= taken, rank).cast("long"))
-    lowest = steps.agg(F.min("step").alias("lowest"))
-    rest = scored.crossJoin(F.broadcast(lowest)) if False else scored  # noqa: B012
-    return placed, rest
+    higher = Window.orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    steps = scored.where("open").groupBy(F.col("score").alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    steps = write_table(steps.select("step", F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("before")).where(F.col("before") < taken))
+    lowest = steps.agg(F.min("step")).first()[0]
+    nothing = F.lit(None).cast("long")
+    if lowest is None:
+        return scored.withColumn("rank", nothing)
+    high = F.col("open") & (F.col("score") >= lowest)
+    top = scored.where(high).join(steps, F.col("score") == F.col("step")).withColumns(
+        {"id_key": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "salt": F.monotonically_increasing_id()}
+    )
+    placed = running(cut(top, ["score"], ["id_key", "salt"]), ["score"], ["id_key", "salt"], [Scan("place", "count", F.lit(1))])
+    rank = (F.col("before") + F.col("place")).cast("long")
+    placed = placed.withColumn("rank", F.when(rank <= taken, rank))
+    return placed.select(*scored.columns, "rank").unionByName(scored.where(~high).withColumn("rank", nothing))
+
+
+def resample(
+    docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, most_words: int = MOST_WORDS, least_words: int = LEAST_WORDS,
+    share: tuple[int, int] = SHARE, seed: int = SEED,
+) -> DataFrame:
+    """``doc_id``, ``n_features``, ``weight``, ``score`` and ``rank`` of each row of ``docs`` (``doc_id``, ``text``).
+
+    Bucket shares of all texts of ``docs`` and of ``target`` (``text``) give each bucket a gain; a row's weight is the mean gain of
+    its features, its score the weight plus Gumbel noise from its doc_id, so the highest scores are a draw without replacement
+    in proportion to exp(weight / 1000). Of the N rows with ``least_words`` words, floor(N * share) are ranked, the others have a null rank.
+
+    A null or empty text has no features and weight 0. Repeated rows are rows of their own with equal scores; a null doc_id draws
+    as an empty one and comes last in ties. Other columns are not read. An empty target or an empty table of documents is smoothed
+    like any other; without documents the result is empty.
+    """
+    table = gains(bucket_counts(docs, buckets, most_words), bucket_counts(target, buckets, most_words))
+    scored = weights(docs, table, most_words).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
+    scored = write_table(scored.withColumn("open", F.col("n_words") >= least_words).drop("n_words"))
+    n = scored.where("open").count()
+    return drawn(scored, n * share[0] // share[1]).select("doc_id", "n_features", "weight", "score", "rank")

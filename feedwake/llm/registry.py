@@ -6,6 +6,7 @@ from feedwake.llm import (
     bpe_queries,
     ctph_queries,
     fixity_queries,
+    importance_queries,
     mixing_queries,
     quality_queries,
     simhash_queries,
@@ -15,7 +16,7 @@ from feedwake.llm import (
     urls_queries,
 )
 
-MODULES = [toxicity_queries, bpe_queries, quality_queries, urls_queries, fixity_queries, simhash_queries, substring_queries, suffixes_queries, ctph_queries, mixing_queries]
+MODULES = [toxicity_queries, bpe_queries, quality_queries, urls_queries, fixity_queries, simhash_queries, substring_queries, suffixes_queries, ctph_queries, mixing_queries, importance_queries]
 
 
 def queries() -> dict:
