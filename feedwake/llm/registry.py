@@ -5,6 +5,7 @@ from __future__ import annotations
 from feedwake.llm import (
     bpe_queries,
     ctph_queries,
+    factors_queries,
     fixity_queries,
     importance_queries,
     mixing_queries,
@@ -16,7 +17,7 @@ from feedwake.llm import (
     urls_queries,
 )
 
-MODULES = [toxicity_queries, bpe_queries, quality_queries, urls_queries, fixity_queries, simhash_queries, substring_queries, suffixes_queries, ctph_queries, mixing_queries, importance_queries]
+MODULES = [toxicity_queries, bpe_queries, quality_queries, urls_queries, fixity_queries, simhash_queries, substring_queries, suffixes_queries, ctph_queries, mixing_queries, importance_queries, factors_queries]
 
 
 def queries() -> dict:
