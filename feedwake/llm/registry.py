@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from feedwake.llm import (
+    alignment_queries,
     bpe_queries,
     ctph_queries,
     factors_queries,
@@ -17,7 +18,7 @@ from feedwake.llm import (
     urls_queries,
 )
 
-MODULES = [toxicity_queries, bpe_queries, quality_queries, urls_queries, fixity_queries, simhash_queries, substring_queries, suffixes_queries, ctph_queries, mixing_queries, importance_queries, factors_queries]
+MODULES = [toxicity_queries, bpe_queries, quality_queries, urls_queries, fixity_queries, simhash_queries, substring_queries, suffixes_queries, ctph_queries, mixing_queries, alignment_queries, importance_queries, factors_queries]
 
 
 def queries() -> dict:

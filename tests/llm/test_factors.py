@@ -88,8 +88,10 @@ def test_few_labels(labelled):
 
 def test_the_sample_bounds_what_comes_to_the_driver(spark, labelled):
     docs, labels = labelled
-    many = docs.where("doc_id < 40").crossJoin(spark.range(30)).drop("id")
-    rows = factors.fit(many.limit(0).union(many), labels, sample=6)
-    assert rows.weights is not None
-    once = factors.fit(docs.where("doc_id < 40"), labels, sample=6)
-    assert np.allclose(rows.weights, once.weights) and rows.prior == once.prior
+    few, known = docs.where("doc_id < 40"), labels.where("doc_id < 40")
+    once = factors.fit(few, known, sample=6)
+    many = factors.fit(few.crossJoin(spark.range(30)).drop("id"), known, sample=6)
+    assert np.allclose(many.weights, once.weights) and np.allclose(many.factors, once.factors) and many.prior == once.prior
+    picked = [known.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(6) for c in (0, 1)]
+    again = factors.fit(few, picked[0].union(picked[1]), sample=1000)
+    assert np.allclose(again.centre, once.centre)

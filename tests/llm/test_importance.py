@@ -45,8 +45,7 @@ def plain(rows, target, n, buckets, least, share, seed):
 
 
 @pytest.mark.parametrize(("n", "share", "least"), [(1, (10, 100), 20), (1, (1, 1), 0), (3, (1, 2), 5)])
-def test_like_a_plain_computation(spark, docs, texts, monkeypatch, n, share, least):
-    monkeypatch.setattr(I, "CHUNK_BYTES", 300)
+def test_like_a_plain_computation(spark, docs, texts, n, share, least):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     target = [t for t in texts[20:40]] + [None, ""]
     goal = spark.createDataFrame([(t, "x") for t in target], "text string, doc_id string")
@@ -54,6 +53,16 @@ def test_like_a_plain_computation(spark, docs, texts, monkeypatch, n, share, lea
     assert sorted([tuple(r) for r in got], key=repr) == plain(rows, target, n, 500, least, share, I.SEED)
 
 
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_features_do_not_depend_on_chunks(texts, monkeypatch, n):
+    def counted():
+        return Counter((int(o), int(b)) for owner, bucket, _ in I.features(texts, 5000, n) for o, b in zip(owner, bucket, strict=True))
+
+    whole = counted()
+    monkeypatch.setattr(I, "CHUNK_BYTES", 40)
+    assert counted() == whole
+
+
 def test_words_and_case(spark):
     docs = spark.createDataFrame([(1, "AÉ b-2_C\x7fé x̂"), (2, "aÉ 2 c é x̂ b")], "doc_id long, text string")
     got = {r.doc_id: r for r in I.resample(docs, docs, least_words=0, share=(1, 1)).collect()}
