@@ -82,6 +82,23 @@ def test_like_a_plain_alignment(spark, docs, nothing):
     assert alignment.align(nothing, *PATHS).collect() == []
 
 
+def test_ids_by_ranks_are_those_of_the_file(texts):
+    codec = alignment.codecs(*PATHS)
+    assert codec.ranks
+    signs = [chr(c) for c in [*range(0x3000), *range(0xA000, 0xA100), *range(0x1F600, 0x1F650)]]
+    for text in [*(t for t in texts + ODD if t), *(f"a{c}b 1{c}2 {c}{c}.{c}\n{c}" for c in signs)]:
+        assert codec.ranks.encode_ordinary(text) == codec.a.encode(text, add_special_tokens=False).ids
+
+
+def test_a_file_with_more_than_ranks_is_read_by_its_library(tmp_path):
+    import json
+
+    told = json.load(open(PATHS[0], encoding="utf-8"))
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(told))
+    assert alignment.Codecs(str(tmp_path / "other.json"), PATHS[1]).ranks is None
+
+
 def test_parts_of_long_texts(monkeypatch, texts):
     codec = alignment.codecs(*PATHS)
     whole = [codec.encode(t) for t in texts + ODD]
