@@ -28,8 +28,8 @@ def _flag(shift: int):
 
 
 def exports(spark: SparkSession, folder: str) -> DataFrame:
-    """Every signup as an exported text row with mixed spellings of numbers, flags, times and lists."""
-    rows = V.logs(spark, folder).where(F.col("topic0") == "signup")
+    """Every event as an exported text row with mixed spellings of numbers, flags, times and lists."""
+    rows = V.logs(spark, folder)
     k = F.col("k")
     stamp = F.date_format("block_time", "yyyy-MM-dd HH:mm:ss")
     return rows.select(
@@ -54,7 +54,7 @@ V.register_view_sql("h_exports", f"""h_exports AS (
          k * 3000 - 1500 AS trigger_to_impact_seconds, k % 6 AS impact_tx_count, value AS impact_usd_known,
          CASE WHEN k % 10 < 9 THEN k % 4 ELSE 99 END AS source_quality_rank, CASE WHEN k % 4 > 0 THEN 'decoded_protocol_event' ELSE '' END AS source_quality,
          CASE WHEN k % 2 = 0 THEN [tx_hash, '0xaa', actor] ELSE [tx_hash, '0xbb'] END AS impact_txs
-  FROM h_logs WHERE topic0 = 'signup')""")
+  FROM h_logs)""")
 V.register_view_sql("h_cand", """h_cand AS (
   SELECT * FROM (SELECT *, row_number() OVER (ORDER BY source_file, source_row) AS n FROM h_exports)
   QUALIFY row_number() OVER (PARTITION BY chain, failure_class, lower(trigger_tx), lower(affected_asset) ORDER BY n) = 1)""")

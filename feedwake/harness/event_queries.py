@@ -87,10 +87,10 @@ SELECT DISTINCT f.function_name, t.symbol AS word FROM f JOIN b_tokens t ON cont
 
 
 def borrow_events(spark, folder) -> DataFrame:
-    """Returned line items as borrow events; large ones are logged after their transfer and find no partner."""
-    returned = V.table(spark, folder, "lineitem").where(F.col("l_returnflag") == "R")
-    return returned.select(
-        V.hash_of(F.col("l_orderkey")).alias("tx_hash"), F.col("l_suppkey").alias("market"), F.col("l_quantity").cast("decimal(38,0)").alias("raw"),
+    """Every line item as an event of a market (``Borrow``, or ``Mint`` if it was not returned); large ones are logged after their transfer and find no partner."""
+    kind = F.when(F.col("l_returnflag") == "R", "Borrow").otherwise("Mint")
+    return V.table(spark, folder, "lineitem").select(
+        V.hash_of(F.col("l_orderkey")).alias("tx_hash"), kind.alias("event"), F.col("l_suppkey").alias("market"), F.col("l_quantity").cast("decimal(38,0)").alias("raw"),
         (F.col("l_linenumber") + F.when(F.col("l_quantity") > 25, 1).otherwise(0)).cast(LONG).alias("log_index"), "l_partkey")
 
 
@@ -105,7 +105,7 @@ def _first_match(spark, folder):
 QUERIES["first_match_transfer"] = _first_match
 SQL["first_match_transfer"] = """
 WITH b AS (SELECT row_number() OVER () AS id, '0x' || lpad(lower(to_hex(l_orderkey)), 64, '0') AS tx_hash, l_suppkey AS market, CAST(l_quantity AS BIGINT) AS raw,
-                  CAST(l_linenumber + CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS BIGINT) AS log_index, l_partkey FROM lineitem WHERE l_returnflag = 'R')
+                  CAST(l_linenumber + CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS BIGINT) AS log_index, l_partkey FROM lineitem)
 SELECT any_value(b.tx_hash) AS tx_hash, any_value(b.market) AS market, any_value(b.raw) AS raw, any_value(b.log_index) AS log_index, any_value(b.l_partkey) AS l_partkey,
        CAST(min(l.l_linenumber) AS BIGINT) AS transfer_log_index
 FROM b LEFT JOIN lineitem l ON '0x' || lpad(lower(to_hex(l.l_orderkey)), 64, '0') = b.tx_hash AND l.l_suppkey = b.market AND CAST(l.l_quantity AS BIGINT) = b.raw
@@ -312,7 +312,7 @@ SELECT CASE WHEN l_suppkey = 7 AND o_custkey = 11 THEN 'attacker_to_protocol' WH
 def _losses(spark, folder):
     moves = DEC.decode_transfers(transfer_raw(spark, folder), token_meta(spark, folder))
     events = borrow_events(spark, folder).select(
-        F.lit("ethereum").alias("blockchain"), "tx_hash", F.lit("Borrow").alias("event"), RQ.account(F.col("market")).alias("market_address"), F.lit("").alias("account"),
+        F.lit("ethereum").alias("blockchain"), "tx_hash", "event", RQ.account(F.col("market")).alias("market_address"), F.lit("").alias("account"),
         F.col("raw").alias("amount_raw"), (F.col("log_index") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("market")).alias("log_index"))
     shifted = moves.withColumn("log_index", F.col("log_index") * 1_000_000_000 + 500_000_000)
     return DEC.loss_estimate(events, shifted).select(

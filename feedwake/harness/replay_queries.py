@@ -10,7 +10,6 @@ from feedwake import schemas as S
 from feedwake.harness import views as V
 from feedwake.plans import evaluate as E
 from feedwake.plans.replay import Replay, replay
-from feedwake.storage import write_table
 
 QUERIES = {}
 SQL = {}
@@ -75,8 +74,8 @@ def result(spark: SparkSession, folder: str) -> Replay:
 
 
 def played(spark: SparkSession, folder: str) -> tuple[DataFrame, Replay]:
-    """The traces, written once, and their replay."""
-    events = write_table(trace(spark, folder))
+    """The traces and their replay."""
+    events = trace(spark, folder)
     return events, replay(events, constraints(spark))
 
 
@@ -228,7 +227,7 @@ FROM d JOIN i ON i.kase = d.kase""")
 
 def _flags(spark, folder):
     events, found = played(spark, folder)
-    return write_table(E.record_flags(events, found.alerts))
+    return E.record_flags(events, found.alerts)
 
 
 V.register_view_sql("h_flags", """h_flags AS (
@@ -277,7 +276,7 @@ FROM h_flags WHERE direct OR alerted GROUP BY GROUPING SETS ((kase, event_type),
 
 def _effectiveness(spark, folder):
     events, found = played(spark, folder)
-    return write_table(E.detection_effectiveness(events, constraints(spark), found))
+    return E.detection_effectiveness(events, constraints(spark), found)
 
 
 V.register_view_sql("h_effect", """h_effect AS (
@@ -396,7 +395,7 @@ V.register_view_sql("h_samples", f"""h_samples AS (
 
 
 def _sample_alerts(spark, folder, found: Replay | None = None):
-    numbered = (found or result(spark, folder)).alerts.where(F.col("type") == R.LOCALIZATION)
+    numbered = (found or result(spark, folder)).localized
     return numbered.select(F.concat(F.lit("s"), F.col("block_number").cast("string")).alias("sample_id"))
 
 
@@ -416,7 +415,7 @@ SQL["tx_status_all_any"] = V.with_views([*ALERT_VIEWS, "h_samples", "h_benign"],
 def _combined(spark, folder):
     events, found = played(spark, folder)
     benign = E.benign_metrics(samples(spark, folder), _sample_alerts(spark, folder, found))
-    table = E.combined_precision(E.log_level_metrics(write_table(E.record_flags(events, found.alerts))), benign)
+    table = E.combined_precision(E.log_level_metrics(E.record_flags(events, found.alerts)), benign)
     return table.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes])
 
 
@@ -459,7 +458,7 @@ SELECT a.reason, a."count", a.case_counts, b.scope_counts FROM
 
 def _ablation(spark, folder):
     events, found = played(spark, folder)
-    table = E.ablation(events, constraints(spark), write_table(samples(spark, folder)), cases(spark), _sample_alerts(spark, folder, found))
+    table = E.ablation(events, constraints(spark), samples(spark, folder), cases(spark), _sample_alerts(spark, folder, found), found)
     return table.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedwake import rules as R
 from feedwake.functions import text as T
 from feedwake.operators.dedupe import first_n, one_row
-from feedwake.plans.replay import Replay, replay
+from feedwake.plans.replay import INFLATED, Replay, account_marks, actor_candidates, replay
 
 # Labels that the label score knows.
 SEMANTIC_LABELS = (
@@ -165,8 +165,10 @@ def record_flags(trace: DataFrame, alerts: DataFrame) -> DataFrame:
         _expected_alerts(F.col("event_type")).alias("expected"),
     )
     raised = alerts.select("case", "type", F.lower(F.coalesce("tx_hash", F.lit(""))).alias("tx_key"))
-    by_tx = raised.where(F.col("tx_key") != "").groupBy("case", "tx_key").agg(F.collect_set("type").alias("tx_types"))
-    by_case = raised.groupBy("case").agg(F.collect_set("type").alias("case_types"))
+    # types are few; the sets of a case are made of those of its transactions, so alerts are built once
+    per_tx = raised.groupBy("case", "tx_key").agg(F.collect_set("type").alias("tx_types"))
+    by_tx = per_tx.where(F.col("tx_key") != "")
+    by_case = per_tx.groupBy("case").agg(F.array_distinct(F.flatten(F.collect_set("tx_types"))).alias("case_types"))
     joined = rows.join(by_tx, ["case", "tx_key"], "left").join(by_case, "case", "left")
     on_tx = F.when(F.size("expected") == 0, F.col("tx_types").isNotNull()).otherwise(F.arrays_overlap("expected", "tx_types"))
     on_case = F.arrays_overlap("expected", "case_types")
@@ -274,7 +276,7 @@ def impact_txs(trace: DataFrame, keys: list[str]) -> DataFrame:
 def detection_effectiveness(trace: DataFrame, constraints: DataFrame, result: Replay) -> DataFrame:
     """Per case: impact transactions, those localized, alerts and accused accounts."""
     impacts = impact_txs(trace, ["case"])
-    localized = result.alerts.where(F.col("type") == R.LOCALIZATION).select("case", "tx_hash", F.lit(1).alias("hit")).distinct()
+    localized = result.localized.select("case", "tx_hash", F.lit(1).alias("hit")).distinct()
     per_case = impacts.join(localized, ["case", "tx_hash"], "left").groupBy("case").agg(
         F.count(F.lit(1)).alias("positive_impact_txs"), F.count("hit").alias("detected_impact_txs")
     )
@@ -399,34 +401,34 @@ def role_coverage(trace: DataFrame, result: Replay, cases: DataFrame | None = No
     return matched.groupBy("case", "address").agg(F.array_sort(F.collect_set("role")).alias("roles"))
 
 
-def variant_traces(trace: DataFrame) -> DataFrame:
-    """Copies of each trace as seen by the ablation variants (topic-only sees no semantics and gets none)."""
-    kind = F.col("event_type")
-    variants = F.array_compact(F.array(
-        F.lit(FULL), F.lit(ABI_ONLY), F.when(kind.isin(*R.DANGER_TYPES), F.lit(BOUNDARY_ONLY)),
-        F.when(kind.isin(*R.IMPACT_TYPES), F.lit(IMPACT_ONLY)),
-    ))
-    spread = trace.withColumn("variant", F.explode(variants))
-    abi = F.col("variant") == ABI_ONLY
-    blank = F.lit(None).cast(trace.schema["decoded"].dataType)
-    return spread.withColumn("event_type", F.when(abi, F.lit(R.ABI_LOG)).otherwise(kind)).withColumn(
-        "decoded", F.when(abi, blank).otherwise(F.col("decoded"))
-    )
+def _by_variant(rows: DataFrame, **seen: Column) -> DataFrame:
+    """A copy of each row for every variant whose condition holds."""
+    named = {"full": FULL, "boundary": BOUNDARY_ONLY, "impact": IMPACT_ONLY}
+    return rows.select("*", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(named[n])) for n, c in seen.items()]))).alias("variant"))
 
 
-def ablation(trace: DataFrame, constraints: DataFrame, samples: DataFrame, cases: DataFrame | None = None, sample_alerts: DataFrame | None = None) -> DataFrame:
+def ablation(
+    trace: DataFrame, constraints: DataFrame, samples: DataFrame, cases: DataFrame | None = None, sample_alerts: DataFrame | None = None,
+    result: Replay | None = None,
+) -> DataFrame:
     """One row per variant: recalls over the cases and warnings over the benign samples.
 
     ``sample_alerts`` are the alerts of the replayed samples (``sample_id``), which the full replay warns of.
 
-    All variants are replayed in one job, keyed by (variant, case).
+    One replay (``result``) serves all variants. Without impacts only boundary alerts are left. Without boundary events no asset is
+    bad, so of all alerts only borrows on an inflated value are left. Without semantics there are none.
     """
     spark = trace.sparkSession
     keys = ["variant", "case"]
     variants = R.inline(spark, [(v,) for v in VARIANTS], "variant string")
-    shown = variant_traces(trace)
-    by_variant = constraints.select("*", F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("variant"))
-    result = replay(shown, by_variant, keys=("variant", "case"))
+    result = result or replay(trace, constraints)
+    always = F.lit(True)
+    inflated = F.array_contains(F.from_json(F.get_json_object("details", "$.reasons"), "array<string>"), INFLATED)
+    of_impact = (F.col("record_role") == "borrow") & F.coalesce(inflated, F.lit(False))
+    alerts = _by_variant(result.alerts, full=always, boundary=F.col("record_role") == "oracle_boundary", impact=of_impact)
+    accusing = _by_variant(result.localized, full=always, impact=of_impact)
+    borrows = _by_variant(result.borrows, full=always, impact=of_impact)
+    actors = actor_candidates(account_marks(borrows, result.liquidations.withColumn("variant", F.lit(FULL)), keys), keys)
     impacts = impact_txs(trace, ["case"])
     order = F.struct(
         F.coalesce("block_timestamp", F.lit(0).cast("long")).alias("t"), F.coalesce("transaction_index", F.lit(0)).alias("i"),
@@ -438,11 +440,11 @@ def ablation(trace: DataFrame, constraints: DataFrame, samples: DataFrame, cases
         F.min(F.when(F.col("event_type").isin(*R.DANGER_TYPES) & has_tx, order)).alias("d"),
         F.min(F.when(F.col("event_type").isin(*R.IMPACT_TYPES) & has_tx, order)).alias("i"),
     ).select("case", "records", F.coalesce(F.col("d.t") < F.col("i.t"), F.lit(False)).alias("early"))
-    localized = result.alerts.where(F.col("type") == R.LOCALIZATION).select(*keys, "tx_hash").distinct().join(impacts, ["case", "tx_hash"], "left_semi")
+    localized = accusing.select(*keys, "tx_hash").distinct().join(impacts, ["case", "tx_hash"], "left_semi")
     gold = gold_actors(trace, cases, ["case"]).select("case", "address").distinct()
-    accused = result.actors.select(*keys, T.strict_address(F.col("address")).alias("address")).where(F.col("address") != "").distinct()
+    accused = actors.select(*keys, T.strict_address(F.col("address")).alias("address")).where(F.col("address") != "").distinct()
     per_case = [
-        result.alerts.groupBy(*keys).agg(F.count(F.lit(1)).alias("alerts")),
+        alerts.groupBy(*keys).agg(F.count(F.lit(1)).alias("alerts")),
         localized.groupBy(*keys).agg(F.count(F.lit(1)).alias("localized")),
         accused.groupBy(*keys).agg(F.count(F.lit(1)).alias("accused")),
         accused.join(gold, ["case", "address"], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("matched")),

@@ -20,6 +20,9 @@ from feedwake.storage import write_table
 MATERIAL_RATIO = 0.10
 INFLATED_RATIO = 10
 KINDS = ("feed_mismatch", "formula_mismatch", "stale_oracle", "price_source_outlier", "decimal_semantics_mismatch")
+# Reasons of alerts.
+INFLATED = "collateral_value_inflated"
+FIRST_SUPPLY, MATERIAL_SUPPLY, LATEST_SUPPLY = "first_risky_collateral_supply", "material_collateral_increase_>=10%", "latest_topup_before_impact"
 EVIDENCE_RULE = "first risky collateral supply or latest top-up before same-actor impact"
 
 
@@ -28,30 +31,44 @@ class Replay:
 
     ``alerts``: one row per alert. ``marks``: one row per accused account and alert.
     ``actors``: one row per accused account. ``state``: one row per bad asset and kind.
+
+    All read at most two written tables: when assets turned bad (a row per asset), and the cut of what matters of the acts
+    (supplies, borrows, liquidations). Neither is written before a result needs it.
     """
 
-    def __init__(self, events: DataFrame, broken: DataFrame, bad: DataFrame, keys: list[str]):
-        self._events, self._broken, self._bad, self._keys = events, broken, bad, keys
+    def __init__(self, events: DataFrame, boundary: DataFrame, keys: list[str], strict_state: bool):
+        self._events, self._boundary, self._keys, self._strict_state = events, boundary, keys, strict_state
+
+    @cached_property
+    def _acts(self) -> DataFrame:
+        bad = write_table(first_bad(self._boundary, self._keys, self._strict_state))
+        acts = judged(self._events.where(F.col("event_type").isin(R.SUPPLY, *R.IMPACT_TYPES)), bad, self._keys)
+        return cut(acts, [*self._keys, "actor_key", "asset_key"], ["pos"])
 
     @cached_property
     def boundary(self) -> DataFrame:
-        return boundary_alerts(self._broken, self._keys)
+        return alert_rows(self._boundary.where("hit"), self._keys, boundary_alert())
 
     @cached_property
     def borrows(self) -> DataFrame:
-        return borrow_alerts(self._events, self._bad, self._keys)
+        return alert_rows(self._acts.where(F.size("reasons") > 0), self._keys, borrow_alert())
 
     @cached_property
     def liquidations(self) -> DataFrame:
-        return liquidation_alerts(self._events, self._bad, self._keys)
+        return alert_rows(self._acts.where("seized"), self._keys, liquidation_alert())
 
     @cached_property
     def supplies(self) -> DataFrame:
-        return supply_alerts(early_supplies(self._events, self._broken, self._keys), self._bad, self._keys)
+        return alert_rows(early_supplies(self._acts, self._keys), self._keys, supply_alert())
+
+    @cached_property
+    def localized(self) -> DataFrame:
+        """Alerts that accuse accounts."""
+        return self.borrows.unionByName(self.liquidations)
 
     @cached_property
     def alerts(self) -> DataFrame:
-        return write_table(self.boundary.unionByName(self.borrows).unionByName(self.liquidations).unionByName(self.supplies))
+        return self.boundary.unionByName(self.localized).unionByName(self.supplies)
 
     @cached_property
     def marks(self) -> DataFrame:
@@ -63,7 +80,7 @@ class Replay:
 
     @cached_property
     def state(self) -> DataFrame:
-        return asset_state(self._events, self._broken, self._keys)
+        return asset_state(self._boundary, self._keys)
 
 
 def position(df: DataFrame) -> Column:
@@ -76,8 +93,8 @@ def _d(field: str) -> Column:
     return F.col(f"decoded.{field}")
 
 
-def prepare(trace: DataFrame, keys: list[str]) -> DataFrame:
-    """Trace rows with position and comparison keys."""
+def prepare(trace: DataFrame, keys: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """Trace rows with position, comparison keys and the columns ``more``."""
     supply_actor = T.first_text(_d("supplier"), _d("account"), _d("actor"))
     last_resort = F.when(F.col("event_type") == R.LIQUIDATE, _d("liquidator")).otherwise(_d("actor"))
     impact_actor = T.first_text(_d("borrower"), _d("account"), last_resort)
@@ -94,6 +111,7 @@ def prepare(trace: DataFrame, keys: list[str]) -> DataFrame:
         T.symbol_key(_d("collateral_asset")).alias("collateral_key"),
         T.symbol_key(_d("borrow_asset")).alias("borrow_key"),
         F.when(is_supply, supply_actor).otherwise(impact_actor).alias("event_actor"),
+        *[c.alias(name) for name, c in (more or {}).items()],
     )
 
 
@@ -107,7 +125,8 @@ def constraint_keys(constraints: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _violates() -> Column:
+def breaks() -> Column:
+    """Whether a boundary event breaks the constraint (``rule``) beside it."""
     event = F.col("event_type")
     forbidden, expected = F.coalesce(F.col("rule.forbidden_feed"), F.lit("")), F.coalesce(F.col("rule.expected_feed"), F.lit(""))
     actual = T.symbol_key(_d("actual_feed"))
@@ -157,122 +176,134 @@ def _details() -> Column:
     )
 
 
-def violations(events: DataFrame, covered: DataFrame, keys: list[str]) -> DataFrame:
-    """Boundary events that break a constraint, one row per broken constraint."""
-    boundary = events.where(F.col("kind").isNotNull())
-    return boundary.join(covered, [*keys, "asset_key", "kind"]).where(_violates())
-
+def boundary_rows(events: DataFrame, covered: DataFrame, keys: list[str]) -> DataFrame:
+    """Boundary events, one row for each constraint on their asset and kind (one without any): ``hit`` if it is broken.
 
-def _first_bad(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys, "asset_key").agg(
-        *[F.min(F.when(F.col("kind") == k, F.col("pos"))).alias(f"bad_{k}") for k in KINDS]
+    ``marks`` tells whether the event makes its asset bad for borrows and liquidations: every event but an answer does.
+    """
+    rows = events.where(F.col("kind").isNotNull()).join(covered, [*keys, "asset_key", "kind"], "left")
+    hit = F.col("constraint_id").isNotNull() & F.coalesce(breaks(), F.lit(False))
+    return rows.withColumn("hit", hit).withColumn("marks", (F.col("event_type") != R.ANSWER) | F.col("hit"))
+
+
+def first_bad(boundary: DataFrame, keys: list[str], strict_state: bool) -> DataFrame:
+    """Per asset: its first bad position by kind, and by proof (a broken constraint) of any kind and of staleness."""
+    marking = F.col("hit") if strict_state else F.col("marks")
+    return boundary.where("marks").groupBy(*keys, "asset_key").agg(
+        *[F.min(F.when((F.col("kind") == k) & marking, F.col("pos"))).alias(f"bad_{k}") for k in KINDS],
+        F.min(F.when(F.col("hit"), F.col("pos"))).alias("first_bad"),
+        F.min(F.when(F.col("hit") & (F.col("kind") == "stale_oracle"), F.col("pos"))).alias("first_stale"),
     )
 
 
-def loose_boundary(events: DataFrame, broken: DataFrame, keys: list[str]) -> DataFrame:
-    """Events that mark an asset in the main pass: every boundary event, answers only when stale."""
-    marking = events.where(F.col("kind").isNotNull() & (F.col("event_type") != R.ANSWER)).select(*keys, "asset_key", "kind", "pos")
-    return marking.unionByName(broken.where(F.col("event_type") == R.ANSWER).select(*keys, "asset_key", "kind", "pos"))
-
-
-def _alert(df: DataFrame, keys: list[str], *, id: Column, kind: Column, severity: Column, role: str, roles: Column, details: Column) -> DataFrame:
+def alert_rows(rows: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Rows as alerts: ``columns`` gives id, type, severity, record_role, candidate_actor_roles and details."""
     has_tx = F.coalesce(F.col("tx_hash"), F.lit("")) != ""
-    return df.select(
-        *keys, id.alias("id"), id.alias("constraint_id"), kind.alias("type"), severity.alias("severity"), "tx_hash", "block_number",
-        F.col("pos"), F.lit(role).alias("record_role"),
-        F.when(has_tx, F.array("tx_hash")).otherwise(F.array().cast("array<string>")).alias("evidence_tx_hashes"),
-        roles.alias("candidate_actor_roles"), details.alias("details"),
+    evidence = F.when(has_tx, F.array("tx_hash")).otherwise(F.array().cast("array<string>"))
+    c = columns
+    return rows.select(
+        *keys, c["id"].alias("id"), c["id"].alias("constraint_id"), c["type"].alias("type"), c["severity"].alias("severity"), "tx_hash", "block_number",
+        F.col("pos"), c["record_role"].alias("record_role"), evidence.alias("evidence_tx_hashes"),
+        c["candidate_actor_roles"].alias("candidate_actor_roles"), c["details"].alias("details"),
     )
 
 
+def _columns(id: Column, kind: Column, severity: Column, role: str, roles: Column, details: Column) -> dict[str, Column]:
+    return {"id": id, "type": kind, "severity": severity, "record_role": F.lit(role), "candidate_actor_roles": roles, "details": details}
+
+
 def _role_map(*pairs: tuple[str, Column]) -> Column:
     flat = [x for name, value in pairs for x in (F.lit(name), F.coalesce(value, F.lit("")))]
     return F.create_map(*flat) if flat else F.create_map().cast("map<string,string>")
 
 
-def boundary_alerts(broken: DataFrame, keys: list[str]) -> DataFrame:
-    return _alert(
-        broken, keys, id=F.col("constraint_id"), kind=F.col("kind"), severity=F.coalesce(F.col("rule.severity"), F.lit("critical")),
-        role="oracle_boundary", roles=_role_map(), details=_details(),
-    )
+def boundary_alert() -> dict[str, Column]:
+    return _columns(F.col("constraint_id"), F.col("kind"), F.coalesce(F.col("rule.severity"), F.lit("critical")), "oracle_boundary", _role_map(), _details())
 
 
-def _with_collateral_state(events: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
-    return events.join(bad.withColumnRenamed("asset_key", "collateral_key"), [*keys, "collateral_key"], "left")
+def borrow_alert() -> dict[str, Column]:
+    """Borrows against bad collateral, of an asset with a bad formula, or on an inflated value."""
+    borrower = T.first_text(_d("borrower"), _d("account"))
+    details = F.to_json(F.struct(
+        borrower.alias("borrower"), _d("collateral_asset").alias("collateral_asset"), _d("borrow_asset").alias("borrow_asset"),
+        _d("borrow_amount").alias("borrow_amount"), F.col("reasons").alias("reasons"),
+    ))
+    roles = _role_map(("borrower", borrower), ("actor", _d("actor")))
+    return _columns(F.lit("BORROW_AFTER_ORACLE_VIOLATION"), F.lit(R.LOCALIZATION), F.lit("critical"), "borrow", roles, details)
 
 
-def _before(kind: str) -> Column:
-    return F.coalesce(F.col(f"bad_{kind}") < F.col("pos"), F.lit(False))
+def liquidation_alert() -> dict[str, Column]:
+    """Liquidations of collateral whose feed or formula was set before."""
+    roles = _role_map(("liquidator", _d("liquidator")), ("borrower", _d("borrower")))
+    return _columns(F.lit("LIQUIDATION_AFTER_ORACLE_VIOLATION"), F.lit(R.LOCALIZATION), F.lit("high"), "liquidation", roles, F.to_json("decoded"))
 
 
-def borrow_alerts(events: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
-    """Borrows against bad collateral, of an asset with a bad formula, or on an inflated value."""
-    borrows = _with_collateral_state(events.where(F.col("event_type") == R.BORROW), bad, keys)
-    of_formula = bad.where(F.col("bad_formula_mismatch").isNotNull()).select(
-        *keys, F.col("asset_key").alias("borrow_key"), F.col("bad_formula_mismatch").alias("bad_borrow_formula")
-    )
-    borrows = borrows.join(of_formula, [*keys, "borrow_key"], "left")
-    reported, expected = T.to_double(_d("collateral_value_usd_reported")), T.to_double(_d("collateral_value_usd_expected"))
-    inflated = F.coalesce((expected > 0) & (F.try_divide(reported, expected) > INFLATED_RATIO), F.lit(False))
-    found = [F.when(_before(k), F.lit(k)) for k in KINDS]
-    found.append(F.when(F.coalesce(F.col("bad_borrow_formula") < F.col("pos"), F.lit(False)), F.lit("borrow_asset_formula_mismatch")))
-    found.append(F.when(inflated, F.lit("collateral_value_inflated")))
-    rows = borrows.withColumn("reasons", F.array_sort(F.array_compact(F.array(*found)))).where(F.size("reasons") > 0)
-    rows = rows.withColumn("borrower", T.first_text(_d("borrower"), _d("account")))
+def supply_alert() -> dict[str, Column]:
+    """Supplies of a bad asset that a later impact of the same account builds on."""
     details = F.to_json(F.struct(
-        "borrower", _d("collateral_asset").alias("collateral_asset"), _d("borrow_asset").alias("borrow_asset"),
-        _d("borrow_amount").alias("borrow_amount"), "reasons",
+        F.col("event_actor").alias("supplier"), _d("asset").alias("asset"), _d("amount").alias("amount"),
+        F.col("reasons").alias("reasons"), F.lit(EVIDENCE_RULE).alias("evidence_rule"),
     ))
-    alerts = _alert(
-        rows, keys, id=F.lit("BORROW_AFTER_ORACLE_VIOLATION"), kind=F.lit(R.LOCALIZATION), severity=F.lit("critical"), role="borrow",
-        roles=_role_map(("borrower", F.col("borrower")), ("actor", _d("actor"))), details=details,
-    )
-    return alerts
+    kind = F.when(F.col("stale_now"), F.lit(R.STALE_SUPPLY)).otherwise(F.lit(R.BAD_SUPPLY))
+    roles = _role_map(("supplier", F.col("event_actor")), ("actor", _d("actor")))
+    return _columns(F.lit("COLLATERAL_ENABLING_SUPPLY"), kind, F.lit("high"), "early_evidence", roles, details)
 
 
-def liquidation_alerts(events: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
-    """Liquidations of collateral whose feed or formula was set before."""
-    rows = _with_collateral_state(events.where(F.col("event_type") == R.LIQUIDATE), bad, keys)
-    rows = rows.where(_before("feed_mismatch") | _before("formula_mismatch"))
-    return _alert(
-        rows, keys, id=F.lit("LIQUIDATION_AFTER_ORACLE_VIOLATION"), kind=F.lit(R.LOCALIZATION), severity=F.lit("high"),
-        role="liquidation", roles=_role_map(("liquidator", _d("liquidator")), ("borrower", _d("borrower"))),
-        details=F.to_json("decoded"),
-    )
+def act_columns() -> dict[str, Column]:
+    """The account and the asset that a supply, borrow or liquidation is followed by, and what it amounts to."""
+    is_supply = F.col("event_type") == R.SUPPLY
+    reported, expected = T.to_double(_d("collateral_value_usd_reported")), T.to_double(_d("collateral_value_usd_expected"))
+    inflated = (F.col("event_type") == R.BORROW) & (expected > 0) & (F.try_divide(reported, expected) > INFLATED_RATIO)
+    return {
+        "actor_key": T.symbol_key(F.col("event_actor")), "asset_key": F.when(is_supply, F.col("asset_key")).otherwise(F.col("collateral_key")),
+        "is_supply": is_supply, "amount": F.when(is_supply, T.to_double(_d("amount"))), "inflated": F.coalesce(inflated, F.lit(False)),
+    }
 
 
-def early_supplies(events: DataFrame, broken: DataFrame, keys: list[str]) -> DataFrame:
+def _before(position: str) -> Column:
+    return F.coalesce(F.col(position) < F.col("pos"), F.lit(False))
+
+
+def judged(events: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
+    """Acts that matter: odd borrows (``reasons``), ``seized`` liquidations, and ``risky`` acts on an asset that is proven bad.
+
+    Whether an asset was bad before an act is a comparison with its first bad positions, so acts meet one row per asset.
+    """
+    of_formula = bad.where(F.col("bad_formula_mismatch").isNotNull()).select(
+        *keys, F.col("asset_key").alias("borrow_key"), F.col("bad_formula_mismatch").alias("bad_borrow_formula")
+    )
+    told = [*keys, "event_type", "pos", "tx_hash", "block_number", "event_actor", "borrow_key", "decoded"]
+    rows = events.select(*told, *[c.alias(name) for name, c in act_columns().items()]).join(bad, [*keys, "asset_key"], "left").join(of_formula, [*keys, "borrow_key"], "left")
+    is_borrow = F.col("event_type") == R.BORROW
+    found = [F.when(_before(f"bad_{k}"), F.lit(k)) for k in KINDS]
+    found += [F.when(_before("bad_borrow_formula"), F.lit("borrow_asset_formula_mismatch")), F.when(F.col("inflated"), F.lit(INFLATED))]
+    reasons = F.array_sort(F.array_compact(F.array(*found)))
+    seized = (F.col("event_type") == R.LIQUIDATE) & (_before("bad_feed_mismatch") | _before("bad_formula_mismatch"))
+    risky = (F.col("actor_key") != "") & (F.col("asset_key") != "") & _before("first_bad")
+    marked = rows.withColumns({
+        "reasons": F.when(is_borrow, reasons).otherwise(F.array().cast("array<string>")), "seized": seized,
+        "risky": F.coalesce(risky, F.lit(False)), "stale_now": _before("bad_stale_oracle"),
+    })
+    kept = marked.where((F.size("reasons") > 0) | F.col("seized") | F.col("risky"))
+    return kept.drop("borrow_key", "bad_borrow_formula", "first_bad", *[f"bad_{k}" for k in KINDS])
+
+
+def early_supplies(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Supplies of an already bad asset that a later impact of the same account builds on.
 
     Chosen are an account's first risky supply, its latest one before each impact, and every
-    one that adds at least a tenth to what it supplied before.
+    one that adds at least a tenth to what it supplied before. ``chunks`` is the cut of the judged acts; only risky ones count.
     """
-    strict = broken.groupBy(*keys, "asset_key").agg(
-        F.min("pos").alias("first_bad"), F.min(F.when(F.col("kind") == "stale_oracle", F.col("pos"))).alias("first_stale")
-    )
-    is_supply = F.col("event_type") == R.SUPPLY
-    steps = events.where(F.col("event_type").isin(R.SUPPLY, R.BORROW, R.LIQUIDATE)).select(
-        *keys,
-        T.symbol_key(F.col("event_actor")).alias("actor_key"),
-        F.when(is_supply, F.col("asset_key")).otherwise(F.col("collateral_key")).alias("asset_key"),
-        "pos",
-        is_supply.alias("is_supply"),
-        F.when(is_supply, T.to_double(_d("amount"))).alias("amount"),
-        F.when(is_supply, F.struct("tx_hash", "block_number", "event_actor", _d("asset").alias("asset"), _d("actor").alias("actor"),
-                                   _d("amount").alias("amount"))).alias("supply"),
-    ).where((F.col("actor_key") != "") & (F.col("asset_key") != ""))
-    risky = steps.join(strict, [*keys, "asset_key"]).where(F.col("first_bad") < F.col("pos"))
-    group = [*keys, "actor_key", "asset_key"]
-    order = ["pos"]
-    impact_pos = F.when(~F.col("is_supply"), F.col("pos"))
-    step = F.struct(F.col("is_supply").alias("is_supply"), F.col("pos").alias("pos"))
-    positive = F.when(F.col("is_supply") & (F.col("amount") > 0), F.col("amount"))
-    chunks = cut(risky, group, order)
+    group, order = [*keys, "actor_key", "asset_key"], ["pos"]
+    risky = F.col("risky")
+    supply = risky & F.col("is_supply")
+    impact_pos = F.when(risky & ~F.col("is_supply"), F.col("pos"))
+    step = F.when(risky, F.struct(F.col("is_supply").alias("is_supply"), F.col("pos").alias("pos")))
     looked_back = running(
         chunks, group, order,
         [
-            Scan("prior_amount", "sum", positive),
-            Scan("prior_supplies", "count", F.when(F.col("is_supply"), F.lit(1))),
+            Scan("prior_amount", "sum", F.when(supply & (F.col("amount") > 0), F.col("amount"))),
+            Scan("prior_supplies", "count", F.when(supply, F.lit(1))),
             Scan("previous", "last", step),
         ],
         strict=True,
@@ -283,18 +314,18 @@ def early_supplies(events: DataFrame, broken: DataFrame, keys: list[str]) -> Dat
             Scan("next_step", "last", step),
             Scan("next_impact", "last", impact_pos),
             Scan("last_impact", "max", impact_pos),
-            Scan("before_next_supply", "last", F.when(F.col("is_supply"), F.col("previous"))),
+            Scan("before_next_supply", "last", F.when(supply, F.col("previous"))),
         ],
         strict=True, descending=True,
     )
-    supplies = looked_ahead.where(F.col("is_supply") & F.col("last_impact").isNotNull())
+    supplies = looked_ahead.where(supply & F.col("last_impact").isNotNull())
     prior = F.coalesce("prior_amount", F.lit(0.0))
     material = F.coalesce((F.col("amount") > 0) & ((prior <= 0) | (F.try_divide(F.col("amount"), prior) >= MATERIAL_RATIO)), F.lit(False))
     run_end = F.when(F.col("before_next_supply").isNull(), F.col("last_impact")).otherwise(F.col("before_next_supply.pos"))
     reasons = F.concat(
-        _prefixed(F.col("prior_supplies") == 0, "first_risky_collateral_supply", F.col("last_impact")),
-        _prefixed(material, "material_collateral_increase_>=10%", F.col("last_impact")),
-        _prefixed(~F.col("next_step.is_supply"), "latest_topup_before_impact", run_end),
+        _prefixed(F.col("prior_supplies") == 0, FIRST_SUPPLY, F.col("last_impact")),
+        _prefixed(material, MATERIAL_SUPPLY, F.col("last_impact")),
+        _prefixed(~F.col("next_step.is_supply"), LATEST_SUPPLY, run_end),
     )
     return supplies.withColumn("reasons", F.array_sort(F.array_distinct(F.array_compact(reasons)))).where(F.size("reasons") > 0)
 
@@ -307,22 +338,6 @@ def _prefixed(chosen: Column, reason: str, last: Column) -> Column:
     return F.array(F.when(bad, F.lit(f"bad_oracle:{reason}")), F.when(late, F.lit(f"stale_oracle:{reason}")))
 
 
-def supply_alerts(chosen: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
-    stale_now = bad.where(F.col("bad_stale_oracle").isNotNull()).select(*keys, "asset_key", "bad_stale_oracle")
-    rows = chosen.join(stale_now, [*keys, "asset_key"], "left")
-    rows = rows.withColumn("tx_hash", F.col("supply.tx_hash")).withColumn("block_number", F.col("supply.block_number"))
-    details = F.to_json(F.struct(
-        F.col("supply.event_actor").alias("supplier"), F.col("supply.asset").alias("asset"), F.col("supply.amount").alias("amount"),
-        "reasons", F.lit(EVIDENCE_RULE).alias("evidence_rule"),
-    ))
-    return _alert(
-        rows, keys, id=F.lit("COLLATERAL_ENABLING_SUPPLY"),
-        kind=F.when(_before("stale_oracle"), F.lit(R.STALE_SUPPLY)).otherwise(F.lit(R.BAD_SUPPLY)), severity=F.lit("high"),
-        role="early_evidence", roles=_role_map(("supplier", F.col("supply.event_actor")), ("actor", F.col("supply.actor"))),
-        details=details,
-    )
-
-
 def account_marks(borrows: DataFrame, liquidations: DataFrame, keys: list[str]) -> DataFrame:
     """Accounts named by borrow and liquidation alerts, in the order they are named."""
     text = lambda name: F.coalesce(F.get_json_object("details", f"$.{name}"), F.lit("None"))
@@ -362,13 +377,10 @@ def actor_candidates(marks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def asset_state(events: DataFrame, broken: DataFrame, keys: list[str]) -> DataFrame:
+def asset_state(boundary: DataFrame, keys: list[str]) -> DataFrame:
     """Per bad asset and kind: when it turned bad and what the latest such event said."""
-    no_rule = F.lit(None).cast(broken.schema["rule"].dataType)
-    marking = events.where(F.col("kind").isNotNull() & (F.col("event_type") != R.ANSWER)).withColumn("rule", no_rule)
-    seen = marking.select(*keys, "asset_key", "kind", "pos", _details().alias("details")).unionByName(
-        broken.where(F.col("event_type") == R.ANSWER).select(*keys, "asset_key", "kind", "pos", _details().alias("details"))
-    )
+    rule = F.when(F.col("event_type") == R.ANSWER, F.col("rule"))  # other events speak for themselves
+    seen = boundary.where("marks").withColumn("rule", rule).select(*keys, "asset_key", "kind", "pos", _details().alias("details"))
     return seen.groupBy(*keys, "asset_key", "kind").agg(
         F.min("pos").alias("first_bad"), F.max("pos").alias("last_seen"), F.max_by("details", "pos").alias("details")
     )
@@ -381,9 +393,5 @@ def replay(trace: DataFrame, constraints: DataFrame, *, keys: tuple[str, ...] =
     borrows and liquidations; by default correct feed and formula events do so too.
     """
     keys = list(keys)
-    # each is written once, as every kind of alert and every metric reads them
-    events = write_table(prepare(trace, keys))
-    broken = write_table(violations(events, constraint_keys(constraints, keys), keys))
-    marking = broken.select(*keys, "asset_key", "kind", "pos") if strict_state else loose_boundary(events, broken, keys)
-    bad = write_table(_first_bad(marking, keys))
-    return Replay(events, broken, bad, keys)
+    events = prepare(trace, keys)
+    return Replay(events, boundary_rows(events, constraint_keys(constraints, keys), keys), keys, strict_state)

@@ -93,3 +93,40 @@ def test_strict_state_ignores_correct_feed_events(spark):
     trace = X.trace_frame(spark, events)
     assert [r["type"] for r in replay(trace, rules).alerts.collect()] == [R.LOCALIZATION]
     assert replay(trace, rules, strict_state=True).alerts.count() == 0
+
+
+def test_one_replay_writes_two_tables_for_all_results(spark):
+    from feedwake import storage
+    from feedwake.plans import evaluate as E
+
+    cases = [X.random_case(seed) for seed in range(12)]
+    trace = X.trace_frame(spark, [e for _, es, _ in cases for e in es])
+    rules = X.constraint_frame(spark, [r for _, _, rs in cases for r in rs])
+    before = sum(map(len, storage._WRITTEN.values()))
+    result = replay(trace, rules)
+    assert sum(map(len, storage._WRITTEN.values())) == before, "a replay that nothing was asked of writes nothing"
+    for part in (result.alerts, result.actors, result.state, E.log_level_metrics(E.record_flags(trace, result.alerts))):
+        part.collect()
+    samples = spark.createDataFrame([("s", "t", "strict_benign", "BORROW", "S1", True)], "sample_id string, tx_hash string, verification_status string, replay_event_type string, scope_class string, abi_available boolean")
+    E.ablation(trace, rules, samples, result=result).collect()
+    assert sum(map(len, storage._WRITTEN.values())) == before + 2
+
+
+def test_ablation_variants_are_replays_of_cut_traces(spark):
+    """Filters of one replay's alerts against a replay of each variant's own rows."""
+    from pyspark.sql import functions as F
+
+    from feedwake.plans import evaluate as E
+
+    cases = [X.random_case(seed) for seed in range(40)]
+    trace = X.trace_frame(spark, [e for _, es, _ in cases for e in es])
+    rules = X.constraint_frame(spark, [r for _, _, rs in cases for r in rs])
+    samples = spark.createDataFrame([], "sample_id string, tx_hash string, verification_status string, replay_event_type string, scope_class string, abi_available boolean")
+    got = {r["variant"]: r for r in E.ablation(trace, rules, samples).collect()}
+    shown = {E.FULL: trace, E.BOUNDARY_ONLY: trace.where(F.col("event_type").isin(*R.DANGER_TYPES)), E.IMPACT_ONLY: trace.where(F.col("event_type").isin(*R.IMPACT_TYPES))}
+    for variant, rows in shown.items():
+        own = replay(rows, rules)
+        assert got[variant]["attack_alert_cases"] == own.alerts.select("case").distinct().count(), variant
+        assert got[variant]["replayable_attack_cases"] == own.localized.where("tx_hash <> ''").select("case").distinct().count(), variant
+        assert got[variant]["detected_impact_txs"] == own.localized.where("tx_hash <> ''").select("case", "tx_hash").distinct().count(), variant
+    assert got[E.IMPACT_ONLY]["attack_alert_cases"] > 0 and got[E.ABI_ONLY]["attack_alert_cases"] == 0

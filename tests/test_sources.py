@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from feedwake import rules as R
 from feedwake import schemas as S
 from feedwake.sources import files, tables
-from feedwake.streaming.replay_stream import replay_stream
 from tests import traces as X
 
 
@@ -96,22 +95,3 @@ def test_writers(spark, tmp_path):
     tables.write_csv(rows, f"{tmp_path}/c")
     assert spark.read.parquet(f"{tmp_path}/o").count() == 3 and spark.read.parquet(f"{tmp_path}/cases/attackers").count() == 3
     assert spark.read.json(f"{tmp_path}/j").count() == 3 and spark.read.option("header", True).csv(f"{tmp_path}/c").columns == rows.columns
-
-
-def test_stream_agrees_with_batch(spark, tmp_path):
-    from feedwake.plans.replay import replay
-
-    events = [
-        X.event("s", R.FEED_SET, 1, tx_hash="0x1", asset="USDC", actual_feed="BTC", ordinal=0), X.event("s", R.BORROW, 2, tx_hash="0x2", borrower="b", collateral_asset="USDC"),
-        X.event("s", R.STALE_START, 3, tx_hash="0x3", asset="LUNA"), X.event("s", R.BORROW, 4, tx_hash="0x4", borrower="b", collateral_asset="LUNA"),
-        X.event("s", R.LIQUIDATE, 5, tx_hash="0x5", liquidator="l", collateral_asset="usdc")]
-    trace = X.trace_frame(spark, events)
-    for i in range(3):
-        trace.where(F.col("input_ord").isin(2 * i, 2 * i + 1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    rules = X.constraint_frame(spark, [X.constraint("s", "F", "feed_mismatch", "USDC", expected_feed="USDC"), X.constraint("s", "L", "stale_oracle", "LUNA")])
-    source = spark.readStream.schema(trace.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    query = replay_stream(source, rules, f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/check")
-    query.awaitTermination(120)
-    got = sorted((r["type"], r["tx_hash"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    want = sorted((r["type"], r["tx_hash"]) for r in replay(trace, rules).alerts.collect())
-    assert got == want and len(got) == 5
