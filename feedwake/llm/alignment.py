@@ -20,7 +20,7 @@ from feedwake.llm.common import slices
 from feedwake.storage import write_table
 
 #: Text bytes that are aligned at once, and of a chunk (documents whose links share one list of distinct pairs).
-TEXTS, CHUNK_BYTES = 1 << 20, 8 << 20
+TEXTS, CHUNK_BYTES = 1 << 18, 8 << 20
 BLANK = "▁"
 
 
