@@ -73,15 +73,15 @@ def binding_identities(changes: DataFrame, cluster: DataFrame, feeds: DataFrame,
         "blockchain", "protocol_cluster_id", F.col("address").alias("affected_asset_address"), F.col("protocol_label").alias("affected_asset_label")
     ).withColumn("asset_identity", ID.asset_identity(F.col("affected_asset_label"), order))
     in_cluster = ["blockchain", "protocol_cluster_id"]
-    calls = changes.select(*in_cluster, "trigger_tx", "tx_data").distinct()
     asset_hits = contains_hex(
-        calls, assets, in_cluster, "tx_data", "affected_asset_address", [*in_cluster, "trigger_tx", "affected_asset_address", "affected_asset_label"]
-    ).drop("tx_data")
+        changes.select(*in_cluster, "trigger_tx", "tx_data"), assets, in_cluster, "tx_data", "affected_asset_address",
+        [*in_cluster, "trigger_tx", "affected_asset_address", "affected_asset_label"],
+    )
     sources = feeds.select("blockchain", F.col("address").alias("feed_address"), "feed_label", "feed_identity")
     feed_hits = contains_hex(
-        changes.select("blockchain", "trigger_tx", "tx_data").distinct(), sources, ["blockchain"], "tx_data", "feed_address",
+        changes.select("blockchain", "trigger_tx", "tx_data"), sources, ["blockchain"], "tx_data", "feed_address",
         ["blockchain", "trigger_tx", "feed_address", "feed_label"],
-    ).drop("tx_data")
+    )
     joined = changes.join(asset_hits, [*in_cluster, "trigger_tx"], "left").join(feed_hits, ["blockchain", "trigger_tx"], "left")
     seen_asset, seen_feed = F.col("asset_identity").isNotNull(), F.col("feed_identity").isNotNull()
     return joined.withColumn("asset_identity_observed", seen_asset).withColumn("feed_identity_observed", seen_feed).withColumn(
@@ -219,7 +219,7 @@ def asset_hints(changes: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataF
     words = contains_text(changes, needles, "function_name", "affected_asset")
     by_name = changes.select("blockchain", "function_name").distinct().join(words, "function_name").join(needles, ["blockchain", "affected_asset"])
     by_data = contains_hex(
-        changes.select("blockchain", "trigger_tx", "function_name", "tx_data").distinct(), needles, ["blockchain"], "tx_data", "affected_asset_address", HINT
+        changes.select("blockchain", "trigger_tx", "function_name", "tx_data"), needles, ["blockchain"], "tx_data", "affected_asset_address", HINT
     )
     return by_name.select("blockchain", "function_name", "affected_asset_address", "affected_asset").distinct(), by_data.select(*HINT).distinct()
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from feedwake.operators.timeline import asof
 
-GRAM = 20  # hex digits; any 40-digit run holds one aligned block of 20 in full
+#: Hex digits of a block (any 40-digit run holds one aligned block of 20 in full), and what stands before and behind the digits.
+GRAM, OUTSIDE = 20, "\u0001"
+#: Characters of a gram.
+Q = 3
 
 
 def interval_join(
@@ -67,41 +70,101 @@ def or_join(left: DataFrame, right: DataFrame, on: Sequence[str], any_of: Sequen
     return rows.dropDuplicates([*left_id, *[c for c in right_id if c not in left_id]])
 
 
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(F.lower(value), "^0x", "")
+
+
+def _even(block: Column) -> Column:
+    """Whether a text is one character repeated, as most blocks of call data are (zeros)."""
+    return F.replace(block, F.substring(block, 1, 1), F.lit("")) == ""
+
+
+def _hex_index(data: Column) -> Column:
+    """Distinct entries of the aligned blocks of ``data``, in one pass over it.
+
+    An entry is a block between its neighbours (60 digits), in which any needle over the block lies; the block is its key. A block of one
+    repeated digit says little: it stands for the ``GRAM`` windows of 40 digits that hold it and start within the block before it, or at its own
+    start, each the key of itself. Equal windows of a long run are one entry, so entries grow with the length of ``data`` at most.
+    """
+    body = _digits(data)
+    width = (F.ceil(F.length(body) / GRAM) * GRAM).cast("int")
+    blocks = F.regexp_extract_all(F.concat(F.lit(OUTSIDE * GRAM), F.rpad(body, width, OUTSIDE), F.lit(OUTSIDE * GRAM)), F.lit(f"(?s).{{{GRAM}}}"), F.lit(0))
+    inner = F.greatest(F.size(blocks) - 2, F.lit(0))
+    # zipped, not looked up by place: a function of each element must not name the whole list
+    beside = F.arrays_zip(*[F.slice(blocks, k, inner) for k in (1, 2, 3)])
+
+    def entries(three: Column) -> Column:
+        around = F.concat(three["0"], three["1"], three["2"])
+        windows = F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda o: F.substring(around, o + 1, F.lit(2 * GRAM)))
+        run = F.array(F.substring(around, 1, 2 * GRAM))
+        return F.when(~_even(three["1"]), F.array(around)).when(_even(around), run).otherwise(windows)
+
+    return F.array_distinct(F.flatten(F.when(F.length(body) >= 2 * GRAM, F.transform(beside, entries))))
+
+
+def _key(entry: Column) -> Column:
+    return F.when(F.length(entry) == 2 * GRAM, entry).otherwise(F.substring(entry, GRAM + 1, GRAM))
+
+
 def contains_hex(
     haystacks: DataFrame, needles: DataFrame, on: Sequence[str], data: str, needle: str, keep: Sequence[str]
 ) -> DataFrame:
-    """Pairs where 40-digit hex ``needle`` occurs anywhere in hex ``data``, aligned or not.
+    """Pairs where 40-digit hex ``needle`` occurs anywhere in hex ``data``, aligned or not; without ``data``, one row for each ``keep``.
+
+    An occurrence holds an aligned block of 20 digits in full, at one of 20 offsets, between parts of the two blocks beside it. So
+    ``data`` becomes an index of its blocks (see ``_hex_index``) that carries the other columns but not ``data``, and a match is proved from
+    the 60 digits of an entry. Needles meet it by 20 slices each; a slice of one repeated digit asks for the whole needle instead,
+    so the zeros that fill call data are no common key.
+    """
+    columns = [c for c in haystacks.columns if c != data]
+    index = haystacks.select(*columns, F.explode(_hex_index(F.col(data))).alias("_around")).withColumn("_key", _key(F.col("_around")))
+    digits = _digits(F.col(needle))
+
+    def asked(o: Column) -> Column:
+        piece = F.substring(digits, o + 1, F.lit(GRAM))
+        return F.when(_even(piece), F.struct(digits.alias("key"), F.lit(0).alias("at"))).otherwise(F.struct(piece.alias("key"), (F.lit(GRAM) - o).alias("at")))
+
+    slices = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(GRAM - 1)), asked))
+    keyed = needles.where(F.length(digits) == 2 * GRAM).withColumn("_asked", F.explode(slices))
+    keyed = keyed.withColumns({"_key": F.col("_asked.key"), "_at": F.col("_asked.at"), "_digits": digits}).drop("_asked")
+    found = index.join(keyed, [*on, "_key"]).where(F.substring(F.col("_around"), F.col("_at") + 1, F.lit(2 * GRAM)) == F.col("_digits"))
+    return found.drop("_key", "_around", "_at", "_digits").dropDuplicates(list(keep))
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters of a lower-case text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
+    runs = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def rarest_grams(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``word`` and the gram by which it is looked up: of all its grams the one that fewest of the ``texts`` (``low``) hold.
 
-    ``data`` is cut into aligned blocks of 20 digits. An occurrence holds at least one block in full, at
-    one of 21 offsets within the needle, so block = needle slice finds every candidate; the text
-    test then decides. Keys are distinct on both sides before they meet.
+    Only grams of some word are counted. A word with a gram that no text holds is in none and is left out. Words of one or two characters are
+    their own gram.
     """
-    body = F.regexp_replace(F.lower(F.col(data)), "^0x", "")
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.floor(F.length(body) / GRAM) - 1, F.lit(0)).cast("int")),
-        lambda i: F.substring(body, i * GRAM + 1, F.lit(GRAM)),
+    own = F.when(F.length("low_word") >= Q, _grams(F.col("low_word"), Q)).otherwise(F.array("low_word"))
+    asked = words.select("word", "low_word", F.explode(own).alias("gram"))
+    sizes = [n for n in range(1, Q + 1)]
+    held = texts.select(F.explode(F.concat(*[_grams(F.col("low"), n) for n in sizes])).alias("gram"))
+    counts = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    met = asked.join(counts, "gram", "left").groupBy("word", "low_word").agg(
+        F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.min("texts").alias("texts"), F.count_if(F.col("texts").isNull()).alias("missing")
     )
-    cut = haystacks.withColumn("_block", F.explode(F.array_distinct(blocks)))
-    digits = F.regexp_replace(F.lower(F.col(needle)), "^0x", "")
-    slices = F.transform(F.sequence(F.lit(1), F.lit(40 - GRAM + 1)), lambda i: F.substring(digits, i, F.lit(GRAM)))
-    keyed = needles.where(F.length(digits) == 40).withColumn("_block", F.explode(F.array_distinct(slices)))
-    candidates = cut.join(keyed, [*on, "_block"])
-    hit = candidates.where(F.instr(F.lower(F.col(data)), F.regexp_replace(F.lower(F.col(needle)), "^0x", "")) > 0)
-    return hit.drop("_block").dropDuplicates(list(keep))
+    return met.where("missing = 0").select("word", "low_word", "gram", "texts")
 
 
 def contains_text(haystacks: DataFrame, needles: DataFrame, text: str, word: str) -> DataFrame:
     """Distinct (text, word) with lower-case ``word`` inside lower-case ``text``.
 
-    Both sides are reduced to distinct values and meet on the word's first three letters.
+    Both sides are reduced to distinct values. Texts are indexed by their runs of three characters, and each word meets them on its
+    rarest run, so words that share a common beginning do not meet all texts that hold it.
     """
-    size = 3
-    texts = haystacks.select(F.col(text)).where(F.col(text).isNotNull()).distinct()
-    words = needles.select(F.col(word)).where(F.coalesce(F.col(word), F.lit("")) != "").distinct()
-    low = F.lower(F.col(text))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    pieces = F.transform(starts, lambda i: F.array(*[F.substring(low, i, F.lit(n)) for n in range(1, size + 1)]))
-    grams = F.flatten(pieces)
-    spread = texts.withColumn("_gram", F.explode(F.array_distinct(grams)))
-    keyed = words.withColumn("_gram", F.substring(F.lower(F.col(word)), 1, size))
-    return spread.join(keyed, "_gram").where(F.contains(F.lower(F.col(text)), F.lower(F.col(word)))).select(text, word)
+    texts = haystacks.select(F.col(text)).where(F.col(text).isNotNull()).distinct().withColumn("low", F.lower(F.col(text)))
+    words = needles.select(F.col(word).alias("word")).where(F.coalesce(F.col(word), F.lit("")) != "").distinct().withColumn("low_word", F.lower("word"))
+    rare = rarest_grams(texts, words)
+    sizes = range(1, Q + 1)
+    index = texts.select(F.col(text), "low", F.explode(F.concat(*[_grams(F.col("low"), n) for n in sizes])).alias("gram"))
+    found = index.join(rare, "gram").where(F.contains(F.col("low"), F.col("low_word")))
+    return found.select(text, F.col("word").alias(word))
