@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from feedwake.llm.common import Shelves, by_bucket, covered, encoded, member, ordered_ids, pack, unpack, windows, word_hashes
+from feedwake.llm.common import Shelves, by_bucket, covered, encoded, member, ordered_ids, pack, release, unpack, windows, word_hashes
 
 #: Words of a window that is judged as a whole. Any window of this many words holds a whole aligned block.
 WINDOW = 13
@@ -68,6 +68,7 @@ def _low(hashes: np.ndarray) -> np.ndarray:
 
 
 def _blobs(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    release()
     return pd.DataFrame(rows, columns=names)
 
 
@@ -165,6 +166,7 @@ def remove_repeats(docs: DataFrame, shelf_bytes: int | None = None, keep: Sequen
             kept.append(text.decode() if whole else b" ".join(compress(text.split(), ~removed[begin:end])).decode())
         n_removed = np.bincount(shelf.owner[removed], minlength=len(kept))
         ids = docs["doc_id"].astype("Int64").iloc[shelf.order].reset_index(drop=True)
+        release()
         others = {c: docs[c].iloc[shelf.order].reset_index(drop=True) for c in keep}
         return pd.DataFrame({"doc_id": ids, "n_words": shelf.counts, "n_removed": n_removed, "kept_text": kept, **others})
 
