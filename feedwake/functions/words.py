@@ -181,6 +181,11 @@ def _fits(value: Column) -> Column:
     return F.when(value < F.lit(2**29), value).cast("long")
 
 
+def small_number(word: Column) -> Column:
+    """A word as a long that is a length or offset, NULL where it is beyond any data."""
+    return F.when(word.isNotNull(), _fits(_decimal(pad_word(word))))
+
+
 def _tail(body: Column, word: Column) -> tuple[Column, Column]:
     """Of a dynamic value: the digit at which its content starts (from 1) and its length word."""
     offset = _fits(_decimal(pad_word(word)))

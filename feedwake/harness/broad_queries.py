@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedwake import rules as R
 from feedwake.functions import identity as ID
+from feedwake.functions import text as T
 from feedwake.harness import views as V
 from feedwake.operators import broad as B
 from feedwake.operators import inventory as INV
@@ -363,6 +364,49 @@ def _stage_sql(failure: str, stages: list[tuple[str, str, str | None, str | None
 _WINDOW = ("1992-01-01", "2030-01-01")
 
 
+def _impact_us(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("blockchain", "chain").withColumn("impact_us", T.micros(F.col("impact_time"))).drop("impact_time")
+
+
+QUERIES["feed_binding_impact_txs"] = lambda spark, folder: _impact_us(
+    B.binding_impact_txs(labels(spark, folder), tokens(spark, folder), transactions(spark, folder), traces(spark, folder)))
+SQL["feed_binding_impact_txs"] = V.with_views(R1_VIEWS[:-2], f"""
+SELECT b.chain, b.trigger_tx, t.hash AS impact_tx, min(t.us) AS impact_us FROM b_changes b
+JOIN (SELECT DISTINCT chain, cluster, market FROM b_surface) s ON s.chain = b.chain AND s.cluster = b.cluster
+JOIN b_tx t ON t.chain = s.chain AND t.target = s.market AND t.us >= b.us AND t.us < b.us + 86400000000
+WHERE regexp_matches(lower(t.fn), '{ID.LENDING_FUNCTION}') GROUP BY 1, 2, 3""")
+
+
+def _r2_txs(spark, folder):
+    rows = B.composition_impact_txs(labels(spark, folder), tokens(spark, folder), transactions(spark, folder), traces(spark, folder), transfers(spark, folder))
+    return _impact_us(rows).withColumn("usd", F.round("usd", 2))
+
+
+QUERIES["price_composition_impact_txs"] = _r2_txs
+SQL["price_composition_impact_txs"] = V.with_views(R2_VIEWS[:-1], """
+SELECT chain, trigger_tx, tx_hash AS impact_tx, min(us) AS impact_us, round(sum(usd), 2) AS usd FROM (
+  SELECT DISTINCT h.chain, h.trigger_tx, t.tx_hash, t.evt_index, t.token, t.sender, t.receiver, t.amount, t.usd, t.us
+  FROM (SELECT DISTINCT chain, trigger_tx, us, asset_address FROM b_hints) h
+  JOIN b_transfers t ON t.chain = h.chain AND t.us >= h.us AND t.us < h.us + 86400000000
+  LEFT JOIN (SELECT DISTINCT chain, address FROM b_inventory WHERE role IN ('market_token', 'lending_label')) s ON s.chain = t.chain AND s.address = t.sender
+  LEFT JOIN (SELECT DISTINCT chain, address FROM b_inventory WHERE role IN ('market_token', 'lending_label')) r ON r.chain = t.chain AND r.address = t.receiver
+  WHERE t.token = h.asset_address OR s.address IS NOT NULL OR r.address IS NOT NULL) GROUP BY 1, 2, 3""")
+
+
+def _r3_txs(spark, folder):
+    rows = _impact_us(B.same_account_impact_txs(tokens(spark, folder), transfers(spark, folder))).withColumn("usd", F.round("usd", 2))
+    return rows.withColumnRenamed("protocol_cluster_id", "cluster")
+
+
+QUERIES["freshness_impact_txs"] = _r3_txs
+SQL["freshness_impact_txs"] = V.with_views(["b_orders", "b_tokens", "b_transfers", "b_markets", "b_supplies"], """
+SELECT s.chain, s.cluster, s.market AS collateral_market, s.asset AS collateral_asset, s.token AS collateral_token, s.actor, s.supply_tx, m.asset AS borrowed_asset,
+       t.tx_hash AS impact_tx, min(t.us) AS impact_us, round(sum(t.usd), 2) AS usd
+FROM b_supplies s JOIN b_markets m ON m.chain = s.chain AND m.cluster = s.cluster AND m.address <> s.market AND m.asset <> s.asset
+JOIN b_transfers t ON t.chain = s.chain AND t.sender = m.address AND t.receiver = s.actor AND t.us >= s.us AND t.us < s.us + 21600000000
+WHERE t.amount > 0 AND t.usd >= 10000 GROUP BY ALL""")
+
+
 def _stages_r1(spark, folder):
     parts = (labels(spark, folder), tokens(spark, folder), write_table(transactions(spark, folder)), write_table(traces(spark, folder)))
     return B.stage_counts(B.feed_binding_stages(*parts, *_WINDOW), R.FEED_BINDING, *_WINDOW)

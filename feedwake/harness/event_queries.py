@@ -264,6 +264,28 @@ SELECT block_number, 'what=' || topic0 || ',n=' || block_number || ',ids=[' || b
        || CASE WHEN block_number % 7 = 0 THEN '' ELSE '=0xc0ffee' END AS args FROM h_logs""")
 
 
+def _nested(spark, folder):
+    """Events as logs with a fixed array, a tuple that holds text, a list of texts and a list of lists."""
+    n, cents = word_of(F.col("block_number")), word_of(_cents())
+    size = lambda k: F.lit(f"{k:064x}")
+    text = lambda c: F.concat(word_of(F.octet_length(c).cast(LONG)), F.rpad(F.lower(F.hex(F.col(c).cast("binary"))), 64, "0"))
+    note = F.concat(n, size(64), text("topic0"))
+    names = F.concat(size(2), size(64), size(128), text("topic0"), text("asset"))
+    grid = F.concat(size(2), size(64), size(128), size(1), n, size(0))
+    data = F.concat(F.lit("0x"), n, cents, size(160), size(288), size(512), note, names, F.when(F.col("block_number") % 5 > 0, grid).otherwise(F.lit("")))
+    rows = V.logs(spark, folder).withColumns({"topic0": F.lit("0xee"), "topic1": F.lit(None).cast("string"), "topic2": F.lit(None).cast("string"), "topic3": F.lit(None).cast("string"), "data": data})
+    inputs = [("pair", "uint256[2]", False), ("note", "(uint256,string)", False), ("names", "string[]", False), ("grid", "uint64[][]", False)]
+    abi = R.inline(spark, [("0xee", "Deep", inputs)], "topic0 string, event_name string, inputs array<struct<name:string,type:string,indexed:boolean>>")
+    found = DEC.decode_by_abi(rows, abi)
+    return found.select("block_number", F.array_join(F.transform("args", lambda a: F.concat_ws("=", a["name"], a["value"])), ";").alias("args"))
+
+
+QUERIES["decode_by_abi_nested"] = _nested
+SQL["decode_by_abi_nested"] = V.with_views(["h_logs"], """
+SELECT block_number, 'pair=[' || block_number || ',' || CAST(floor(value * 100) AS BIGINT) || '];note=(' || block_number || ',' || topic0 || ');names=[' || topic0 || ',' || asset || '];grid'
+       || CASE WHEN block_number % 5 > 0 THEN '=[[' || block_number || '],[]]' ELSE '' END AS args FROM h_logs""")
+
+
 def transfer_raw(spark, folder) -> DataFrame:
     """Line items as transfer logs; the supplier with key 0 stands for the zero address."""
     user = F.coalesce(F.col("o_custkey"), F.lit(0))
@@ -651,6 +673,22 @@ SELECT DISTINCT page_id, md5(t) AS marker_md5 FROM (SELECT page_id, html || CASE
 WHERE regexp_matches(lower(t), '{AUD.MARKER_WORDS}')"""
 
 
+def _paths(spark, folder):
+    """Each document as a nested JSON record that holds its planted text in a list of lists."""
+    rows = _planted(spark, folder)
+    record = F.to_json(F.struct("doc_id", F.struct(F.array(F.array(F.lit("plain"), F.col("text")), F.array().cast("array<string>")).alias("lists")).alias("meta")))
+    return AUD.placeholder_paths(rows.select("doc_id", record.alias("record")), "doc_id", "record")
+
+
+QUERIES["placeholder_paths"] = _paths
+SQL["placeholder_paths"] = """
+WITH d AS (SELECT doc_id, lang, source, text, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+v AS (SELECT doc_id, 'address' AS kind, '0x' || CASE WHEN lang = 'en' THEN repeat(h[1], 40) ELSE substr(h, 1, 40) END AS value, lang = 'en' AS hit FROM d
+      UNION ALL SELECT doc_id, 'transaction', '0x' || CASE WHEN source IS NOT NULL AND h[1] < '4' THEN repeat(h[1], 60) || 'aaaa' ELSE h END, source IS NOT NULL AND h[1] < '4' FROM d),
+m AS (SELECT DISTINCT doc_id, 'marker' AS kind, unnest(regexp_extract_all(lower(text), '(synthetic|fixture|placeholder)')) AS value FROM documents)
+SELECT DISTINCT doc_id, '$.meta.lists[0][1]' AS path, kind, value FROM (SELECT doc_id, kind, value FROM v WHERE hit UNION ALL SELECT * FROM m)"""
+
+
 def _flows(spark, folder):
     rows = V.table(spark, folder, "lineitem").select(
         "l_returnflag", V.hash_of(F.col("l_orderkey")).alias("tx_hash"), F.col("l_linenumber").alias("log_index"), F.col("l_partkey").alias("token_address"),

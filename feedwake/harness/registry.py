@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedwake.harness import broad_queries, candidate_queries, closure_queries, event_queries, replay_queries
+from feedwake.harness import broad_queries, candidate_queries, closure_queries, event_queries, replay_queries, store_queries
 
-MODULES = [closure_queries, replay_queries, broad_queries, candidate_queries, event_queries]
+MODULES = [closure_queries, replay_queries, broad_queries, candidate_queries, event_queries, store_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

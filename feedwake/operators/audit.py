@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedwake import rules as R
 from feedwake.functions import text as T
+from feedwake.storage import write_table
 
 # Patterns of addresses, transactions and marker words.
 ADDRESS_PATTERN = "(0x[0-9a-fA-F]{40})(?![0-9a-fA-F])"
@@ -19,6 +20,42 @@ def documents(df: DataFrame, key: str, ignore: tuple[str, ...] = ()) -> DataFram
     return df.select(key, F.to_json(F.struct(*[F.col(c) for c in df.columns if c not in (key, *ignore)])).alias("document"))
 
 
+def leaves(df: DataFrame, key: str, document: str) -> DataFrame:
+    """Every scalar inside the JSON texts of ``document`` with its path: ``key``, ``path`` (``$.a.b[2]``) and ``value`` (text).
+
+    Documents are taken apart as variants, a level at a time, so fields of any shape and nested lists are reached; each level is written, and
+    the walk ends when none holds an object or a list. A text that is no JSON is a leaf of its own (``$``); JSON nulls are left out.
+    """
+    spark = df.sparkSession
+    level = df.select(key, F.lit("$").alias("path"), F.col(document).alias("document")).where(F.col("document").isNotNull())
+    found = None
+    while True:
+        opened = level.withColumn("v", F.try_parse_json("document"))
+        kind = F.coalesce(F.schema_of_variant("v"), F.lit("STRING"))
+        holds = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        text = F.when(F.col("v").isNull(), F.col("document")).otherwise(F.col("v").cast("string"))
+        here = opened.where(~holds).select(key, "path", text.alias("value")).where(F.col("value").isNotNull())
+        found = here if found is None else found.unionByName(here)
+        inside = opened.where(holds).select(F.col(key).alias("_key"), "path", "v")
+        parts = inside.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
+        level = write_table(parts.select(F.col("_key").alias(key), F.concat("path", step).alias("path"), F.to_json("value").alias("document")))
+        if level.isEmpty():
+            return found
+
+
+def placeholder_paths(df: DataFrame, key: str, document: str) -> DataFrame:
+    """Where documents hold placeholder addresses and hashes, or call themselves synthetic: ``key``, ``path``, ``kind`` and ``value`` (lower case)."""
+    rows = leaves(df, key, document)
+    said = lambda pattern: F.transform(F.regexp_extract_all("value", F.lit(pattern), F.lit(1)), F.lower)
+    hits = F.concat(
+        F.transform(F.filter(said(ADDRESS_PATTERN), T.is_placeholder_address), lambda v: F.struct(F.lit("address").alias("kind"), v.alias("value"))),
+        F.transform(F.filter(said(TX_PATTERN), T.is_placeholder_tx), lambda v: F.struct(F.lit("transaction").alias("kind"), v.alias("value"))),
+        F.transform(F.regexp_extract_all(F.lower("value"), F.lit(MARKER_WORDS), F.lit(1)), lambda v: F.struct(F.lit("marker").alias("kind"), v.alias("value"))),
+    )
+    return rows.select(key, "path", F.explode(F.array_distinct(hits)).alias("hit")).select(key, "path", "hit.kind", "hit.value")
+
+
 def placeholder_values(texts: DataFrame, key: str, column: str) -> DataFrame:
     """Distinct placeholder addresses and hashes in text, per key."""
     found = lambda pattern: F.transform(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1)), F.lower)

@@ -13,7 +13,7 @@ from feedwake.functions import text as T
 from feedwake.operators import inventory as INV
 from feedwake.operators.closure import HOUR, in_chains, in_dates
 from feedwake.operators.decode import decode_answer_updated
-from feedwake.operators.joins import contains_hex, contains_text
+from feedwake.operators.joins import contains_hex, contains_text, interval_join
 from feedwake.operators.timeline import Scan, asof, window_fold
 from feedwake.storage import write_table
 
@@ -105,6 +105,30 @@ def _impact_fold(name: str = "impact_tx_count", counted: Column | None = None) -
     ]
 
 
+def within_reach(events: DataFrame, triggers: DataFrame, on: Sequence[str], event_at: Column, trigger_at: Column, width: int) -> DataFrame:
+    """Events that a window ``[t, t+width)`` of some trigger of the same ``on`` may hold; the rest is dropped before anything is copied.
+
+    Windows of a key are united by tiles of their width: one row for each key and tile tells the first and the last moment in reach,
+    so an event meets one row at most, however many triggers there are.
+    """
+    tile = F.floor(trigger_at / F.lit(width)).cast("long")
+    open_ = triggers.select(*on, trigger_at.alias("_from"), F.explode(F.array(tile, tile + 1)).alias("_tile"))
+    reach = open_.groupBy(*on, "_tile").agg(F.min("_from").alias("_from"), (F.max("_from") + width).alias("_until"))
+    placed = events.withColumn("_tile", F.floor(event_at / F.lit(width)).cast("long"))
+    inside = (event_at >= F.col("_from")) & (event_at < F.col("_until"))
+    return placed.join(reach, [*on, "_tile"]).where(inside).drop("_tile", "_from", "_until")
+
+
+def lending_activity(changes: DataFrame, surface: DataFrame, transactions: DataFrame, traces: DataFrame, start=None, end=None, chains=None, hours: int = 24) -> DataFrame:
+    """Lending transactions per market cluster that lie in reach of a change of that cluster."""
+    at, on = T.micros(F.col("block_time")), ["blockchain", "protocol_cluster_id"]
+    markets = surface.select(*on, F.col("market_contract").alias("target")).distinct()
+    lending = _calls(traces, ID.LENDING_FUNCTION, start, end, chains).select("blockchain", "tx_hash").distinct()
+    sent = _successful(transactions, start, end, chains).select("blockchain", "tx_hash", "block_time", "target")
+    near = within_reach(sent.join(markets, ["blockchain", "target"]), changes, on, at, at, hours * HOUR)
+    return near.join(lending, ["blockchain", "tx_hash"], "left_semi").select(*on, "tx_hash", "block_time")
+
+
 def cluster_impacts(changes: DataFrame, surface: DataFrame, transactions: DataFrame, traces: DataFrame, start=None, end=None, chains=None,
                     hours: int = 24) -> DataFrame:
     """Per trigger: lending transactions on markets of its clusters in ``[t, t+hours)``.
@@ -112,10 +136,7 @@ def cluster_impacts(changes: DataFrame, surface: DataFrame, transactions: DataFr
     Triggers with the same set of clusters share one stream of distinct transactions.
     """
     triggers = _signatures(changes, "protocol_cluster_id")
-    markets = surface.select("blockchain", "protocol_cluster_id", F.col("market_contract").alias("target")).distinct()
-    lending = _calls(traces, ID.LENDING_FUNCTION, start, end, chains).select("blockchain", "tx_hash").distinct()
-    sent = _successful(transactions, start, end, chains).select("blockchain", "tx_hash", "block_time", "target")
-    activity = sent.join(markets, ["blockchain", "target"]).join(lending, ["blockchain", "tx_hash"], "left_semi")
+    activity = lending_activity(changes, surface, transactions, traces, start, end, chains, hours)
     members = triggers.select("blockchain", "sig", F.explode("members").alias("protocol_cluster_id")).distinct()
     stream = activity.join(members, ["blockchain", "protocol_cluster_id"]).select("blockchain", "sig", "tx_hash", "block_time").distinct()
     folded = window_fold(
@@ -125,6 +146,26 @@ def cluster_impacts(changes: DataFrame, surface: DataFrame, transactions: DataFr
     return _found(folded)
 
 
+def _impact_rows(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return pairs.groupBy(*keys, "impact_tx").agg(F.min("impact_time").alias("impact_time"), F.sum("usd").alias("usd"))
+
+
+def binding_impact_txs(
+    labels: DataFrame, tokens: DataFrame, transactions: DataFrame, traces: DataFrame, start: str | None = None, end: str | None = None,
+    chains: Sequence[str] | None = None, hours: int = 24,
+) -> DataFrame:
+    """Every impact transaction of the binding changes, a row each (``impact_txs`` of the search names the first)."""
+    inventory = INV.lending_inventory(labels, tokens, chains)
+    surface = lending_surface(inventory, transactions, traces, start, end, chains)
+    changes = write_table(binding_changes(protocol_cluster(inventory, surface), transactions, traces, start, end, chains))
+    on = ["blockchain", "protocol_cluster_id"]
+    activity = lending_activity(changes, surface, transactions, traces, start, end, chains, hours).distinct()
+    acts = activity.select(*on, F.col("tx_hash").alias("impact_tx"), F.col("block_time").alias("impact_time"), F.lit(0.0).alias("usd"))
+    triggers = changes.select(*on, "trigger_tx", "block_time").distinct()
+    pairs = interval_join(triggers, acts, on, T.micros(F.col("block_time")), T.micros(F.col("impact_time")), 0, hours * HOUR, closed="left")
+    return _impact_rows(pairs, ["blockchain", "trigger_tx"]).drop("usd")
+
+
 def _found(folded: DataFrame) -> DataFrame:
     return folded.where(F.coalesce("impact_tx_count", F.lit(0)) > 0).select(
         "blockchain", "trigger_tx", "impact_tx_count", F.coalesce("impact_usd_known", F.lit(0.0)).alias("impact_usd_known"),
@@ -164,7 +205,7 @@ def feed_binding_candidates(
     inventory = INV.lending_inventory(labels, tokens, chains)
     surface = lending_surface(inventory, transactions, traces, start, end, chains)
     cluster = protocol_cluster(inventory, surface)
-    changes = binding_changes(cluster, transactions, traces, start, end, chains)
+    changes = write_table(binding_changes(cluster, transactions, traces, start, end, chains))
     named = binding_identities(changes, cluster, INV.price_source_inventory(labels, chains, legacy_order), legacy_order)
     impacts = cluster_impacts(changes, surface, transactions, traces, start, end, chains, hours)
     titles = labels.select("blockchain", F.col("address").alias("binding_contract"), F.col("name").alias("contract_label"))
@@ -231,6 +272,54 @@ def affected_assets(changes: DataFrame, by_name: DataFrame, by_data: DataFrame)
     return changes.join(named.unionByName(by_data).distinct(), ["blockchain", "trigger_tx", "function_name"])
 
 
+def _asset_calls(calls: DataFrame, by_name: DataFrame, by_data: DataFrame) -> DataFrame:
+    """Each call with the derivative assets that it names or carries: ``blockchain``, ``trigger_tx``, ``block_time``, ``token``."""
+    token = F.col("affected_asset_address").alias("token")
+    named = calls.join(by_name.select("blockchain", "function_name", token), ["blockchain", "function_name"])
+    carried = calls.join(by_data.select("blockchain", "trigger_tx", token).distinct(), ["blockchain", "trigger_tx"])
+    keys = ["blockchain", "trigger_tx", "block_time", "token"]
+    return named.select(*keys).unionByName(carried.select(*keys)).distinct()
+
+
+def market_moves(calls, by_name, by_data, inventory, transfers, start=None, end=None, chains=None, hours: int = 24) -> DataFrame:
+    """Transfers ``at_market`` in reach of a hinted call of their chain, and others in reach of a call that involves their token; read once and written."""
+    at, width = T.micros(F.col("block_time")), hours * HOUR
+    moves = in_dates(in_chains(transfers, chains), start, end).select(
+        "blockchain", "tx_hash", "block_time", F.col("contract_address").alias("token"), "from", "to", F.coalesce("amount_usd", F.lit(0.0)).alias("usd")
+    )
+    hinted = write_table(_asset_calls(calls, by_name, by_data))
+    markets = inventory.where(F.col("inventory_role").isin(*INV.MARKET_LIKE)).select("blockchain", "address").distinct()
+    sender = markets.select("blockchain", F.col("address").alias("from"), F.lit(True).alias("_s"))
+    receiver = markets.select("blockchain", F.col("address").alias("to"), F.lit(True).alias("_r"))
+    active = within_reach(moves.join(markets.select("blockchain").distinct(), "blockchain", "left_semi"), hinted, ["blockchain"], at, at, width)
+    tagged = active.join(sender, ["blockchain", "from"], "left").join(receiver, ["blockchain", "to"], "left")
+    tagged = write_table(tagged.select("blockchain", "tx_hash", "block_time", "token", "usd", F.coalesce("_s", "_r", F.lit(False)).alias("at_market")))
+    elsewhere = within_reach(tagged.where(~F.col("at_market")), hinted, ["blockchain", "token"], at, at, width)
+    return tagged.where("at_market").unionByName(elsewhere.select(*tagged.columns))
+
+
+def composition_impact_txs(
+    labels: DataFrame, tokens: DataFrame, transactions: DataFrame, traces: DataFrame, transfers: DataFrame, start: str | None = None,
+    end: str | None = None, chains: Sequence[str] | None = None, hours: int = 24,
+) -> DataFrame:
+    """Every impact transaction of the formula calls with an asset hint, a row each with its value (``impact_txs`` of the search names the first)."""
+    inventory = INV.lending_inventory(labels, tokens, chains)
+    changes = write_table(formula_changes(inventory, transactions, traces, start, end, chains))
+    by_name, by_data = (write_table(part) for part in asset_hints(changes, INV.derivative_assets(tokens, inventory, chains)))
+    calls = changes.select("blockchain", "trigger_tx", "block_time", "function_name").distinct()
+    moves = market_moves(calls, by_name, by_data, inventory, transfers, start, end, chains, hours)
+    acts = moves.groupBy("blockchain", "at_market", "token", F.col("tx_hash").alias("impact_tx")).agg(
+        F.min("block_time").alias("impact_time"), F.sum("usd").alias("usd"))
+    at_market = acts.where("at_market").groupBy("blockchain", "impact_tx").agg(F.min("impact_time").alias("impact_time"), F.sum("usd").alias("usd"))
+    hinted = _asset_calls(calls, by_name, by_data)
+    at, seen = T.micros(F.col("block_time")), T.micros(F.col("impact_time"))
+    near = lambda left, right, on: interval_join(left, right, on, at, seen, 0, hours * HOUR, closed="left").select(
+        "blockchain", "trigger_tx", "impact_tx", "impact_time", "usd")
+    of_market = near(hinted.select("blockchain", "trigger_tx", "block_time").distinct(), at_market, ["blockchain"])
+    of_asset = near(hinted, acts.where(~F.col("at_market")).drop("at_market"), ["blockchain", "token"])
+    return _impact_rows(of_market.unionByName(of_asset), ["blockchain", "trigger_tx"])
+
+
 def composition_impacts(
     changes: DataFrame, by_name: DataFrame, by_data: DataFrame, inventory: DataFrame, transfers: DataFrame, start=None, end=None, chains=None, hours: int = 24
 ) -> DataFrame:
@@ -256,15 +345,7 @@ def composition_impacts(
         "blockchain", "trigger_tx", "block_time", F.coalesce("names", none).alias("names"), F.coalesce("carried", none).alias("carried"),
         F.array_join(F.coalesce("names", none), "|").alias("name_sig"), F.array_join(F.coalesce("carried", none), "|").alias("data_sig")))
 
-    moves = in_dates(in_chains(transfers, chains), start, end).select(
-        "blockchain", "tx_hash", "block_time", F.col("contract_address").alias("token"), "from", "to", F.coalesce("amount_usd", F.lit(0.0)).alias("usd")
-    )
-    markets = inventory.where(F.col("inventory_role").isin(*INV.MARKET_LIKE)).select("blockchain", "address").distinct()
-    sender = markets.select("blockchain", F.col("address").alias("from"), F.lit(True).alias("_s"))
-    receiver = markets.select("blockchain", F.col("address").alias("to"), F.lit(True).alias("_r"))
-    active = moves.join(markets.select("blockchain").distinct(), "blockchain", "left_semi")
-    tagged = active.join(sender, ["blockchain", "from"], "left").join(receiver, ["blockchain", "to"], "left")
-    tagged = tagged.withColumn("at_market", F.coalesce("_s", "_r", F.lit(False)))
+    tagged = market_moves(calls, by_name, by_data, inventory, transfers, start, end, chains, hours)
     per_tx = lambda rows, keys: rows.groupBy(*keys, "tx_hash").agg(F.min("block_time").alias("block_time"), F.sum("usd").alias("usd"))
 
     at_market = per_tx(tagged.where("at_market"), ["blockchain"])
@@ -299,8 +380,8 @@ def price_composition_candidates(
 ) -> DataFrame:
     """Formula or governance calls that involve a derivative asset, with transfer activity after them."""
     inventory = INV.lending_inventory(labels, tokens, chains)
-    changes = formula_changes(inventory, transactions, traces, start, end, chains)
-    by_name, by_data = asset_hints(changes, INV.derivative_assets(tokens, inventory, chains))
+    changes = write_table(formula_changes(inventory, transactions, traces, start, end, chains))
+    by_name, by_data = (write_table(part) for part in asset_hints(changes, INV.derivative_assets(tokens, inventory, chains)))
     hints = affected_assets(changes, by_name, by_data)
     impacts = composition_impacts(changes, by_name, by_data, inventory, transfers, start, end, chains, hours)
     titles = labels.select("blockchain", F.col("address").alias("oracle_or_governance_contract"), F.col("name").alias("contract_label"))
@@ -392,6 +473,20 @@ def same_account_impacts(supplies: DataFrame, markets: DataFrame, moves: DataFra
     )
 
 
+def same_account_impact_txs(
+    tokens: DataFrame, transfers: DataFrame, start: str | None = None, end: str | None = None, chains: Sequence[str] | None = None, hours: int = 6,
+) -> DataFrame:
+    """Every outflow that follows a supply of the same account, a row for each transaction and borrowed asset (the search names the first)."""
+    markets = INV.market_inventory(tokens, chains)
+    moves = transfer_events(transfers, tokens, start, end, chains)
+    supplies = collateral_supplies(markets, moves)
+    outflows = borrow_outflows(supplies, markets, moves).groupBy(
+        *SAME_ACCOUNT, F.col("market_asset_identity").alias("borrowed_asset"), F.col("tx_hash").alias("impact_tx")).agg(
+        F.min("block_time").alias("impact_time"), F.sum("usd").alias("usd"))
+    pairs = interval_join(supplies, outflows, SAME_ACCOUNT, T.micros(F.col("supply_time")), T.micros(F.col("impact_time")), 0, hours * HOUR, closed="left")
+    return pairs.select(*SAME_ACCOUNT, "collateral_market", "collateral_token", "supply_tx", "borrowed_asset", "impact_tx", "impact_time", "usd")
+
+
 def labelled_answers(logs: DataFrame, labels: DataFrame, start: str | None = None, end: str | None = None, chains=None, look_back_days: int = 7) -> DataFrame:
     """Price reports with the asset their feed's label names; the scan opens ``look_back_days`` early."""
     if start is not None:

@@ -12,7 +12,7 @@ from feedwake import rules as R
 from feedwake.functions import identity as ID
 from feedwake.functions import text as T
 from feedwake.functions import words as W
-from feedwake.operators.timeline import Scan, asof, cut, running, window_distinct_counts, window_fold
+from feedwake.operators.timeline import Scan, cut, distinct_steps, running, window_fold
 
 HOUR = 3_600_000_000
 SCALE = 100_000_000.0  # feeds report eight decimals
@@ -172,43 +172,52 @@ def impact_lending_logs(
 IMPACT_TIES = ["impact_block", "impact_tx_hash", "impact_log_index"]
 
 
-def with_next_other_tx(impact: DataFrame, keys: Sequence[str] = ("chain",)) -> DataFrame:
-    """Add ``next_other``: the first later impact with the same keys from a different transaction."""
-    keys = list(keys)
-    order = ["_at", *IMPACT_TIES]
-    chunks = cut(impact.withColumn("_at", T.micros(F.col("impact_time"))), keys, order)
-    with_previous = running(chunks, keys, order, [Scan("_previous_tx", "last", F.col("impact_tx_hash"))], strict=True)
+COUNTED = {"impact_tx_count": "impact_tx_hash", "actor_count": "actor", "market_count": "market_contract"}
+
+
+def _impacts_after(triggers: DataFrame, impact: DataFrame, hours: Sequence[int], keys: Sequence[str], replay_txs: int) -> DataFrame:
+    """First impact, first distinct transactions and distinct counts in ``(t, t+_width]``; ``_width`` of a trigger is one of ``hours``.
+
+    Triggers, impacts and the changes of the distinct counts lie in one timeline, cut once for all widths. A scan adds up the
+    changes and marks where a run of one transaction ends; another, from the end, brings the start of the next run to each impact; a
+    third the nearest impact to each trigger.
+    """
+    keys, widths = list(keys), [h * HOUR for h in hours]
+    at = T.micros(F.col("impact_time"))
+    early = F.lit(0).alias("_side")  # at one instant before the triggers, which look beyond it
+    steps = distinct_steps(impact, keys, at, widths, COUNTED).withColumn("_side", early).withColumn("_salt", F.lit(-1).cast("long"))
+    sent = impact.select(*keys, at.alias("_at"), early, *IMPACT_TIES, "impact_time", "protocol_cluster_id", F.lit(0).cast("long").alias("_salt"))
+    asked = triggers.select(
+        *keys, T.micros(F.col("trigger_time")).alias("_at"), F.lit(1).alias("_side"), F.struct(*triggers.columns).alias("_left"),
+        F.monotonically_increasing_id().alias("_salt"),
+    )
+    order = ["_at", "_side", *IMPACT_TIES, "_salt"]
+    is_impact = F.col("impact_time").isNotNull()
+    line = asked.unionByName(sent, allowMissingColumns=True).unionByName(steps, allowMissingColumns=True)
+    chunks = cut(line, keys, order)
+    counts = [Scan(f"{name}_{i}", "sum", F.col(f"_step_{name}_{i}")) for i in range(len(widths)) for name in COUNTED]
+    counted = running(chunks, keys, order, counts)
+    behind = running(counted, keys, order, [Scan("_previous_tx", "last", F.when(is_impact, F.col("impact_tx_hash")))], strict=True)
     opens_run = F.when(
-        F.col("_previous_tx").isNull() | (F.col("_previous_tx") != F.col("impact_tx_hash")),
+        is_impact & (F.col("_previous_tx").isNull() | (F.col("_previous_tx") != F.col("impact_tx_hash"))),
         F.struct(F.col("_at").alias("at"), F.col("impact_tx_hash").alias("tx")),
     )
-    scanned = running(with_previous, keys, order, [Scan("next_other", "last", opens_run)], strict=True, descending=True)
-    return scanned.select(*impact.columns, "next_other")
+    ahead = running(behind, keys, order, [Scan("next_other", "last", opens_run)], strict=True, descending=True)
+    payload = F.when(is_impact, F.struct("impact_time", "impact_tx_hash", "protocol_cluster_id", "next_other"))
+    found = running(ahead, keys, order, [Scan("_first", "last", payload)], strict=True, descending=True)
 
+    def of_width(name: str) -> Column:
+        return F.coalesce(*[F.when(F.col("_left._width") == w, F.col(f"{name}_{i}")) for i, w in enumerate(widths)], F.lit(0)).cast("long").alias(name)
 
-def _impacts_after(triggers: DataFrame, impact: DataFrame, hours: int, keys: Sequence[str], replay_txs: int) -> DataFrame:
-    """First impact, first distinct transactions and distinct counts in ``(t, t+hours]``."""
-    width = hours * HOUR
-    left_at = T.micros(F.col("trigger_time"))
-    right_at = T.micros(F.col("impact_time"))
-    counted = window_distinct_counts(
-        triggers, impact, keys, left_at, right_at, width,
-        {"impact_tx_count": "impact_tx_hash", "actor_count": "actor", "market_count": "market_contract"},
-    )
-    events = with_next_other_tx(impact, keys) if replay_txs > 1 else impact.withColumn("next_other", F.lit(None).cast("struct<at:bigint,tx:string>"))
-    payload = F.struct("impact_time", "impact_tx_hash", "protocol_cluster_id", "next_other")
-    joined = asof(
-        counted.where(F.col("impact_tx_count") > 0), events, keys, left_at, right_at, payload, "_first",
-        ties=IMPACT_TIES, forward=True, equal=False, within=width,
-    )
-    second = F.when(F.col("_first.next_other.at") <= left_at + F.lit(width), F.col("_first.next_other.tx"))
-    return joined.select(
+    rows = found.where(F.col("_side") == 1).select("_left.*", "_at", "_first", *[of_width(name) for name in COUNTED]).where(F.col("impact_tx_count") > 0)
+    second = F.when(F.col("_first.next_other.at") <= F.col("_at") + F.col("_width"), F.col("_first.next_other.tx")) if replay_txs > 1 else F.lit(None).cast("string")
+    return rows.select(
         "*",
         F.col("_first.impact_time").alias("first_impact_time"),
         F.col("_first.impact_tx_hash").alias("first_impact_tx"),
         F.array_compact(F.array(F.col("_first.impact_tx_hash"), second)).alias("leading_impact_txs"),
         F.col("_first.protocol_cluster_id").alias("protocol_cluster_id"),
-    ).drop("_first")
+    ).drop("_first", "_width", "_at")
 
 
 CLOSURE_COLUMNS = [
@@ -226,6 +235,29 @@ def _triggers(boundary: DataFrame, failure_class: Column, matched_rule: Column,
     ).distinct()
 
 
+def _of_hours(triggers: DataFrame, hours: int) -> DataFrame:
+    return triggers.withColumn("_width", F.lit(hours * HOUR))
+
+
+def _config_triggers(boundary: DataFrame) -> DataFrame:
+    config = boundary.where(F.col("scope_class").isin(R.S2, R.S3, R.S4, R.S5))
+    failure = F.when(F.col("scope_class") == R.S2, F.lit(R.FEED_BINDING)).otherwise(F.lit(R.COMPOSITION))
+    return _triggers(config, failure, F.col("boundary_rule_id"), F.lit(None).cast("double"))
+
+
+def _abnormal_triggers(boundary: DataFrame, lo: float, hi: float) -> DataFrame:
+    odd = boundary.where((F.col("scope_class") == R.S1) & ((F.col("normalized_answer") <= lo) | (F.col("normalized_answer") >= hi)))
+    return _triggers(odd, F.lit(R.COMPOSITION), F.lit("R2_S1_ABNORMAL_PRICE_THEN_LENDING_IMPACT"), F.col("normalized_answer"))
+
+
+def chain_closures(
+    boundary: DataFrame, impact: DataFrame, config_hours: int = 72, answer_hours: int = 24, lo: float = 1.0, hi: float = 100000.0, replay_txs: int = 2
+) -> DataFrame:
+    """The rows of :func:`config_impact_closure` and :func:`abnormal_answer_closure`, from one index of the impacts for both widths."""
+    triggers = _of_hours(_config_triggers(boundary), config_hours).unionByName(_of_hours(_abnormal_triggers(boundary, lo, hi), answer_hours))
+    return _impacts_after(triggers, impact, sorted({config_hours, answer_hours}), ["chain"], replay_txs).select(*CLOSURE_COLUMNS)
+
+
 def config_impact_closure(
     boundary: DataFrame, impact: DataFrame, hours: int = 72, same_protocol: bool = False, replay_txs: int = 2,
     clusters: DataFrame | None = None,
@@ -235,32 +267,42 @@ def config_impact_closure(
     ``same_protocol`` also asks for the same protocol cluster; ``clusters`` then names the
     cluster of a boundary contract (chain, boundary_contract, protocol_cluster_id).
     """
+    if not same_protocol:
+        return _impacts_after(_of_hours(_config_triggers(boundary), hours), impact, [hours], ["chain"], replay_txs).select(*CLOSURE_COLUMNS)
     config = boundary.where(F.col("scope_class").isin(R.S2, R.S3, R.S4, R.S5))
     failure = F.when(F.col("scope_class") == R.S2, F.lit(R.FEED_BINDING)).otherwise(F.lit(R.COMPOSITION))
-    no_answer = F.lit(None).cast("double")
-    if not same_protocol:
-        found = _impacts_after(_triggers(config, failure, F.col("boundary_rule_id"), no_answer), impact, hours, ["chain"], replay_txs)
-        return found.select(*CLOSURE_COLUMNS)
     bound = config.join(clusters.withColumnRenamed("protocol_cluster_id", "_cluster"), ["chain", "boundary_contract"])
     triggers = bound.select(
         "chain", "trigger_year", failure.alias("failure_class"), F.col("boundary_tx_hash").alias("trigger_tx"), "trigger_block",
-        "trigger_time", F.col("boundary_rule_id").alias("matched_rule"), "scope_class", no_answer.alias("normalized_answer"), "_cluster",
+        "trigger_time", F.col("boundary_rule_id").alias("matched_rule"), "scope_class", F.lit(None).cast("double").alias("normalized_answer"), "_cluster",
     ).distinct()
     events = impact.withColumn("_cluster", F.col("protocol_cluster_id"))
-    return _impacts_after(triggers, events, hours, ["chain", "_cluster"], replay_txs).select(*CLOSURE_COLUMNS)
+    return _impacts_after(_of_hours(triggers, hours), events, [hours], ["chain", "_cluster"], replay_txs).select(*CLOSURE_COLUMNS)
 
 
 def abnormal_answer_closure(
     boundary: DataFrame, impact: DataFrame, hours: int = 24, lo: float = 1.0, hi: float = 100000.0, replay_txs: int = 2
 ) -> DataFrame:
     """Reported answers at or outside ``lo``..``hi`` followed by lending activity within ``hours``."""
-    odd = boundary.where(
-        (F.col("scope_class") == R.S1) & ((F.col("normalized_answer") <= lo) | (F.col("normalized_answer") >= hi))
-    )
-    triggers = _triggers(
-        odd, F.lit(R.COMPOSITION), F.lit("R2_S1_ABNORMAL_PRICE_THEN_LENDING_IMPACT"), F.col("normalized_answer")
-    )
-    return _impacts_after(triggers, impact, hours, ["chain"], replay_txs).select(*CLOSURE_COLUMNS)
+    return _impacts_after(_of_hours(_abnormal_triggers(boundary, lo, hi), hours), impact, [hours], ["chain"], replay_txs).select(*CLOSURE_COLUMNS)
+
+
+def _used_steps(impact: DataFrame, hours: int) -> DataFrame:
+    """Supplies and borrows of an account that follow each other within ``hours``: ``_borrow`` tells which a row is.
+
+    Both lie in one timeline, cut once. At one instant borrows stand before supplies, so what a supply finds ahead and a borrow behind is
+    at another instant.
+    """
+    keys, width = ["chain", "actor"], hours * HOUR
+    is_borrow = F.col("impact_rule_id") == R.BORROW_RULE
+    steps = impact.where(is_borrow | F.col("impact_rule_id").isin(*R.SUPPLY_SIDE_RULES)).withColumns(
+        {"_at": T.micros(F.col("impact_time")), "_borrow": is_borrow, "_side": F.when(is_borrow, 0).otherwise(1)})
+    order = ["_at", "_side", *IMPACT_TIES]
+    chunks = cut(steps.select(*keys, *order, "_borrow", "impact_time", "protocol_cluster_id"), keys, order)
+    behind = running(chunks, keys, order, [Scan("_supplied", "last", F.when(~F.col("_borrow"), F.col("_at")))], strict=True)
+    both = running(behind, keys, order, [Scan("_borrowed", "last", F.when(F.col("_borrow"), F.col("_at")))], strict=True, descending=True)
+    near = F.when(F.col("_borrow"), F.col("_at") - F.col("_supplied") <= width).otherwise(F.col("_borrowed") - F.col("_at") <= width)
+    return both.where(near)
 
 
 def same_actor_supply_borrow(impact: DataFrame, hours: int = 6) -> DataFrame:
@@ -269,14 +311,10 @@ def same_actor_supply_borrow(impact: DataFrame, hours: int = 6) -> DataFrame:
     A supply takes part if the actor's next borrow is close enough, a borrow if the actor's
     previous supply is; each is one nearest-row lookup instead of a pair join.
     """
-    width = hours * HOUR
-    at = T.micros(F.col("impact_time"))
-    supplies = impact.where(F.col("impact_rule_id").isin(*R.SUPPLY_SIDE_RULES))
-    borrows = impact.where(F.col("impact_rule_id") == R.BORROW_RULE)
     keys = ["chain", "actor"]
-    used_supplies = asof(supplies, borrows, keys, at, at, F.lit(True), "_hit", forward=True, equal=False, within=width).where("_hit")
-    used_borrows = asof(borrows, supplies, keys, at, at, F.lit(True), "_hit", forward=False, equal=False, within=width).where("_hit")
+    used = _used_steps(impact, hours)
     order = F.struct("impact_time", *IMPACT_TIES)
+    used_supplies, used_borrows = used.where(~F.col("_borrow")), used.where("_borrow")
     first_supply = used_supplies.groupBy(*keys).agg(
         F.min("impact_time").alias("first_supply_time"), F.min_by("impact_tx_hash", order).alias("first_supply_tx")
     )
@@ -297,11 +335,7 @@ def same_actor_supply_borrow(impact: DataFrame, hours: int = 6) -> DataFrame:
 
 def same_actor_borrow_txs(impact: DataFrame, hours: int = 6) -> DataFrame:
     """The distinct borrow transactions behind :func:`same_actor_supply_borrow`, one per row."""
-    at = T.micros(F.col("impact_time"))
-    supplies = impact.where(F.col("impact_rule_id").isin(*R.SUPPLY_SIDE_RULES))
-    borrows = impact.where(F.col("impact_rule_id") == R.BORROW_RULE)
-    used = asof(borrows, supplies, ["chain", "actor"], at, at, F.lit(True), "_hit", equal=False, within=hours * HOUR).where("_hit")
-    return used.select("chain", "actor", F.col("impact_tx_hash").alias("borrow_tx")).distinct()
+    return _used_steps(impact, hours).where("_borrow").select("chain", "actor", F.col("impact_tx_hash").alias("borrow_tx")).distinct()
 
 
 def freshness_closure(boundary: DataFrame, same_actor: DataFrame, hours: int = 48, count_twice: bool = False) -> DataFrame:
@@ -320,7 +354,7 @@ def freshness_closure(boundary: DataFrame, same_actor: DataFrame, hours: int = 4
     weight = F.col("borrow_tx_count") * F.lit(2 if count_twice else 1)
     folded = window_fold(
         triggers, same_actor, ["chain"], T.micros(F.col("trigger_time")), T.micros(F.col("first_supply_time")), hours * HOUR,
-        [Scan("_first", "min", first), Scan("impact_tx_count", "sum", weight), Scan("actor_count", "count", F.lit(1))],
+        [Scan("_first", "min", first), Scan("impact_tx_count", "sum", weight), Scan("actor_count", "count", F.lit(1))], distinct_left=True,
     ).where(F.col("_first").isNotNull())
     return folded.select(
         "*",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedwake import rules as R
+from feedwake.functions import abi as ABI
 from feedwake.functions import identity as ID
 from feedwake.functions import text as T
 from feedwake.functions import words as W
@@ -118,36 +119,49 @@ def transfer_flows(transfers: DataFrame, attacker: Column, protocol: Column) ->
 def decode_by_abi(logs: DataFrame, abi: DataFrame) -> DataFrame:
     """Event name and arguments of each log by an ABI table.
 
-    ``abi``: topic0, event_name, inputs array<struct<name,type,indexed>>. Indexed arguments come from
-    the topics in order (of a dynamic type the topic is a hash and stays), the others from the data: words,
-    strings, bytes (hex) and arrays of one-word elements (``[a,b]``). A value whose bytes are missing is NULL.
+    ``abi``: topic0, event_name, inputs array<struct<name,type,indexed>>, one row for each event; tuples are written ``(t,u)``. Indexed
+    arguments come from the topics in order (of a type that is no word the topic is a hash and stays), the others from the data: words,
+    strings, bytes (hex), arrays (``[a,b]``) and tuples (``(a,b)``), nested at will. A value whose bytes are missing is NULL.
+
+    The distinct nested types of the table come to the driver, as each becomes an expression.
     """
+    types = abi.select(F.explode("inputs.type").alias("type")).distinct().collect()
+    nested = {t: ABI.parse(t) for t in sorted(r["type"] for r in types if r["type"]) if ABI.is_nested(t)}
     indexed = F.filter("inputs", lambda a: a["indexed"])
     plain = F.filter("inputs", lambda a: ~a["indexed"])
 
-    def cells(inputs: Column, words: Column) -> Column:
-        """Name, type and head word of each argument, so that what follows refers to a field and not to how it was cut."""
+    def width(kind: Column) -> Column:
+        """Words that an argument takes in the head."""
+        wide = F.lit(1)
+        for name, parsed in nested.items():
+            if parsed.head_words != 1:
+                wide = F.when(kind == name, F.lit(parsed.head_words)).otherwise(wide)
+        return wide
+
+    def place(inputs: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(inputs, F.lit(1), i), F.lit(0), lambda total, arg: total + width(arg["type"]))
+
+    def cells(inputs: Column, words: Column, in_head: bool) -> Column:
+        """Name, type, place and head word of each argument, so that what follows refers to a field and not to how it was cut."""
+        at = (lambda i: place(inputs, i)) if in_head else (lambda i: i)
         return F.transform(inputs, lambda arg, i: F.struct(
-            arg["name"].alias("name"), arg["type"].alias("type"), arg["indexed"].alias("indexed"), F.try_element_at(words, i + 1).alias("word")))
+            arg["name"].alias("name"), arg["type"].alias("type"), arg["indexed"].alias("indexed"), at(i).alias("at"), F.try_element_at(words, at(i) + 1).alias("word")))
 
     joined = logs.join(abi, "topic0", "left").withColumns({"_body": W.hex_body(F.col("data")), "_words": W.words(F.col("data"))})
-    rows = joined.withColumn("_cells", F.concat(cells(indexed, F.array("topic1", "topic2", "topic3")), cells(plain, F.col("_words"))))
+    rows = joined.withColumn("_cells", F.concat(cells(indexed, F.array("topic1", "topic2", "topic3"), False), cells(plain, F.col("_words"), True)))
     body = F.col("_body")
 
-    def static(kind: Column, word: Column) -> Column:
-        return (
-            F.when(kind == "address", W.word_address(word)).when(kind == "bool", F.when(W.uint_double(word) != 0, F.lit("true")).otherwise(F.lit("false")))
-            .when(kind.rlike("^u?int"), W.number_text(W.pad_word(word), kind.startswith("int"))).otherwise(word)
-        )
-
     def value(cell: Column) -> Column:
         kind, word = cell["type"], cell["word"]
-        items = F.array_join(F.transform(W.dynamic_words(body, word), lambda w: static(F.replace(kind, F.lit("[]"), F.lit("")), w)), ",")
+        items = F.array_join(F.transform(W.dynamic_words(body, word), lambda w: ABI.word_value(F.replace(kind, F.lit("[]"), F.lit("")), w)), ",")
+        found = F.when(cell["indexed"] & (kind.contains("[") | kind.contains("(")), word)
+        for name, parsed in nested.items():
+            found = found.when(kind == name, ABI.read(parsed, body, F.lit(0).cast("long"), cell["at"].cast("long") * ABI.WORD))
         return (
-            F.when(~cell["indexed"] & kind.endswith("[]"), F.concat(F.lit("["), items, F.lit("]")))
+            found.when(~cell["indexed"] & kind.endswith("[]"), F.concat(F.lit("["), items, F.lit("]")))
             .when(~cell["indexed"] & (kind == "string"), W.dynamic_text(body, word))
             .when(~cell["indexed"] & (kind == "bytes"), F.concat(F.lit("0x"), W.dynamic_bytes(body, word)))
-            .otherwise(static(kind, word))
+            .otherwise(ABI.word_value(kind, word))
         )
 
     args = F.transform("_cells", lambda cell: F.struct(cell["name"].alias("name"), value(cell).alias("value")))

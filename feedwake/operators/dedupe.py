@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedwake.operators.timeline import ranked
+from feedwake.storage import write_table
 
+GROUPS = 64  # of tasks, whose smallest hashes are taken first
 SLICES = (3, 7)  # leading hash digits: 4,096 slices of a stratum, then 65,536 of the slice in which its quota ends
 
 
@@ -39,17 +41,27 @@ def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], na
     return ranked(df, keys, order, name)
 
 
+def smallest(df: DataFrame, strata: Sequence[str], order: Sequence[str], k: int | Column) -> DataFrame:
+    """Rows that can be among the ``k`` first of their stratum: the ``k`` first of each group of tasks."""
+    group = F.pmod(F.spark_partition_id(), F.lit(GROUPS))
+    window = Window.partitionBy(*strata, "_group").orderBy(*order)
+    found = df.withColumn("_group", group).withColumn("_place", F.row_number().over(window))
+    return found.where(F.col("_place") <= k).drop("_group", "_place")
+
+
 def stable_sample(df: DataFrame, strata: Sequence[str], log_key: Column, salt: Column | str, quota: Column | int,
                   ties: Sequence[str]) -> DataFrame:
     """The ``quota`` rows of each stratum with the smallest sha256(salt|key).
 
-    Rows are counted per slice of the hash range first. Slices that the quota cannot reach are
-    dropped, the slices it covers are kept whole, and the slice in which it ends is cut again; what is
-    left to rank is one part in 268 million of a stratum.
+    The source is read once: every group of tasks keeps its ``quota`` smallest hashes of a stratum, as none of the others can be drawn
+    (a fixed quota trims each task before the shuffle), and what they keep is written. Rows of that are counted per slice of the
+    hash range. Slices that the quota cannot reach are dropped, the slices it covers are kept whole, and the slice in which it ends is cut
+    again; what is left to rank is one part in 268 million of a stratum.
     """
     salted = F.concat(salt if isinstance(salt, Column) else F.lit(salt), F.lit("|"), log_key)
     wanted = quota if isinstance(quota, Column) else F.lit(quota)
-    hashed = df.withColumn("_hash", F.sha2(salted, 256)).withColumn("_quota", wanted.cast("long"))
+    pool = df.withColumn("_hash", F.sha2(salted, 256)).withColumn("_quota", wanted.cast("long"))
+    hashed = write_table(smallest(pool, strata, ["_hash", *ties], quota if isinstance(quota, int) else F.col("_quota")))
     earlier = Window.partitionBy(*strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     helpers = ["_hash", "_quota", "_slice", "_n", "_before"]
     edge, parts = hashed, []

@@ -154,24 +154,12 @@ def asof(
     return scanned.where(F.col("_side") != 1).select(*[F.col(f"_left.{c}").alias(c) for c in left.columns], found.alias(into))
 
 
-def window_distinct_counts(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    left_at: Column,
-    right_at: Column,
-    width: int,
-    distinct: dict[str, str],
-    *,
-    closed: str = "right",
-) -> DataFrame:
-    """Count distinct right values in the window that opens at each left row.
+def distinct_steps(right: DataFrame, keys: Sequence[str], right_at: Column, widths: Sequence[int], distinct: dict[str, str], closed: str = "right") -> DataFrame:
+    """Per key and moment ``_at``, by how much the distinct counts of the windows that open there change.
 
-    ``distinct`` maps output name to a right column. ``closed`` is ``right`` for
-    ``(t, t+width]`` or ``left`` for ``[t, t+width)``. A value is visible from a left row
-    at ``t`` while some occurrence lies in the window; clipping each occurrence's visibility
-    at the previous occurrence makes the spans of one value disjoint, so the count
-    at ``t`` is the number of spans opened minus the number closed so far.
+    ``distinct`` maps names to right columns; the change for the i-th width is ``_step_{name}_{i}``. A value is visible from a moment while some
+    occurrence lies in its window; clipping each occurrence's visibility at the previous occurrence makes the spans of one value
+    disjoint, so a count is the number of spans opened minus the number closed so far. All widths share the spans.
     """
     shift = 0 if closed == "right" else 1
     events = right.select(
@@ -186,18 +174,35 @@ def window_distinct_counts(
     spans = running(
         cut(events, value_keys, ["_at"]), value_keys, ["_at"], [Scan("_previous", "last", F.col("_at"))], strict=True
     )
-    opened = F.greatest(F.col("_at") - F.lit(width), F.col("_previous")) + F.lit(shift)
-    deltas = spans.select(
-        *keys,
-        "_dim",
-        F.explode(F.array(
-            F.struct(opened.alias("at"), F.lit(1).cast("long").alias("step")),
-            F.struct((F.col("_at") + F.lit(shift)).alias("at"), F.lit(-1).cast("long").alias("step")),
-        )).alias("_edge"),
-    )
-    steps = deltas.groupBy(*keys, F.col("_edge.at").alias("_at")).agg(
-        *[F.sum(F.when(F.col("_dim") == name, F.col("_edge.step"))).alias(f"_step_{name}") for name in distinct]
-    )
+    edges = []
+    for i, width in enumerate(widths):
+        opened = F.greatest(F.col("_at") - F.lit(width), F.col("_previous")) + F.lit(shift)
+        for at, step in ((opened, 1), (F.col("_at") + F.lit(shift), -1)):
+            edges.append(F.struct(F.lit(i).alias("width"), at.alias("at"), F.lit(step).cast("long").alias("step")))
+    deltas = spans.select(*keys, "_dim", F.explode(F.array(*edges)).alias("_edge"))
+    return deltas.groupBy(*keys, F.col("_edge.at").alias("_at")).agg(*[
+        F.sum(F.when((F.col("_dim") == name) & (F.col("_edge.width") == i), F.col("_edge.step"))).alias(f"_step_{name}_{i}")
+        for i in range(len(widths)) for name in distinct
+    ])
+
+
+def window_distinct_counts(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_at: Column,
+    right_at: Column,
+    width: int,
+    distinct: dict[str, str],
+    *,
+    closed: str = "right",
+) -> DataFrame:
+    """Count distinct right values in the window that opens at each left row.
+
+    ``distinct`` maps output name to a right column. ``closed`` is ``right`` for
+    ``(t, t+width]`` or ``left`` for ``[t, t+width)``. See :func:`distinct_steps`.
+    """
+    steps = distinct_steps(right, keys, right_at, [width], distinct, closed)
     step_rows = steps.withColumn("_side", F.lit(0)).withColumn("_salt", F.lit(0).cast("long"))
     left_rows = left.select(
         *[F.col(k) for k in keys],
@@ -208,7 +213,7 @@ def window_distinct_counts(
     )
     order = ["_at", "_side", "_salt"]
     chunks = cut(left_rows.unionByName(step_rows, allowMissingColumns=True), keys, order)
-    scanned = running(chunks, keys, order, [Scan(name, "sum", F.col(f"_step_{name}")) for name in distinct])
+    scanned = running(chunks, keys, order, [Scan(name, "sum", F.col(f"_step_{name}_0")) for name in distinct])
     return scanned.where(F.col("_side") == 1).select(
         *[F.col(f"_left.{c}").alias(c) for c in left.columns],
         *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in distinct],
@@ -225,9 +230,12 @@ def window_fold(
     folds: Sequence[Scan],
     *,
     closed: str = "right",
+    distinct_left: bool = False,
 ) -> DataFrame:
     """Fold right rows over the window that opens at each left row (sum, count, min, max).
 
+    Left rows are numbered and written first, unless they are told to be distinct.
+
     Time is tiled into blocks as wide as the window. Any window then covers the tail of one
     block and the head of the next, so two running scans per block give the exact result.
     """
@@ -240,7 +248,10 @@ def window_fold(
         *[s.value.alias(f"_v_{s.name}") for s in folds],
         F.monotonically_increasing_id().alias("_salt"),
     )
-    numbered = write_table(left.withColumn("_left_id", F.monotonically_increasing_id()).withColumn("_at", left_at.cast("long")))
+    if distinct_left:
+        numbered = left.withColumn("_left_id", F.struct(*left.columns)).withColumn("_at", left_at.cast("long"))
+    else:
+        numbered = write_table(left.withColumn("_left_id", F.monotonically_increasing_id()).withColumn("_at", left_at.cast("long")))
     block = F.floor(F.col("_at") / F.lit(width)).cast("long")
     probes = numbered.select(
         *keys,
@@ -256,7 +267,7 @@ def window_fold(
         F.lit(2 if lo_open else 0).alias("_side"),
         F.col("_probe.part").alias("_part"),
         "_left_id",
-        F.col("_left_id").alias("_salt"),
+        (F.xxhash64("_left_id") if distinct_left else F.col("_left_id")).alias("_salt"),
     )
     block_keys = [*keys, "_block"]
     order = ["_at", "_side", "_salt"]
@@ -268,6 +279,8 @@ def window_fold(
     merged = halves.groupBy("_left_id").agg(
         *[(F.sum if s.kind in ("sum", "count") else F.min if s.kind == "min" else F.max)(s.name).alias(s.name) for s in folds]
     )
+    if distinct_left:
+        return merged.select("_left_id.*", *[s.name for s in folds])
     return numbered.join(merged, "_left_id").drop("_left_id", "_at")
 
 

@@ -85,3 +85,11 @@ def test_chain_names():
     assert T.parse_chains("bsc, avalanche,base,bnb") == ["bnb", "avalanche_c", "base"]
     assert T.chain_filter_names(["avalanche_c", "bnb"]) == ["avalanche", "avalanche_c", "bnb"]
     assert len(T.hash_buckets(256)) == 256 and T.hash_buckets(4) == ["00", "40", "80", "c0"]
+
+
+def test_leaves_of_any_shape(spark):
+    from feedwake.operators.audit import leaves
+
+    docs = [(1, '{"a": [1, [true, {"b": "x.y"}], []], "c": null, "d": {}}'), (2, "no json {"), (3, '"alone"'), (4, None), (5, "[[[[7]]]]"), (6, "null"), (7, '{"é k": "v"}')]
+    got = sorted((r["k"], r["path"], r["value"]) for r in leaves(spark.createDataFrame(docs, "k long, t string"), "k", "t").collect())
+    assert got == [(1, "$.a[0]", "1"), (1, "$.a[1][0]", "true"), (1, "$.a[1][1].b", "x.y"), (2, "$", "no json {"), (3, "$", "alone"), (5, "$[0][0][0][0]", "7"), (7, "$.é k", "v")]

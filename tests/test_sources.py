@@ -80,11 +80,52 @@ def test_date_and_chain_filters_prune_partitions(spark, tmp_path):
 
 def test_append_new_skips_done_keys(spark, tmp_path):
     path = f"{tmp_path}/done"
-    one = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
-    two = spark.createDataFrame([("b", 9), ("c", 3)], "k string, v long")
-    tables.append_new(one, path, ["k"])
-    tables.append_new(two, path, ["k"])
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+    schema = "k string, v long"
+    one = spark.createDataFrame([("a", 1), ("b", 2), ("b", 0), (None, 5)], schema)
+    two = spark.createDataFrame([("b", 9), ("c", 3), ("c", 3), (None, 5)], schema)
+    assert sorted(map(tuple, tables.append_new(one, path, ["k"], "one").collect()), key=repr) == [("a", 1), ("b", 0), (None, 5)]
+    assert sorted(map(tuple, tables.append_new(two, path, ["k"], "two").collect()), key=repr) == [("c", 3), (None, 5)]
+    assert sorted(map(tuple, tables.append_new(two, path, ["k"], "two").collect()), key=repr) == [("c", 3), (None, 5)]
+    want = [("a", 1), ("b", 0), ("c", 3), (None, 5), (None, 5)]
+    assert sorted(map(tuple, tables.read_appended(spark, path, schema).collect()), key=repr) == want
+    assert tables.append_new(one.limit(0), path, ["k"], "none").collect() == []
+
+
+@pytest.mark.parametrize("stop", ["data", "filters", "commits"])
+def test_a_batch_that_stopped_is_run_again(spark, tmp_path, monkeypatch, stop):
+    path = f"{tmp_path}/done"
+    rows = lambda *ks: spark.createDataFrame([(k, 1) for k in ks], "k long, v long")
+    tables.append_new(rows(1, 2), path, ["k"], "one", places=64)
+    writer = type(spark.range(1).write)
+    for kind in ("parquet", "json"):
+        plain = getattr(writer, kind)
+
+        def broken(self, where, *args, _plain=plain, **more):
+            if f"/{stop}/" in where:
+                raise OSError("stopped")
+            return _plain(self, where, *args, **more)
+
+        monkeypatch.setattr(writer, kind, broken)
+    with pytest.raises(OSError):
+        tables.append_new(rows(2, 3), path, ["k"], "two", places=64)
+    monkeypatch.undo()
+    assert sorted(r["k"] for r in tables.read_appended(spark, path, "k long, v long").collect()) == [1, 2]
+    tables.append_new(rows(2, 3), path, ["k"], "two", places=64)
+    tables.append_new(rows(3, 4), path, ["k"], "three", places=64)
+    assert sorted(r["k"] for r in tables.read_appended(spark, path, "k long, v long").collect()) == [1, 2, 3, 4]
+
+
+def test_batches_without_a_common_key_are_not_read_again(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/done"
+    asked = []
+    plain = tables.read_appended
+    monkeypatch.setattr(tables, "read_appended", lambda s, p, schema, batches=None: asked.append(batches) or plain(s, p, schema, batches))
+    for n in range(4):
+        tables.append_new(spark.range(100 * n, 100 * n + 100).withColumnRenamed("id", "k").withColumn("v", F.lit(n)), path, ["k"], f"b{n}")
+    assert asked == [["b0"], ["b1"], ["b2"], ["b3"]]  # only what each has just written
+    tables.append_new(spark.createDataFrame([(150, 9), (999, 9)], "k long, v int"), path, ["k"], "b4")
+    assert asked[4:] == [["b1"], ["b4"]]
+    assert plain(spark, path, "k long, v int").count() == 401
 
 
 def test_writers(spark, tmp_path):
