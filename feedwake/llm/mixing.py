@@ -17,6 +17,8 @@ from feedwake.storage import write_table
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Documents that one task balances together; at most two of them stay undecided and go on to the next level.
 BLOCK = 2000
+#: Equal rows that one row stands for until they are dealt out.
+RUN = 10_000
 EDGE = 1e-9
 
 
@@ -85,6 +87,20 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """The rows (doc_id, source, size) with ``number`` 1, 2, 3 ... among equal ones, so that each draws for itself.
+
+    Equal rows are counted before the shuffle and made again from their count, in runs of ``RUN`` that are dealt out; so a document that a
+    third of all rows repeat, or a third without an id, is no group of its own.
+    """
+    keys = ["doc_id", "source", "size"]
+    counted = sizes.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / RUN))))
+    dealt = runs.repartition(F.col("doc_id"), F.col("size"), F.col("run"))
+    last = F.least(F.col("times"), (F.col("run") + 1) * RUN)
+    return dealt.select(*keys, F.explode(F.sequence(F.col("run") * RUN + 1, last)).alias("number"))
+
+
 def plan(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``sizes`` (doc_id, source, size): with ``source_size``, ``target``, ``copies`` and ``taken``.
 
@@ -99,9 +115,11 @@ def plan(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHAR
     want = targets(sizes, weights, share, most)
     wanted = want.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     named = wanted.withColumnRenamed("source", "its_source")
-    rows = sizes.select("doc_id", "source", "size").join(named, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
+    rows = numbered(sizes).join(named, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
     rows = rows.withColumns({"whole": F.floor("ratio").cast("int"), "chance": F.col("ratio") - F.floor("ratio"), "blocks": F.ceil(F.col("n_docs") / block).cast("long")})
-    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size")).drop("n_docs", "ratio")
+    first = F.col("number") == 1
+    draw = F.when(first, F.xxhash64(F.lit(seed), "doc_id", "size")).otherwise(F.xxhash64(F.lit(seed), "doc_id", "size", "number"))
+    rows = rows.withColumn("draw", draw).drop("n_docs", "ratio", "number")
     largest = want.agg(F.max("n_docs")).first()[0] or 0
     schema = rows.withColumn("home", F.lit(0).cast("long")).schema
 
