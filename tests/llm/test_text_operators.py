@@ -26,6 +26,17 @@ def test_bpe_equals_the_library_and_round_trips(docs, nothing):
     assert bpe_queries.digests(nothing).collect() == []
 
 
+def test_both_ways_in_one_pass(docs, nothing):
+    path, pattern = public_tokenizers.path(bpe_queries.RANKS), public_tokenizers.PATTERN
+    kept = docs.withColumn("bytes", docs.n_words)
+    both = bpe.round_trip(kept, path, pattern, ["doc_id", "n_words"])
+    assert both.columns == ["doc_id", "n_words", "ids", "bytes"] and "text" in bpe.round_trip(docs, path, pattern).columns
+    got = [(r.doc_id, r.n_words, r.ids, bytes(r.bytes)) for r in both.collect()]
+    want = [(r.doc_id, r.n_words, ids_of(r.text), (r.text or "").encode()) for r in docs.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert bpe.round_trip(nothing, path, pattern).collect() == []
+
+
 @pytest.mark.parametrize("text", ["a b " * 40000 + "x" * 70000 + " 12 34" * 20000, " " * 100000 + "ab " * 50000, "\n\n a's don't 12" * 9000, "", "no-place" * 20000])
 def test_pieces_change_no_token(text):
     parts = list(bpe.pieces(text, 5000))
