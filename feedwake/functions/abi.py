@@ -69,9 +69,9 @@ def parse(text: str) -> Kind:
     return Kind(name=text)
 
 
-def is_nested(text: str) -> bool:
-    """Whether a type needs this grammar: tuples, arrays of a fixed length, and arrays of what lies in the tail."""
-    return "(" in text or text.count("[") > 1 or ("[" in text and (not text.endswith("[]") or text in ("string[]", "bytes[]")))
+def is_word(text: str) -> bool:
+    """Whether values of a type are one word."""
+    return not ("(" in text or "[" in text or text in ("string", "bytes"))
 
 
 def word_value(name: Column, word: Column) -> Column:
@@ -94,12 +94,12 @@ def _word(body: Column, at: Column) -> Column:
 
 def _count(body: Column, at: Column) -> Column:
     """A length or offset in bytes, NULL where it is missing or beyond any data."""
-    return W.small_number(_word(body, at))
+    return _bind(_word(body, at), W.small_number)
 
 
 def _joined(items: Column, opening: str, closing: str) -> Column:
     """Texts in brackets; NULL if one of them is."""
-    return F.when(F.forall(items, lambda x: x.isNotNull()), F.concat(F.lit(opening), F.array_join(items, ","), F.lit(closing)))
+    return _bind(items, lambda t: F.when(F.forall(t, lambda x: x.isNotNull()), F.concat(F.lit(opening), F.array_join(t, ","), F.lit(closing))))
 
 
 def _tail_start(body: Column, base: Column, at: Column) -> Column:
@@ -123,13 +123,13 @@ def read(kind: Kind, body: Column, base: Column, at: Column) -> Column:
         return _bind(start, fields)
     if kind.name in ("string", "bytes"):
         def content(start: Column) -> Column:
-            size = _count(body, start) * 2
-            raw = F.substring(body, (start + WORD + 1).cast("int"), size.cast("int"))
-            whole = F.when(F.length(raw) == size, raw)
+            sized = F.struct((start + WORD + 1).cast("int").alias("begin"), (_count(body, start) * 2).cast("int").alias("size"))
+            raw = _bind(sized, lambda s: F.struct(F.substring(body, s["begin"], s["size"]).alias("raw"), s["size"].alias("size")))
+            whole = _bind(raw, lambda r: F.when(F.length(r["raw"]) == r["size"], r["raw"]))
             return F.make_valid_utf8(F.unhex(whole).cast("string")) if kind.name == "string" else F.concat(F.lit("0x"), whole)
 
         return _bind(_tail_start(body, base, at), content)
-    return word_value(F.lit(kind.name), _word(body, at))
+    return _bind(_word(body, at), lambda word: word_value(F.lit(kind.name), word))
 
 
 def _array(kind: Kind, body: Column, base: Column, at: Column) -> Column:

@@ -123,10 +123,10 @@ def decode_by_abi(logs: DataFrame, abi: DataFrame) -> DataFrame:
     arguments come from the topics in order (of a type that is no word the topic is a hash and stays), the others from the data: words,
     strings, bytes (hex), arrays (``[a,b]``) and tuples (``(a,b)``), nested at will. A value whose bytes are missing is NULL.
 
-    The distinct nested types of the table come to the driver, as each becomes an expression.
+    The distinct types of the table that are no words come to the driver, as each becomes an expression.
     """
     types = abi.select(F.explode("inputs.type").alias("type")).distinct().collect()
-    nested = {t: ABI.parse(t) for t in sorted(r["type"] for r in types if r["type"]) if ABI.is_nested(t)}
+    nested = {t: ABI.parse(t) for t in sorted(r["type"] for r in types if r["type"]) if not ABI.is_word(t)}
     indexed = F.filter("inputs", lambda a: a["indexed"])
     plain = F.filter("inputs", lambda a: ~a["indexed"])
 
@@ -153,16 +153,10 @@ def decode_by_abi(logs: DataFrame, abi: DataFrame) -> DataFrame:
 
     def value(cell: Column) -> Column:
         kind, word = cell["type"], cell["word"]
-        items = F.array_join(F.transform(W.dynamic_words(body, word), lambda w: ABI.word_value(F.replace(kind, F.lit("[]"), F.lit("")), w)), ",")
-        found = F.when(cell["indexed"] & (kind.contains("[") | kind.contains("(")), word)
+        found = F.when(cell["indexed"] & kind.isin(*nested), word) if nested else F.when(F.lit(False), word)
         for name, parsed in nested.items():
             found = found.when(kind == name, ABI.read(parsed, body, F.lit(0).cast("long"), cell["at"].cast("long") * ABI.WORD))
-        return (
-            found.when(~cell["indexed"] & kind.endswith("[]"), F.concat(F.lit("["), items, F.lit("]")))
-            .when(~cell["indexed"] & (kind == "string"), W.dynamic_text(body, word))
-            .when(~cell["indexed"] & (kind == "bytes"), F.concat(F.lit("0x"), W.dynamic_bytes(body, word)))
-            .otherwise(ABI.word_value(kind, word))
-        )
+        return found.otherwise(ABI.word_value(kind, word))
 
     args = F.transform("_cells", lambda cell: F.struct(cell["name"].alias("name"), value(cell).alias("value")))
     return rows.withColumn("args", args).drop("inputs", "_body", "_words", "_cells")
