@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedwake import rules as R
@@ -15,11 +15,14 @@ from feedwake.harness import closure_queries as CL
 from feedwake.harness import replay_queries as RQ
 from feedwake.harness import views as V
 from feedwake.operators import audit as AUD
+from feedwake.operators import closure as C
 from feedwake.operators import decode as DEC
 from feedwake.operators import incidents as INC
 from feedwake.operators import joins as J
+from feedwake.operators import sampling as SMP
 from feedwake.operators import trends as TR
 from feedwake.operators.closure import HOUR
+from feedwake.plans import evaluate as EV
 from feedwake.storage import write_table
 
 QUERIES = {}
@@ -703,24 +706,24 @@ SELECT l_returnflag, count(*) AS transfer_flow_count FROM (SELECT DISTINCT l_ret
 
 
 def _audit(spark, folder):
-    rows = [(c, i % 2 == 0, i < 3, True, i * 2) for i, c in enumerate(V.CHAINS)]
-    evidence = R.inline(spark, rows, "case string, raw_receipt_present boolean, has_raw_config_log boolean, locator_exists boolean, transfer_flow_count long")
+    rows = [(c, i % 2 == 0, i < 3, True) for i, c in enumerate(V.CHAINS)]
+    evidence = R.inline(spark, rows, "case string, raw_receipt_present boolean, has_raw_config_log boolean, locator_exists boolean")
     found = RQ.result(spark, folder)
     return AUD.audit_dataset(RQ.trace(spark, folder), found.alerts, found.actors, evidence)
 
 
 QUERIES["audit_dataset"] = lambda spark, folder: _audit(spark, folder).select(
-    "case", "trace_records", "alerts", "attacker_candidates", "has_real_attacker", "placeholder_count", "fixture_tx_count", "borrow_tx_count", "status")
+    "case", "trace_records", "alerts", "attacker_candidates", "has_real_attacker", "placeholder_count", "fixture_tx_count", "borrow_tx_count", "transfer_flow_count", "status")
 SQL["audit_dataset"] = V.with_views([*RQ.ALERT_VIEWS, "h_marks"], """
-, e(kase, raw, config, flows) AS (VALUES ('ethereum', true, true, 0), ('bnb', false, true, 2), ('base', true, true, 4), ('avalanche_c', false, false, 6)),
-t AS (SELECT kase, count(*) AS n, count(DISTINCT CASE WHEN event_type = 'BORROW' THEN tx_hash END) AS b,
+, e(kase, raw, config) AS (VALUES ('ethereum', true, true), ('bnb', false, true), ('base', true, true), ('avalanche_c', false, false)),
+t AS (SELECT kase, count(*) AS n, count(*) FILTER (k % 9 = 0 AND kase <> 'ethereum') AS flows, count(DISTINCT CASE WHEN event_type = 'BORROW' THEN tx_hash END) AS b,
              count(*) FILTER (regexp_matches(tx_hash, '^0x0{60}') AND len(list_distinct(string_split(substr(tx_hash, 3), ''))) <= 2) AS fixture,
              count(DISTINCT CASE WHEN regexp_matches(tx_hash, '^0x0{60}') AND len(list_distinct(string_split(substr(tx_hash, 3), ''))) <= 2 THEN tx_hash END)
                + count(DISTINCT CASE WHEN who = '0x0000000000000000000000000000000000000000' THEN who END) AS p FROM h_trace GROUP BY 1),
 m AS (SELECT kase, count(DISTINCT address) AS n, bool_or(address <> '0x0000000000000000000000000000000000000000') AS real FROM h_marks GROUP BY 1),
 a AS (SELECT "case" AS kase, count(*) AS n FROM h_alerts GROUP BY 1)
 SELECT e.kase AS "case", t.n AS trace_records, a.n AS alerts, m.n AS attacker_candidates, m.real AS has_real_attacker, t.p AS placeholder_count, t.fixture AS fixture_tx_count, t.b AS borrow_tx_count,
-       CASE WHEN t.p > 0 OR t.fixture > 0 THEN 'fixture_only' WHEN raw AND flows > 0 AND m.real AND config THEN 'real_tx_with_receipt_flow_decode' ELSE 'real_materialized' END AS status
+       t.flows AS transfer_flow_count, CASE WHEN t.p > 0 OR t.fixture > 0 THEN 'fixture_only' WHEN raw AND flows > 0 AND m.real AND config THEN 'real_tx_with_receipt_flow_decode' ELSE 'real_materialized' END AS status
 FROM e JOIN t ON t.kase = e.kase JOIN m ON m.kase = e.kase JOIN a ON a.kase = e.kase""")
 
 
@@ -743,6 +746,85 @@ LEFT JOIN (SELECT kase, count(*) FILTER (k % 10 > 0) || '/' || count(*) AS c FRO
 JOIN (SELECT kase, count(*) AS n FROM h_trace GROUP BY 1) t ON t.kase = f.kase JOIN (SELECT "case" AS kase, count(*) AS n FROM h_alerts GROUP BY 1) a ON a.kase = f.kase""")
 
 
+def _closure_rows(spark, folder):
+    incidents = INC.incident_summary(_fold(spark, folder), INC.role_addresses(incident_events(spark, folder))).select("case", F.col("lifecycle_tx_count").alias("impact_tx_count"), "attacker_count")
+    state = RQ.result(spark, folder).state
+    return AUD.closure_table(RQ.cases(spark), _audit(spark, folder), _triggers(spark, folder), state, incidents, INC.topic_coverage(_pre_attack(spark, folder)))
+
+
+QUERIES["report_closure_table"] = lambda spark, folder: _closure_rows(spark, folder).drop("evidence_status")
+SQL["report_closure_table"] = V.with_views([*RQ.ALERT_VIEWS, "h_status", "h_fold"], _PRE_SQL + """
+, c(kase, raw) AS (VALUES ('ethereum', true), ('bnb', false), ('base', true), ('avalanche_c', false))
+SELECT c.kase AS "case", c.kase IN (SELECT kase FROM h_broken WHERE tx_hash <> '') AS has_trigger,
+       c.kase IN (SELECT kase FROM h_trace WHERE event_type = 'ORACLE_FEED_SET') AS has_oracle_anomaly, c.kase IN (SELECT kase FROM h_fold) AS has_lending_impact,
+       c.kase IN (SELECT chain FROM h_logs WHERE topic0 IN ('click', 'purchase', 'error')) AS has_actor, c.kase IN (SELECT kase FROM h_trace) AS has_temporal_order,
+       c.kase IN (SELECT "case" FROM h_alerts) AS has_replayable_constraint, c.raw AS raw_receipt_present,
+       (SELECT count(*) FROM h_trace t WHERE t.kase = c.kase AND k % 9 = 0 AND kase <> 'ethereum') AS transfer_flow_count,
+       c.kase IN (SELECT kase FROM p WHERE k % 10 > 0) AS has_pre_attack_topics FROM c""")
+
+
+def _loss_rows(spark, folder):
+    """Known losses of the transactions of each supplier's nation, with a public figure for every second one."""
+    nation = V.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("market"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("case"))
+    sold = V.table(spark, folder, "lineitem").join(nation, F.col("l_suppkey") == F.col("market"), "left")
+    public = F.when(F.substring("case", 2, 9).cast("int") % 2 == 0, F.lit(1e6))
+    losses = sold.groupBy("case").agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice"))).alias("known_usd_estimate")).withColumn("public_reference", public)
+    cases = V.table(spark, folder, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("case"))
+    return AUD.loss_table(cases, losses).select("case", F.round("known_usd_estimate", 2).alias("known_usd_estimate"), "public_reference", F.round("coverage", 6).alias("coverage"))
+
+
+QUERIES["report_loss_table"] = _loss_rows
+SQL["report_loss_table"] = """
+WITH l AS (SELECT s_nationkey AS n, sum(l_extendedprice) FILTER (l_returnflag = 'R') AS usd FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
+SELECT 'n' || n_nationkey AS "case", round(usd, 2) AS known_usd_estimate, CASE WHEN l.n % 2 = 0 THEN 1e6::DOUBLE END AS public_reference,
+       round(CASE WHEN l.n % 2 = 0 THEN usd / 1e6::DOUBLE END, 6) AS coverage FROM nation LEFT JOIN l ON l.n = n_nationkey"""
+
+
+def _benign(spark, folder):
+    """Each event as a benign sample, with the logs of its transaction that match it; half the chains decode, one looks for a feed."""
+    logs, k = V.logs(spark, folder), F.col("k")
+    word = lambda n: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(n)), 64, "0"))
+    address = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(k % 20)), 40, "0"))
+    receipts = logs.select("tx_hash", address.alias("address"), "topic0", F.array(F.col("topic0"), word(k % 5), word(k % 7)).alias("topics"), F.col("log_index").cast(LONG).alias("log_index"))
+    samples = logs.select(F.concat(F.lit("s"), F.col("block_number").cast("string")).alias("sample_id"), "tx_hash", F.col("blockchain").alias("case_related_to"), address.alias("contract_address"), "topic0")
+    abi = R.inline(spark, [("signup", "FeedSet"), ("view", "AnswerUpdated")], "topic0 string, event_name string")
+    zero, one = f"0x{0:040x}", f"0x{1:040x}"
+    modes = [("ethereum", "decode", None, None, None), ("bnb", "decode", None, None, None), ("base", "receipt", None, None, None), ("avalanche_c", "feed", zero, one, zero)]
+    rules = R.inline(spark, modes, "case string, mode string, asset string, forbidden_feed string, expected_feed string")
+    return SMP.classify_samples(samples, receipts, abi, rules)
+
+
+QUERIES["classify_samples"] = lambda spark, folder: _benign(spark, folder).select(
+    "sample_id", "verification_status", "replay_event_type", "matching_log_count", F.col("first_log_index").cast(LONG).alias("first_log_index"))
+V.register_view_sql("h_classified", f"""h_classified AS (
+  SELECT sample_id, matching_log_count, first_log_index,
+         CASE chain WHEN 'avalanche_c' THEN coalesce(verdict, '{R.STRICT_STATUSES[1]}') WHEN 'base' THEN '{R.STRICT_STATUSES[0]}'
+              ELSE CASE WHEN topic0 IN ('signup', 'view') THEN '{R.STRICT_STATUSES[0]}' ELSE '{R.UNKNOWN_STATUSES[0]}' END END AS verification_status,
+         CASE WHEN chain = 'avalanche_c' AND verdict IS NOT NULL THEN '{R.FEED_SET}' ELSE 'BENIGN_ORACLE_SCOPE_LOG' END AS replay_event_type
+  FROM (SELECT 's' || s.block_number AS sample_id, any_value(s.chain) AS chain, any_value(s.topic0) AS topic0, count(*) AS matching_log_count, min(l.log_index) AS first_log_index,
+               arg_min(CASE WHEN l.k % 5 = 0 AND l.k % 7 = 1 THEN 'violated_constraint' WHEN l.k % 5 = 0 AND l.k % 7 <> 0 THEN 'needs_review_case_asset_other_feed' END, l.log_index)
+                 FILTER (l.k % 5 = 0 AND l.k % 7 <> 0) AS verdict
+        FROM h_logs s JOIN h_logs l ON l.tx_hash = s.tx_hash AND l.k % 20 = s.k % 20 AND l.topic0 = s.topic0 GROUP BY s.block_number))""")
+SQL["classify_samples"] = V.with_views(["h_logs", "h_classified"], "SELECT sample_id, verification_status, replay_event_type, matching_log_count, first_log_index FROM h_classified")
+QUERIES["benign_replay_summary"] = lambda spark, folder: EV.benign_replay_summary(_benign(spark, folder), RQ.result(spark, folder))
+SQL["benign_replay_summary"] = V.with_views([*RQ.ALERT_VIEWS, "h_classified"], f"""
+SELECT (SELECT count(*) FROM h_alerts) AS replay_alert_count, count(*) AS sample_rows, count(*) FILTER (verification_status = '{R.REVIEW_STATUSES[0]}') AS needs_review_count FROM h_classified""")
+
+
+def _ranked_evidence(spark, folder):
+    """Closure candidates in the order in which they are looked at, for each chain and class."""
+    found = CL.candidates(spark, folder)
+    window = Window.partitionBy("chain", "failure_class").orderBy(*C.evidence_order(found), "boundary_tx_hash", "trigger_block")
+    return found.select("chain", "failure_class", "boundary_tx_hash", "trigger_block", F.row_number().over(window).cast(LONG).alias("place"))
+
+
+QUERIES["evidence_ranked"] = _ranked_evidence
+SQL["evidence_ranked"] = V.with_views(V.CLOSURE_VIEWS, CL._ALL_SQL + f"""
+SELECT chain, failure_class, trigger_tx AS boundary_tx_hash, trigger_block, row_number() OVER (PARTITION BY chain, failure_class ORDER BY
+  CASE evidence_tier WHEN '{R.TIER_A}' THEN 1 WHEN '{R.TIER_B}' THEN 2 ELSE 3 END, trigger_to_impact_seconds, impact_tx_count DESC,
+  CASE WHEN failure_class = '{R.FRESHNESS}' THEN 2 WHEN scope_class IN ('{R.S2}', '{R.S3}') THEN 1 ELSE 2 END, chain, trigger_year, trigger_tx, trigger_block) AS place FROM tiered""")
+
+
 def _monthly(spark, folder):
     """Orders by date as boundary logs, so that the series spans many months."""
     logs = V.table(spark, folder, "orders").select(

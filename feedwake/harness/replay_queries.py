@@ -31,6 +31,9 @@ def trace(spark: SparkSession, folder: str) -> DataFrame:
     who = account(F.col("actor").cast("long"))
     is_kind = lambda name, value: F.when(F.col("event_type") == name, value)
     impact = F.col("event_type").isin(*R.IMPACT_TYPES)
+    flow = F.struct(
+        F.col("tx_hash").alias("tx_hash"), F.col("log_index").cast("long").alias("log_index"), F.col("contract_address").alias("token_address"), F.col("who").alias("from"),
+        F.lit("").alias("to"), F.col("value").cast("string").alias("amount_raw"))
     fields = {
         "asset": F.when(~impact, F.col("asset")),
         "actual_feed": is_kind(R.FEED_SET, F.concat(F.lit("F"), (F.col("k") % 7).cast("string"))),
@@ -44,6 +47,7 @@ def trace(spark: SparkSession, folder: str) -> DataFrame:
         "collateral_asset": F.when(impact, F.col("asset")),
         "borrow_asset": is_kind(R.BORROW, F.concat(F.lit("A"), ((F.col("k") + 1) % 5).cast("string"))),
         "borrow_amount": is_kind(R.BORROW, F.col("value").cast("string")),
+        "transfer_flow_summary": F.when((F.col("k") % 9 == 0) & (F.col("blockchain") != "ethereum"), F.array(flow)),
     }
     rows = logs.withColumn("event_type", kind).withColumn("stamp", stamp).withColumn("who", who)
     decoded = F.struct(*[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in S.DECODED_FIELDS.items()])

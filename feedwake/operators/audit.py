@@ -95,7 +95,7 @@ def evidence_status() -> Column:
 def audit_dataset(trace: DataFrame, alerts: DataFrame, actors: DataFrame, evidence: DataFrame, minimum_borrows: int = 12) -> DataFrame:
     """Per case: records, alerts, accounts, placeholders, qualities and the status these give.
 
-    ``evidence``: case, raw_receipt_present, has_raw_config_log, locator_exists, transfer_flow_count.
+    ``evidence``: case, raw_receipt_present, has_raw_config_log, locator_exists. Transfer flows are counted from the trace, distinct ones once.
     A trace with a value or implementation fault and enough distinct borrows counts as complete.
     """
     docs = documents(trace.select("case", "tx_hash", "address", "decoded"), "case")
@@ -110,8 +110,9 @@ def audit_dataset(trace: DataFrame, alerts: DataFrame, actors: DataFrame, eviden
         F.bool_or(F.col("event_type").isin(R.MALFUNCTION, R.MISMATCH)).alias("_fault"), F.bool_or(F.contains(F.to_json("decoded"), F.lit("unknown"))).alias("_unknown"))
     real = actors.groupBy("case").agg(F.count(F.lit(1)).alias("attacker_candidates"), F.bool_or(~T.is_placeholder_address(F.col("address"))).alias("has_real_attacker"))
     raised = alerts.groupBy("case").agg(F.count(F.lit(1)).alias("alerts"))
+    flows = nested_flow_counts(trace.select("case", F.col("decoded.transfer_flow_summary").alias("flows")), "case", "flows")
     table = evidence
-    for part in (counts, placeholders, markers, qualities, borrow_txs, real, raised):
+    for part in (flows, counts, placeholders, markers, qualities, borrow_txs, real, raised):
         table = table.join(part, "case", "left")
     numbers = ["trace_records", "fixture_tx_count", "placeholder_count", "synthetic_marker_count", "attacker_candidates", "alerts", "borrow_tx_count", "transfer_flow_count"]
     for n in numbers:

@@ -28,6 +28,8 @@ RECEIPTS = (
     "logs array<struct<address:string,topics:array<string>,data:string,logIndex:string>>"
 )
 
+FLOWS = "array<struct<tx_hash:string,log_index:bigint,token_address:string,from:string,to:string,amount_raw:string>>"
+
 # Text unless a type is given; all fields may be missing.
 DECODED_FIELDS = {
     "asset": "string", "actual_feed": "string", "expected_feed": "string", "actual_formula": "string",
@@ -38,6 +40,7 @@ DECODED_FIELDS = {
     "liquidator": "string", "collateral_asset": "string", "borrow_asset": "string", "borrow_amount": "string",
     "borrow_amount_usd": "string", "collateral_value_usd_reported": "string", "collateral_value_usd_expected": "string",
     "seized_amount": "string", "evidence_quality": "string", "source": "string", "selector": "string",
+    "transfer_flow_summary": FLOWS,
 }
 DECODED = "struct<" + ",".join(f"{k}:{v}" for k, v in DECODED_FIELDS.items()) + ">"
 TRACE = (
