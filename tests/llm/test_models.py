@@ -139,19 +139,36 @@ def test_mix_of_nothing(spark):
 
 
 def test_fixity_finds_each_damage_and_only_that(spark):
-    rows = [(k * 3, f"record {k}".encode()) for k in range(3000)] + [(None, b"loose"), (None, None), (6, b"second"), (6, b"second")]
-    bad = [(k, (b"?" if k == 300 else r)) for k, r in rows if k != 6003] + [(10**9, b"new")]
+    rows = [(k * 3, f"record {k}".encode()) for k in range(3000)] + [(None, b"loose"), (None, None), (6, b"second"), (6, b"second"), (-5, b"below")]
+    bad = [(k, (b"?" * len(r) if k == 300 else r)) for k, r in rows if k != 6003] + [(10**9, b"new")]
     bad.remove((6, b"second"))
-    frames = [spark.createDataFrame(x, "page_id long, record binary").repartition(4) for x in (rows, bad)]
-    got = {r.key: r.status for r in fixity.audit(*frames).collect()}
-    assert {k: s for k, s in got.items() if s != "ok"} == {300: "changed", 6: "changed", 6003: "missing", 10**9: "extra"}
+    frames = [spark.createDataFrame([(*x, "clash") for x in part], "page_id long, record binary, key string").repartition(4) for part in (rows, bad)]
+
+    def laid(part):
+        """Offset of each key's first byte, by walking the records in order."""
+        out, ends = {}, {}
+        for k in sorted({k for k, _ in part if k is not None}):
+            out[k] = ends.get(k >> 10, 0)
+            ends[k >> 10] = out[k] + sum(len(r) for x, r in part if x == k)
+        return out
+
+    got = {r.key: r for r in fixity.audit(*frames).collect() if not r.keyless}
+    before, after = laid(rows), laid(bad)
+    want = {300: "changed", 6: "changed", 6003: "missing", 10**9: "extra"}
+    want |= {k: "moved" for k in before.keys() & after.keys() if k not in want and before[k] != after[k]}
+    assert {k: r.status for k, r in got.items() if r.status != "ok"} == want and sum(v == "moved" for v in want.values()) > 300
+    assert {k: r.offset for k, r in got.items() if r.status != "extra"} == before and {k: r.replica_offset for k, r in got.items() if r.status != "missing"} == after
     same = fixity.audit(frames[0], frames[0].repartition(2)).collect()
-    assert {r.status for r in same} == {"ok"}
-    ends = {}
-    for r in sorted(same, key=lambda r: r.key):
-        assert r.offset == ends.get(r.file, 0)
-        ends[r.file] = r.offset + (r.n_bytes or 0)
+    assert {r.status for r in same} == {"ok"} and sum(r.keyless for r in same) == 2 and got[-5].file == -1
     assert fixity.audit(frames[0].limit(0), frames[0].limit(0)).collect() == []
+    assert {r.status for r in fixity.audit(frames[0], frames[0].limit(0)).collect()} == {"missing"}
+
+
+def test_records_of_pages_with_nulls(spark):
+    pages = spark.createDataFrame([(None, None, None), (-3, "u", None), (1, None, "é"), (1, None, "é")], "page_id long, url string, html string").withColumn("record", F.lit("clash"))
+    found = [bytes(r.record) for r in fixity.warc(pages).collect()]
+    assert all(f.startswith(b"WARC/1.1") and f.endswith(b"\r\n\r\n") for f in found) and b"Content-Length: 2\r\n\r\n\xc3\xa9" in found[2]
+    assert {r.status for r in fixity.audit(fixity.warc(pages), fixity.warc(pages)).collect()} == {"ok"}
 
 
 def test_pipeline(spark, labelled):
