@@ -32,7 +32,7 @@ def _cuts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends of chunks at every level: places (one past the byte) and levels.
 
     The rolling hash is the product of the last eight bytes, as one number, with an odd constant (before the start: zeros). It
-    ends a chunk of level k if its k high bits are zero. Only levels from that of the length are kept.
+    ends a chunk of level k if its k high bits are zero; eight zero bytes end none, at any level. Only levels from that of the length are kept.
     """
     low = _floor(len(data))
     most = np.uint64((1 << (64 - low)) - 1)
@@ -42,7 +42,7 @@ def _cuts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = min(CHUNK, len(data) - begin)
         last = np.ndarray((count,), "<u8", padded, begin, (1,))
         rolled = last * _STEP
-        at = np.flatnonzero(rolled <= most)
+        at = np.flatnonzero((rolled <= most) & (rolled != 0))
         places.append(at + begin + 1)
         levels.append(64 - np.ceil(np.log2(rolled[at].astype(np.float64) + 1)).astype(np.int64))
     return np.concatenate(places), np.concatenate(levels)

@@ -140,3 +140,49 @@ def test_neighbours_in_descending_order(docs, nothing, shelf_bytes, monkeypatch)
     got = [tuple(r) for r in ctph_queries.with_next(docs).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert ctph_queries.with_next(nothing).collect() == []
+
+
+def plain_fingerprint(text):
+    """The fingerprint byte by byte: cuts, forced ends, signs and the level, each from its definition."""
+    data, full = (text or "").encode(), 1 << 64
+    step = 0x9E3779B97F4A7C15
+    if not data:
+        return "0:::"
+
+    def scrambled(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * factor % full
+        return x ^ (x >> 31)
+
+    zeros = []  # high zero bits of the rolling hash after each byte
+    window = bytes(8)
+    for byte in data:
+        window = window[1:] + bytes([byte])
+        zeros.append(64 - (int.from_bytes(window, "little") * step % full).bit_length() if any(window) else -1)
+
+    def chunks(level):
+        out, begin = [], 0
+        for end in range(1, len(data) + 1):
+            if end == len(data) or zeros[end - 1] >= level:
+                while end - begin > ctph.LONGEST << level:
+                    out.append((begin, begin + (ctph.LONGEST << level)))
+                    begin += ctph.LONGEST << level
+                out.append((begin, end))
+                begin = end
+        return out
+
+    def sign(begin, end):
+        held = sum((data[k] + 1) * pow(step, k - begin, full) for k in range(begin, end))
+        bits = scrambled((held + end - begin) % full) >> 52
+        return ctph.ALPHABET[bits >> 6] + ctph.ALPHABET[bits & 63]
+
+    lowest = max(0, -(-len(data) // ctph.EXPECTED) - 1).bit_length()
+    level = next(k for k in range(lowest, 64) if len(chunks(k)) <= ctph.SIGNS)
+    return f"{level}:" + ":".join("".join(sign(*c) for c in chunks(k)) for k in range(level, level + ctph.SIGNATURES))
+
+
+def test_fingerprints_byte_by_byte(texts):
+    draw = random.Random(21)
+    more = ["".join(chr(draw.choice([32, 97, 98, 99, 233, 8364])) for _ in range(n)) for n in (1, 7, 8, 9, 44, 45, 46, 200, 1500, 4000)]
+    for text in [t for t in texts if t is None or len(t) < 13_000] + more + ["ab" * 900, "\x00" * 300]:
+        assert ctph.fingerprint(text) == plain_fingerprint(text)
