@@ -352,8 +352,8 @@ _FREE = (f"NOT (l.us BETWEEN epoch_us(TIMESTAMP '{WINDOW[0]}') - {GUARD} * 36000
          "AND (l.chain, l.tx_hash) NOT IN (SELECT (chain, tx_hash) FROM h_known)")
 
 
-def _same_oracle(spark, folder, buckets=256):
-    return SMP.benign_same_oracle(V.logs(spark, folder), bounds(spark), known_txs(spark, folder), GUARD, buckets, answer=F.abs("value"), topic0="view")
+def _same_oracle(spark, folder):
+    return SMP.benign_same_oracle(V.logs(spark, folder), bounds(spark), known_txs(spark, folder), GUARD, answer=F.abs("value"), topic0="view")
 
 
 _SAMPLE = ["sample_id", "label", "benign_stratum", "chain", "year", "scope_class", "tx_hash", "contract_address", "topic0", "case_related_to", "expected_violation"]
@@ -489,3 +489,14 @@ QUERIES["keep_first_dedupe"] = _keep_first
 SQL["keep_first_dedupe"] = V.with_views(["h_logs"], """
 SELECT chain, contract AS contract_address, topic0, actor, block_number, value FROM h_logs
 QUALIFY row_number() OVER (PARTITION BY chain, contract, topic0, actor ORDER BY block_number) = 1""")
+
+
+def _buckets(spark, folder):
+    """A quarter of all transactions by hash prefix, logs counted by topic."""
+    logs = V.logs(spark, folder).withColumn("tx_hash", F.concat(F.lit("0x"), F.sha2(F.col("tx_id").cast("string"), 256)))
+    return SMP.bucket_sample(logs, 64).groupBy("topic0").agg(F.count(F.lit(1)).alias("logs"), F.count_distinct("tx_hash").alias("txs"))
+
+
+QUERIES["bucket_sample"] = _buckets
+SQL["bucket_sample"] = V.with_views(["h_logs"], """
+SELECT topic0, count(*) AS logs, count(DISTINCT tx_id) AS txs FROM h_logs WHERE ('0x' || sha256(CAST(tx_id AS VARCHAR))[1:2])::BIGINT % 4 = 0 GROUP BY 1""")

@@ -38,8 +38,12 @@ def scope_activity_counts(
     start: str | None = None,
     end: str | None = None,
     exact: bool = False,
+    error: float = 0.02,
 ) -> DataFrame:
-    """Logs, transactions and contracts per chain, year and scope class, and over all chains."""
+    """Logs, transactions and contracts per chain, year and scope class, and over all chains.
+
+    Unless ``exact``, distinct counts are estimates with a standard error of ``error`` of the count.
+    """
     scoped = in_dates(in_chains(logs, chains), start, end).join(rules.where(~F.col("contextual_only")), "topic0")
     rows = scoped.select(
         F.col("blockchain").alias("chain"), F.year("block_date").cast("long").alias("year"), "scope_class", "tx_hash", "contract_address"
@@ -52,8 +56,8 @@ def scope_activity_counts(
     counted = levels.agg(
         F.grouping("chain").alias("_all"),
         F.count(F.lit(1)).alias("oracle_scope_log_count"),
-        F.approx_count_distinct("tx_hash").alias("oracle_scope_tx_count"),
-        F.approx_count_distinct("contract_address").alias("oracle_scope_contract_count"),
+        F.approx_count_distinct("tx_hash", error).alias("oracle_scope_tx_count"),
+        F.approx_count_distinct("contract_address", error).alias("oracle_scope_contract_count"),
     )
     return _named_levels(counted)
 

@@ -96,7 +96,7 @@ def composition_suspicious(transactions, traces, logs, chains=None, start=None,
     return _suspicious(_with_logs(rows.where(said.rlike(COMPOSITION_CALL)), logs, chains, start, end), R.COMPOSITION, exact)
 
 
-def freshness_suspicious(logs, transfers, tokens, chains=None, start=None, end=None, exact: bool = False, answer: Column | None = None) -> DataFrame:
+def freshness_suspicious(logs, transfers, tokens, chains=None, start=None, end=None, exact: bool = False, answer: Column | None = None, min_usd: float = 10_000) -> DataFrame:
     """Yearly counts of lower-bound answers and of material outflows of market-like tokens."""
     size = F.abs(W.int_double(F.col("topic1")) / F.lit(1e8)) if answer is None else answer
     low = in_dates(in_chains(logs, chains), start, end).where(F.lower("topic0") == R.ANSWER_UPDATED).where((size > 0) & (size <= 1)).select(
@@ -104,7 +104,7 @@ def freshness_suspicious(logs, transfers, tokens, chains=None, start=None, end=N
         F.col("contract_address").alias("market_contract"), T.log_key(F.col("tx_hash"), F.col("log_index")).alias("log_key"))
     label = F.lower(F.concat(F.coalesce("symbol", F.lit("")), F.lit(" "), F.coalesce("name", F.lit(""))))
     prefixed = in_chains(tokens, chains).where(label.rlike("(^|[^a-z0-9])(a|b|c|m|v)[a-z0-9]+")).select("blockchain", F.col("contract_address").alias("from")).distinct()
-    moved = in_dates(in_chains(transfers, chains), start, end).where((F.col("amount") > 0) & (F.col("amount_usd").isNull() | (F.col("amount_usd") >= 10000)))
+    moved = in_dates(in_chains(transfers, chains), start, end).where((F.col("amount") > 0) & (F.col("amount_usd").isNull() | (F.col("amount_usd") >= min_usd)))
     paid = moved.join(prefixed, ["blockchain", "from"], "left_semi").select(
         F.col("blockchain").alias("chain"), F.year("block_date").cast("long").alias("year"), "tx_hash", F.col("to").alias("actor"),
         F.col("from").alias("market_contract"), T.log_key(F.col("tx_hash"), F.col("evt_index")).alias("log_key"))

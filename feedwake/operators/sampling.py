@@ -35,16 +35,20 @@ def _scaled_answer(decimals: Column) -> Column:
     return F.abs(W.int_double(F.col("topic1"))) / F.pow(F.lit(10.0), decimals)
 
 
+def bucket_sample(logs: DataFrame, buckets: int, column: str = "tx_hash") -> DataFrame:
+    """Rows whose transaction hash begins with one of ``buckets`` evenly spaced prefixes (of 256); all logs of a transaction stay together."""
+    return logs.where(T.in_hash_buckets(F.col(column), buckets))
+
+
 def benign_same_oracle(
-    logs: DataFrame, bounds: DataFrame, known_txs: DataFrame, guard_hours: int = 24, buckets: int = 256, start=None, end=None, chains=None,
+    logs: DataFrame, bounds: DataFrame, known_txs: DataFrame, guard_hours: int = 24, start=None, end=None, chains=None,
     answer: Column | None = None, topic0: str = R.ANSWER_UPDATED,
 ) -> DataFrame:
     """Reports of a case's own feed away from its incident; verified when the answer is in its normal band.
 
     ``bounds``: case_id, chain, feed_address, normal_min, normal_max, answer_decimals, incident_start, incident_end.
-    ``buckets`` below 256 samples by transaction-hash prefix.
     """
-    reports = in_dates(in_chains(logs, chains), start, end).where((F.lower("topic0") == topic0) & T.in_hash_buckets(F.col("tx_hash"), buckets))
+    reports = in_dates(in_chains(logs, chains), start, end).where(F.lower("topic0") == topic0)
     feeds = bounds.withColumnRenamed("chain", "blockchain").withColumnRenamed("feed_address", "contract_address")
     rows = _unknown_txs(reports, known_txs).join(feeds, ["blockchain", "contract_address"]).where(outside_window(guard_hours))
     rows = rows.withColumn("normalized_answer", _scaled_answer(F.col("answer_decimals")) if answer is None else answer)
@@ -60,14 +64,14 @@ def benign_same_oracle(
 
 
 def benign_same_protocol(
-    logs: DataFrame, contracts: DataFrame, known_txs: DataFrame, topic_rules: DataFrame, guard_hours: int = 24, buckets: int = 256, start=None, end=None,
+    logs: DataFrame, contracts: DataFrame, known_txs: DataFrame, topic_rules: DataFrame, guard_hours: int = 24, start=None, end=None,
     chains=None,
 ) -> DataFrame:
     """Logs of a case's contracts with a known topic away from its incident.
 
     ``contracts``: case_id, chain, contract_address, failure_class, incident_start, incident_end.
     """
-    kept = in_dates(in_chains(logs, chains), start, end).where(T.in_hash_buckets(F.col("tx_hash"), buckets))
+    kept = in_dates(in_chains(logs, chains), start, end)
     owned = contracts.withColumnRenamed("chain", "blockchain")
     rows = _unknown_txs(kept, known_txs).join(topic_rules.select("topic0", "scope_class", "topic_name"), "topic0")
     rows = rows.join(owned, ["blockchain", "contract_address"]).where(outside_window(guard_hours))
@@ -85,7 +89,7 @@ def benign_cross_protocol(
     start=None, end=None, chains=None,
 ) -> DataFrame:
     """Boundary logs that share no transaction, contract or time with a known incident of their chain."""
-    kept = in_dates(in_chains(logs, chains), start, end).where(T.in_hash_buckets(F.col("tx_hash"), buckets))
+    kept = in_dates(in_chains(logs, chains), start, end)
     scoped = kept.join(rules.where(~F.col("contextual_only")).select("topic0", "scope_class", "topic_name"), "topic0")
     contracts = known_contracts.select(F.col("chain").alias("blockchain"), "contract_address").distinct()
     free = _unknown_txs(scoped, known_txs).join(contracts, ["blockchain", "contract_address"], "left_anti")
