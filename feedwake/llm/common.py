@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -42,8 +43,17 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def release() -> None:
-    """Give memory that this worker no longer needs back to the system; workers are used again, and pools keep what the largest batch took."""
+_RELEASED = [0.0]
+
+
+def release(every: float = 0.0) -> None:
+    """Give memory that this worker no longer needs back to the system; workers are used again, and pools keep what the largest batch took.
+
+    Memory that is given back must be asked for again, so groups that follow each other do it every few seconds (``every``) only.
+    """
+    if time.monotonic() - _RELEASED[0] < every:
+        return
+    _RELEASED[0] = time.monotonic()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
