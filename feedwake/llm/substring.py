@@ -16,8 +16,6 @@ WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 #: Bytes kept of a block's hash besides its bucket (a false hit only costs work) and of a window's hash (which decides).
 ANCHOR_BYTES, WINDOW_BYTES = 4, 8
-#: Seconds between two times that a worker gives memory back.
-PAUSE = 10.0
 
 
 class _Shelf:
@@ -70,7 +68,7 @@ def _low(hashes: np.ndarray) -> np.ndarray:
 
 
 def _blobs(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    release(PAUSE)
+    release()
     return pd.DataFrame(rows, columns=names)
 
 
@@ -168,7 +166,7 @@ def remove_repeats(docs: DataFrame, shelf_bytes: int | None = None, keep: Sequen
             kept.append(text.decode() if whole else b" ".join(compress(text.split(), ~removed[begin:end])).decode())
         n_removed = np.bincount(shelf.owner[removed], minlength=len(kept))
         ids = docs["doc_id"].astype("Int64").iloc[shelf.order].reset_index(drop=True)
-        release(PAUSE)
+        release()
         others = {c: docs[c].iloc[shelf.order].reset_index(drop=True) for c in keep}
         return pd.DataFrame({"doc_id": ids, "n_words": shelf.counts, "n_removed": n_removed, "kept_text": kept, **others})
 
