@@ -615,12 +615,12 @@ def feed_binding_stages(labels, tokens, transactions, traces, start=None, end=No
     inventory = INV.lending_inventory(labels, tokens, chains)
     surface = lending_surface(inventory, transactions, traces, start, end, chains)
     cluster = protocol_cluster(inventory, surface)
-    changes = binding_changes(cluster, transactions, traces, start, end, chains)
+    changes = write_table(binding_changes(cluster, transactions, traces, start, end, chains))
     named = binding_identities(changes, cluster, INV.price_source_inventory(labels, chains))
-    flags = named.groupBy("blockchain", "trigger_tx", "protocol_cluster_id").agg(
+    flags = write_table(named.groupBy("blockchain", "trigger_tx", "protocol_cluster_id").agg(
         F.bool_or("asset_identity_observed").alias("asset"), F.bool_or("feed_identity_observed").alias("feed"),
         F.bool_or("identity_mismatch_hint").alias("mismatch"),
-    )
+    ))
     return {
         "inventory_addresses": (inventory, "address", "protocol_cluster_id", None),
         "price_source_addresses": (INV.price_source_inventory(labels, chains), "address", None, None),
@@ -636,8 +636,8 @@ def feed_binding_stages(labels, tokens, transactions, traces, start=None, end=No
 def price_composition_stages(labels, tokens, transactions, traces, transfers, start=None, end=None, chains=None) -> dict:
     inventory = INV.lending_inventory(labels, tokens, chains)
     assets = INV.derivative_assets(tokens, inventory, chains)
-    changes = formula_changes(inventory, transactions, traces, start, end, chains)
-    by_name, by_data = asset_hints(changes, assets)
+    changes = write_table(formula_changes(inventory, transactions, traces, start, end, chains))
+    by_name, by_data = (write_table(part) for part in asset_hints(changes, assets))
     hints = affected_assets(changes, by_name, by_data)
     return {
         "inventory_addresses": (inventory, "address", "protocol_cluster_id", None),
