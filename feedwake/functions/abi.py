@@ -7,7 +7,6 @@ digits from the start of the data, and each step binds its place to a name, so t
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -82,24 +81,20 @@ def word_value(name: Column, word: Column) -> Column:
     )
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _word(body: Column, at: Column) -> Column:
     """The word at a place, NULL if it is not all there."""
     word = F.substring(body, (at + 1).cast("int"), F.lit(WORD))
-    return F.when(F.length(word) == WORD, word)
+    return W.bind(word, lambda w: F.when(F.length(w) == WORD, w.cast("string")))
 
 
 def _count(body: Column, at: Column) -> Column:
     """A length or offset in bytes, NULL where it is missing or beyond any data."""
-    return _bind(_word(body, at), W.small_number)
+    return W.bind(_word(body, at), W.small_number)
 
 
 def _joined(items: Column, opening: str, closing: str) -> Column:
     """Texts in brackets; NULL if one of them is."""
-    return _bind(items, lambda t: F.when(F.forall(t, lambda x: x.isNotNull()), F.concat(F.lit(opening), F.array_join(t, ","), F.lit(closing))))
+    return W.bind(items, lambda t: F.when(F.forall(t, lambda x: x.isNotNull()), F.concat(F.lit(opening), F.array_join(t, ","), F.lit(closing))))
 
 
 def _tail_start(body: Column, base: Column, at: Column) -> Column:
@@ -107,7 +102,7 @@ def _tail_start(body: Column, base: Column, at: Column) -> Column:
 
 
 def read(kind: Kind, body: Column, base: Column, at: Column) -> Column:
-    """Text of a value: its head is at ``at``, offsets count from ``base`` (both digits, long); ``[a,b]`` for arrays, ``(a,b)`` for tuples. NULL if bytes are missing."""
+    """Text of a value in ``body``, the digits as bytes (a place in a text is found by walking there): its head is at ``at``, offsets count from ``base`` (both digits, long); ``[a,b]`` for arrays, ``(a,b)`` for tuples. NULL if bytes are missing."""
     if kind.element is not None:
         return _array(kind, body, base, at)
     if kind.parts is not None:
@@ -120,16 +115,16 @@ def read(kind: Kind, body: Column, base: Column, at: Column) -> Column:
                 place += part.head_words
             return _joined(F.array(*texts), "(", ")")
 
-        return _bind(start, fields)
+        return W.bind(start, fields)
     if kind.name in ("string", "bytes"):
         def content(start: Column) -> Column:
             sized = F.struct((start + WORD + 1).cast("int").alias("begin"), (_count(body, start) * 2).cast("int").alias("size"))
-            raw = _bind(sized, lambda s: F.struct(F.substring(body, s["begin"], s["size"]).alias("raw"), s["size"].alias("size")))
-            whole = _bind(raw, lambda r: F.when(F.length(r["raw"]) == r["size"], r["raw"]))
+            raw = W.bind(sized, lambda s: F.struct(F.substring(body, s["begin"], s["size"]).cast("string").alias("raw"), s["size"].alias("size")))
+            whole = W.bind(raw, lambda r: F.when(F.length(r["raw"]) == r["size"], r["raw"]))
             return F.make_valid_utf8(F.unhex(whole).cast("string")) if kind.name == "string" else F.concat(F.lit("0x"), whole)
 
-        return _bind(_tail_start(body, base, at), content)
-    return _bind(_word(body, at), lambda word: word_value(F.lit(kind.name), word))
+        return W.bind(_tail_start(body, base, at), content)
+    return W.bind(_word(body, at), lambda word: word_value(F.lit(kind.name), word))
 
 
 def _array(kind: Kind, body: Column, base: Column, at: Column) -> Column:
@@ -144,5 +139,5 @@ def _array(kind: Kind, body: Column, base: Column, at: Column) -> Column:
 
     if kind.length is not None:
         start = _tail_start(body, base, at) if kind.in_tail else at
-        return _bind(start, lambda s: elements(s, F.lit(kind.length).cast("long")))
-    return _bind(_tail_start(body, base, at), lambda s: _bind(F.struct((s + WORD).alias("start"), _count(body, s).alias("count")), lambda t: elements(t["start"], t["count"])))
+        return W.bind(start, lambda s: elements(s, F.lit(kind.length).cast("long")))
+    return W.bind(_tail_start(body, base, at), lambda s: W.bind(F.struct((s + WORD).alias("start"), _count(body, s).alias("count")), lambda t: elements(t["start"], t["count"])))

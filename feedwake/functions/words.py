@@ -7,6 +7,7 @@ functions give all digits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -24,12 +25,20 @@ def hex_body(value: Column) -> Column:
     return F.when(text.startswith("0x"), F.substr(text, F.lit(3))).otherwise(text)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is found once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(data: Column) -> Column:
     """Split call or log data into its 32-byte words; a short last word is kept."""
-    body = hex_body(data)
-    count = F.ceil(F.length(body) / F.lit(64)).cast("int")
-    split = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(body, (i - 1) * 64 + 1, F.lit(64)))
-    return F.filter(split, lambda w: w != "")
+
+    def split(body: Column) -> Column:
+        count = F.ceil(F.length(body) / F.lit(64)).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(body, (i - 1) * 64 + 1, F.lit(64)).cast("string"))
+
+    # as bytes, since a place in a text is found by walking there
+    return F.filter(bind(hex_body(data).cast("binary"), split), lambda w: w != "")
 
 
 def word_at(data: Column, index: int) -> Column:
@@ -85,25 +94,39 @@ def word_int_decimal(word: Column) -> Column:
 
 
 LIMB, LIMBS = 10**9, 9  # base and number of the decimal limbs of 256 bits
+PIECES = [(58 - 7 * j, 7) for j in range(9)] + [(1, 1)]  # first digit and number of digits of 28 bits, the lowest first
 
 
 def _digits(word: Column, extra: Column) -> Column:
-    """Plain decimal digits of a 64-digit word plus ``extra``: sixteen bits at a time into limbs of nine digits, the lowest first."""
-    zero = F.array(*[F.lit(0).cast("long")] * LIMBS)
+    """Plain decimal digits of a 64-digit word plus ``extra``.
 
-    def add(limbs: Column, place: Column) -> Column:
-        part = F.conv(F.substring(word, place * 4 + 1, F.lit(4)), 16, 10).cast("long") + F.when(place == 15, extra).otherwise(F.lit(0)).cast("long")
-        start = F.struct(part.alias("carry"), F.array().cast("array<bigint>").alias("out"))
+    Up to 60 bits are one number. Else pieces of 28 bits meet the decimal limbs of their powers of two: ten products below 2^58 stay a long, and
+    one pass carries from limb to limb.
+    """
+    powers = [[2 ** (28 * j) // LIMB**i % LIMB for i in range(LIMBS)] for j in range(len(PIECES))]
 
-        def step(state: Column, limb: Column) -> Column:
-            total = limb * 65536 + state["carry"]
-            return F.struct(((total - total % LIMB) / F.lit(LIMB)).cast("long").alias("carry"), F.array_append(state["out"], total % LIMB).alias("out"))
+    def sums(pieces: Column) -> Column:
+        limbs = []
+        for i in range(LIMBS):
+            total = F.lit(0).cast("long")
+            for j, power in enumerate(powers):
+                if power[i]:
+                    total = total + F.get(pieces, F.lit(j)) * F.lit(power[i]).cast("long")
+            limbs.append(total)
+        return F.array(*limbs)
 
-        return F.aggregate(limbs, start, step, lambda state: state["out"])
+    def carry(state: Column, limb: Column) -> Column:
+        total = state["carry"] + limb
+        text = F.lpad((total % LIMB).cast("string"), 9, "0")
+        return F.struct(F.call_function("div", total, F.lit(LIMB)).alias("carry"), F.concat(text, state["text"]).alias("text"))
 
-    limbs = F.aggregate(F.sequence(F.lit(0), F.lit(15)), zero, add)
-    text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
-    return F.coalesce(F.nullif(F.ltrim(text, F.lit("0")), F.lit("")), F.lit("0"))
+    def wide(w: Column) -> Column:
+        read = [_part(w, *place).cast("long") for place in PIECES]
+        start = F.struct(F.lit(0).cast("long").alias("carry"), F.lit("").alias("text"))
+        said = F.aggregate(bind(F.array(read[0] + extra, *read[1:]), sums), start, carry, lambda state: state["text"])
+        return F.coalesce(F.nullif(F.ltrim(said, F.lit("0")), F.lit("")), F.lit("0"))
+
+    return bind(word, lambda w: F.when(F.substring(w, 1, 49) == "0" * 49, (_part(w, 50, 15).cast("long") + extra).cast("string")).otherwise(wide(w)))
 
 
 def word_text(word: Column) -> Column:
@@ -120,10 +143,14 @@ def word_int_text(word: Column) -> Column:
 
 def number_text(word: Column, signed: Column) -> Column:
     """Exact value of a full 64-digit word as decimal text, two's complement where ``signed``."""
-    negative = signed & (F.substring(word, 1, 1) >= F.lit("8"))
-    body = F.when(negative, F.translate(word, HEX_DIGITS, HEX_COMPLEMENT)).otherwise(word)
-    digits = _digits(body, F.when(negative, F.lit(1)).otherwise(F.lit(0)))
-    return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits)
+
+    def text(w: Column) -> Column:
+        negative = signed & (F.substring(w, 1, 1) >= F.lit("8"))
+        body = F.when(negative, F.translate(w, HEX_DIGITS, HEX_COMPLEMENT)).otherwise(w)
+        digits = _digits(body, F.when(negative, F.lit(1)).otherwise(F.lit(0)))
+        return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits)
+
+    return bind(word, text)
 
 
 def uint_text(value: Column) -> Column:
@@ -183,7 +210,8 @@ def _fits(value: Column) -> Column:
 
 def small_number(word: Column) -> Column:
     """A word as a long that is a length or offset, NULL where it is beyond any data."""
-    return F.when(word.isNotNull(), _fits(_decimal(pad_word(word))))
+    low = lambda w: F.when(F.substring(w, 1, 56) == "0" * 56, _fits(_part(w, 57, 8).cast("long")))
+    return F.when(word.isNotNull(), bind(pad_word(word), low))
 
 
 def _tail(body: Column, word: Column) -> tuple[Column, Column]:

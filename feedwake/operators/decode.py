@@ -144,21 +144,21 @@ def decode_by_abi(logs: DataFrame, abi: DataFrame) -> DataFrame:
     def cells(inputs: Column, words: Column, in_head: bool) -> Column:
         """Name, type, place and head word of each argument, so that what follows refers to a field and not to how it was cut."""
         at = (lambda i: place(inputs, i)) if in_head else (lambda i: i)
-        return F.transform(inputs, lambda arg, i: F.struct(
-            arg["name"].alias("name"), arg["type"].alias("type"), arg["indexed"].alias("indexed"), at(i).alias("at"), F.try_element_at(words, at(i) + 1).alias("word")))
+        # bound, as a column named once would be cut again for each argument
+        return W.bind(words, lambda w: F.transform(inputs, lambda arg, i: F.struct(
+            arg["name"].alias("name"), arg["type"].alias("type"), arg["indexed"].alias("indexed"), at(i).alias("at"), F.try_element_at(w, at(i) + 1).alias("word"))))
 
     joined = logs.join(abi, "topic0", "left").withColumns({"_body": W.hex_body(F.col("data")), "_words": W.words(F.col("data"))})
     rows = joined.withColumn("_cells", F.concat(cells(indexed, F.array("topic1", "topic2", "topic3"), False), cells(plain, F.col("_words"), True)))
-    body = F.col("_body")
 
-    def value(cell: Column) -> Column:
+    def value(cell: Column, body: Column) -> Column:
         kind, word = cell["type"], cell["word"]
         found = F.when(cell["indexed"] & kind.isin(*nested), word) if nested else F.when(F.lit(False), word)
         for name, parsed in nested.items():
             found = found.when(kind == name, ABI.read(parsed, body, F.lit(0).cast("long"), cell["at"].cast("long") * ABI.WORD))
         return found.otherwise(ABI.word_value(kind, word))
 
-    args = F.transform("_cells", lambda cell: F.struct(cell["name"].alias("name"), value(cell).alias("value")))
+    args = W.bind(F.col("_body").cast("binary"), lambda body: F.transform("_cells", lambda cell: F.struct(cell["name"].alias("name"), value(cell, body).alias("value"))))
     return rows.withColumn("args", args).drop("inputs", "_body", "_words", "_cells")
 
 

@@ -1,12 +1,14 @@
 """Nested ABI values against an encoder of their own."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedwake.functions import abi as ABI
 from feedwake.functions import words as W
+from feedwake.operators.decode import decode_by_abi
 
 
 def encode(kind, value):
@@ -87,3 +89,19 @@ def test_hostile_lengths_give_null(spark):
 def test_no_types(bad):
     with pytest.raises(ValueError):
         ABI.parse(bad)
+
+
+def test_long_data_is_cut_once_for_all_arguments(spark):
+    """A log of many wide numbers: the words were cut again for each argument, and each number went through a loop of 144 steps."""
+    n_args, n_logs = 100, 300
+    tops = [2**256 - 1 - i * 10**30 for i in range(n_args)]
+    data = "0x" + "".join(f"{n:064x}" for n in tops)
+    logs = spark.range(0, n_logs, 1, 1).select(
+        "id", F.lit("0xaa").alias("topic0"), *[F.lit(None).cast("string").alias(f"topic{i}") for i in (1, 2, 3)], F.concat(F.lit(data), F.lpad(F.hex("id"), 64, "0")).alias("data"))
+    inputs = [(f"a{i}", "uint256" if i % 2 else "int256", False) for i in range(n_args)] + [("id", "uint64", False)]
+    abi = spark.createDataFrame([("0xaa", "Wide", inputs)], "topic0 string, event_name string, inputs array<struct<name:string,type:string,indexed:boolean>>")
+    began = time.time()
+    rows = decode_by_abi(logs, abi).select("id", F.transform("args", lambda a: a["value"]).alias("values")).collect()
+    assert time.time() - began < 12
+    want = [str(n if i % 2 else n - 2**256) for i, n in enumerate(tops)]
+    assert len(rows) == n_logs and all(r["values"] == [*want, str(r["id"])] for r in rows)
