@@ -1,12 +1,14 @@
 """Contains joins against plain search, and what they move."""
 
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedwake.operators import joins as J
+from feedwake.operators.timeline import Scan, window_fold
 
 HEX = "0123456789abcdef"
 
@@ -76,3 +78,23 @@ def test_a_common_beginning_is_no_hot_key(spark, n):
     assert rare.count() == 200 and rare.agg(F.max("texts")).first()[0] < n / 20
     found = J.contains_text(names.withColumnRenamed("low", "name"), asked.select("word"), "name", "word").select("word").distinct()
     assert found.count() == 200
+
+
+def test_many_needles_and_triggers_do_not_go_through_the_driver(spark):
+    """Sides that look small before an explode, or packed in files, were sent to the driver whole and broadcast."""
+    chain = F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("chain")
+    address = F.concat(F.lit("0x"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40))
+    needles = spark.range(15_000).select(chain, address.alias("needle"))
+    calls = spark.range(40_000).select(chain, F.col("id").alias("call"), F.concat(F.lit("0xabcdef01"), F.lit("0" * 24), F.substring(address, 3, 40)).alias("data"))
+    found = J.contains_hex(calls, needles, ["chain"], "data", "needle", ["call", "needle"])
+    assert len(found.collect()) == 15_000
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    tx = F.concat(F.lit("0x"), F.lpad(F.hex("id"), 600, "0"))
+    triggers = spark.range(40_000).select(chain, tx.alias("tx"), F.col("id").alias("at"))
+    acts = spark.range(40_000).select(chain, F.col("id").alias("at"))
+    folded = window_fold(triggers, acts, ["chain"], F.col("at"), F.col("at"), 10, [Scan("n", "count", F.lit(1))])
+    rows = folded.select("tx", "n")
+    assert len(rows.collect()) == 40_000
+    sides = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not re.search(r"BroadcastHashJoin \[_left_id#\d+L?\], \[_left_id#\d+L?\], Inner, BuildLeft", sides)
