@@ -1,10 +1,10 @@
 """Ordered scans that stay parallel when one key holds a large share of all rows.
 
 A plain window partitioned by a key sends that whole key to one task. Here a
-timeline is first cut by range over (key, order), so a hot key becomes many
-chunks of similar size; each chunk is scanned on its own, the chunk totals (one row
-per key and chunk) are scanned per key, and the total of the earlier chunks is
-joined back. Sums, counts, extremes and "latest value" all combine this way.
+timeline is first cut by range over (hash of the key, order), so a hot key becomes many
+chunks of similar size; each chunk is scanned on its own, the chunk totals of the keys
+that a bound may part (one row per key and chunk) are scanned per key, and the total of
+the earlier chunks is joined back. Sums, counts, extremes and "latest value" all combine this way.
 
 Sliding-window results are computed from these scans and never from
 (trigger, event) pairs, so work grows with events, not with events squared.
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from feedwake.storage import write_table
 
 CHUNK = "_chunk"
+#: Chunk of the keys that no bound parts.
+WHOLE = -1
 
 
 @dataclass(frozen=True)
@@ -33,13 +35,18 @@ class Scan:
 
 
 def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Cut ``df`` by range over (keys, order) and fix each row's chunk number.
+    """Cut ``df`` by range over (hash of the keys, order) and fix each row's chunk number.
 
     The chunk numbers come from sampled range bounds, so they are written down
-    once; every later stage then sees the same cut.
+    once; every later stage then sees the same cut. A key that lies in several chunks
+    has the first hash of all but one of them, so only keys of these hashes (one for each
+    chunk) keep their number; all others are ``WHOLE`` and need no total of earlier chunks.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
-    return write_table(ranged.withColumn(CHUNK, F.spark_partition_id()))
+    place = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    ranged = df.withColumn("_place", place).repartitionByRange("_place", *order)
+    chunks = write_table(ranged.withColumn(CHUNK, F.spark_partition_id()))
+    firsts = {r["first"] for r in chunks.groupBy(CHUNK).agg(F.min("_place").alias("first")).collect()}
+    return chunks.withColumn(CHUNK, F.when(F.col("_place").isin(*firsts), F.col(CHUNK)).otherwise(WHOLE)).drop("_place")
 
 
 def _fold(kind: str, value: Column) -> Column:
@@ -89,7 +96,7 @@ def running(
         Window.partitionBy(*part).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     )
     local = chunks.select("*", *[_fold(s.kind, s.value).over(local_window).alias(f"_here_{s.name}") for s in scans])
-    totals = chunks.groupBy(*part).agg(
+    totals = chunks.where(F.col(CHUNK) != WHOLE).groupBy(*part).agg(
         *[_chunk_total(s.kind, s.value, order, descending).alias(f"_total_{s.name}") for s in scans]
     )
     chunk_order = F.col(CHUNK).desc() if descending else F.col(CHUNK).asc()
@@ -125,12 +132,13 @@ def asof(
     unit of the two ``*_at`` columns (longs). Left rows with a NULL key find nothing.
     """
     left_first = equal == forward
+    rest = [c for c in left.columns if c not in keys]
     left_rows = left.select(
         *[F.col(k) for k in keys],
         left_at.cast("long").alias("_at"),
         F.lit(0 if left_first else 2).alias("_side"),
         *[F.lit(None).cast(right.schema[t].dataType).alias(f"_tie{i}") for i, t in enumerate(ties)],
-        F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
+        (F.struct(*[F.col(c) for c in rest]) if rest else F.lit(None)).alias("_left"),
         F.monotonically_increasing_id().alias("_salt"),
     )
     right_rows = right.select(
@@ -151,7 +159,8 @@ def asof(
     found = F.col("_found.payload")
     if within is not None:
         found = F.when(distance <= F.lit(within), found)
-    return scanned.where(F.col("_side") != 1).select(*[F.col(f"_left.{c}").alias(c) for c in left.columns], found.alias(into))
+    own = [F.col(c).cast(left.schema[c].dataType) if c in keys else F.col(f"_left.{c}").alias(c) for c in left.columns]
+    return scanned.where(F.col("_side") != 1).select(*own, found.alias(into))
 
 
 def distinct_steps(right: DataFrame, keys: Sequence[str], right_at: Column, widths: Sequence[int], distinct: dict[str, str], closed: str = "right") -> DataFrame:
@@ -273,8 +282,9 @@ def window_fold(
     order = ["_at", "_side", "_salt"]
     chunks = cut(probes.unionByName(tiled, allowMissingColumns=True), block_keys, order)
     values = [Scan(s.name, s.kind, F.col(f"_v_{s.name}")) for s in folds]
-    head = running(chunks, block_keys, order, values).where(F.col("_part") == "head")
-    tail = running(chunks, block_keys, order, values, descending=True).where(F.col("_part") == "tail")
+    half = lambda part, descending: running(
+        chunks.where(F.coalesce(F.col("_part") == part, F.lit(True))), block_keys, order, values, descending=descending).where(F.col("_part") == part)
+    head, tail = half("head", False), half("tail", True)
     halves = head.select("_left_id", *[s.name for s in folds]).unionByName(tail.select("_left_id", *[s.name for s in folds]))
     merged = halves.groupBy("_left_id").agg(
         *[(F.sum if s.kind in ("sum", "count") else F.min if s.kind == "min" else F.max)(s.name).alias(s.name) for s in folds]
