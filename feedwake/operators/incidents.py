@@ -9,7 +9,9 @@ from feedwake import rules as R
 from feedwake import schemas as S
 from feedwake.functions import text as T
 from feedwake.operators.closure import HOUR, in_dates
+from feedwake.operators.joins import likely
 from feedwake.operators.timeline import ranked
+from feedwake.storage import write_table
 
 
 def deposit_accounts(transfers: DataFrame, deposit_markets: DataFrame, tokens: DataFrame, minimum: float, start=None, end=None) -> DataFrame:
@@ -17,12 +19,14 @@ def deposit_accounts(transfers: DataFrame, deposit_markets: DataFrame, tokens: D
 
     ``deposit_markets``: blockchain, market_address. ``tokens``: blockchain, contract_address.
     """
-    moves = in_dates(transfers, start, end).where(F.col("amount") >= minimum)
-    moves = moves.join(tokens.select("blockchain", "contract_address").distinct(), ["blockchain", "contract_address"], "left_semi")
+    named = tokens.select("blockchain", "contract_address").distinct()
     into = deposit_markets.select("blockchain", F.col("market_address").alias("to")).distinct()
+    moves = likely(in_dates(transfers, start, end).where(F.col("amount") >= minimum), into, ["blockchain", "to"])
+    moves = likely(moves, named, ["blockchain", "contract_address"])
+    moves = moves.join(named, ["blockchain", "contract_address"], "left_semi")
     deposits = moves.join(into, ["blockchain", "to"], "left_semi").withColumnRenamed("from", "account")
-    per_tx = deposits.groupBy("blockchain", "account", "tx_hash").agg(
-        F.sum("amount").alias("amount"), F.min("block_time").alias("at"), F.min("block_number").alias("block"), F.collect_set("to").alias("markets"))
+    per_tx = write_table(deposits.groupBy("blockchain", "account", "tx_hash").agg(
+        F.sum("amount").alias("amount"), F.min("block_time").alias("at"), F.min("block_number").alias("block"), F.collect_set("to").alias("markets")))
     place = F.struct("block", "tx_hash")
     markets = per_tx.select("blockchain", "account", F.explode("markets").alias("m")).groupBy("blockchain", "account").agg(
         F.count_distinct("m").alias("deposit_market_count"))
@@ -39,20 +43,27 @@ def borrow_outflows(accounts: DataFrame, transfers: DataFrame, native: DataFrame
     ``borrow_markets``: blockchain, market_address, market_symbol. ``native_market`` is the symbol (lower case) of the
     market that pays native coin. ``excluded``: tokens that do not count (blockchain, contract_address).
     """
-    since = accounts.select("blockchain", F.col("account").alias("to"), "first_deposit_time")
+    since = write_table(accounts.select("blockchain", F.col("account").alias("to"), "first_deposit_time"))
+    payees = since.select("blockchain", "to").distinct()
     sources = borrow_markets.select("blockchain", F.col("market_address").alias("from"), F.col("market_symbol").alias("source_market")).distinct()
     gap = T.micros(F.col("block_time")) - T.micros(F.col("first_deposit_time"))
     near = (gap >= 0) & (gap < hours * HOUR)
     meta = tokens.select("blockchain", "contract_address", F.col("symbol").alias("borrow_symbol"))
     banned = excluded.select("blockchain", "contract_address").distinct()
-    paid = in_dates(transfers, start, end).join(banned, ["blockchain", "contract_address"], "left_anti")
-    erc20 = paid.join(sources, ["blockchain", "from"]).join(since, ["blockchain", "to"]).where(near).join(meta, ["blockchain", "contract_address"], "left")
+
+    def out_of(moves: DataFrame, markets: DataFrame) -> DataFrame:
+        # the few rows near a first deposit are found before anything else is joined
+        met = likely(likely(moves, markets.select("blockchain", "from"), ["blockchain", "from"]), payees, ["blockchain", "to"])
+        return met.join(since, ["blockchain", "to"]).where(near).join(markets, ["blockchain", "from"])
+
+    paid = out_of(in_dates(transfers, start, end), sources).join(banned, ["blockchain", "contract_address"], "left_anti")
+    erc20 = paid.join(meta, ["blockchain", "contract_address"], "left")
     columns = ["blockchain", F.col("to").alias("account"), "block_time", "block_number", "tx_hash", "source_market"]
     tokens_out = erc20.select(
         *columns, "borrow_symbol", F.col("amount").alias("borrow_amount"), F.col("amount_usd").alias("borrow_amount_usd"),
         F.col("amount_usd").isNull().alias("missing_usd_price"), F.lit(False).alias("native"))
     sent = in_dates(native, start, end).where("success").where(F.col("value_double") > 0)
-    coins = sent.join(sources.where(F.lower("source_market") == native_market), ["blockchain", "from"]).join(since, ["blockchain", "to"]).where(near)
+    coins = out_of(sent, sources.where(F.lower("source_market") == native_market))
     coins_out = coins.select(
         *columns, F.lit("NATIVE").alias("borrow_symbol"), (F.col("value_double") / F.lit(1e18)).alias("borrow_amount"),
         F.lit(None).cast("double").alias("borrow_amount_usd"), F.lit(True).alias("missing_usd_price"), F.lit(True).alias("native"))
@@ -62,10 +73,10 @@ def borrow_outflows(accounts: DataFrame, transfers: DataFrame, native: DataFrame
 def deposit_borrow_locator(accounts: DataFrame, outflows: DataFrame) -> DataFrame:
     """Accounts that both deposit and borrow, with amounts, counts and first transactions."""
     keys = ["blockchain", "account"]
-    per_tx = outflows.groupBy(*keys, "tx_hash").agg(
+    per_tx = write_table(outflows.groupBy(*keys, "tx_hash").agg(
         F.sum(F.coalesce("borrow_amount_usd", F.lit(0.0))).alias("usd"), F.count_if("missing_usd_price").alias("missing"),
         F.sum(F.when(F.col("native"), F.col("borrow_amount")).otherwise(0.0)).alias("native_amount"), F.min("block_time").alias("at"),
-        F.min("block_number").alias("block"), F.collect_set("source_market").alias("markets"), F.collect_set("borrow_symbol").alias("symbols"))
+        F.min("block_number").alias("block"), F.collect_set("source_market").alias("markets"), F.collect_set("borrow_symbol").alias("symbols")))
     borrows = per_tx.groupBy(*keys).agg(
         F.sum("usd").alias("borrowed_usd_known"), F.sum("missing").alias("borrowed_usd_missing_price_count"), F.sum("native_amount").alias("native_amount"),
         F.count(F.lit(1)).alias("borrow_tx_count"), F.min_by("tx_hash", F.struct("block", "tx_hash")).alias("first_borrow_tx"),

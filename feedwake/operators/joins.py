@@ -3,16 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedwake.operators.timeline import asof
+from feedwake.storage import write_table
 
 #: Hex digits of a block (any 40-digit run holds one aligned block of 20 in full), and what stands before and behind the digits.
 GRAM, OUTSIDE = 20, "\u0001"
 #: Characters of a gram.
 Q = 3
+#: Places of the bitmap that goes before a join: 8 MB, so Spark sends it to all tasks.
+PLACES = 1 << 26
+
+
+def in_bits(bits: Column, position: Column) -> Column:
+    """Whether a bitmap of ``bitmap_construct_agg`` holds a position."""
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (position % 8).cast("int")) == 1
+
+
+def likely(rows: DataFrame, known: DataFrame, *tried: Sequence[Column | str]) -> DataFrame:
+    """Rows of which one of the column lists ``tried`` may equal a row of ``known``; all others surely equal none.
+
+    The hashes of ``known`` are a written bitmap whose size is bounded, so rows without a partner go before a join shuffles them. The join
+    itself must follow. Columns of both sides must have the same types.
+    """
+    place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(PLACES))
+    at = place(known.columns)
+    placed = known.select(F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_bit")).repartition("_bucket")
+    held = write_table(placed.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    met, hits = rows, []
+    for i, columns in enumerate(tried):
+        here = place(columns)
+        met = met.withColumns({f"_bucket{i}": F.bitmap_bucket_number(here), f"_bit{i}": F.bitmap_bit_position(here)}).join(
+            held.select(F.col("_bucket").alias(f"_bucket{i}"), F.col("_bits").alias(f"_bits{i}")), f"_bucket{i}", "left")
+        hits.append(F.coalesce(in_bits(F.col(f"_bits{i}"), F.col(f"_bit{i}")), F.lit(False)))
+    return met.where(reduce(or_, hits)).select(*rows.columns)
 
 
 def interval_join(

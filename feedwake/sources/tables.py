@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedwake import schemas as S
 from feedwake.operators.closure import in_chains, in_dates
 from feedwake.operators.dedupe import keep_first
+from feedwake.operators.joins import in_bits
 
 CHAIN_TABLES = {
     "logs": S.LOGS, "transactions": S.TRANSACTIONS, "traces_decoded": S.TRACES_DECODED, "traces": S.TRACES, "transfers": S.TRANSFERS,
@@ -77,16 +78,11 @@ def _filter(rows: DataFrame, keys: Sequence[str], places: int) -> DataFrame:
     return rows.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
 
 
-def _in_bits(bits: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (position % 8).cast("int")) == 1
-
-
 def _suspects(rows: DataFrame, filters: DataFrame, keys: Sequence[str], places: int) -> DataFrame:
     """Rows whose key a filter may hold, with the filter's other columns."""
     place = _place(keys, places)
     placed = rows.withColumns({"bucket": F.bitmap_bucket_number(place), "_bit": F.bitmap_bit_position(place)})
-    return placed.join(filters, "bucket").where(_in_bits(F.col("bits"), F.col("_bit"))).drop("bucket", "_bit", "bits")
+    return placed.join(filters, "bucket").where(in_bits(F.col("bits"), F.col("_bit"))).drop("bucket", "_bit", "bits")
 
 
 def append_new(df: DataFrame, path: str, keys: Sequence[str], batch: str, places: int = FILTER) -> DataFrame:
