@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedwake import rules as R
@@ -176,22 +176,22 @@ def loss_estimate(events: DataFrame, transfers: DataFrame) -> DataFrame:
     The first borrow event counts; its token is that of the first later transfer out of the market
     with the same raw amount.
     """
-    order = F.struct("log_index", "market_address", "amount_raw")
-    first = events.where(F.col("event") == "Borrow").groupBy("blockchain", "tx_hash").agg(
-        F.min_by(F.struct("market_address", "account", "amount_raw", "log_index"), order).alias("b")
-    )
-    out = transfers.select("blockchain", "tx_hash", "from", "amount_raw", "log_index", "symbol", "token_address", "amount", "decimals", "to")
-    paired = first.join(out, ["blockchain", "tx_hash"], "left")
-    same = (F.col("from") == F.col("b.market_address")) & (F.col("amount_raw") == F.col("b.amount_raw")) & (F.col("log_index") >= F.col("b.log_index"))
-    matched = paired.groupBy("blockchain", "tx_hash", "b").agg(
-        F.min_by(F.struct("symbol", "token_address", "amount", "to", F.col("log_index").alias("transfer_log_index")), F.when(same, F.struct("log_index", "symbol", "amount"))).alias("m")
-    )
+    moves = transfers.select("blockchain", "tx_hash", "from", "amount_raw", "log_index", "symbol", "token_address", "amount", "to", "classification")
+    borrows = events.where(F.col("event") == "Borrow").select("blockchain", "tx_hash", F.struct("market_address", "account", "amount_raw", "log_index").alias("_event"))
+    # transfers are read once: both kinds meet in one shuffle by transaction, but not in rows that lack their chain or transaction
+    rows = moves.unionByName(borrows, allowMissingColumns=True).withColumn(
+        "_apart", F.when(F.col("blockchain").isNull() | F.col("tx_hash").isNull(), F.col("_event").isNull()))
+    group = ["blockchain", "tx_hash", "_apart"]
+    order = F.when(F.col("_event").isNotNull(), F.struct("_event.log_index", "_event.market_address", "_event.amount_raw"))
+    paired = rows.withColumn("_b", F.min_by("_event", order).over(Window.partitionBy(*group)))
+    same = (F.col("from") == F.col("_b.market_address")) & (F.col("amount_raw") == F.col("_b.amount_raw")) & (F.col("log_index") >= F.col("_b.log_index"))
     known = F.col("classification") == "known_token_flow"
-    flows = transfers.groupBy("blockchain", "tx_hash").agg(
+    both = paired.groupBy(*group).agg(
+        F.first("_b").alias("b"),
+        F.min_by(F.struct("symbol", "token_address", "amount", "to", F.col("log_index").alias("transfer_log_index")), F.when(same, F.struct("log_index", "symbol", "amount"))).alias("m"),
         F.max_by(F.struct("symbol", "amount", "amount_raw"), F.when(known, F.struct(F.col("amount"), -F.col("log_index"), F.col("symbol"), F.col("amount_raw")))).alias("f"),
         F.count_if(~known).alias("unknown_or_internal_flow_count"),
     )
-    both = flows.join(matched, ["blockchain", "tx_hash"], "full_outer")
     borrowed, flowed = F.col("b").isNotNull(), F.col("f").isNotNull()
     asset = F.when(borrowed, F.coalesce("m.symbol", F.lit("UNKNOWN"))).when(flowed, F.col("f.symbol")).otherwise(F.lit("UNKNOWN"))
     raw = F.when(borrowed, F.col("b.amount_raw")).when(flowed, F.col("f.amount_raw"))
