@@ -90,11 +90,16 @@ V.register_view_sql("b_orders", """b_orders AS (
     FROM lineitem GROUP BY 1) e ON e.l_orderkey = o.o_orderkey)""")
 
 
-def transactions(spark, folder) -> DataFrame:
+def written_lines(spark, folder) -> DataFrame:
+    """``order_lines`` as far as transactions and traces read them, written once for both."""
+    return write_table(order_lines(spark, folder).select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "us", "first", "last"))
+
+
+def transactions(spark, folder, lines: DataFrame | None = None) -> DataFrame:
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     zeros = F.lit("0" * 24)
     address = lambda kind, key: F.substring(contract(kind, F.col(key)), 3, 40)
-    return order_lines(spark, folder).select(
+    return (order_lines(spark, folder) if lines is None else lines).select(
         F.when(urgent, at(V.CHAINS, F.col("first.l_suppkey") % 4)).otherwise(at(V.CHAINS, F.col("first.l_partkey") % 4)).alias("blockchain"),
         F.to_date(F.timestamp_micros("us")).alias("block_date"), F.timestamp_micros("us").alias("block_time"),
         F.col("o_orderkey").alias("block_number"), V.hash_of(F.col("o_orderkey")).alias("hash"), contract("U", F.col("o_custkey")).alias("from"),
@@ -116,9 +121,9 @@ V.register_view_sql("b_tx", f"""b_tx AS (
   FROM b_orders WHERE o_orderstatus <> 'F')""")
 
 
-def traces(spark, folder) -> DataFrame:
+def traces(spark, folder, lines: DataFrame | None = None) -> DataFrame:
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-    return order_lines(spark, folder).select(
+    return (order_lines(spark, folder) if lines is None else lines).select(
         F.when(urgent, at(V.CHAINS, F.col("first.l_suppkey") % 4)).otherwise(at(V.CHAINS, F.col("first.l_partkey") % 4)).alias("blockchain"),
         F.to_date(F.timestamp_micros("us")).alias("block_date"), V.hash_of(F.col("o_orderkey")).alias("tx_hash"),
         at(CALLS, F.col("o_custkey") % 8).alias("function_name"),
@@ -223,7 +228,8 @@ _COLUMNS = [
 
 
 def _r1(spark, folder):
-    return B.feed_binding_candidates(labels(spark, folder), tokens(spark, folder), write_table(transactions(spark, folder)), write_table(traces(spark, folder)))
+    lines = written_lines(spark, folder)
+    return B.feed_binding_candidates(labels(spark, folder), tokens(spark, folder), transactions(spark, folder, lines), traces(spark, folder, lines))
 
 
 QUERIES["feed_binding_candidates"] = lambda spark, folder: _r1(spark, folder).select(*_COLUMNS, "feed_identity", "identity_mismatch_hint", "protocol_cluster_id")
@@ -337,7 +343,7 @@ R3_VIEWS = ["b_orders", "b_labels", "b_tokens", "b_transfers", "b_answers", "b_m
 
 
 def _r3(spark, folder):
-    return B.freshness_candidates(tokens(spark, folder), write_table(transfers(spark, folder)), write_table(answer_logs(spark, folder)), labels(spark, folder))
+    return B.freshness_candidates(tokens(spark, folder), transfers(spark, folder), answer_logs(spark, folder), labels(spark, folder))
 
 
 QUERIES["freshness_candidates"] = lambda spark, folder: _r3(spark, folder).select(
@@ -368,8 +374,12 @@ def _impact_us(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("blockchain", "chain").withColumn("impact_us", T.micros(F.col("impact_time"))).drop("impact_time")
 
 
-QUERIES["feed_binding_impact_txs"] = lambda spark, folder: _impact_us(
-    B.binding_impact_txs(labels(spark, folder), tokens(spark, folder), transactions(spark, folder), traces(spark, folder)))
+def _r1_txs(spark, folder):
+    lines = written_lines(spark, folder)
+    return _impact_us(B.binding_impact_txs(labels(spark, folder), tokens(spark, folder), transactions(spark, folder, lines), traces(spark, folder, lines)))
+
+
+QUERIES["feed_binding_impact_txs"] = _r1_txs
 SQL["feed_binding_impact_txs"] = V.with_views(R1_VIEWS[:-2], f"""
 SELECT b.chain, b.trigger_tx, t.hash AS impact_tx, min(t.us) AS impact_us FROM b_changes b
 JOIN (SELECT DISTINCT chain, cluster, market FROM b_surface) s ON s.chain = b.chain AND s.cluster = b.cluster
@@ -408,7 +418,8 @@ WHERE t.amount > 0 AND t.usd >= 10000 GROUP BY ALL""")
 
 
 def _stages_r1(spark, folder):
-    parts = (labels(spark, folder), tokens(spark, folder), write_table(transactions(spark, folder)), write_table(traces(spark, folder)))
+    lines = written_lines(spark, folder)
+    parts = (labels(spark, folder), tokens(spark, folder), transactions(spark, folder, lines), traces(spark, folder, lines))
     return B.stage_counts(B.feed_binding_stages(*parts, *_WINDOW), R.FEED_BINDING, *_WINDOW)
 
 
@@ -441,7 +452,7 @@ SQL["stage_counts_r2"] = V.with_views(R2_VIEWS, _stage_sql(R.COMPOSITION, [
 
 
 def _stages_r3(spark, folder):
-    parts = (tokens(spark, folder), write_table(transfers(spark, folder)), write_table(answer_logs(spark, folder)), labels(spark, folder))
+    parts = (tokens(spark, folder), transfers(spark, folder), answer_logs(spark, folder), labels(spark, folder))
     return B.stage_counts(B.freshness_stages(*parts, *_WINDOW), R.FRESHNESS, *_WINDOW)
 
 

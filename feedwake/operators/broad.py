@@ -13,7 +13,7 @@ from feedwake.functions import text as T
 from feedwake.operators import inventory as INV
 from feedwake.operators.closure import HOUR, in_chains, in_dates
 from feedwake.operators.decode import decode_answer_updated
-from feedwake.operators.joins import contains_hex, contains_text, interval_join
+from feedwake.operators.joins import contains_hex, contains_text, interval_join, likely
 from feedwake.operators.timeline import Scan, asof, window_fold
 from feedwake.storage import write_table
 
@@ -105,15 +105,15 @@ def _impact_fold(name: str = "impact_tx_count", counted: Column | None = None) -
     ]
 
 
-def within_reach(events: DataFrame, triggers: DataFrame, on: Sequence[str], event_at: Column, trigger_at: Column, width: int) -> DataFrame:
+def within_reach(events: DataFrame, triggers: DataFrame, on: Sequence[str], event_at: Column, trigger_at: Column, width: int, per: Sequence[str] = ()) -> DataFrame:
     """Events that a window ``[t, t+width)`` of some trigger of the same ``on`` may hold; the rest is dropped before anything is copied.
 
     Windows of a key are united by tiles of their width: one row for each key and tile tells the first and the last moment in reach,
-    so an event meets one row at most, however many triggers there are.
+    so an event meets one row at most, however many triggers there are (with ``per``, columns of the triggers only, one for each value of these).
     """
     tile = F.floor(trigger_at / F.lit(width)).cast("long")
-    open_ = triggers.select(*on, trigger_at.alias("_from"), F.explode(F.array(tile, tile + 1)).alias("_tile"))
-    reach = open_.groupBy(*on, "_tile").agg(F.min("_from").alias("_from"), (F.max("_from") + width).alias("_until"))
+    open_ = triggers.select(*on, *per, trigger_at.alias("_from"), F.explode(F.array(tile, tile + 1)).alias("_tile"))
+    reach = open_.groupBy(*on, *per, "_tile").agg(F.min("_from").alias("_from"), (F.max("_from") + width).alias("_until"))
     placed = events.withColumn("_tile", F.floor(event_at / F.lit(width)).cast("long"))
     inside = (event_at >= F.col("_from")) & (event_at < F.col("_until"))
     return placed.join(reach, [*on, "_tile"]).where(inside).drop("_tile", "_from", "_until")
@@ -155,8 +155,8 @@ def binding_impact_txs(
     chains: Sequence[str] | None = None, hours: int = 24,
 ) -> DataFrame:
     """Every impact transaction of the binding changes, a row each (``impact_txs`` of the search names the first)."""
-    inventory = INV.lending_inventory(labels, tokens, chains)
-    surface = lending_surface(inventory, transactions, traces, start, end, chains)
+    inventory = write_table(INV.lending_inventory(labels, tokens, chains))
+    surface = write_table(lending_surface(inventory, transactions, traces, start, end, chains))
     changes = write_table(binding_changes(protocol_cluster(inventory, surface), transactions, traces, start, end, chains))
     on = ["blockchain", "protocol_cluster_id"]
     activity = lending_activity(changes, surface, transactions, traces, start, end, chains, hours).distinct()
@@ -202,8 +202,8 @@ def feed_binding_candidates(
     chains: Sequence[str] | None = None, hours: int = 24, legacy_order: bool = False,
 ) -> DataFrame:
     """Binding changes whose asset and feed disagree (or stay unnamed), with same-protocol lending activity after them."""
-    inventory = INV.lending_inventory(labels, tokens, chains)
-    surface = lending_surface(inventory, transactions, traces, start, end, chains)
+    inventory = write_table(INV.lending_inventory(labels, tokens, chains))
+    surface = write_table(lending_surface(inventory, transactions, traces, start, end, chains))
     cluster = protocol_cluster(inventory, surface)
     changes = write_table(binding_changes(cluster, transactions, traces, start, end, chains))
     named = binding_identities(changes, cluster, INV.price_source_inventory(labels, chains, legacy_order), legacy_order)
@@ -419,15 +419,38 @@ NO_ONE = "0x" + "0" * 40
 def transfer_events(transfers: DataFrame, tokens: DataFrame, start=None, end=None, chains=None) -> DataFrame:
     """Transfers with the asset their token stands for; old chain names are mapped."""
     names = T.chain_filter_names(chains) if chains else None
-    meta = tokens.select("blockchain", "contract_address", "symbol", "name")
-    joined = in_dates(in_chains(transfers, names), start, end).join(meta, ["blockchain", "contract_address"], "left")
     label = F.concat(F.coalesce("symbol", F.lit("")), F.lit(" "), F.coalesce("name", F.lit("")))
+    meta = tokens.select("blockchain", "contract_address", ID.asset_identity(label).alias("transfer_asset_identity"))
+    joined = in_dates(in_chains(transfers, names), start, end).join(meta, ["blockchain", "contract_address"], "left")
     return joined.select(
         T.chain_name(F.col("blockchain")).alias("blockchain"), "block_time", "block_number", "tx_hash", "from", "to", "contract_address", "amount",
-        "amount_usd", ID.asset_identity(label).alias("transfer_asset_identity"),
+        "amount_usd", "transfer_asset_identity",
     )
 
 
+def account_moves(transfers: DataFrame, markets: DataFrame, start=None, end=None, chains=None,
+                  min_usd: float = MIN_USD, min_units: float = MIN_UNITS) -> DataFrame:
+    """Transfers that may be a collateral supply or a borrow outflow of some market; read once, the others go before any join, and written."""
+    names = T.chain_filter_names(chains) if chains else None
+    worth = F.col("amount_usd").isNull() | (F.col("amount_usd") >= min_usd) | (F.col("amount") >= min_units)
+    here = T.chain_name(F.col("blockchain"))
+    kept = in_dates(in_chains(transfers, names), start, end).where((F.col("amount") > 0) & worth).select(
+        "blockchain", "block_time", "block_number", "tx_hash", "from", "to", "contract_address", "amount", "amount_usd")
+    return write_table(likely(kept, markets.select("blockchain", "market_address"), [here, "from"], [here, "to"]))
+
+
+def paired_moves(moves: DataFrame, hours: int = 6) -> DataFrame:
+    """Transfers of which another of the same account may follow (it sends, then receives) or go before within ``hours``; none that has one is missing.
+
+    Accounts meet by hashes of account and tile of time, so the transfers themselves are not shuffled.
+    """
+    here, tile = T.chain_name(F.col("blockchain")), F.floor(T.micros(F.col("block_time")) / F.lit(hours * HOUR)).cast("long")
+    sent, later, received = F.xxhash64(here, "from", tile), F.xxhash64(here, "from", tile + 1), F.xxhash64(here, "to", tile)
+    opened = moves.select(F.explode(F.array(sent, later)).alias("_met"))
+    met = write_table(moves.select(received.alias("_met")).distinct().join(opened, "_met", "left_semi"))
+    return likely(moves, met, [sent], [later], [received])
+
+
 def collateral_supplies(markets: DataFrame, moves: DataFrame, min_usd: float = MIN_USD, min_units: float = MIN_UNITS) -> DataFrame:
     """Material transfers of an asset into a market of that asset: by dollars, or by units where the asset is no stable one."""
     into = markets.select("blockchain", F.col("market_address").alias("to"), "protocol_cluster_id", "protocol_label", "market_asset_identity")
@@ -444,26 +467,31 @@ def collateral_supplies(markets: DataFrame, moves: DataFrame, min_usd: float = M
 SAME_ACCOUNT = ["blockchain", "protocol_cluster_id", "actor", "collateral_asset"]
 
 
-def borrow_outflows(supplies: DataFrame, markets: DataFrame, moves: DataFrame, min_usd: float = MIN_USD) -> DataFrame:
-    """Material transfers out of markets to accounts that supplied another asset of the same cluster, once for each such asset."""
+def borrow_outflows(supplies: DataFrame, markets: DataFrame, moves: DataFrame, hours: int = 6, min_usd: float = MIN_USD) -> DataFrame:
+    """Material transfers out of markets in reach of a supply of another asset by the same account and cluster, once for each such asset."""
     out_of = markets.select("blockchain", F.col("market_address").alias("from"), "protocol_cluster_id", "market_asset_identity")
     paid = moves.where((F.col("amount") > 0) & (F.col("amount_usd").isNull() | (F.col("amount_usd") >= min_usd)))
     borrows = paid.join(out_of, ["blockchain", "from"]).select(
         "blockchain", "protocol_cluster_id", F.col("to").alias("actor"), F.col("from").alias("borrow_market"), "market_asset_identity", "tx_hash",
         "block_time", F.coalesce("amount_usd", F.lit(0.0)).alias("usd"),
     )
-    asked = supplies.select(*SAME_ACCOUNT).distinct()
-    return borrows.join(asked, SAME_ACCOUNT[:3]).where(F.col("market_asset_identity") != F.col("collateral_asset"))
+    at, supplied = T.micros(F.col("block_time")), T.micros(F.col("supply_time"))
+    near = within_reach(borrows, supplies, SAME_ACCOUNT[:3], at, supplied, hours * HOUR, SAME_ACCOUNT[3:])
+    return near.where(F.col("market_asset_identity") != F.col("collateral_asset"))
+
+
+def followed(supplies: DataFrame, outflows: DataFrame, hours: int = 6) -> DataFrame:
+    """Supplies that may have an outflow of their account and asset in ``[t, t+hours)``; none that has one is missing."""
+    opens = T.micros(F.col("block_time")) - hours * HOUR + 1
+    return within_reach(supplies, outflows, SAME_ACCOUNT, T.micros(F.col("supply_time")), opens, hours * HOUR)
 
 
-def same_account_impacts(supplies: DataFrame, markets: DataFrame, moves: DataFrame, hours: int = 6, min_usd: float = MIN_USD) -> DataFrame:
-    """Supplies followed within ``[t, t+hours)`` by outflows of other assets to the same account and cluster."""
+def same_account_impacts(supplies: DataFrame, outflows: DataFrame, hours: int = 6) -> DataFrame:
+    """Supplies followed within ``[t, t+hours)`` by outflows of other assets to the same account and cluster (see :func:`borrow_outflows`)."""
     keys = SAME_ACCOUNT
-    stream = borrow_outflows(supplies, markets, moves, min_usd).groupBy(*keys, "tx_hash").agg(
-        F.min("block_time").alias("block_time"), F.sum("usd").alias("usd")
-    )
+    stream = outflows.groupBy(*keys, "tx_hash").agg(F.min("block_time").alias("block_time"), F.sum("usd").alias("usd"))
     folded = window_fold(
-        supplies, stream, keys, T.micros(F.col("supply_time")), T.micros(F.col("block_time")), hours * HOUR,
+        followed(supplies, outflows, hours).select(*supplies.columns), stream, keys, T.micros(F.col("supply_time")), T.micros(F.col("block_time")), hours * HOUR,
         _impact_fold("borrow_tx_count"), closed="left",
     )
     return folded.where(F.coalesce("borrow_tx_count", F.lit(0)) > 0).select(
@@ -473,17 +501,23 @@ def same_account_impacts(supplies: DataFrame, markets: DataFrame, moves: DataFra
     )
 
 
+def account_flows(tokens: DataFrame, markets: DataFrame, moves: DataFrame, hours: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Collateral supplies that an outflow may follow, and borrow outflows in reach of a supply, each written once; ``moves`` as of :func:`account_moves`."""
+    near = write_table(transfer_events(paired_moves(moves, hours), tokens))
+    supplies = write_table(collateral_supplies(markets, near))
+    return supplies, write_table(borrow_outflows(supplies, markets, near, hours))
+
+
 def same_account_impact_txs(
     tokens: DataFrame, transfers: DataFrame, start: str | None = None, end: str | None = None, chains: Sequence[str] | None = None, hours: int = 6,
 ) -> DataFrame:
     """Every outflow that follows a supply of the same account, a row for each transaction and borrowed asset (the search names the first)."""
-    markets = INV.market_inventory(tokens, chains)
-    moves = transfer_events(transfers, tokens, start, end, chains)
-    supplies = collateral_supplies(markets, moves)
-    outflows = borrow_outflows(supplies, markets, moves).groupBy(
+    markets = write_table(INV.market_inventory(tokens, chains))
+    supplies, every = account_flows(tokens, markets, account_moves(transfers, markets, start, end, chains), hours)
+    outflows = every.groupBy(
         *SAME_ACCOUNT, F.col("market_asset_identity").alias("borrowed_asset"), F.col("tx_hash").alias("impact_tx")).agg(
         F.min("block_time").alias("impact_time"), F.sum("usd").alias("usd"))
-    pairs = interval_join(supplies, outflows, SAME_ACCOUNT, T.micros(F.col("supply_time")), T.micros(F.col("impact_time")), 0, hours * HOUR, closed="left")
+    pairs = interval_join(followed(supplies, every, hours), outflows, SAME_ACCOUNT, T.micros(F.col("supply_time")), T.micros(F.col("impact_time")), 0, hours * HOUR, closed="left")
     return pairs.select(*SAME_ACCOUNT, "collateral_market", "collateral_token", "supply_tx", "borrowed_asset", "impact_tx", "impact_time", "usd")
 
 
@@ -497,6 +531,17 @@ def labelled_answers(logs: DataFrame, labels: DataFrame, start: str | None = Non
     return named.withColumn("feed_identity", ID.asset_identity(F.coalesce("feed_label", F.lit(""))))
 
 
+def _is_low() -> Column:
+    """Whether an answer without label is at its floor."""
+    return F.col("feed_identity").isNull() & (F.abs("answer") > 0) & (F.abs("answer") <= 1)
+
+
+def usable_answers(answers: DataFrame) -> DataFrame:
+    """Labelled answers and unlabelled ones at their floor, as :func:`latest_answers` reads them; written."""
+    used = ["blockchain", "feed", "feed_label", "feed_identity", "tx_hash", "block_number", "block_time", "log_index", "answer_raw", "answer", "updated_at"]
+    return write_table(answers.where(F.col("feed_identity").isNotNull() | _is_low()).select(*used))
+
+
 LABEL_MATCHED, UNRESOLVED = "label_matched", "impact_led_lower_bound_unresolved"
 
 
@@ -510,8 +555,7 @@ def latest_answers(impacts: DataFrame, answers: DataFrame, days: int = 7) -> Dat
     ties = ["block_number", "tx_hash", "log_index"]
     by_label = answers.where(F.col("feed_identity").isNotNull()).withColumn("collateral_asset", F.col("feed_identity"))
     labelled = asof(impacts, by_label, ["blockchain", "collateral_asset"], at, seen, payload, "_labelled", ties=ties, within=days * DAY)
-    size = F.abs("answer")
-    low = answers.where(F.col("feed_identity").isNull() & (size > 0) & (size <= 1))
+    low = answers.where(_is_low())
     both = asof(labelled, low, ["blockchain"], at, seen, payload, "_low", ties=ties, within=days * DAY)
     unresolved = F.when(~F.col("collateral_asset").isin(*ID.STABLE_IDENTITIES), F.col("_low"))
     chosen = both.withColumn("a", F.coalesce("_labelled", unresolved)).withColumn("answer_match_rank", F.when(F.col("_labelled").isNotNull(), 1).otherwise(2))
@@ -531,10 +575,15 @@ def freshness_candidates(
     chains: Sequence[str] | None = None, hours: int = 6, days: int = 7,
 ) -> DataFrame:
     """Accounts that supply one asset and borrow another soon after, while the asset's latest price report was old or at its floor."""
-    markets = INV.market_inventory(tokens, chains)
-    moves = transfer_events(transfers, tokens, start, end, chains)
-    impacts = same_account_impacts(collateral_supplies(markets, moves), markets, moves, hours)
-    rows = latest_answers(impacts, labelled_answers(logs, labels, start, end, chains, days), days)
+    markets = write_table(INV.market_inventory(tokens, chains))
+    supplies, outflows = account_flows(tokens, markets, account_moves(transfers, markets, start, end, chains), hours)
+    impacts = write_table(same_account_impacts(supplies, outflows, hours))
+    answers = usable_answers(labelled_answers(logs, labels, start, end, chains, days))
+    return freshness_tiers(latest_answers(impacts, answers, days))
+
+
+def freshness_tiers(rows: DataFrame) -> DataFrame:
+    """Tiered candidates of the supplies with their latest prior report."""
     rows = rows.withColumn("feed_identity_source", F.when(F.col("answer_match_rank") == 1, F.lit(LABEL_MATCHED)).otherwise(F.lit(UNRESOLVED)))
     matched, many = F.col("feed_identity_source") == LABEL_MATCHED, F.col("impact_tx_count") > 1
     size = F.abs("answer")
@@ -599,6 +648,9 @@ def pair_counts(
     Rows are the sum of windowed counts; clusters are those of left rows with a partner; addresses and transactions are
     those of right rows whose nearest left row lies in reach.
     """
+    left = left.select(*dict.fromkeys([*keys, "blockchain", "protocol_cluster_id"]), left_at.alias("_left_at"))
+    right = right.select(*dict.fromkeys([*keys, "blockchain", address, tx]), right_at.alias("_right_at"))
+    left_at, right_at = F.col("_left_at"), F.col("_right_at")
     counted = window_fold(
         left, right, keys, left_at - F.lit(before), right_at, before + after, [Scan("_pairs", "count", F.lit(1))], closed="left").where(F.col("_pairs") > 0)
     ahead = asof(right, left, keys, right_at, left_at, F.lit(True), "_ahead", forward=True, within=before)
@@ -612,8 +664,8 @@ def pair_counts(
 
 def feed_binding_stages(labels, tokens, transactions, traces, start=None, end=None, chains=None) -> dict:
     """Stages of the feed-binding search, for :func:`stage_counts`."""
-    inventory = INV.lending_inventory(labels, tokens, chains)
-    surface = lending_surface(inventory, transactions, traces, start, end, chains)
+    inventory = write_table(INV.lending_inventory(labels, tokens, chains))
+    surface = write_table(lending_surface(inventory, transactions, traces, start, end, chains))
     cluster = protocol_cluster(inventory, surface)
     changes = write_table(binding_changes(cluster, transactions, traces, start, end, chains))
     named = binding_identities(changes, cluster, INV.price_source_inventory(labels, chains))
@@ -652,23 +704,23 @@ def price_composition_stages(labels, tokens, transactions, traces, transfers, st
 
 
 def freshness_stages(tokens, transfers, logs, labels, start=None, end=None, chains=None, hours: int = 6, days: int = 7) -> dict:
-    markets = INV.market_inventory(tokens, chains)
-    moves = transfer_events(transfers, tokens, start, end, chains)
-    supplies = collateral_supplies(markets, moves)
-    impacts = write_table(same_account_impacts(supplies, markets, moves, hours))
-    answers = write_table(labelled_answers(logs, labels, start, end, chains, days))
+    markets = write_table(INV.market_inventory(tokens, chains))
+    moves = account_moves(transfers, markets, start, end, chains)
+    supplies, outflows = account_flows(tokens, markets, moves, hours)
+    impacts = write_table(same_account_impacts(supplies, outflows, hours))
+    answers = usable_answers(labelled_answers(logs, labels, start, end, chains, days))
+    latest = write_table(latest_answers(impacts, answers, days))
     supplied, at = T.micros(F.col("supply_time")), T.micros(F.col("block_time"))
     by_label = answers.where(F.col("feed_identity").isNotNull()).withColumn("collateral_asset", F.col("feed_identity"))
-    low = answers.where(F.col("feed_identity").isNull() & (F.abs("answer") > 0) & (F.abs("answer") <= 1))
+    low = answers.where(_is_low())
     loose = impacts.where(~F.col("collateral_asset").isin(*ID.STABLE_IDENTITIES))
     return {
         "market_inventory": (markets, "market_address", "protocol_cluster_id", None),
-        "collateral_supply_events": (supplies, "collateral_market", "protocol_cluster_id", "supply_tx"),
-        "borrow_outflow_events": pair_counts(supplies, borrow_outflows(supplies, markets, moves), SAME_ACCOUNT, supplied, at, 0, hours * HOUR, "borrow_market", "tx_hash"),
+        "collateral_supply_events": (collateral_supplies(markets, transfer_events(moves, tokens)), "collateral_market", "protocol_cluster_id", "supply_tx"),
+        "borrow_outflow_events": pair_counts(followed(supplies, outflows, hours), outflows, SAME_ACCOUNT, supplied, at, 0, hours * HOUR, "borrow_market", "tx_hash"),
         "same_actor_impact": (impacts, "collateral_market", "protocol_cluster_id", "first_borrow_tx"),
         "label_matched_answer_updated": pair_counts(impacts, by_label, ["blockchain", "collateral_asset"], supplied, at, days * DAY, 1, "feed", "tx_hash"),
         "lower_bound_unlabeled_answer_updated": pair_counts(loose, low, ["blockchain"], supplied, at, days * DAY, 1, "feed", "tx_hash"),
-        "latest_prior_join": (latest_answers(impacts, answers, days), "feed", "protocol_cluster_id", "trigger_tx"),
-        "tiered_candidates": (
-            freshness_candidates(tokens, transfers, logs, labels, start, end, chains, hours, days).withColumnRenamed("chain", "blockchain"), None, None, "trigger_tx"),
+        "latest_prior_join": (latest, "feed", "protocol_cluster_id", "trigger_tx"),
+        "tiered_candidates": (freshness_tiers(latest).withColumnRenamed("chain", "blockchain"), None, None, "trigger_tx"),
     }
