@@ -296,7 +296,19 @@ def window_fold(
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Number the rows of each key 1..n by ``order`` (ascending; negate a column for descending)."""
-    chunks = cut(df, keys, order)
-    numbered = running(chunks, keys, order, [Scan(name, "count", F.lit(1))])
-    return numbered.withColumn(name, F.col(name).cast("long")).drop(CHUNK)
+    """Number the rows of each key 1..n by ``order`` (ascending; negate a column for descending).
+
+    A row's place in its chunk is fixed when the sorted chunk is written, so rows are shuffled once; what is added to it is one
+    number for each key and chunk.
+    """
+    place = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    ranged = df.withColumn("_place", place).repartitionByRange("_place", *order).sortWithinPartitions("_place", *keys, *order)
+    rows = write_table(ranged.drop("_place").withColumn("_row", F.monotonically_increasing_id()))
+    rows = rows.withColumn(CHUNK, F.shiftright("_row", 33))  # the id's upper bits number the task
+    spans = rows.groupBy(*keys, CHUNK).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1))
+    named = [F.col(c).alias(f"_of{i}") for i, c in enumerate([*keys, CHUNK])]
+    added = write_table(spans.select(*named, (F.coalesce(before, F.lit(0)) + 1 - F.col("_first")).alias("_added")))
+    on = [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate([*keys, CHUNK])]
+    kept = [F.col(c) for c in df.columns if c != name]
+    return rows.join(added, on).select(*kept, (F.col("_row") + F.col("_added")).alias(name))

@@ -6,6 +6,7 @@ from feedwake.operators import broad as B
 from feedwake.operators import decode as DEC
 from feedwake.operators import incidents as INC
 from feedwake.operators import timeline as TL
+from feedwake.operators.dedupe import sequence_within
 from feedwake.operators.joins import first_match, likely
 from feedwake.storage import write_table
 
@@ -27,6 +28,23 @@ def test_likely_keeps_partners_and_drops_most_others(spark):
     assert likely(rows, known.where("false"), ["a"]).count() == 0
 
 
+def test_rows_are_numbered_without_a_second_shuffle(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 20_011).alias("t")).repartition(4)
+    whole = sequence_within(rows, [], ["t"], "n")
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+    found = sorted((r["t"], r["n"]) for r in whole.collect())
+    assert [n for _, n in found] == list(range(1, 20_001))
+    # also where a key, or the rows without one, lie in several chunks
+    per_key = {}
+    for r in sequence_within(rows, ["k"], ["t"], "n").collect():
+        per_key.setdefault(r["k"], []).append((r["t"], r["n"]))
+    assert set(per_key) == {None, 1, 2}
+    for found in per_key.values():
+        assert [n for _, n in sorted(found)] == list(range(1, len(found) + 1))
+    assert sequence_within(rows.where("false"), ["k"], ["t"], "n").count() == 0
+
+
 def test_keys_are_kept_once_in_a_timeline(spark):
     left = spark.createDataFrame([("x", 1, 5), ("x", 9, 6), (None, 1, 7)], "k string, at int, id long")
     right = spark.createDataFrame([("x", 3), ("x", 4)], "k string, at int")
