@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from feedwake import rules as R
 from feedwake.functions import text as T
-from feedwake.operators.timeline import Scan, cut, running
+from feedwake.operators.timeline import CHUNK, Scan, cut, running
 from feedwake.storage import write_table
 
 MATERIAL_RATIO = 0.10
@@ -33,7 +33,7 @@ class Replay:
     ``actors``: one row per accused account. ``state``: one row per bad asset and kind.
 
     All read at most two written tables: when assets turned bad (a row per asset), and the cut of what matters of the acts
-    (supplies, borrows, liquidations). Neither is written before a result needs it.
+    (supplies, borrows, liquidations). Neither is written before a result needs it. Of the cut, supply alerts scan the acts on bad assets only.
     """
 
     def __init__(self, events: DataFrame, boundary: DataFrame, keys: list[str], strict_state: bool):
@@ -45,6 +45,13 @@ class Replay:
         acts = judged(self._events.where(F.col("event_type").isin(R.SUPPLY, *R.IMPACT_TYPES)), bad, self._keys)
         return cut(acts, [*self._keys, "actor_key", "asset_key"], ["pos"])
 
+    @cached_property
+    def _steps(self) -> DataFrame:
+        told = F.when(F.col("is_supply"), F.struct(*[_d(c).alias(c) for c in ("asset", "amount", "actor")])).alias("decoded")
+        return self._acts.where("risky").select(
+            *self._keys, "actor_key", "asset_key", "pos", CHUNK, "tx_hash", "block_number", "event_actor", "is_supply", "amount", "risky",
+            "stale_now", "first_stale", told)
+
     @cached_property
     def boundary(self) -> DataFrame:
         return alert_rows(self._boundary.where("hit"), self._keys, boundary_alert())
@@ -59,7 +66,7 @@ class Replay:
 
     @cached_property
     def supplies(self) -> DataFrame:
-        return alert_rows(early_supplies(self._acts, self._keys), self._keys, supply_alert())
+        return alert_rows(early_supplies(self._steps, self._keys), self._keys, supply_alert())
 
     @cached_property
     def localized(self) -> DataFrame:

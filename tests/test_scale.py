@@ -8,7 +8,9 @@ from feedwake.operators import incidents as INC
 from feedwake.operators import timeline as TL
 from feedwake.operators.dedupe import sequence_within
 from feedwake.operators.joins import first_match, likely
+from feedwake.plans import replay as RP
 from feedwake.storage import write_table
+from tests import traces as X
 
 
 def test_only_keys_on_a_bound_need_totals(spark):
@@ -45,6 +47,21 @@ def test_rows_are_numbered_without_a_second_shuffle(spark):
     assert sequence_within(rows.where("false"), ["k"], ["t"], "n").count() == 0
 
 
+def test_only_acts_on_bad_assets_are_scanned_for_supplies(spark, monkeypatch):
+    cases = [X.random_case(seed) for seed in range(30)]
+    result = RP.replay(X.trace_frame(spark, [e for _, es, _ in cases for e in es]), X.constraint_frame(spark, [r for _, _, rs in cases for r in rs]))
+    scanned, running = [], RP.running
+
+    def seen(chunks, *args, **more):
+        scanned.append(chunks)
+        return running(chunks, *args, **more)
+
+    monkeypatch.setattr(RP, "running", seen)
+    assert result.supplies.count() > 0
+    assert scanned[0].where(~F.col("risky")).count() == 0 and 0 < scanned[0].count() < result._acts.count()
+    assert scanned[0].schema["decoded"].dataType.names == ["asset", "amount", "actor"]
+
+
 def test_keys_are_kept_once_in_a_timeline(spark):
     left = spark.createDataFrame([("x", 1, 5), ("x", 9, 6), (None, 1, 7)], "k string, at int, id long")
     right = spark.createDataFrame([("x", 3), ("x", 4)], "k string, at int")
