@@ -126,7 +126,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
         F.min("block_date").alias("block_date"),
         F.min("block_time").alias("block_time"),
         F.min("block_number").alias("block_number"),
-        F.min_by("actor", "block_number").alias("from"),
+        F.min_by(F.col("actor").cast("long"), "block_number").cast("string").alias("from"),  # numbers aggregate without a sort
         F.min_by("contract_address", "block_number").alias("to"),
         F.min_by("topic0", "block_number").alias("first_topic"),
         F.min_by("k", "block_number").alias("k"),

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedwake import rules as R
 from feedwake.functions import identity as ID
 from feedwake.functions import text as T
 from feedwake.functions import words as W
-from feedwake.operators.timeline import Scan, cut, distinct_steps, running, window_fold
+from feedwake.operators.timeline import CHUNK, WHOLE, Scan, cut, distinct_steps, running, window_fold
+from feedwake.storage import write_table
 
 HOUR = 3_600_000_000
 SCALE = 100_000_000.0  # feeds report eight decimals
@@ -182,9 +183,8 @@ COUNTED = {"impact_tx_count": "impact_tx_hash", "actor_count": "actor", "market_
 def _impacts_after(triggers: DataFrame, impact: DataFrame, hours: Sequence[int], keys: Sequence[str], replay_txs: int) -> DataFrame:
     """First impact, first distinct transactions and distinct counts in ``(t, t+_width]``; ``_width`` of a trigger is one of ``hours``.
 
-    Triggers, impacts and the changes of the distinct counts lie in one timeline, cut once for all widths. A scan adds up the
-    changes and marks where a run of one transaction ends; another, from the end, brings the start of the next run to each impact; a
-    third the nearest impact to each trigger.
+    Triggers, impacts and the changes of the distinct counts lie in one timeline, cut once for all widths and sorted once, from the end:
+    a trigger sees the next impact, the next one of another transaction, and the changes still to come, which with those so far make zero.
     """
     keys, widths = list(keys), [h * HOUR for h in hours]
     at = T.micros(F.col("impact_time"))
@@ -196,32 +196,59 @@ def _impacts_after(triggers: DataFrame, impact: DataFrame, hours: Sequence[int],
         F.monotonically_increasing_id().alias("_salt"),
     )
     order = ["_at", "_side", *IMPACT_TIES, "_salt"]
-    is_impact = F.col("impact_time").isNotNull()
     line = asked.unionByName(sent, allowMissingColumns=True).unionByName(steps, allowMissingColumns=True)
     chunks = cut(line, keys, order)
-    counts = [Scan(f"{name}_{i}", "sum", F.col(f"_step_{name}_{i}")) for i in range(len(widths)) for name in COUNTED]
-    counted = running(chunks, keys, order, counts)
-    behind = running(counted, keys, order, [Scan("_previous_tx", "last", F.when(is_impact, F.col("impact_tx_hash")))], strict=True)
-    opens_run = F.when(
-        is_impact & (F.col("_previous_tx").isNull() | (F.col("_previous_tx") != F.col("impact_tx_hash"))),
-        F.struct(F.col("_at").alias("at"), F.col("impact_tx_hash").alias("tx")),
-    )
-    ahead = running(behind, keys, order, [Scan("next_other", "last", opens_run)], strict=True, descending=True)
-    payload = F.when(is_impact, F.struct("impact_time", "impact_tx_hash", "protocol_cluster_id", "next_other"))
-    found = running(ahead, keys, order, [Scan("_first", "last", payload)], strict=True, descending=True)
+    part, counts = [*keys, CHUNK], [f"{name}_{i}" for i in range(len(widths)) for name in COUNTED]
+    is_impact, tx = F.col("impact_time").isNotNull(), F.col("impact_tx_hash")
+    head = F.when(is_impact, F.struct(F.col("_at").alias("at"), tx.alias("tx"), "impact_time", "protocol_cluster_id"))
+    later = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    seen = chunks.select(
+        "*", *[F.sum(f"_step_{c}").over(later).alias(f"_here_{c}") for c in counts], F.last(head, ignorenulls=True).over(later).alias("_next"))
+    seen = seen.where(is_impact | (F.col("_side") == 1)).drop(*[f"_step_{c}" for c in counts])
+    ends_run = F.when(is_impact & (F.col("_next.tx") != tx), F.col("_next"))
+    seen = seen.withColumn("_other", F.last(ends_run, ignorenulls=True).over(later)).where(F.col("_side") == 1)
+    found = seen.join(_later_chunks(chunks, keys, order, counts, head), part, "left")
 
     def of_width(name: str) -> Column:
-        return F.coalesce(*[F.when(F.col("_left._width") == w, F.col(f"{name}_{i}")) for i, w in enumerate(widths)], F.lit(0)).cast("long").alias(name)
-
-    rows = found.where(F.col("_side") == 1).select("_left.*", "_at", "_first", *[of_width(name) for name in COUNTED]).where(F.col("impact_tx_count") > 0)
-    second = F.when(F.col("_first.next_other.at") <= F.col("_at") + F.col("_width"), F.col("_first.next_other.tx")) if replay_txs > 1 else F.lit(None).cast("string")
+        coming = [F.coalesce(f"_here_{name}_{i}", F.lit(0)) + F.coalesce(f"_beyond_{name}_{i}", F.lit(0)) for i in range(len(widths))]
+        return F.coalesce(*[F.when(F.col("_left._width") == w, -coming[i]) for i, w in enumerate(widths)], F.lit(0)).cast("long").alias(name)
+
+    beyond = F.when(F.col("_beyond_first.tx") != F.col("_next.tx"), F.col("_beyond_first")).otherwise(F.col("_beyond_other"))
+    rows = found.select(
+        "_left.*", "_at", F.coalesce("_next", "_beyond_first").alias("_first"), F.coalesce(F.col("_other"), beyond).alias("_second"),
+        *[of_width(name) for name in COUNTED],
+    ).where(F.col("impact_tx_count") > 0)
+    second = F.when(F.col("_second.at") <= F.col("_at") + F.col("_width"), F.col("_second.tx")) if replay_txs > 1 else F.lit(None).cast("string")
     return rows.select(
         "*",
         F.col("_first.impact_time").alias("first_impact_time"),
-        F.col("_first.impact_tx_hash").alias("first_impact_tx"),
-        F.array_compact(F.array(F.col("_first.impact_tx_hash"), second)).alias("leading_impact_txs"),
+        F.col("_first.tx").alias("first_impact_tx"),
+        F.array_compact(F.array(F.col("_first.tx"), second)).alias("leading_impact_txs"),
         F.col("_first.protocol_cluster_id").alias("protocol_cluster_id"),
-    ).drop("_first", "_width", "_at")
+    ).drop("_first", "_second", "_width", "_at")
+
+
+def _later_chunks(chunks: DataFrame, keys: Sequence[str], order: Sequence[str], counts: Sequence[str], head: Column) -> DataFrame:
+    """Per key and chunk what lies beyond it: the changes, the first impact and the first one after it of another transaction.
+
+    Each chunk gives one row: its changes, its first impact, and its first impact of a transaction other than that one's.
+    """
+    part, parted = [*keys, CHUNK], chunks.where(F.col(CHUNK) != WHOLE)
+    is_impact, place = F.col("impact_time").isNotNull(), F.struct(*order)
+    totals = write_table(parted.groupBy(*part).agg(
+        *[F.sum(f"_step_{c}").alias(f"_total_{c}") for c in counts], F.min(F.when(is_impact, F.col("_at"))).alias("_first_at")))
+    impacts = parted.where(is_impact)
+    at_first = impacts.join(totals.select(*part, "_first_at"), part).where(F.col("_at") == F.col("_first_at"))  # few rows are left to sort
+    firsts = write_table(at_first.groupBy(*part).agg(F.min_by(head, place).alias("_chunk_first")))
+    others = impacts.join(firsts.select(*part, F.col("_chunk_first.tx").alias("_first_tx")), part).where(F.col("impact_tx_hash") != F.col("_first_tx"))
+    both = totals.join(firsts, part, "left").join(others.groupBy(*part).agg(F.min_by(head, place).alias("_chunk_other")), part, "left")
+    beyond = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.select(
+        *part, *[F.sum(f"_total_{c}").over(beyond).alias(f"_beyond_{c}") for c in counts], "_chunk_first", "_chunk_other",
+        F.last("_chunk_first", ignorenulls=True).over(beyond).alias("_beyond_first"),
+    )
+    turn = F.coalesce(F.col("_chunk_other"), F.when(F.col("_beyond_first.tx") != F.col("_chunk_first.tx"), F.col("_beyond_first")))
+    return carried.withColumn("_beyond_other", F.last(turn, ignorenulls=True).over(beyond)).drop("_chunk_first", "_chunk_other")
 
 
 CLOSURE_COLUMNS = [
@@ -316,20 +343,18 @@ def same_actor_supply_borrow(impact: DataFrame, hours: int = 6) -> DataFrame:
     previous supply is; each is one nearest-row lookup instead of a pair join.
     """
     keys = ["chain", "actor"]
-    used = _used_steps(impact, hours)
-    order = F.struct("impact_time", *IMPACT_TIES)
-    used_supplies, used_borrows = used.where(~F.col("_borrow")), used.where("_borrow")
-    first_supply = used_supplies.groupBy(*keys).agg(
-        F.min("impact_time").alias("first_supply_time"), F.min_by("impact_tx_hash", order).alias("first_supply_tx")
-    )
-    borrow_txs = used_borrows.groupBy(*keys, "impact_tx_hash").agg(
-        F.min(F.struct(order.alias("o"), F.col("protocol_cluster_id").alias("c"))).alias("_first")
+    place = F.struct(F.struct("impact_time", *IMPACT_TIES).alias("o"), F.col("protocol_cluster_id").alias("c"))
+    used = _used_steps(impact, hours).dropna(subset=keys)
+    per_tx = used.groupBy(*keys, "impact_tx_hash").agg(
+        F.min(F.when(~F.col("_borrow"), place)).alias("_supply"), F.min(F.when(F.col("_borrow"), place)).alias("_borrow")
     )
-    first_borrow = borrow_txs.groupBy(*keys).agg(
-        F.min("_first").alias("_first"), F.count(F.lit(1)).alias("borrow_tx_count")
+    firsts = per_tx.groupBy(*keys).agg(
+        F.min("_supply").alias("_supply"), F.min("_borrow").alias("_first"), F.count("_borrow").alias("borrow_tx_count")
     )
-    return first_supply.join(first_borrow, keys).select(
-        *keys, "first_supply_time", "first_supply_tx",
+    return firsts.where(F.col("_supply").isNotNull() & F.col("_first").isNotNull()).select(
+        *keys,
+        F.col("_supply.o.impact_time").alias("first_supply_time"),
+        F.col("_supply.o.impact_tx_hash").alias("first_supply_tx"),
         F.col("_first.o.impact_time").alias("first_borrow_time"),
         F.col("_first.o.impact_tx_hash").alias("first_borrow_tx"),
         "borrow_tx_count",

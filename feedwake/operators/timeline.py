@@ -167,8 +167,9 @@ def distinct_steps(right: DataFrame, keys: Sequence[str], right_at: Column, widt
     """Per key and moment ``_at``, by how much the distinct counts of the windows that open there change.
 
     ``distinct`` maps names to right columns; the change for the i-th width is ``_step_{name}_{i}``. A value is visible from a moment while some
-    occurrence lies in its window; clipping each occurrence's visibility at the previous occurrence makes the spans of one value
-    disjoint, so a count is the number of spans opened minus the number closed so far. All widths share the spans.
+    occurrence lies in its window. Occurrences of a value that are no further apart than the width make one span, so a count is the number of
+    spans opened minus the number closed so far, and over a whole key the changes add up to zero. In a tile as wide as the narrowest window
+    only the first and the last occurrence can bound a span, so a frequent value leaves no more than one row a tile before anything is shuffled.
     """
     shift = 0 if closed == "right" else 1
     events = right.select(
@@ -178,17 +179,22 @@ def distinct_steps(right: DataFrame, keys: Sequence[str], right_at: Column, widt
             F.struct(F.lit(name).alias("dim"), F.col(c).cast("string").alias("value")) for name, c in distinct.items()
         ])).alias("_seen"),
     ).select(*keys, "_at", F.col("_seen.dim").alias("_dim"), F.col("_seen.value").alias("_value"))
-    events = events.where(F.col("_value").isNotNull() & F.col("_at").isNotNull()).distinct()
+    events = events.where(F.col("_value").isNotNull() & F.col("_at").isNotNull())
     value_keys = [*keys, "_dim", "_value"]
-    spans = running(
-        cut(events, value_keys, ["_at"]), value_keys, ["_at"], [Scan("_previous", "last", F.col("_at"))], strict=True
+    tile = F.col("_at") - F.pmod(F.col("_at"), F.lit(max(1, min(widths))).cast("long"))  # in whole numbers: a quotient is rounded
+    tiles = events.groupBy(*value_keys, tile.alias("_tile")).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    in_order = Window.partitionBy(*value_keys).orderBy("_tile")
+    spans = tiles.select(
+        *keys, "_dim", "_first", "_last", F.lag("_last").over(in_order).alias("_before"), F.lead("_first").over(in_order).alias("_after")
     )
     edges = []
     for i, width in enumerate(widths):
-        opened = F.greatest(F.col("_at") - F.lit(width), F.col("_previous")) + F.lit(shift)
-        for at, step in ((opened, 1), (F.col("_at") + F.lit(shift), -1)):
-            edges.append(F.struct(F.lit(i).alias("width"), at.alias("at"), F.lit(step).cast("long").alias("step")))
-    deltas = spans.select(*keys, "_dim", F.explode(F.array(*edges)).alias("_edge"))
+        opened, closes = F.col("_first") - F.lit(width), F.col("_last")
+        opens_here = F.col("_before").isNull() | (F.col("_before") < opened)
+        closes_here = F.col("_after").isNull() | (F.col("_after") - F.lit(width) > closes)
+        for here, at, step in ((opens_here, opened, 1), (closes_here, closes, -1)):
+            edges.append(F.when(here, F.struct(F.lit(i).alias("width"), (at + F.lit(shift)).alias("at"), F.lit(step).cast("long").alias("step"))))
+    deltas = spans.select(*keys, "_dim", F.explode(F.array(*edges)).alias("_edge")).where(F.col("_edge").isNotNull())
     return deltas.groupBy(*keys, F.col("_edge.at").alias("_at")).agg(*[
         F.sum(F.when((F.col("_dim") == name) & (F.col("_edge.width") == i), F.col("_edge.step"))).alias(f"_step_{name}_{i}")
         for i in range(len(widths)) for name in distinct

@@ -1,8 +1,13 @@
 """What keeps searches from moving all rows: whole keys, filters before joins, and rows read once."""
 
+import datetime as dt
+import random
+
 from pyspark.sql import functions as F
 
+from feedwake import rules as R
 from feedwake.operators import broad as B
+from feedwake.operators import closure as C
 from feedwake.operators import decode as DEC
 from feedwake.operators import incidents as INC
 from feedwake.operators import timeline as TL
@@ -113,3 +118,46 @@ def test_outflows_of_accounts_come_from_few_rows(spark):
     native = _moves(spark).withColumns({"success": F.lit(True), "value_double": F.col("amount")})
     flows = INC.borrow_outflows(accounts, _moves(spark), native, markets, tokens, "cn", tokens.where("false"))
     assert sorted((r["tx_hash"], r["native"]) for r in flows.collect()) == [("out", False), ("out", True)]
+
+
+def test_a_frequent_value_changes_counts_at_few_moments(spark):
+    rows = spark.range(5000).select(F.lit("c").alias("k"), (F.col("id") * 7).alias("t"), F.lit("hot").alias("v"), F.col("id").alias("own"))
+    widths = [1000, 3000]
+    steps = TL.distinct_steps(rows.where("t < 10000 or t > 15000"), ["k"], F.col("t"), widths, {"vs": "v"})
+    assert steps.count() == 6
+    found = sorted((r["_at"], r["_step_vs_0"], r["_step_vs_1"]) for r in steps.collect())
+    first, last = 15001 + (-15001 % 7), 4999 * 7
+    assert found == [(-3000, None, 1), (-1000, 1, None), (9996, -1, -1), (first - 3000, None, 1), (first - 1000, 1, None), (last, -1, -1)]
+
+
+def test_closures_sort_their_timeline_once_and_runs_cross_chunks(spark):
+    rng, t0 = random.Random(5), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    edges = [("hot", 2024, t0 + dt.timedelta(minutes=rng.randint(0, 9000)), i, f"t{i}", "c", R.S2, "rule", None) for i in range(300)]
+    # long runs of one transaction, so that the next one of another lies some chunks on
+    impacts = [("hot", t0 + dt.timedelta(minutes=20 * i), 1000 + i, f"x{i // 90 if i < 400 else rng.randint(0, 9)}", i, f"a{rng.randint(0, 30)}", f"m{i % 3}", "p", R.BORROW_RULE)
+               for i in range(460)]
+    b = spark.createDataFrame(edges, "chain string, trigger_year long, trigger_time timestamp, trigger_block long, boundary_tx_hash string, boundary_contract string, "
+                                     "scope_class string, boundary_rule_id string, normalized_answer double")
+    # rows that come twice are no second transaction
+    i = spark.createDataFrame(impacts * 2, "chain string, impact_time timestamp, impact_block long, impact_tx_hash string, impact_log_index int, actor string, "
+                                       "market_contract string, protocol_cluster_id string, impact_rule_id string")
+    options = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        closures = C.config_impact_closure(b, i, hours=48)
+        rows = {r["trigger_tx"]: r for r in closures.collect()}
+        plan = closures._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Window [") <= 4  # two over the rows, two over one row a chunk
+    for _, _, t, _, tx, *_ in edges:
+        near = [x for x in impacts if t < x[1] <= t + dt.timedelta(hours=48)]
+        if not near:
+            assert tx not in rows
+            continue
+        r, order = rows[tx], list(dict.fromkeys(x[3] for x in near))
+        assert (r["impact_tx_count"], r["actor_count"], r["market_count"]) == (len(order), len({x[5] for x in near}), len({x[6] for x in near}))
+        assert (r["leading_impact_txs"], r["first_impact_time"].timestamp()) == (order[:2], near[0][1].timestamp())
