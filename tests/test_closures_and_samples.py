@@ -4,6 +4,7 @@ import random
 
 from feedwake import rules as R
 from feedwake.operators import closure as C
+from feedwake.operators import joins as J
 from feedwake.operators import sampling as SMP
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -79,3 +80,27 @@ def test_sample_statuses(spark):
     assert got == {
         "s1": ("violated_constraint", R.FEED_SET, 1), "s2": (R.STRICT_STATUSES[1], plain, 1), "s3": (R.REVIEW_STATUSES[0], R.FEED_SET, 1),
         "s4": (R.STRICT_STATUSES[0], plain, 1), "s5": (R.UNKNOWN_STATUSES[0], plain, 0), "s6": (R.STRICT_STATUSES[0], plain, 1)}
+
+
+def test_impact_transactions_are_listed_without_an_aggregation(spark, monkeypatch):
+    """Dense tiles in many blocks; then triggers of several times and clusters, whose transactions come once, with the first time seen."""
+    monkeypatch.setattr(J, "SHARE", 50)
+    rng = random.Random(8)
+    shape = "chain string, trigger_tx string, trigger_block long, matched_rule string, trigger_time timestamp, protocol_cluster_id string"
+    plain = [("hot", f"t{i}", i, "rule", at(rng.randint(0, 60)), "p") for i in range(200)]
+    several = [("hot", "s", 1, None, at(5), "p"), ("hot", "s", 1, None, at(9), "q"), ("hot", None, None, "rule", at(30), "p"), ("hot", None, None, "rule", at(33), "p"), (None, "n", 1, "rule", at(1), "p")]
+    impacts = [("hot", at(rng.randint(0, 60)), i, rng.choice([f"x{rng.randint(0, 40)}", None]), i, "a", "m", rng.choice(["p", "q", None]), R.BORROW_RULE) for i in range(300)]
+    impacts += [(None, at(2), 1, "x", 1, "a", "m", "p", R.BORROW_RULE), ("hot", None, 1, "x1", 1, "a", "m", "p", R.BORROW_RULE)]
+    events = spark.createDataFrame(impacts * 2, IMPACT)
+    for rows, same in ((plain, False), (plain, True), (plain + several, False), (plain + several, True)):
+        listed = C.closure_impact_txs(spark.createDataFrame(rows * 2, shape), events, 10, same_protocol=same)
+        want = {}
+        for chain, tx, block, rule, t, cluster in rows:
+            for x in impacts:
+                if chain and chain == x[0] and x[1] and t < x[1] <= t + dt.timedelta(hours=10) and (not same or cluster == x[7]):
+                    key = (chain, tx, block, rule, x[3])
+                    want[key] = min(want.get(key, x[1]), x[1])
+        got = [(r["chain"], r["trigger_tx"], r["trigger_block"], r["matched_rule"], r["impact_tx"], r["impact_time"].astimezone(dt.timezone.utc)) for r in listed.collect()]
+        assert sorted(got, key=repr) == sorted(((*k, v) for k, v in want.items()), key=repr)
+        if rows is plain:
+            assert "Aggregate" not in listed._jdf.queryExecution().optimizedPlan().toString()
