@@ -285,6 +285,12 @@ V.register_view_sql("b_activity", """b_activity AS (
 R2_VIEWS = ["b_orders", "b_labels", "b_tokens", "b_tx", "b_inventory", "b_assets", "b_formula", "b_hints", "b_transfers", "b_activity"]
 
 
+def _r2_tables(spark, folder):
+    """The chain tables of this search; transactions and traces share the written lines, transfers are read once and not written."""
+    lines = written_lines(spark, folder)
+    return labels(spark, folder), tokens(spark, folder), transactions(spark, folder, lines), traces(spark, folder, lines), transfers(spark, folder)
+
+
 def _r2(spark, folder):
     return B.price_composition_candidates(
         labels(spark, folder), tokens(spark, folder), write_table(transactions(spark, folder)), write_table(traces(spark, folder)),
@@ -388,8 +394,7 @@ WHERE regexp_matches(lower(t.fn), '{ID.LENDING_FUNCTION}') GROUP BY 1, 2, 3""")
 
 
 def _r2_txs(spark, folder):
-    rows = B.composition_impact_txs(labels(spark, folder), tokens(spark, folder), transactions(spark, folder), traces(spark, folder), transfers(spark, folder))
-    return _impact_us(rows).withColumn("usd", F.round("usd", 2))
+    return _impact_us(B.composition_impact_txs(*_r2_tables(spark, folder))).withColumn("usd", F.round("usd", 2))
 
 
 QUERIES["price_composition_impact_txs"] = _r2_txs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedwake import rules as R
@@ -13,7 +13,7 @@ from feedwake.functions import text as T
 from feedwake.operators import inventory as INV
 from feedwake.operators.closure import HOUR, in_chains, in_dates
 from feedwake.operators.decode import decode_answer_updated
-from feedwake.operators.joins import contains_hex, contains_text, interval_join, likely
+from feedwake.operators.joins import contains_hex, contains_text, dense_interval_join, interval_join, likely, marked, unlikely
 from feedwake.operators.timeline import Scan, asof, window_fold
 from feedwake.storage import write_table
 
@@ -242,9 +242,9 @@ def formula_changes(inventory: DataFrame, transactions: DataFrame, traces: DataF
     """Successful calls to inventory contracts whose name or data speaks of prices, rates or governance."""
     contracts = inventory.select("blockchain", F.col("address").alias("target"), F.col("protocol_label").alias("inventory_label"), "inventory_role")
     names = in_dates(in_chains(traces, chains), start, end).select("blockchain", "tx_hash", "function_name")
-    sent = _successful(transactions, start, end, chains).join(contracts, ["blockchain", "target"]).join(names, ["blockchain", "tx_hash"], "left")
+    named = _successful(transactions, start, end, chains).join(names, ["blockchain", "tx_hash"], "left")
     said = F.lower(F.concat(F.coalesce("function_name", F.lit("")), F.lit(" "), F.regexp_replace(F.coalesce("data", F.lit("")), "^0x", "")))
-    return sent.where(said.rlike(ID.FORMULA_CALL)).select(
+    return named.where(said.rlike(ID.FORMULA_CALL)).join(contracts, ["blockchain", "target"]).select(  # calls that say nothing go before this join
         "blockchain", "block_time", "block_number", F.col("tx_hash").alias("trigger_tx"), "actor",
         F.col("target").alias("oracle_or_governance_contract"), F.col("data").alias("tx_data"), "inventory_label", "inventory_role",
         F.coalesce("function_name", F.lit("unknown_formula_config")).alias("function_name"),
@@ -281,19 +281,37 @@ def _asset_calls(calls: DataFrame, by_name: DataFrame, by_data: DataFrame) -> Da
     return named.select(*keys).unionByName(carried.select(*keys)).distinct()
 
 
-def market_moves(calls, by_name, by_data, inventory, transfers, start=None, end=None, chains=None, hours: int = 24) -> DataFrame:
+def _tagged(moves: DataFrame, markets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Transfers whether they are ``at_market`` (sent or received by one), without those that surely are not and move no token of ``tokens``; written.
+
+    A bitmap tells which side of a transfer may be a market. Rows are shuffled once, by that side; only those whose sender is none after all and whose
+    receiver may be one are joined again.
+    """
+    as_market, as_token = F.lit("market"), F.lit("token")
+    known = markets.select(as_market.alias("_as"), "blockchain", "address").union(tokens.select(as_token, "blockchain", "token"))
+    met, (sends, receives, involved) = marked(moves, known, [[as_market, "blockchain", "from"], [as_market, "blockchain", "to"], [as_token, "blockchain", "token"]])
+    kept = ["blockchain", "tx_hash", "block_time", "token", "usd"]
+    sides = met.where(sends | receives | involved).select(
+        *kept, F.when(sends, F.col("from")).when(receives, F.col("to")).otherwise(F.col("tx_hash")).alias("address"),
+        (sends | receives).alias("_asked"),  # rows that ask for nothing are spread by their transaction
+        F.when(sends & receives, F.col("to")).alias("_other"),
+    )
+    found = F.coalesce("_found", F.lit(False)).alias("at_market")
+    first = write_table(sides.join(markets.withColumns({"_asked": F.lit(True), "_found": F.lit(True)}), ["blockchain", "address", "_asked"], "left").select(*kept, found, "_other"))
+    again = ~F.col("at_market") & F.col("_other").isNotNull()
+    second = first.where(again).drop("at_market").join(markets.select("blockchain", F.col("address").alias("_other"), F.lit(True).alias("_found")), ["blockchain", "_other"], "left")
+    return first.where(~again).drop("_other").unionByName(write_table(second.select(*kept, found)))
+
+
+def market_moves(hinted, inventory, transfers, start=None, end=None, chains=None, hours: int = 24) -> DataFrame:
     """Transfers ``at_market`` in reach of a hinted call of their chain, and others in reach of a call that involves their token; read once and written."""
     at, width = T.micros(F.col("block_time")), hours * HOUR
     moves = in_dates(in_chains(transfers, chains), start, end).select(
         "blockchain", "tx_hash", "block_time", F.col("contract_address").alias("token"), "from", "to", F.coalesce("amount_usd", F.lit(0.0)).alias("usd")
     )
-    hinted = write_table(_asset_calls(calls, by_name, by_data))
-    markets = inventory.where(F.col("inventory_role").isin(*INV.MARKET_LIKE)).select("blockchain", "address").distinct()
-    sender = markets.select("blockchain", F.col("address").alias("from"), F.lit(True).alias("_s"))
-    receiver = markets.select("blockchain", F.col("address").alias("to"), F.lit(True).alias("_r"))
+    markets = write_table(inventory.where(F.col("inventory_role").isin(*INV.MARKET_LIKE)).select("blockchain", "address").distinct())
     active = within_reach(moves.join(markets.select("blockchain").distinct(), "blockchain", "left_semi"), hinted, ["blockchain"], at, at, width)
-    tagged = active.join(sender, ["blockchain", "from"], "left").join(receiver, ["blockchain", "to"], "left")
-    tagged = write_table(tagged.select("blockchain", "tx_hash", "block_time", "token", "usd", F.coalesce("_s", "_r", F.lit(False)).alias("at_market")))
+    tagged = _tagged(active, markets, hinted.select("blockchain", "token").distinct())
     elsewhere = within_reach(tagged.where(~F.col("at_market")), hinted, ["blockchain", "token"], at, at, width)
     return tagged.where("at_market").unionByName(elsewhere.select(*tagged.columns))
 
@@ -302,22 +320,37 @@ def composition_impact_txs(
     labels: DataFrame, tokens: DataFrame, transactions: DataFrame, traces: DataFrame, transfers: DataFrame, start: str | None = None,
     end: str | None = None, chains: Sequence[str] | None = None, hours: int = 24,
 ) -> DataFrame:
-    """Every impact transaction of the formula calls with an asset hint, a row each with its value (``impact_txs`` of the search names the first)."""
-    inventory = INV.lending_inventory(labels, tokens, chains)
+    """Every impact transaction of the formula calls with an asset hint, a row each with its value (``impact_txs`` of the search names the first).
+
+    Pairs of a call and a transaction at a market of its chain are most rows; they are unique as they are formed. Only those that the transfers
+    of an asset may give too, and those of calls with several times, are summed up.
+    """
+    inventory = write_table(INV.lending_inventory(labels, tokens, chains))
     changes = write_table(formula_changes(inventory, transactions, traces, start, end, chains))
     by_name, by_data = (write_table(part) for part in asset_hints(changes, INV.derivative_assets(tokens, inventory, chains)))
     calls = changes.select("blockchain", "trigger_tx", "block_time", "function_name").distinct()
-    moves = market_moves(calls, by_name, by_data, inventory, transfers, start, end, chains, hours)
-    acts = moves.groupBy("blockchain", "at_market", "token", F.col("tx_hash").alias("impact_tx")).agg(
-        F.min("block_time").alias("impact_time"), F.sum("usd").alias("usd"))
-    at_market = acts.where("at_market").groupBy("blockchain", "impact_tx").agg(F.min("impact_time").alias("impact_time"), F.sum("usd").alias("usd"))
-    hinted = _asset_calls(calls, by_name, by_data)
-    at, seen = T.micros(F.col("block_time")), T.micros(F.col("impact_time"))
-    near = lambda left, right, on: interval_join(left, right, on, at, seen, 0, hours * HOUR, closed="left").select(
-        "blockchain", "trigger_tx", "impact_tx", "impact_time", "usd")
-    of_market = near(hinted.select("blockchain", "trigger_tx", "block_time").distinct(), at_market, ["blockchain"])
-    of_asset = near(hinted, acts.where(~F.col("at_market")).drop("at_market"), ["blockchain", "token"])
-    return _impact_rows(of_market.unionByName(of_asset), ["blockchain", "trigger_tx"])
+    hinted = write_table(_asset_calls(calls, by_name, by_data))
+    moves = market_moves(hinted, inventory, transfers, start, end, chains, hours).withColumnRenamed("tx_hash", "impact_tx")
+    summed = lambda rows, keys: rows.groupBy(*keys, "impact_tx").agg(F.min("block_time").alias("impact_time"), F.sum("usd").alias("usd"))
+    at, seen, row = T.micros(F.col("block_time")), T.micros(F.col("impact_time")), ["blockchain", "trigger_tx", "impact_tx", "impact_time", "usd"]
+    of_tokens = summed(moves.where(~F.col("at_market")), ["blockchain", "token"])
+    of_asset = write_table(interval_join(hinted, of_tokens, ["blockchain", "token"], at, seen, 0, hours * HOUR, closed="left").select(*row))
+
+    again = of_asset.select(F.col("blockchain").alias("_chain"), F.col("impact_tx").alias("_tx"), F.lit(True).alias("_again")).distinct()
+    same = F.col("blockchain").eqNullSafe(F.col("_chain")) & F.col("impact_tx").eqNullSafe(F.col("_tx"))
+    at_market = summed(moves.where("at_market"), ["blockchain"])
+    acts = write_table(at_market.join(again, same, "left").select(*at_market.columns, F.coalesce("_again", F.lit(False)).alias("_again")))
+    opened = hinted.select("blockchain", "trigger_tx", "block_time").distinct()
+    opened = write_table(opened.withColumn("_alone", F.count(F.lit(1)).over(Window.partitionBy("blockchain", "trigger_tx")) == 1))
+    alone, several = opened.where("_alone"), opened.where(~F.col("_alone"))
+    near = lambda some, acts: dense_interval_join(some, acts, ["blockchain"], at, seen, hours * HOUR, closed="left").select(*row)
+    shared, known = near(alone, acts.where("_again")), of_asset.select("blockchain", "trigger_tx", "impact_tx")
+    parts = of_asset.unionByName(likely(shared, known, known.columns))
+    if not several.isEmpty():
+        parts = parts.unionByName(near(several, acts))
+    once = near(alone, acts.where(~F.col("_again"))).unionByName(unlikely(shared, known, known.columns))
+    summed_up = _impact_rows(parts, ["blockchain", "trigger_tx"])
+    return once.select(*summed_up.columns).unionByName(summed_up)
 
 
 def composition_impacts(
@@ -345,7 +378,7 @@ def composition_impacts(
         "blockchain", "trigger_tx", "block_time", F.coalesce("names", none).alias("names"), F.coalesce("carried", none).alias("carried"),
         F.array_join(F.coalesce("names", none), "|").alias("name_sig"), F.array_join(F.coalesce("carried", none), "|").alias("data_sig")))
 
-    tagged = market_moves(calls, by_name, by_data, inventory, transfers, start, end, chains, hours)
+    tagged = market_moves(write_table(_asset_calls(calls, by_name, by_data)), inventory, transfers, start, end, chains, hours)
     per_tx = lambda rows, keys: rows.groupBy(*keys, "tx_hash").agg(F.min("block_time").alias("block_time"), F.sum("usd").alias("usd"))
 
     at_market = per_tx(tagged.where("at_market"), ["blockchain"])

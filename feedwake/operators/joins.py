@@ -28,11 +28,10 @@ def in_bits(bits: Column, position: Column) -> Column:
     return F.getbit(byte, (position % 8).cast("int")) == 1
 
 
-def likely(rows: DataFrame, known: DataFrame, *tried: Sequence[Column | str]) -> DataFrame:
-    """Rows of which one of the column lists ``tried`` may equal a row of ``known``; all others surely equal none.
+def marked(rows: DataFrame, known: DataFrame, tried: Sequence[Sequence[Column | str]]) -> tuple[DataFrame, list[Column]]:
+    """``rows`` beside a bitmap of the hashes of ``known``, and for each column list whether the bitmap holds it.
 
-    The hashes of ``known`` are a written bitmap whose size is bounded, so rows without a partner go before a join shuffles them. The join
-    itself must follow. Columns of both sides must have the same types.
+    The bitmap is sent to all tasks whatever the session's threshold is: its size is bounded by ``PLACES``.
     """
     place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(PLACES))
     at = place(known.columns)
@@ -41,12 +40,28 @@ def likely(rows: DataFrame, known: DataFrame, *tried: Sequence[Column | str]) ->
     met, hits = rows, []
     for i, columns in enumerate(tried):
         here = place(columns)
-        met = met.withColumns({f"_bucket{i}": F.bitmap_bucket_number(here), f"_bit{i}": F.bitmap_bit_position(here)}).join(
-            held.select(F.col("_bucket").alias(f"_bucket{i}"), F.col("_bits").alias(f"_bits{i}")), f"_bucket{i}", "left")
+        bits = F.broadcast(held.select(F.col("_bucket").alias(f"_bucket{i}"), F.col("_bits").alias(f"_bits{i}")))
+        met = met.withColumns({f"_bucket{i}": F.bitmap_bucket_number(here), f"_bit{i}": F.bitmap_bit_position(here)}).join(bits, f"_bucket{i}", "left")
         hits.append(F.coalesce(in_bits(F.col(f"_bits{i}"), F.col(f"_bit{i}")), F.lit(False)))
+    return met, hits
+
+
+def likely(rows: DataFrame, known: DataFrame, *tried: Sequence[Column | str]) -> DataFrame:
+    """Rows of which one of the column lists ``tried`` may equal a row of ``known``; all others surely equal none.
+
+    The hashes of ``known`` are a written bitmap whose size is bounded, so rows without a partner go before a join shuffles them. The join
+    itself must follow. Columns of both sides must have the same types.
+    """
+    met, hits = marked(rows, known, tried)
     return met.where(reduce(or_, hits)).select(*rows.columns)
 
 
+def unlikely(rows: DataFrame, known: DataFrame, *tried: Sequence[Column | str]) -> DataFrame:
+    """The rows that :func:`likely` drops: they surely equal no row of ``known``."""
+    met, hits = marked(rows, known, tried)
+    return met.where(~reduce(or_, hits)).select(*rows.columns)
+
+
 def interval_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_at: Column, right_at: Column, lo: int, hi: int, closed: str = "right"
 ) -> DataFrame:
@@ -189,8 +204,10 @@ def contains_hex(
     slices = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(GRAM - 1)), asked))
     keyed = needles.where(F.length(digits) == 2 * GRAM).withColumn("_asked", F.explode(slices))
     keyed = keyed.withColumns({"_key": F.col("_asked.key"), "_at": F.col("_asked.at"), "_digits": digits}).drop("_asked")
-    # shuffled first: the estimate of either side does not count what the explode makes of a row, so many needles would go through the driver
-    found = index.repartition(*on, "_key").join(keyed.repartition(*on, "_key"), [*on, "_key"]).where(F.substring(F.col("_around"), F.col("_at") + 1, F.lit(2 * GRAM)) == F.col("_digits"))
+    # few entries meet a needle: the others go before anything is shuffled, and those that stay are written
+    met = write_table(likely(index, keyed.select(*on, "_key"), [*on, "_key"]))
+    # merged: the estimate of a side does not count what the explode makes of a row, so many needles would go through the driver
+    found = met.hint("merge").join(keyed.repartition(*on, "_key"), [*on, "_key"]).where(F.substring(F.col("_around"), F.col("_at") + 1, F.lit(2 * GRAM)) == F.col("_digits"))
     return found.drop("_key", "_around", "_at", "_digits").dropDuplicates(list(keep))
 
 

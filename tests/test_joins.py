@@ -98,3 +98,34 @@ def test_many_needles_and_triggers_do_not_go_through_the_driver(spark):
     assert len(rows.collect()) == 40_000
     sides = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert not re.search(r"BroadcastHashJoin \[_left_id#\d+L?\], \[_left_id#\d+L?\], Inner, BuildLeft", sides)
+
+
+def test_dense_intervals_like_interval_join_and_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "SHARE", 30)
+    rng = random.Random(2)
+    left = spark.createDataFrame([(rng.choice(["a", "b", None]), i, rng.randint(-40, 90)) for i in range(120)], "k string, id long, t long")
+    right = spark.createDataFrame([(rng.choice(["a", "b", None]), i, rng.randint(-40, 90)) for i in range(300)] + [("a", 900, None)], "k string, rid long, rt long")
+    for closed, width in (("right", 7), ("left", 7), ("left", 50), ("right", 3)):
+        dense = J.dense_interval_join(left, right, ["k"], F.col("t"), F.col("rt"), width, closed)
+        assert sorted(dense.columns) == ["id", "k", "rid", "rt", "t"]
+        plain = J.interval_join(left, right, ["k"], F.col("t"), F.col("rt"), 0, width, closed)
+        assert sorted((r["id"], r["rid"]) for r in dense.collect()) == sorted((r["id"], r["rid"]) for r in plain.collect())
+    assert J.dense_interval_join(left, right.where("false"), ["k"], F.col("t"), F.col("rt"), 7).count() == 0
+
+
+def test_entries_without_a_needle_are_not_shuffled_and_bitmaps_are_sent(spark):
+    """Of the blocks of all calls only those that a needle may lie over are kept, whatever the session broadcasts."""
+    address = F.concat(F.lit("0x"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40))
+    calls = spark.range(3000).select("id", F.concat(F.lit("0xabcdef01"), F.lit("0" * 24), F.substring(address, 3, 40)).alias("data"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = J.contains_hex(calls, spark.range(10).select(address.alias("needle")), [], "data", "needle", ["id", "needle"])
+        assert sorted(r["id"] for r in found.collect()) == list(range(10))
+        files = [f for f in found.inputFiles() if "table-" in f]
+        assert files and 10 <= spark.read.parquet(*files).count() <= 60
+        kept = J.unlikely(spark.range(50).select("id"), spark.range(40).select("id"), ["id"])
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert 8 <= kept.count() <= 10 and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
