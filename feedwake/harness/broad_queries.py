@@ -292,10 +292,7 @@ def _r2_tables(spark, folder):
 
 
 def _r2(spark, folder):
-    return B.price_composition_candidates(
-        labels(spark, folder), tokens(spark, folder), write_table(transactions(spark, folder)), write_table(traces(spark, folder)),
-        write_table(transfers(spark, folder)),
-    )
+    return B.price_composition_candidates(*_r2_tables(spark, folder))
 
 
 QUERIES["price_composition_candidates"] = lambda spark, folder: _r2(spark, folder).select(*_COLUMNS).withColumn(

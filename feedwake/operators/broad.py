@@ -381,12 +381,13 @@ def composition_impacts(
     tagged = market_moves(write_table(_asset_calls(calls, by_name, by_data)), inventory, transfers, start, end, chains, hours)
     per_tx = lambda rows, keys: rows.groupBy(*keys, "tx_hash").agg(F.min("block_time").alias("block_time"), F.sum("usd").alias("usd"))
 
-    at_market = per_tx(tagged.where("at_market"), ["blockchain"])
+    at_market = write_table(per_tx(tagged.where("at_market"), ["blockchain"]))
     seen_market = at_market.select("blockchain", "tx_hash", F.lit(True).alias("_market"))
     elsewhere = tagged.where(~F.col("at_market")).select("blockchain", "tx_hash", "block_time", "token", "usd")
     name_tokens = triggers.select("blockchain", "name_sig", F.explode("names").alias("function_name")).distinct().join(
         named, ["blockchain", "function_name"]).select("blockchain", "name_sig", "token").distinct()
-    by_names = per_tx(elsewhere.join(name_tokens, ["blockchain", "token"]), ["blockchain", "name_sig"]).join(seen_market, ["blockchain", "tx_hash"], "left")
+    by_names = write_table(
+        per_tx(elsewhere.join(name_tokens, ["blockchain", "token"]), ["blockchain", "name_sig"]).join(seen_market, ["blockchain", "tx_hash"], "left"))
     seen_name = by_names.select("blockchain", "name_sig", "tx_hash", F.lit(True).alias("_named"))
     data_tokens = triggers.select("blockchain", "name_sig", "data_sig", F.explode("carried").alias("token")).distinct().join(
         name_tokens, ["blockchain", "name_sig", "token"], "left_anti")
@@ -412,11 +413,15 @@ def price_composition_candidates(
     end: str | None = None, chains: Sequence[str] | None = None, hours: int = 24,
 ) -> DataFrame:
     """Formula or governance calls that involve a derivative asset, with transfer activity after them."""
-    inventory = INV.lending_inventory(labels, tokens, chains)
+    inventory = write_table(INV.lending_inventory(labels, tokens, chains))
     changes = write_table(formula_changes(inventory, transactions, traces, start, end, chains))
     by_name, by_data = (write_table(part) for part in asset_hints(changes, INV.derivative_assets(tokens, inventory, chains)))
-    hints = affected_assets(changes, by_name, by_data)
     impacts = composition_impacts(changes, by_name, by_data, inventory, transfers, start, end, chains, hours)
+    return composition_tiers(affected_assets(changes, by_name, by_data), impacts, labels)
+
+
+def composition_tiers(hints: DataFrame, impacts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Tier and reason of each formula change with an asset hint."""
     titles = labels.select("blockchain", F.col("address").alias("oracle_or_governance_contract"), F.col("name").alias("contract_label"))
     rows = hints.join(impacts, ["blockchain", "trigger_tx"], "left").join(titles, ["blockchain", "oracle_or_governance_contract"], "left")
     count = F.coalesce("impact_tx_count", F.lit(0))
