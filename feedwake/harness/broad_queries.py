@@ -441,8 +441,7 @@ SQL["stage_counts_r1"] = V.with_views(R1_VIEWS[:-1], """
 
 
 def _stages_r2(spark, folder):
-    parts = (labels(spark, folder), tokens(spark, folder), write_table(transactions(spark, folder)), write_table(traces(spark, folder)))
-    return B.stage_counts(B.price_composition_stages(*parts, write_table(transfers(spark, folder)), *_WINDOW), R.COMPOSITION, *_WINDOW)
+    return B.stage_counts(B.price_composition_stages(*_r2_tables(spark, folder), *_WINDOW), R.COMPOSITION, *_WINDOW)
 
 
 QUERIES["stage_counts_r2"] = _stages_r2

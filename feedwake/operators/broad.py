@@ -727,20 +727,19 @@ def feed_binding_stages(labels, tokens, transactions, traces, start=None, end=No
 
 
 def price_composition_stages(labels, tokens, transactions, traces, transfers, start=None, end=None, chains=None) -> dict:
-    inventory = INV.lending_inventory(labels, tokens, chains)
-    assets = INV.derivative_assets(tokens, inventory, chains)
+    inventory = write_table(INV.lending_inventory(labels, tokens, chains))
+    assets = write_table(INV.derivative_assets(tokens, inventory, chains))
     changes = write_table(formula_changes(inventory, transactions, traces, start, end, chains))
     by_name, by_data = (write_table(part) for part in asset_hints(changes, assets))
-    hints = affected_assets(changes, by_name, by_data)
+    hints = write_table(affected_assets(changes.drop("tx_data"), by_name, by_data))
+    impacts = write_table(composition_impacts(changes, by_name, by_data, inventory, transfers, start, end, chains))
     return {
         "inventory_addresses": (inventory, "address", "protocol_cluster_id", None),
         "derivative_assets": (assets, "contract_address", None, None),
         "oracle_wrapper_txs": (changes, "oracle_or_governance_contract", None, "trigger_tx"),
         "affected_asset_hint": (hints, "affected_asset_address", None, "trigger_tx"),
-        "impact_activity": (composition_impacts(changes, by_name, by_data, inventory, transfers, start, end, chains), None, None, "trigger_tx"),
-        "tiered_candidates": (
-            price_composition_candidates(labels, tokens, transactions, traces, transfers, start, end, chains).withColumnRenamed("chain", "blockchain"),
-            None, None, "trigger_tx"),
+        "impact_activity": (impacts, None, None, "trigger_tx"),
+        "tiered_candidates": (composition_tiers(hints, impacts, labels).withColumnRenamed("chain", "blockchain"), None, None, "trigger_tx"),
     }
 
 

@@ -82,3 +82,17 @@ def test_a_transfer_is_tagged_by_the_side_that_may_be_a_market(spark, monkeypatc
         got = sorted((r["usd"], r["tx_hash"] or "", r["at_market"]) for r in tagged.collect() if r["at_market"] or r["token"] == asset)
         assert got == sorted((m[9], m[4] or "", market in m[5:7]) for m in moves if market in m[5:7] or m[7] == asset)
         assert tagged.columns == ["blockchain", "tx_hash", "block_time", "token", "usd", "at_market"]
+
+
+def test_stage_counts_and_candidates_share_their_pieces(spark, monkeypatch):
+    labels, tokens, calls, traces, transfers, *_ = tables(spark)
+    ran = []
+    for name in ("formula_changes", "asset_hints", "market_moves", "composition_impacts"):
+        monkeypatch.setattr(B, name, lambda *a, _f=getattr(B, name), _n=name, **k: (ran.append(_n), _f(*a, **k))[1])
+    stages = B.price_composition_stages(labels, tokens, calls, traces, transfers)
+    assert sorted(ran) == ["asset_hints", "composition_impacts", "formula_changes", "market_moves"]
+    counts = {k: rows.count() for k, (rows, *_) in stages.items()}
+    candidates = B.price_composition_candidates(labels, tokens, calls, traces, transfers)
+    tiers = stages["tiered_candidates"][0].withColumnRenamed("blockchain", "chain").select(*candidates.columns)
+    assert counts["tiered_candidates"] == candidates.count() > 0 and counts["impact_activity"] == 6
+    assert sorted(map(repr, tiers.collect())) == sorted(map(repr, candidates.collect()))
