@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from feedwake.harness import broad_queries as BQ
 from feedwake.operators import broad as B
 from feedwake.operators import joins as J
 
@@ -96,3 +97,19 @@ def test_stage_counts_and_candidates_share_their_pieces(spark, monkeypatch):
     tiers = stages["tiered_candidates"][0].withColumnRenamed("blockchain", "chain").select(*candidates.columns)
     assert counts["tiered_candidates"] == candidates.count() > 0 and counts["impact_activity"] == 6
     assert sorted(map(repr, tiers.collect())) == sorted(map(repr, candidates.collect()))
+
+
+def test_transfers_are_not_written_before_the_search(spark, monkeypatch, tmp_path):
+    rows = {
+        "supplier": ([(1, 2)], "s_suppkey long, s_nationkey int"), "part": ([(1,)], "p_partkey long"),
+        "orders": ([(1, 1, "1-URGENT", "O", 5.0, T0)], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_totalprice double, o_orderdate timestamp"),
+        "lineitem": ([(1, 1, 1, 1, "A", 2.0, 3.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_quantity double, l_extendedprice double"),
+    }
+    for name, (values, shape) in rows.items():
+        spark.createDataFrame(values, shape).write.parquet(f"{tmp_path}/{name}.parquet")
+    given = []
+    monkeypatch.setattr(B, "price_composition_candidates", lambda *a, **k: given.extend(a))
+    BQ._r2(spark, str(tmp_path))
+    transactions, traces, transfers = given[2:]
+    assert all("table-" not in f for f in transfers.inputFiles()) and transfers.count() == 1
+    assert set(transactions.inputFiles()) == set(traces.inputFiles()) and all("table-" in f for f in traces.inputFiles())
